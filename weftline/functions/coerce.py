@@ -109,6 +109,7 @@ def item_moment(df: DataFrame, keys: tuple[str, ...] = TIME_KEYS) -> Column:
 
 def iso_utc(ts: Column) -> Column:
     """ISO 8601 text of a timestamp with the UTC offset spelled out."""
+    ts = ts.cast("timestamp")
     base = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
     micros = F.pmod(F.unix_micros(ts), F.lit(1_000_000))
     fraction = F.when(micros > 0, F.concat(F.lit("."), F.lpad(micros.cast("string"), 6, "0"))).otherwise("")

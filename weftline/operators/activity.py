@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.coerce import first_truthy, iso_utc, single_line, truncate
 from weftline.functions.labels import channel_link, channel_url
-from weftline.operators.ordering import first_seen, top_counts
+from weftline.operators.ordering import first_seen, row_count, top_counts
 
 # Words counted as action hints, in tie-breaking order, and the risk subset.
 ACTION_WORDS = (
@@ -64,7 +64,7 @@ def active_chats(chats: DataFrame, messages: DataFrame, since: str, until: str)
 def event_totals(channel: DataFrame, chat: DataFrame, knowledge: DataFrame) -> DataFrame:
     """Rows per kind plus the total; kinds without rows show 0."""
     def tally(kind: str, rows: DataFrame) -> DataFrame:
-        return rows.groupBy().agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), "n")
+        return rows.agg(row_count(rows).alias("n")).select(F.lit(kind).alias("kind"), "n")
 
     parts = tally("channel", channel).unionByName(tally("chat", chat)).unionByName(tally("knowledge", knowledge))
     return parts.rollup("kind").agg(F.sum("n").alias("n")).select(
@@ -74,7 +74,7 @@ def event_totals(channel: DataFrame, chat: DataFrame, knowledge: DataFrame) -> D
 
 def posts_per_user(messages: DataFrame, user: str = "user_label") -> DataFrame:
     """Posts per user, most first, then by name."""
-    counted = messages.groupBy(F.col(user).alias("user_name")).agg(F.count(F.lit(1)).alias("posts"))
+    counted = messages.groupBy(F.col(user).alias("user_name")).agg(row_count(messages).alias("posts"))
     return counted.orderBy(F.desc("posts"), "user_name")
 
 
@@ -92,7 +92,7 @@ def chat_usage(messages: DataFrame, limit: int | None = 5) -> DataFrame:
     owner = first_truthy(F.col("owner"), default="unknown")
     if limit is not None:
         return top_counts(messages, owner, "seq", limit, "owner")
-    return messages.groupBy(owner.alias("owner")).agg(F.count(F.lit(1)).alias("n"))
+    return messages.groupBy(owner.alias("owner")).agg(row_count(messages).alias("n"))
 
 
 def user_activity(channel: DataFrame, chat: DataFrame) -> DataFrame:
@@ -101,8 +101,11 @@ def user_activity(channel: DataFrame, chat: DataFrame) -> DataFrame:
     A union of two narrow projections and one aggregation: the same rows as a
     full outer join of two counts with one shuffle instead of three.
     """
-    posts = channel.select(F.col("user_label").alias("user_name"), F.lit(1).alias("p"), F.lit(0).alias("c"))
-    chats = chat.select(F.col("owner").alias("user_name"), F.lit(0).alias("p"), F.lit(1).alias("c"))
+    def weight(df: DataFrame) -> Column:
+        return F.col("rows") if "rows" in df.columns else F.lit(1)
+
+    posts = channel.select(F.col("user_label").alias("user_name"), weight(channel).alias("p"), F.lit(0).alias("c"))
+    chats = chat.select(F.col("owner").alias("user_name"), F.lit(0).alias("p"), weight(chat).alias("c"))
     return (
         posts.unionByName(chats)
         .groupBy("user_name")
@@ -255,7 +258,7 @@ def report_metadata(
 ) -> DataFrame:
     """One row with the window, the report date and every count."""
     def tagged(kind: str, rows: DataFrame) -> DataFrame:
-        return rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), "n")
+        return rows.agg(row_count(rows).alias("n")).select(F.lit(kind).alias("kind"), "n")
 
     parts = tagged("messages", channel)
     for kind, rows in (("channels", channels), ("chats", chats), ("chat_messages", chat),

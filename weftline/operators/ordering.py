@@ -89,6 +89,21 @@ def segmented_last(
     )
 
 
+def row_count(df: DataFrame) -> Column:
+    """Rows of a group; a rolled-up table counts what its rows stand for."""
+    if "rows" in df.columns:
+        return F.coalesce(F.sum("rows"), F.lit(0)).cast("bigint")
+    return F.count(F.lit(1))
+
+
+def roll_up(df: DataFrame, keys: list[str], position: str = "seq") -> DataFrame:
+    """Counts and first position per key combination.
+
+    Small enough to be read many times by the reports built on it.
+    """
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), F.min(position).alias(position))
+
+
 def first_seen(df: DataFrame, value: str, position: str) -> DataFrame:
     """Distinct non-empty values with their first position and row count."""
     return (
@@ -101,6 +116,6 @@ def first_seen(df: DataFrame, value: str, position: str) -> DataFrame:
 def top_counts(df: DataFrame, value: Column, position: str, limit: int, name: str = "value") -> DataFrame:
     """Most frequent values; ties go to the one seen first."""
     counted = df.groupBy(value.alias(name)).agg(
-        F.count(F.lit(1)).alias("n"), F.min(position).alias("first_seq")
+        row_count(df).alias("n"), F.min(position).alias("first_seq")
     )
     return counted.orderBy(F.desc("n"), "first_seq").limit(limit)

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from weftline.functions.coerce import first_truthy, iso_utc
 from weftline.operators import activity
+from weftline.operators.ordering import roll_up
+from weftline.session import durable
 
 
 @dataclass(frozen=True)
@@ -66,74 +68,90 @@ def _listed(df: DataFrame, order: list[str], item: Column, name: str, empty: str
     return df.agg(first_truthy(F.array_join(F.transform(entries, lambda x: x["t"]), ", "), default=empty).alias(name))
 
 
+def _all_mentions(data: ReportInput) -> DataFrame:
+    """Keyword counts over posts, then chat messages."""
+    def texts(df: DataFrame, rank: int) -> DataFrame:
+        return df.select(F.struct(F.lit(rank).alias("k"), F.col("seq").cast("bigint").alias("s")).alias("seq"), "content")
+
+    return activity.keyword_mentions(texts(data.channel, 0).unionByName(texts(data.chat, 1)))
+
+
+def _opening(scalars: DataFrame) -> DataFrame:
+    """Title block and main events, all from one row of figures."""
+    n_posts, n_turns, n_items = F.col("messages"), F.col("chat_messages"), F.col("knowledge")
+    has_posts, has_turns, has_items = n_posts > 0, n_turns > 0, n_items > 0
+    blocks = [
+        (0, 0, F.lit(True), [
+            F.lit("---"), _text("## 📊 アクティビティレポート (", F.col("report_date"), ")"), F.lit(""),
+            _text("- 🔢 集計対象イベント数：", n_posts + n_turns + n_items, "件"),
+            _text("- 📅 集計期間：", F.col("since"), " 〜 ", F.col("until")),
+            _text("- 💬 チャネル投稿：", n_posts, "件 / 🤖 チャットメッセージ：", n_turns, "件 / 📚 新規ナレッジ：", n_items, "件"),
+            F.lit(""), F.lit("📝 取得した投稿本文をもとに、Skill呼び出し元のAgentが全体傾向を総合要約してください。"), F.lit(""), F.lit(HEAD),
+        ]),
+        (1, 1, has_posts, [
+            F.lit("1. チャネル横断の活動"),
+            _text("   - 🧭 概要：", F.col("channels"), "件のチャネルを確認し、期間内の投稿 ", n_posts,
+                  " 件を集計しました。主要チャネルは ", F.col("top_channels"), " です。"),
+            _text("   - 👥 関連ユーザー：", F.col("top_users")), _text("   - 🔗 URL：", F.col("links")),
+        ]),
+        (1, 2, has_turns, [
+            _text(has_posts.cast("int") + 1, ". ユーザーチャットの活動"),
+            _text("   - 🧭 概要：", F.col("chats"), "件のチャットから期間内のメッセージ ", n_turns, " 件を集計しました。"),
+            _text("   - 👥 関連ユーザー：", F.col("top_owners")), F.lit("   - 🔗 URL：なし（チャットは個人情報保護のためリンク非掲載）"),
+        ]),
+        (1, 3, has_items, [
+            _text(has_posts.cast("int") + has_turns.cast("int") + 1, ". 新規ナレッジの追加"),
+            _text("   - 🧭 概要：期間内に ", n_items, " 件のナレッジが追加されました。主なナレッジは ", F.col("item_names"), " です。"),
+            F.lit("   - 👥 関連ユーザー：未特定（ナレッジ詳細確認）"), _text("   - 🔗 URL：", F.col("item_urls")),
+        ]),
+        (1, 4, ~has_posts & ~has_turns & ~has_items, [
+            F.lit("1. 主要イベントなし"),
+            F.lit("   - 🧭 概要：指定期間内のチャネル投稿、チャット、ナレッジ追加は見つかりませんでした。"),
+            F.lit("   - 👥 関連ユーザー：なし"), F.lit("   - 🔗 URL：なし"),
+        ]),
+    ]
+    entries = [
+        F.struct(
+            F.lit(section).alias("section"), F.lit(pos).alias("pos"), F.lit("").alias("key"), F.lit(k).alias("k"),
+            F.when(shown, line).alias("line"),
+        )
+        for section, pos, shown, lines in blocks
+        for k, line in enumerate(lines)
+    ]
+    return scalars.select(F.inline(F.array(*entries))).filter(F.col("line").isNotNull())
+
+
 def report_lines(data: ReportInput, since: str, until: str, tz: str = "UTC", base_url: str = "") -> DataFrame:
     """All report lines; sorted by (section, pos, key, k) they are the report.
 
     The per-user part grows with the users, so lines stay rows: write them
     with an ordered text sink.
     """
+    # each source is read once for its roll-up and once for the keywords;
+    # everything after works on the small results
+    posts = durable(roll_up(data.channel, ["channel_id", "channel_name", "user_label"]))
+    turns = durable(roll_up(data.chat, ["owner"]))
+    mentions = durable(_all_mentions(data))
     meta = activity.report_metadata(
-        data.channel, data.chats, data.chat, data.knowledge, data.channels, data.errors, since, until, tz
+        posts, data.chats, turns, data.knowledge, data.channels, data.errors, since, until, tz
     )
-    channels = activity.top_channels(data.channel)
-    owners = activity.chat_usage(data.chat)
-    users = activity.top_users(data.channel)
-    links = activity.joined_links(activity.channel_links(data.channel, base_url))
+    channels = activity.top_channels(posts).withColumn("o", -F.col("n"))
+    owners = activity.chat_usage(turns).withColumn("o", -F.col("n"))
+    users = activity.top_users(posts).withColumn("o", -F.col("posts"))
+    links = activity.joined_links(activity.channel_links(posts, base_url))
     first_items = activity.newest_knowledge(data.knowledge, 5)
-
     scalars = meta
-    facts = [
-        _listed(channels.withColumn("o", -F.col("n")), ["o", "first_seq"], _text(F.col("channel"), " (", F.col("n"), ")"), "top_channels", "なし"),
-        _listed(users.withColumn("o", -F.col("posts")), ["o", "user_name"], F.col("user_name"), "top_users", "なし"),
+    for fact in (
+        _listed(channels, ["o", "first_seq"], _text(F.col("channel"), " (", F.col("n"), ")"), "top_channels", "なし"),
+        _listed(users, ["o", "user_name"], F.col("user_name"), "top_users", "なし"),
         links,
-        _listed(owners.withColumn("o", -F.col("n")), ["o", "first_seq"], _text(F.col("owner"), " (", F.col("n"), ")"), "top_owners", "unknown"),
+        _listed(owners, ["o", "first_seq"], _text(F.col("owner"), " (", F.col("n"), ")"), "top_owners", "unknown"),
         _listed(first_items, ["seq"], F.col("name"), "item_names", ""),
         _listed(first_items, ["seq"], first_truthy(F.col("url"), F.col("id"), default="なし"), "item_urls", ""),
-    ]
-    for fact in facts:
+    ):
         scalars = scalars.withColumn("_one", F.lit(1)).join(fact.withColumn("_one", F.lit(1)), "_one").drop("_one")
-    total = F.col("messages") + F.col("chat_messages") + F.col("knowledge")
-
-    head = scalars.select(
-        _lines(
-            0, F.lit(0), F.lit("---"), _text("## 📊 アクティビティレポート (", F.col("report_date"), ")"), F.lit(""),
-            _text("- 🔢 集計対象イベント数：", total, "件"),
-            _text("- 📅 集計期間：", F.col("since"), " 〜 ", F.col("until")),
-            _text("- 💬 チャネル投稿：", F.col("messages"), "件 / 🤖 チャットメッセージ：", F.col("chat_messages"),
-                  "件 / 📚 新規ナレッジ：", F.col("knowledge"), "件"),
-            F.lit(""), F.lit("📝 取得した投稿本文をもとに、Skill呼び出し元のAgentが全体傾向を総合要約してください。"), F.lit(""), F.lit(HEAD),
-        )
-    )
-    has_posts, has_chat, has_items = (F.col(c) > 0 for c in ("messages", "chat_messages", "knowledge"))
-    second = has_posts.cast("int") + 1
-    third = second + has_chat.cast("int")
-    events = (
-        scalars.filter(has_posts).select(_lines(
-            1, F.lit(1), F.lit("1. チャネル横断の活動"),
-            _text("   - 🧭 概要：", F.col("channels"), "件のチャネルを確認し、期間内の投稿 ", F.col("messages"),
-                  " 件を集計しました。主要チャネルは ", F.col("top_channels"), " です。"),
-            _text("   - 👥 関連ユーザー：", F.col("top_users")), _text("   - 🔗 URL：", F.col("links")),
-        ))
-        .unionByName(scalars.filter(has_chat).select(_lines(
-            1, F.lit(2), _text(second, ". ユーザーチャットの活動"),
-            _text("   - 🧭 概要：", F.col("chats"), "件のチャットから期間内のメッセージ ", F.col("chat_messages"), " 件を集計しました。"),
-            _text("   - 👥 関連ユーザー：", F.col("top_owners")), F.lit("   - 🔗 URL：なし（チャットは個人情報保護のためリンク非掲載）"),
-        )))
-        .unionByName(scalars.filter(has_items).select(_lines(
-            1, F.lit(3), _text(third, ". 新規ナレッジの追加"),
-            _text("   - 🧭 概要：期間内に ", F.col("knowledge"), " 件のナレッジが追加されました。主なナレッジは ", F.col("item_names"), " です。"),
-            F.lit("   - 👥 関連ユーザー：未特定（ナレッジ詳細確認）"), _text("   - 🔗 URL：", F.col("item_urls")),
-        )))
-        .unionByName(scalars.filter(~has_posts & ~has_chat & ~has_items).select(_lines(
-            1, F.lit(4), F.lit("1. 主要イベントなし"),
-            F.lit("   - 🧭 概要：指定期間内のチャネル投稿、チャット、ナレッジ追加は見つかりませんでした。"),
-            F.lit("   - 👥 関連ユーザー：なし"), F.lit("   - 🔗 URL：なし"),
-        )))
-    )
+    opening = _opening(scalars)
 
-    posts_first = data.channel.select(F.struct(F.lit(0).alias("k"), F.col("seq").cast("bigint").alias("s")).alias("seq"), "content")
-    chats_next = data.chat.select(F.struct(F.lit(1).alias("k"), F.col("seq").cast("bigint").alias("s")).alias("seq"), "content")
-    mentions = activity.keyword_mentions(posts_first.unionByName(chats_next))
     actions = _ranked(activity.top_actions(mentions), F.desc("n"), "first_seq", "word_pos")
     risks = _ranked(activity.risk_mentions(mentions), "first_seq", "word_pos")
 
@@ -169,7 +187,7 @@ def report_lines(data: ReportInput, since: str, until: str, tz: str = "UTC", bas
             "   - 👥 関連ユーザー：なし", "   - 🔗 URL：なし",
         ],
     )
-    user_rows = activity.user_activity(data.channel, data.chat).withColumn("i", F.lit(1))
+    user_rows = activity.user_activity(posts, turns).withColumn("i", F.lit(1))
     user_part = or_default(
         4, USERS, user_rows,
         [_text("- ", F.col("user_name"), "：🗨️ ", F.col("channel_posts"), "件のチャンネル投稿、🤖 ", F.col("chat_messages"), "件のチャット利用")],
@@ -185,7 +203,7 @@ def report_lines(data: ReportInput, since: str, until: str, tz: str = "UTC", bas
     fault_part = fault_open.unionByName(
         faults.select(_lines(6, F.col("i"), _text("- ", F.col("source"), ": ", F.col("reason"))))
     )
-    report = head
-    for part in (events, action_part, risk_part, user_part, item_part, fault_part):
+    report = opening
+    for part in (action_part, risk_part, user_part, item_part, fault_part):
         report = report.unionByName(part)
     return report
