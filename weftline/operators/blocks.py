@@ -15,6 +15,7 @@ from weftline.functions.arrays import let, positions
 from weftline.functions.coerce import lines_of, rstrip
 from weftline.functions.elements import is_heading
 from weftline.operators.ordering import segmented_last
+from weftline.operators.rows import unpack
 
 # Line shapes of the block detectors.
 LOG_LINE = r"^\s*\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}:\d{2}"
@@ -65,7 +66,7 @@ def _emit(rows: DataFrame, spans: Column, min_lines: int, block: str) -> DataFra
             ),
         ),
     )
-    return rows.select(*kept, F.lit(block).alias("block"), F.inline(blocks))
+    return unpack(rows, [*kept, F.lit(block).alias("block")], blocks)
 
 
 def log_blocks(docs: DataFrame, text: str = "text", min_lines: int = 2) -> DataFrame:

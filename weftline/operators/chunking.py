@@ -23,6 +23,7 @@ from weftline.functions.elements import (
 from weftline.functions.coerce import strip
 from weftline.operators.elements import matrix_of
 from weftline.operators.ordering import segmented_last
+from weftline.operators.rows import unpack
 
 SEGMENT_ROWS = 4096
 MIN_CHARS, MAX_CHARS = 1000, 2000
@@ -67,7 +68,7 @@ def block_segments(arrays: DataFrame, segment_rows: int = SEGMENT_ROWS) -> DataF
             ),
         ),
     )
-    return arrays.select(*kept, F.inline(cut))
+    return unpack(arrays, kept, cut)
 
 
 def gather_segments(elements: DataFrame, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
@@ -220,7 +221,7 @@ def _piece_rows(packed: DataFrame) -> DataFrame:
         )
 
     built = let(F.col("blocks"), lambda blocks: F.transform("pieces", lambda p: piece(blocks, p)))
-    return packed.select("doc_id", "seg", F.inline(built))
+    return unpack(packed, ["doc_id", "seg"], built)
 
 
 def _finish(pieces: DataFrame) -> DataFrame:
@@ -253,10 +254,14 @@ def pack_segments(segments: DataFrame, min_chars: int = MIN_CHARS, max_chars: in
     pieces = _piece_rows(packed).groupBy("doc_id", "chunk_no").agg(
         F.array_sort(F.collect_list(F.struct("seg", "kind", "texts", "refs", "pages", "assets", "header_path"))).alias("p")
     )
+
+    def joined(field: str) -> Column:
+        return F.flatten(F.transform("p", lambda x: x[field])).alias(field)
+
     merged = pieces.select(
         "doc_id", "chunk_no", F.element_at("p", -1)["header_path"].alias("header_path"),
         F.get("p", F.lit(0))["kind"].alias("kind"),
-        *[F.flatten(F.transform("p", lambda x, c=c: x[c])).alias(c) for c in ("texts", "refs", "pages", "assets")],
+        *[joined(field) for field in ("texts", "refs", "pages", "assets")],
     )
     return done.unionByName(_finish(merged))
 
@@ -278,7 +283,7 @@ def chunk_violations(chunks: DataFrame) -> DataFrame:
         ),
         lambda reason: reason.isNotNull(),
     )
-    rows = chunks.select("doc_id", "chunk_id", F.explode(broken).alias("violation"))
+    rows = unpack(chunks, ["doc_id", "chunk_id"], broken, item="violation")
     return rows.unionByName(twice.select("doc_id", "chunk_id", F.lit("duplicate chunk_id").alias("violation")))
 
 

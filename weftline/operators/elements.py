@@ -15,6 +15,7 @@ from weftline.functions.coerce import first_truthy, lines_of, strip
 from weftline.functions.elements import (
     element_label, first_page, is_cleanable, is_code, page_list,
 )
+from weftline.operators.rows import unpack
 
 _ITEM = (
     "struct<self_ref:string,label:string,type:string,text:string,orig:string,content:string,"
@@ -130,12 +131,11 @@ def element_arrays(docs: DataFrame, payload: str = "payload", order: str = "grou
     rank = {"group": ("group_no", "idx"), "index": ("idx", "group_no")}[order]
     parsed = docs.withColumn("_d", F.from_json(payload, DOCUMENT_SCHEMA))
     empty = F.array().cast(f"array<{_ITEM}>")
-    gathered = F.concat(
-        *[
-            F.transform(F.coalesce(F.col(f"_d.{g}"), empty), lambda e, i, g=g: _item(e, g, i))
-            for g in GROUPS
-        ]
-    )
+
+    def items_of(grp: str) -> Column:
+        return F.transform(F.coalesce(F.col(f"_d.{grp}"), empty), lambda e, i: _item(e, grp, i))
+
+    gathered = F.concat(*[items_of(g) for g in GROUPS])
     group_no = {g: n for n, g in enumerate(GROUPS)}
 
     def sort_key(e: Column, i: Column) -> Column:
@@ -154,13 +154,13 @@ def element_arrays(docs: DataFrame, payload: str = "payload", order: str = "grou
 def element_table(arrays: DataFrame) -> DataFrame:
     """One row per element; ``pos`` is its place in reading order."""
     kept = [c for c in arrays.columns if c != "elements"]
-    return arrays.select(*kept, F.posexplode("elements").alias("pos", "e")).select(*kept, "pos", "e.*")
+    return unpack(arrays, kept, F.col("elements"), "pos")
 
 
 def cell_table(elements: DataFrame) -> DataFrame:
     """One row per table cell."""
-    return elements.filter(F.col("grp") == "tables").select(
-        "doc_id", F.col("ref").alias("table_ref"), F.inline("cells")
+    return unpack(
+        elements.filter(F.col("grp") == "tables"), ["doc_id", F.col("ref").alias("table_ref")], F.col("cells")
     ).select(
         "doc_id", "table_ref", "row", "col", "seq", "text",
         F.concat("table_ref", "path").alias("cell_ref"),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.coerce import strip
+from weftline.operators.rows import unpack
 
 # Glossary columns and prompt texts.
 COLUMNS = ("english", "japanese", "genre", "description")
@@ -92,7 +93,7 @@ def _matches_by_gram(chunks: DataFrame, entries: DataFrame, text: str, keys: tup
         return F.array_distinct(F.transform(places, lambda i: F.substring(F.col("_text"), i, F.lit(n))))
 
     every = F.array_distinct(F.flatten(F.array(*[grams(n) for n in range(1, size + 1)])))
-    exploded = lowered.select(*keys, "_text", F.explode(every).alias("_gram"))
+    exploded = unpack(lowered, [*keys, "_text"], every, item="_gram")
     return exploded.join(terms, "_gram").filter(F.contains("_text", F.col("_t"))).select(*keys, "english").distinct()
 
 
@@ -116,7 +117,7 @@ def select_entries(chunks: DataFrame, entries: DataFrame, limit: int = MATCH_LIM
         F.transform("_hits", lambda t, i: F.struct((i + 1).alias("rank"), t.alias("english"), F.lit(True).alias("matched"))),
         F.transform(filler, lambda t, i: F.struct((F.size("_hits") + i + 1).alias("rank"), t.alias("english"), F.lit(False).alias("matched"))),
     )
-    return joined.select(*keys, F.inline(chosen)).join(entries, "english")
+    return unpack(joined, list(keys), chosen).join(entries, "english")
 
 
 def entry_line() -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.coerce import TIME_KEYS, first_truthy, strip, text_moment
+from weftline.operators.rows import unpack
 
 THREAD_PAGE = 50
 MAX_MESSAGE_CHARS = 20000
@@ -55,7 +56,7 @@ def chat_messages(chats: DataFrame, payload: str = "payload") -> DataFrame:
     )
     picked = chats.withColumn("_source", chosen).withColumn("_entries", _entries(F.col("_source")))
     kept = [c for c in chats.columns if c != payload]
-    rows = picked.select(*kept, F.posexplode("_entries").alias("pos", "_m"))
+    rows = unpack(picked, kept, F.col("_entries"), "pos", "_m")
 
     def text(path: str) -> Column:
         return F.try_variant_get("_m", path, "string")
@@ -106,7 +107,7 @@ def attach_threads(messages: DataFrame, replies: DataFrame, limit: int = THREAD_
 def file_ids(messages: DataFrame, files: str = "files") -> DataFrame:
     """Attached file ids, one row each, in order; empty ids are dropped."""
     ids = F.filter(F.transform(files, lambda f: f["id"].cast("string")), lambda x: x.isNotNull() & (x != ""))
-    return messages.select("id", F.posexplode(ids).alias("file_pos", "file_id"))
+    return unpack(messages, ["id"], ids, "file_pos", "file_id")
 
 
 def completion_messages(messages: DataFrame, pending: DataFrame | None = None) -> DataFrame:

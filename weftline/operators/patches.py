@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from weftline.functions.coerce import strip
 from weftline.functions.elements import FENCE
 from weftline.operators.ordering import number_rows, segmented_last
+from weftline.operators.rows import unpack
 
 # Patch operations and the element column each one sets.
 FIELD_OPS = {"set_text": "text", "set_label": "label", "set_level": "level"}
@@ -101,7 +102,7 @@ def read_responses(responses: DataFrame, strict: bool = True) -> tuple[DataFrame
         .when(~sound, "invalid patch object")
     )
     judged = typed.withColumn("reason", reason)
-    good = judged.filter(F.col("reason").isNull()).select("unit_id", F.posexplode("_patches").alias("seq", "p"))
+    good = unpack(judged.filter(F.col("reason").isNull()), ["unit_id"], F.col("_patches"), "seq", "p")
     patches = good.filter(F.col("p").isNotNull()).select("unit_id", "seq", "p.*")
     return patches, judged.filter(F.col("reason").isNotNull()).select("unit_id", "reason")
 

@@ -15,6 +15,7 @@ from weftline.functions.elements import (
     fence_count, is_code, is_heading, picture_markdown, table_row_markdown, text_markdown,
 )
 from weftline.operators.ordering import segmented_last
+from weftline.operators.rows import unpack
 
 VOLUME_PARTS = 4096
 # A heading that older chunk files misspell, and its spelling.
@@ -150,7 +151,7 @@ def lint_markdown(texts: DataFrame, keys: list[str], text: str = "markdown") ->
     fence = F.when(fence_count(F.col(text)) % 2 == 1, F.array(warn(F.lit(0), OPEN_FENCE)))
     rows = F.transform(uneven, lambda x: warn(x["n"], "table column count differs from the row above"))
     none = F.array().cast("array<struct<line_no:int,warning:string>>")
-    return texts.select(*keys, F.inline(F.concat(F.coalesce(fence, none), rows)))
+    return unpack(texts, keys, F.concat(F.coalesce(fence, none), rows))
 
 
 def fallback_counts(rows: DataFrame) -> DataFrame:
@@ -175,9 +176,7 @@ def paragraphs(texts: DataFrame, keys: list[str], text: str = "markdown") -> Dat
     filled = F.filter(F.transform(lines_of(F.col(text)), strip), lambda s: s != "")
     rows = F.transform(filled, paragraph)
     blank = F.array(F.struct(F.lit(None).cast("string").alias("style"), F.lit("").alias("paragraph")))
-    return texts.select(
-        *keys, F.posexplode(F.when(F.size(filled) > 0, rows).otherwise(blank)).alias("para_no", "p")
-    ).select(*keys, "para_no", "p.*")
+    return unpack(texts, keys, F.when(F.size(filled) > 0, rows).otherwise(blank), "para_no")
 
 
 def count_mismatches(source: DataFrame, target: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from weftline.functions.coerce import lines_of, strip
 from weftline.functions.elements import (
     fence_count, is_code, is_heading, looks_protected,
 )
+from weftline.operators.rows import unpack
 
 # Unit states and limits.
 FINISHED = ("success", "skipped", "fallback_source")
@@ -144,11 +145,11 @@ KEPT_SHAPES = {
 
 def lost_tokens(pairs: DataFrame, keys: tuple[str, ...] = CHUNK_KEYS) -> DataFrame:
     """URLs, numbers, units, code and placeholders missing from the translation."""
-    found = []
-    for name, shape in KEPT_SHAPES.items():
-        tokens = [F.regexp_extract_all(c, F.lit(shape), F.lit(0)) for c in ("source_text", "translated_text")]
-        found.append(F.transform(F.array_except(*tokens), lambda t, n=name: F.struct(F.lit(n).alias("token_kind"), t.alias("token"))))
-    return pairs.select(*keys, F.inline(F.concat(*found)))
+    def lost(name: str, shape: str) -> Column:
+        ours, theirs = (F.regexp_extract_all(c, F.lit(shape), F.lit(0)) for c in ("source_text", "translated_text"))
+        return F.transform(F.array_except(ours, theirs), lambda t: F.struct(F.lit(name).alias("token_kind"), t.alias("token")))
+
+    return unpack(pairs, list(keys), F.concat(*[lost(n, s) for n, s in KEPT_SHAPES.items()]))
 
 
 def element_route(elements: DataFrame) -> DataFrame:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.plans import activity_queries, news_queries
+from weftline.plans import activity_queries, element_queries, news_queries
 
-FAMILIES = (activity_queries, news_queries)
+FAMILIES = (activity_queries, news_queries, element_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from weftline.functions.coerce import first_truthy, strip
 from weftline.functions.labels import bare_channel_name, looks_like_channel_id
+from weftline.operators.rows import unpack
 
 
 def read_json_documents(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
@@ -70,7 +71,7 @@ def envelope_items(dump: DataFrame, keys: tuple[str, ...], payload: str = "paylo
 
     found = F.coalesce(listed(raw), *[listed(F.get_json_object(raw, f"$.{k}")) for k in (*keys, "data")])
     kept = [c for c in dump.columns if c != payload]
-    return dump.select(*kept, F.posexplode(found).alias("seq", "item"))
+    return unpack(dump, kept, found, "seq", "item")
 
 
 def channels(dump: DataFrame, payload: str = "payload") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.arrays import let
 from weftline.functions.coerce import lines_of, strip
+from weftline.operators.rows import unpack
 
 # Element names of the three feed formats.
 ITEM_TAGS = {"rss": "item", "rdf": "item", "atom": "entry"}
@@ -35,9 +36,7 @@ def registry_rows(texts: DataFrame, text: str = "value") -> DataFrame:
 
     found = let(F.transform(lines_of(F.col(text)), strip), rows)
     kept = [c for c in texts.columns if c != text]
-    return texts.select(*kept, F.posexplode(found).alias("_n", "r")).select(
-        *kept, (F.col("_n") + 1).alias("seq"), "r.source_category", "r.url"
-    )
+    return unpack(texts, kept, found, "_n").select(*kept, (F.col("_n") + 1).alias("seq"), "source_category", "url")
 
 
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
