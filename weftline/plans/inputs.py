@@ -180,8 +180,8 @@ def short_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SHORT_TERMS_SQL = (
-    "select item_id * 10000 + at - 1 as seq, lower(w) as english, '訳' || item_id as japanese, '' as genre, '' as description from "
-    "(select item_id, generate_subscripts(l, 1) as at, unnest(l) as w from "
+    "select item_id * 10000 + k - 1 as seq, lower(w) as english, '訳' || item_id as japanese, '' as genre, '' as description from "
+    "(select item_id, generate_subscripts(l, 1) as k, unnest(l) as w from "
     "(select item_id, regexp_split_to_array(regexp_replace(text, '[.,\\n]', ' ', 'g'), ' +') as l from benchmark)) where length(w) >= 6"
 )
 
