@@ -58,9 +58,8 @@ def truncate(col: Column, limit: int) -> Column:
 
 def lines_of(col: Column) -> Column:
     """Lines of a text; a final line break adds no empty line."""
-    parts = F.split(col, LINE_BREAK)
-    trimmed = F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
-    return F.when(F.size(parts) > 0, trimmed).otherwise(parts)
+    body = F.regexp_replace(col, f"({LINE_BREAK})\\z", "")
+    return F.when(col == "", F.array().cast("array<string>")).otherwise(F.split(body, LINE_BREAK))
 
 
 def epoch_moment(number: Column) -> Column:

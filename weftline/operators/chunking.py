@@ -53,22 +53,20 @@ def _block(element: Column) -> Column:
     )
 
 
+def _blocks(elements: str | Column) -> Column:
+    return F.filter(F.transform(elements, _block), lambda b: b["md"] != "")
+
+
 def block_segments(arrays: DataFrame, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
     """Element arrays as rendered blocks, cut into segments. No shuffle."""
-    kept = [c for c in arrays.columns if c != "elements"]
-    blocks = F.filter(F.transform("elements", _block), lambda b: b["md"] != "")
-    cut = let(
-        blocks,
-        lambda all_blocks: F.transform(
-            F.sequence(F.lit(0), F.greatest(F.ceil(F.size(all_blocks) / segment_rows).cast("int") - 1, F.lit(0))),
-            lambda s: F.struct(
-                s.alias("seg"),
-                (F.size(all_blocks) <= segment_rows).alias("whole"),
-                F.slice(all_blocks, s * segment_rows + 1, F.lit(segment_rows)).alias("blocks"),
-            ),
-        ),
-    )
-    return unpack(arrays, kept, cut)
+    def cut(blocks: Column) -> Column:
+        last = F.greatest(F.ceil(F.size(blocks) / segment_rows).cast("int") - 1, F.lit(0))
+        return F.transform(
+            F.sequence(F.lit(0), last),
+            lambda s: F.struct(s.alias("seg"), F.slice(blocks, s * segment_rows + 1, F.lit(segment_rows)).alias("blocks")),
+        )
+
+    return unpack(arrays, ["doc_id"], let(_blocks("elements"), cut))
 
 
 def gather_segments(elements: DataFrame, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
@@ -81,12 +79,7 @@ def gather_segments(elements: DataFrame, segment_rows: int = SEGMENT_ROWS) -> Da
     grouped = elements.groupBy("doc_id", F.floor(F.col("pos") / segment_rows).cast("int").alias("seg")).agg(
         rows.alias("_rows")
     )
-    blocks = F.filter(F.transform("_rows", lambda r: _block(r["e"])), lambda b: b["md"] != "")
-    # a document is whole when it has nothing beyond its first segment
-    longer = elements.filter(F.col("pos") >= segment_rows).select("doc_id").distinct().withColumn("_long", F.lit(True))
-    return grouped.join(longer, "doc_id", "left").select(
-        "doc_id", "seg", F.col("_long").isNull().alias("whole"), blocks.alias("blocks")
-    )
+    return grouped.select("doc_id", "seg", F.filter(F.transform("_rows", lambda r: _block(r["e"])), lambda b: b["md"] != "").alias("blocks"))
 
 
 def _cut(codes: list, sizes: list, levels: list, heads: list, pending: int, opened: int, path: list,
@@ -235,15 +228,18 @@ def _finish(pieces: DataFrame) -> DataFrame:
     )
 
 
-def pack_segments(segments: DataFrame, min_chars: int = MIN_CHARS, max_chars: int = MAX_CHARS) -> DataFrame:
-    """Chunk table from block segments (``doc_id``, ``seg``, ``whole``, ``blocks``)."""
-    base = segments.select("doc_id", "seg", "whole", "blocks")
-    cut = _cut_udf(min_chars, max_chars)
+def pack_whole(documents: DataFrame, min_chars: int = MIN_CHARS, max_chars: int = MAX_CHARS) -> DataFrame:
+    """Chunk table of documents held in one row each (``doc_id``, ``blocks``)."""
     start = [F.lit(0), F.lit(0).cast("bigint"), F.array().cast("array<string>")]
-    single = base.filter("whole").withColumn("pieces", cut(*_packing_columns(), *start))
-    done = _finish(_piece_rows(single))
+    cut = _cut_udf(min_chars, max_chars)
+    rows = documents.select("doc_id", F.lit(0).alias("seg"), "blocks", cut(*_packing_columns(), *start).alias("pieces"))
+    return _finish(_piece_rows(rows))
+
 
-    long = base.filter(~F.col("whole"))
+def pack_segments(segments: DataFrame, min_chars: int = MIN_CHARS, max_chars: int = MAX_CHARS) -> DataFrame:
+    """Chunk table of documents cut into segments (``doc_id``, ``seg``, ``blocks``)."""
+    long = segments.select("doc_id", "seg", "blocks")
+    cut = _cut_udf(min_chars, max_chars)
     reports = long.select("doc_id", "seg", _report_udf(min_chars, max_chars)(*_packing_columns()).alias("report"))
     entry = reports.groupBy("doc_id").applyInPandas(
         _chain,
@@ -263,13 +259,19 @@ def pack_segments(segments: DataFrame, min_chars: int = MIN_CHARS, max_chars: in
         F.get("p", F.lit(0))["kind"].alias("kind"),
         *[joined(field) for field in ("texts", "refs", "pages", "assets")],
     )
-    return done.unionByName(_finish(merged))
+    return _finish(merged)
 
 
 def build_chunks(arrays: DataFrame, min_chars: int = MIN_CHARS, max_chars: int = MAX_CHARS,
                  segment_rows: int = SEGMENT_ROWS) -> DataFrame:
-    """Chunks of documents held as element arrays."""
-    return pack_segments(block_segments(arrays, segment_rows), min_chars, max_chars)
+    """Chunks of documents held as element arrays.
+
+    ``n_elements`` is cheap to compute, so telling the few long documents
+    apart does not build the elements twice.
+    """
+    short = arrays.filter(F.col("n_elements") <= segment_rows).select("doc_id", _blocks("elements").alias("blocks"))
+    long = block_segments(arrays.filter(F.col("n_elements") > segment_rows), segment_rows)
+    return pack_whole(short, min_chars, max_chars).unionByName(pack_segments(long, min_chars, max_chars))
 
 
 def chunk_violations(chunks: DataFrame) -> DataFrame:
@@ -288,10 +290,20 @@ def chunk_violations(chunks: DataFrame) -> DataFrame:
 
 
 def heading_tails(chunks: DataFrame) -> DataFrame:
-    """Chunks that end with a heading although another chunk follows."""
-    ends = chunks.filter(F.col("source_text").rlike(r"(^|\n)#{1,6} [^\n]*\z")).select("doc_id", "chunk_no", "chunk_id")
-    after = chunks.select("doc_id", (F.col("chunk_no") - 1).alias("chunk_no"), F.col("kind").alias("next_kind"))
-    return ends.join(after, ["doc_id", "chunk_no"])
+    """Chunks that end with a heading although another chunk follows.
+
+    Every chunk also reports its kind to the chunk before it; grouping by
+    position brings both together with one shuffle and one read.
+    """
+    tail = F.col("source_text").rlike(r"(^|\n)#{1,6} [^\n]*\z")
+    notes = F.array(
+        F.struct(F.col("chunk_no").alias("no"), F.when(tail, F.col("chunk_id")).alias("chunk_id"), F.lit(None).cast("string").alias("next_kind")),
+        F.struct((F.col("chunk_no") - 1).alias("no"), F.lit(None).cast("string").alias("chunk_id"), F.col("kind").alias("next_kind")),
+    )
+    told = unpack(chunks, ["doc_id"], notes).groupBy("doc_id", F.col("no").alias("chunk_no")).agg(
+        F.max("chunk_id").alias("chunk_id"), F.max("next_kind").alias("next_kind")
+    )
+    return told.filter(F.col("chunk_id").isNotNull() & F.col("next_kind").isNotNull())
 
 
 def section_items(elements: DataFrame, segment_rows: int = SEGMENT_ROWS) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.arrays import let
 from weftline.functions.cleaning import clean_text, normalize_text
-from weftline.functions.coerce import first_truthy, lines_of, strip
+from weftline.functions.coerce import LINE_BREAK, first_truthy, lines_of, strip
 from weftline.functions.elements import (
     element_label, first_page, is_cleanable, is_code, page_list,
 )
@@ -125,6 +125,8 @@ def _item(entry: Column, grp: str, idx: Column) -> Column:
 def element_arrays(docs: DataFrame, payload: str = "payload", order: str = "group") -> DataFrame:
     """One row per document with its elements in reading order.
 
+    ``n_elements`` counts them without building them.
+
     ``order="group"`` sorts by (first page, group, index), ``order="index"``
     by (first page, index, group).
     """
@@ -148,12 +150,13 @@ def element_arrays(docs: DataFrame, payload: str = "payload", order: str = "grou
         lambda e: F.transform(F.array_sort(F.transform(e, sort_key)), lambda k: F.get(e, k["i"])),
     )
     kept = [c for c in docs.columns if c != payload]
-    return parsed.select(*kept, ordered.alias("elements"))
+    sizes = [F.greatest(F.size(f"_d.{g}"), F.lit(0)) for g in GROUPS]
+    return parsed.select(*kept, sum(sizes[1:], sizes[0]).alias("n_elements"), ordered.alias("elements"))
 
 
 def element_table(arrays: DataFrame) -> DataFrame:
     """One row per element; ``pos`` is its place in reading order."""
-    kept = [c for c in arrays.columns if c != "elements"]
+    kept = [c for c in arrays.columns if c not in ("elements", "n_elements")]
     return unpack(arrays, kept, F.col("elements"), "pos")
 
 
@@ -174,22 +177,26 @@ def line_elements(docs: DataFrame, text: str = "text", heading_chars: int = 0) -
     a section header whose level follows its length; lines that look like an
     assignment or definition are code. Pages hold 50 lines.
     """
-    def item(line: Column, i: Column) -> Column:
-        label = (
+    def label_of(line: Column, i: Column) -> Column:
+        return (
             F.when(i == 0, "title").when(is_code(F.lit(""), line), "code")
             .when(F.length(line) < heading_chars, "section_header").otherwise("paragraph")
         )
+
+    def item(line: Column, i: Column, label: Column) -> Column:
         level = F.when(label == "section_header", F.length(line) % 4 + 1)
         return F.struct(
-            F.lit("texts").alias("grp"), i.alias("idx"), F.format_string("#/texts/%d", i).alias("ref"),
+            F.lit("texts").alias("grp"), i.alias("idx"), F.concat(F.lit("#/texts/"), i.cast("string")).alias("ref"),
             label.alias("label"), strip(line).alias("text"), line.alias("raw_text"), level.cast("int").alias("level"),
             F.array(F.floor(i / 50).cast("int") + 1).alias("pages"), F.lit("body").alias("layer"),
             F.lit("").alias("caption"), F.array().cast("array<string>").alias("assets"),
             F.lit(None).cast("array<struct<row:int,col:int,seq:int,text:string,path:string>>").alias("cells"),
         )
 
+    lines = lines_of(F.col(text))
+    made = F.transform(lines, lambda line, i: let(label_of(line, i), lambda label: item(line, i, label)))
     kept = [c for c in docs.columns if c != text]
-    return docs.select(*kept, F.transform(lines_of(F.col(text)), item).alias("elements"))
+    return docs.select(*kept, (F.regexp_count(text, F.lit(LINE_BREAK)) + 1).alias("n_elements"), made.alias("elements"))
 
 
 def clean_elements(elements: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,7 +15,8 @@ from weftline.operators.rows import unpack
 COLUMNS = ("english", "japanese", "genre", "description")
 NO_TERMS = "なし"
 MATCH_LIMIT = 80
-MAX_BROADCAST_TERMS = 2_000
+JOIN_TERMS = 300
+BATCH_TERMS = 200_000
 SYSTEM_PROMPT = (
     "あなたは軍事・政策文書に強い日英翻訳者です。"
     "原文の意味を保持し、Markdown 構造を壊さず、日本語へ翻訳してください。"
@@ -62,50 +66,70 @@ def entry_counts(raw: DataFrame) -> DataFrame:
 
 
 def matches(chunks: DataFrame, entries: DataFrame, text: str = "source_text",
-            keys: tuple[str, ...] = ("doc_id", "chunk_no"), broadcast_terms: int = MAX_BROADCAST_TERMS) -> DataFrame:
+            keys: tuple[str, ...] = ("doc_id", "chunk_no"), join_terms: int = JOIN_TERMS) -> DataFrame:
     """Entries whose term occurs in a chunk, ignoring case.
 
-    Containment has no join key. Up to ``broadcast_terms`` counted terms are
-    sent to every task and compared there, with no shuffle of the texts. A
-    larger glossary takes an equi-join on the leading characters instead.
+    Containment has no join key, so the terms travel to the texts. A counted
+    handful is compared by a broadcast join on the JVM. More terms are searched
+    for in one pass over each text with an automaton, in batches of at most
+    ``BATCH_TERMS`` terms, so what is sent to the tasks stays bounded however
+    large the glossary is. Neither way shuffles the texts.
     """
-    if entries.limit(broadcast_terms + 1).count() <= broadcast_terms:
-        terms = entries.select("english", F.lower("english").alias("_t"))
-        return (
-            chunks.select(*keys, F.lower(text).alias("_text"))
-            .join(F.broadcast(terms), F.contains("_text", F.col("_t")))
-            .select(*keys, "english")
-        )
-    return _matches_by_gram(chunks, entries, text, keys)
-
-
-def _matches_by_gram(chunks: DataFrame, entries: DataFrame, text: str, keys: tuple[str, ...], size: int = 4) -> DataFrame:
-    """Containment through an equi-join on the first characters of a term.
-
-    A text that contains a term contains the term's leading characters, so
-    every match shares a gram. Terms shorter than a gram use their own length.
-    """
-    terms = entries.select("english", F.lower("english").alias("_t")).withColumn("_gram", F.substring("_t", 1, size))
+    terms = entries.select("english", F.lower("english").alias("_t")).distinct()
     lowered = chunks.select(*keys, F.lower(text).alias("_text"))
-
-    def grams(n: int) -> Column:
-        places = F.sequence(F.lit(1), F.greatest(F.length("_text") - n + 1, F.lit(1)))
-        return F.array_distinct(F.transform(places, lambda i: F.substring(F.col("_text"), i, F.lit(n))))
-
-    every = F.array_distinct(F.flatten(F.array(*[grams(n) for n in range(1, size + 1)])))
-    exploded = unpack(lowered, [*keys, "_text"], every, item="_gram")
-    return exploded.join(terms, "_gram").filter(F.contains("_text", F.col("_t"))).select(*keys, "english").distinct()
+    total = terms.count()
+    if total <= join_terms:
+        return lowered.join(F.broadcast(terms), F.contains("_text", F.col("_t"))).select(*keys, "english")
+    batches = -(-total // BATCH_TERMS)
+    found = None
+    for number in range(batches):
+        # hash batches hold about BATCH_TERMS short strings each
+        mine = terms if batches == 1 else terms.filter(F.pmod(F.xxhash64("english"), F.lit(batches)) == number)
+        pairs = chunks.sparkSession.sparkContext.broadcast([(r.english, r["_t"]) for r in mine.collect()])
+        part = unpack(lowered, list(keys), _search_udf(pairs)("_text"), item="english")
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+_AUTOMATA: dict = {}
+
+
+def _automaton(key: str, pairs: list[tuple[str, str]]):
+    """Search automaton of the terms, built once per worker process."""
+    if key not in _AUTOMATA:
+        import ahocorasick
+
+        spelled: dict[str, list[str]] = {}
+        for english, lowered in pairs:
+            spelled.setdefault(lowered, []).append(english)
+        automaton = ahocorasick.Automaton()
+        for lowered, names in spelled.items():
+            automaton.add_word(lowered, names)
+        automaton.make_automaton()
+        _AUTOMATA[key] = automaton
+    return _AUTOMATA[key]
+
+
+def _search_udf(pairs):
+    key = uuid.uuid4().hex
+
+    @F.arrow_udf("array<string>")
+    def search(texts: pa.Array) -> pa.Array:
+        automaton = _automaton(key, pairs.value)
+        hits = ({n for _, names in automaton.iter(t) for n in names} if t else () for t in texts.to_pylist())
+        return pa.array([sorted(h) for h in hits], type=pa.list_(pa.string()))
+    return search
 
 
 def select_entries(chunks: DataFrame, entries: DataFrame, limit: int = MATCH_LIMIT, text: str = "source_text",
-                   keys: tuple[str, ...] = ("doc_id", "chunk_no"), broadcast_terms: int = MAX_BROADCAST_TERMS) -> DataFrame:
+                   keys: tuple[str, ...] = ("doc_id", "chunk_no"), join_terms: int = JOIN_TERMS) -> DataFrame:
     """Per chunk, matching entries first, filled with others up to ``limit``.
 
     The filler of any chunk lies among the first ``2 * limit`` terms overall,
     which travel as a literal array; it is picked inside the chunk's own row.
     """
     head = [r.english for r in entries.select("english").orderBy("english").limit(2 * limit).collect()]
-    found = matches(chunks, entries, text, keys, broadcast_terms)
+    found = matches(chunks, entries, text, keys, join_terms)
     order = Window.partitionBy(*keys).orderBy("english")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
     per_chunk = ranked.groupBy(*keys).agg(F.array_sort(F.collect_list("english")).alias("_hits"))

@@ -75,14 +75,14 @@ def chunk_pack(spark, d):
 
 @query("chunk_pack_segmented", _CHUNKS + " select * from chunks")
 def chunk_pack_segmented(spark, d):
-    """The same chunks with documents cut into tiny segments."""
-    return _chunk_view(chunks(spark, d, segment_rows=7))
+    """The same chunks with documents cut into short segments."""
+    return _chunk_view(chunks(spark, d, segment_rows=64))
 
 
 @query("chunk_pack_gathered", "with recursive " + chunk_sql(200, 500) + " select * from chunks")
 def chunk_pack_gathered(spark, d):
     """Chunks from the element table, gathered by segment, with other bounds."""
-    segments = chunking.gather_segments(line_table(spark, d), segment_rows=16)
+    segments = chunking.gather_segments(line_table(spark, d), segment_rows=64)
     return _chunk_view(chunking.pack_segments(segments, 200, 500))
 
 
@@ -148,12 +148,12 @@ def glossary_match(spark, d):
     return glossary.matches(inputs.documents(spark, d), terms, "text", KEYS)
 
 
-@query("glossary_match_keyed", f"with {_TERMS} select cast(conv_id * 1000 + turn as bigint) as doc_id, english from conversations, terms where contains(lower(text), english)")
-def glossary_match_keyed(spark, d):
-    """The way taken by a glossary too large to send to every task."""
+@query("glossary_search", f"with {_TERMS} select cast(conv_id * 1000 + turn as bigint) as doc_id, english from conversations, terms where contains(lower(text), english)")
+def glossary_search(spark, d):
+    """The one-pass search taken by a glossary of more than a few terms."""
     texts = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
     terms = glossary.effective_entries(inputs.short_terms(spark, d))
-    return glossary.matches(texts, terms, "text", KEYS, broadcast_terms=1)
+    return glossary.matches(texts, terms, "text", KEYS, join_terms=0)
 
 
 _FILL = f"""{_TERMS}, hit as (select doc_id, english, true as matched from documents, terms where contains(lower(text), english)),
