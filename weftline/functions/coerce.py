@@ -83,6 +83,7 @@ def text_moment(text: Column) -> Column:
     compact = value.rlike(r"^\d{8}$")
     iso_text = F.when(compact, F.regexp_replace(value, r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3")).otherwise(value)
     iso_text = F.regexp_replace(iso_text, r"^(.{10}[ T]\d{2})(Z|[+-].*)?$", "$1:00$2")
+    iso_text = F.regexp_replace(iso_text, r"^(.{10}[ T]\d{2}:\d{2})(Z|[+-].*)?$", "$1:00$2")
     iso_text = F.regexp_replace(iso_text, ",", ".")
     zoned = F.when(iso_text.rlike(r"^.{10,}(Z|[+-]\d{2}(:?\d{2})?)$") & (F.length(iso_text) > 10), iso_text)
     naive = F.when(F.length(iso_text) == 10, F.concat(iso_text, F.lit("T00:00:00Z"))).otherwise(

@@ -137,6 +137,7 @@ def merge_fragments(elements: DataFrame, threshold: int = 3, segment_rows: int =
     sentence end before, lower-case start. ``threshold`` points join the two.
     The previous element is found by an equi-join on ``pos - 1`` and the start
     of each run is carried in bounded segments, so long documents stay spread.
+    The text of a run is its volumes in order, joined by a blank.
     """
     texts = elements.filter((F.col("grp") == "texts")).select("doc_id", "pos", "ref", "label", "text", "pages")
     before = texts.select(
@@ -159,11 +160,13 @@ def merge_fragments(elements: DataFrame, threshold: int = 3, segment_rows: int =
         seen.withColumn("_glued", glued), ["doc_id"], "pos",
         {"head_pos": F.when(~F.col("_glued"), F.col("pos"))}, segment_rows=segment_rows,
     )
-    runs = starts.groupBy("doc_id", "head_pos").agg(
+    # a run of any length is gathered in pieces of bounded size
+    volume = F.floor((F.col("pos") - F.col("head_pos")) / segment_rows).cast("int").alias("volume")
+    runs = starts.groupBy("doc_id", "head_pos", volume).agg(
         F.array_sort(F.collect_list(F.struct("pos", "ref", "text", "label"))).alias("run")
     )
     return runs.select(
-        "doc_id", F.col("head_pos").alias("pos"), F.get("run", F.lit(0))["label"].alias("label"),
+        "doc_id", F.col("head_pos").alias("pos"), "volume", F.get("run", F.lit(0))["label"].alias("label"),
         F.array_join(F.transform("run", lambda r: r["text"]), " ").alias("text"),
         F.transform("run", lambda r: r["ref"]).alias("refs"),
     )

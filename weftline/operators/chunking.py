@@ -114,9 +114,11 @@ def _cut(codes: list, sizes: list, levels: list, heads: list, pending: int, open
     return pieces
 
 
-def _leave_states(codes: list, sizes: list, low: int, high: int) -> tuple[list, list]:
+def _leave_states(codes: list, sizes: list, low: int, high: int) -> tuple[list, list, list]:
     """Pending size left and chunks opened, for every pending size on entry.
 
+    Given as runs of entry sizes: first size, size left, chunks opened.
+
     Sizes beyond the larger bound behave alike, so there are finitely many
     entry states; states that fall together are followed as one.
     """
@@ -135,7 +137,9 @@ def _leave_states(codes: list, sizes: list, low: int, high: int) -> tuple[list,
         merged, inverse = np.unique(states, axis=1, return_inverse=True)
         if merged.shape[1] < states.shape[1]:
             states, where = merged, inverse.reshape(-1)[where]
-    return states[0][where].tolist(), states[1][where].tolist()
+    # runs of entry sizes with one outcome; a segment of usual length has one run
+    first = np.flatnonzero(np.diff(where, prepend=-1))
+    return first.tolist(), states[0][where[first]].tolist(), states[1][where[first]].tolist()
 
 
 def _leave_paths(codes: list, levels: list, heads: list) -> tuple[list, list]:
@@ -161,9 +165,9 @@ def _report_udf(low: int, high: int):
     def report(codes: pa.Array, sizes: pa.Array, levels: pa.Array, heads: pa.Array) -> pa.Array:
         out = []
         for c, s, l, h in zip(*(col.to_pylist() for col in (codes, sizes, levels, heads))):
-            left, opened = _leave_states(c, s, low, high)
+            first, left, opened = _leave_states(c, s, low, high)
             kept, added = _leave_paths(c, l, h)
-            out.append({"left": left, "opened": opened, "kept": kept, "added": added})
+            out.append({"first": first, "left": left, "opened": opened, "kept": kept, "added": added})
         return pa.array(out, type=_REPORT)
     return report
 
@@ -172,9 +176,9 @@ _PIECE_LIST = "array<struct<first:int,blocks:int,chunk_no:bigint,path:array<stri
 _PIECES = pa.list_(pa.struct([
     ("first", pa.int32()), ("blocks", pa.int32()), ("chunk_no", pa.int64()), ("path", pa.list_(pa.string())),
 ]))
-_REPORT_SCHEMA = "struct<left:array<int>,opened:array<bigint>,kept:array<int>,added:array<array<string>>>"
+_REPORT_SCHEMA = "struct<first:array<int>,left:array<int>,opened:array<bigint>,kept:array<int>,added:array<array<string>>>"
 _REPORT = pa.struct([
-    ("left", pa.list_(pa.int32())), ("opened", pa.list_(pa.int64())),
+    ("first", pa.list_(pa.int32())), ("left", pa.list_(pa.int32())), ("opened", pa.list_(pa.int64())),
     ("kept", pa.list_(pa.int32())), ("added", pa.list_(pa.list_(pa.string()))),
 ])
 
@@ -184,7 +188,8 @@ def _chain(reports: pd.DataFrame) -> pd.DataFrame:
     pending, opened, path, rows = 0, 0, [], []
     for doc_id, seg, r in reports.sort_values("seg")[["doc_id", "seg", "report"]].itertuples(index=False):
         rows.append((doc_id, seg, pending, opened, path))
-        pending, opened = int(r["left"][pending]), opened + int(r["opened"][pending])
+        run = np.searchsorted(r["first"], pending, side="right") - 1
+        pending, opened = int(r["left"][run]), opened + int(r["opened"][run])
         path = list(path[: r["kept"][len(path)]]) + list(r["added"][len(path)])
     return pd.DataFrame(rows, columns=["doc_id", "seg", "pending", "opened", "path"])
 
