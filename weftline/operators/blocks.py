@@ -135,16 +135,22 @@ def merge_fragments(elements: DataFrame, threshold: int = 3, segment_rows: int =
 
     Points: same page as the element before (required), same label, no
     sentence end before, lower-case start. ``threshold`` points join the two.
-    The previous element is found by an equi-join on ``pos - 1`` and the start
-    of each run is carried in bounded segments, so long documents stay spread.
+    The previous element is found by its position and the start of each run
+    is carried in bounded segments, so long documents stay spread.
     The text of a run is its volumes in order, joined by a blank.
     """
-    texts = elements.filter((F.col("grp") == "texts")).select("doc_id", "pos", "ref", "label", "text", "pages")
-    before = texts.select(
-        "doc_id", (F.col("pos") + 1).alias("pos"), F.col("label").alias("p_label"),
-        F.col("text").alias("p_text"), F.col("pages").alias("p_pages"),
+    own = ["ref", "label", "text", "pages"]
+    texts = elements.filter(F.col("grp") == "texts").select("doc_id", "pos", F.struct(*own).alias("own"))
+    # every element also shows itself to the position after it; one shuffle brings both together
+    shown = F.array(
+        F.struct(F.col("pos").alias("pos"), F.col("own").alias("mine"), F.lit(None).alias("prior")),
+        F.struct((F.col("pos") + 1).alias("pos"), F.lit(None).alias("mine"), F.col("own").alias("prior")),
+    )
+    seen = unpack(texts, ["doc_id"], shown).groupBy("doc_id", "pos").agg(
+        F.max("mine").alias("mine"), F.max("prior").alias("prior")
+    ).filter(F.col("mine").isNotNull()).select(
+        "doc_id", "pos", "mine.*", F.col("prior.label").alias("p_label"), F.col("prior.text").alias("p_text"), F.col("prior.pages").alias("p_pages"),
     )
-    seen = texts.join(before, ["doc_id", "pos"], "left")
     last_page = F.try_element_at("p_pages", F.lit(-1))
     points = (
         (F.col("label") == F.col("p_label")).cast("int")

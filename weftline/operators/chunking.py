@@ -134,9 +134,10 @@ def _leave_states(codes: list, sizes: list, low: int, high: int) -> tuple[list,
             opened = opened + (pending == 0)
             pending = np.minimum(pending + size, top)
             states = np.stack([np.where(pending >= high, 0, pending) if code == BODY else pending, opened])
-        merged, inverse = np.unique(states, axis=1, return_inverse=True)
-        if merged.shape[1] < states.shape[1]:
-            states, where = merged, inverse.reshape(-1)[where]
+        if states.shape[1] > 1:
+            _, kept, inverse = np.unique(states[0] + states[1] * (top + 1), return_index=True, return_inverse=True)
+            if kept.size < states.shape[1]:
+                states, where = states[:, kept], inverse[where]
     # runs of entry sizes with one outcome; a segment of usual length has one run
     first = np.flatnonzero(np.diff(where, prepend=-1))
     return first.tolist(), states[0][where[first]].tolist(), states[1][where[first]].tolist()
@@ -245,12 +246,15 @@ def pack_segments(segments: DataFrame, min_chars: int = MIN_CHARS, max_chars: in
     """Chunk table of documents cut into segments (``doc_id``, ``seg``, ``blocks``)."""
     long = segments.select("doc_id", "seg", "blocks")
     cut = _cut_udf(min_chars, max_chars)
-    reports = long.select("doc_id", "seg", _report_udf(min_chars, max_chars)(*_packing_columns()).alias("report"))
+    # documents of one segment start from nothing and need no reports
+    several = long.filter(F.col("seg") > 0).select("doc_id").distinct()
+    reports = long.join(several, "doc_id", "left_semi").select("doc_id", "seg", _report_udf(min_chars, max_chars)(*_packing_columns()).alias("report"))
     entry = reports.groupBy("doc_id").applyInPandas(
         _chain,
         f"doc_id {dict(segments.dtypes)['doc_id']}, seg int, pending int, opened bigint, path array<string>",
     )
-    packed = long.join(entry, ["doc_id", "seg"]).withColumn("pieces", cut(*_packing_columns(), "pending", "opened", "path"))
+    state = [F.coalesce("pending", F.lit(0)), F.coalesce("opened", F.lit(0).cast("bigint")), F.coalesce("path", F.array().cast("array<string>"))]
+    packed = long.join(entry, ["doc_id", "seg"], "left").withColumn("pieces", cut(*_packing_columns(), *state))
     # only a chunk that crosses a segment edge has several pieces
     pieces = _piece_rows(packed).groupBy("doc_id", "chunk_no").agg(
         F.array_sort(F.collect_list(F.struct("seg", "kind", "texts", "refs", "pages", "assets", "header_path"))).alias("p")

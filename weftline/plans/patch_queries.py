@@ -31,10 +31,10 @@ def page_units(spark, d):
     return patches.page_units(line_table(spark, d))
 
 
-@query("structure_units", f"with e as ({ELEMENTS_SQL}) select doc_id, idx, ref, page, label, level, left(raw_text, 500) as text from e")
+@query("structure_units", f"with e as ({ELEMENTS_SQL}) select doc_id, idx, ref, page, label, coalesce(level, 0) as level, left(raw_text, 500) as text from e")
 def structure_units(spark, d):
     units = patches.structure_units(line_table(spark, d))
-    return units.withColumn("page", F.get("page", F.lit(0)))
+    return units.withColumn("page", F.get("page", F.lit(0))).withColumn("level", F.coalesce("level", F.lit(0)))
 
 
 PATCHES = '{"patches":[{"op":"set_label","ref":"#/texts/0","label":"title"},{"op":"set_level","ref":"#/texts/1","level":2}]}'
@@ -53,11 +53,11 @@ def responses(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("patch_responses", """
-select cast(doc_id as varchar) as unit_id, seq, op, ref, label, level from documents,
+select cast(doc_id as varchar) as unit_id, seq, op, ref, coalesce(label, '') as label, coalesce(level, 0) as level from documents,
 (values (0, 'set_label', '#/texts/0', 'title', null), (1, 'set_level', '#/texts/1', null, 2)) v(seq, op, ref, label, level) where doc_id % 8 <= 2""")
 def patch_responses(spark, d):
     good, _ = patches.read_responses(responses(spark, d))
-    return good.select("unit_id", "seq", "op", "ref", "label", "level")
+    return good.select("unit_id", "seq", "op", "ref", F.coalesce("label", F.lit("")).alias("label"), F.coalesce("level", F.lit(0)).alias("level"))
 
 
 @query("patch_responses_lenient", """
@@ -113,9 +113,9 @@ def patch_audit(spark, d):
 
 @query("patch_apply", f"""
 with e as ({ELEMENTS_SQL}) select doc_id, idx, case when idx = 0 then 'section_header' else label end as label,
-case when idx = 0 then 3 else level end as level, case when idx = 0 then 'Second' else text end as text from e""")
+case when idx = 0 then 3 else coalesce(level, 0) end as level, case when idx = 0 then 'Second' else text end as text from e""")
 def patch_apply(spark, d):
-    return patches.apply_field_patches(line_table(spark, d), patch_rows(spark, d)).select("doc_id", "idx", "label", "level", "text")
+    return patches.apply_field_patches(line_table(spark, d), patch_rows(spark, d)).select("doc_id", "idx", "label", F.coalesce("level", F.lit(0)).alias("level"), "text")
 
 
 def orders(spark: SparkSession, d: str) -> DataFrame:

@@ -233,12 +233,12 @@ def message_page(spark, d):
 
 
 @query("hydrated_items", """
-select doc_id as id, case when quality is null then source else 'q' || quality end as name, toxic, case when quality is null then 'detail not available' end as error
+select doc_id as id, case when quality is null then source else 'q' || quality end as name, coalesce(toxic, -1) as toxic, case when quality is null then 'detail not available' end as error
 from documents left join labels using (doc_id)""")
 def hydrated_items(spark, d):
     summaries = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("name"))
     details = table(spark, d, "labels").select(F.col("doc_id").alias("id"), F.concat(F.lit("q"), F.col("quality").cast("string")).alias("name"), "toxic")
-    return dumps.hydrate(summaries, details)
+    return dumps.hydrate(summaries, details).withColumn("toxic", F.coalesce("toxic", F.lit(-1)))
 
 
 @query("export_fallback", """
