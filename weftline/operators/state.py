@@ -107,7 +107,8 @@ def resume_plan(states: DataFrame, artifacts: DataFrame, config: DataFrame) -> D
     """
     found = artifacts.select("stage", "unit_id", F.col("sha256").alias("artifact_sha256"))
     current = config.select("stage", F.col("config_hash").alias("now_config"), F.col("input_hash").alias("now_input"))
-    joined = states.join(found, ["stage", "unit_id"], "left").join(current, "stage", "left")
+    # one row per stage of a fixed short list, joined to states that share few stages
+    joined = states.join(found, ["stage", "unit_id"], "left").join(F.broadcast(current), "stage", "left")
     reason = (
         F.when(F.col("status") == "running", "stale running")
         .when(F.col("status") != "completed", "not completed")

@@ -335,13 +335,12 @@ def translated_elements(spark, d):
 
 
 @query("translated_cells", """
-select n_nationkey as doc_id, col, case when col = 0 then n_name when col = 1 then '訳:in ' || r_name else '' end as render_text, case when col = 0 then 'protected' when col = 1 then 'body' else 'empty' end as route
-from nation join region on n_regionkey = r_regionkey, (values (0), (1), (2)) v(col)""")
+select p_partkey as doc_id, col, case when col = 0 then p_type when col = 1 then '訳:' || p_name else '' end as render_text,
+case when col = 0 then 'protected' when col = 1 then 'body' else 'empty' end as route from part, (values (0), (1), (2)) v(col)""")
 def translated_cells(spark, d):
-    joined = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    cells = joined.select(
-        F.col("n_nationkey").alias("doc_id"), F.posexplode(F.array(F.col("n_name"), F.concat(F.lit("in "), "r_name"), F.lit(" "))).alias("col", "text")
+    cells = table(spark, d, "part").select(
+        F.col("p_partkey").alias("doc_id"), F.posexplode(F.array(F.col("p_type"), F.col("p_name"), F.lit(" "))).alias("col", "text")
     )
-    texts = cells.select(F.col("text")).distinct()
+    texts = cells.select("text").distinct()
     memory = texts.select(F.sha2("text", 256).alias("source_sha256"), F.concat(F.lit("訳:"), "text").alias("translated_text"), F.lit(0).alias("updated_at"))
     return translation.translate_cells(cells, memory).select("doc_id", "col", "render_text", "route")

@@ -24,26 +24,28 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-def nation_cells(spark: SparkSession, d: str) -> DataFrame:
-    """A table per region: one row per nation, some cells given twice or not at all."""
-    n = table(spark, d, "nation")
-    row = F.floor(F.col("n_nationkey") / 5).cast("int")
-    base = n.select(F.col("n_regionkey").cast("bigint").alias("doc_id"), F.lit("#/tables/0").alias("table_ref"), row.alias("row"), "n_nationkey", "n_name")
-    first = base.select("doc_id", "table_ref", "row", F.lit(0).alias("col"), F.lit(0).alias("seq"), F.col("n_name").alias("text"))
-    again = base.filter(F.col("n_nationkey") % 3 == 0).select("doc_id", "table_ref", "row", F.lit(0).alias("col"), F.lit(1).alias("seq"), F.concat(F.lit(" a|b\n"), "n_name").alias("text"))
-    third = base.filter(F.col("n_nationkey") % 2 == 0).select("doc_id", "table_ref", "row", F.lit(2).alias("col"), F.lit(2).alias("seq"), F.col("n_nationkey").cast("string").alias("text"))
-    return first.unionByName(again).unionByName(third)
+def order_cells(spark: SparkSession, d: str) -> DataFrame:
+    """A table per customer: orders fall on seven rows, later ones win a place;
+    column 1 stays empty and column 2 is given for every second order."""
+    o = table(spark, d, "orders")
+    place = [F.col("o_custkey").alias("doc_id"), F.lit("#/tables/0").alias("table_ref"), (F.col("o_orderkey") % 7).cast("int").alias("row")]
+    first = o.select(*place, F.lit(0).alias("col"), F.col("o_orderkey").alias("seq"), F.col("o_orderpriority").alias("text"))
+    third = o.filter(F.col("o_orderkey") % 2 == 0).select(
+        *place, F.lit(2).alias("col"), F.col("o_orderkey").alias("seq"), F.concat(F.lit(" a|b\n"), "o_orderstatus", F.lit(" ")).alias("text")
+    )
+    return first.unionByName(third)
 
 
-_GRID = """ext as (select n_regionkey as doc_id, max(n_nationkey // 5) as rows, case when max(case when n_nationkey % 2 = 0 then 1 else 0 end) = 1 then 2 else 0 end as cols from nation group by 1),
-grid as (select cast(e.doc_id as bigint) as doc_id, cast(r as integer) as row, cast(c as integer) as col,
- coalesce(max(case when c = 0 then case when n_nationkey % 3 = 0 then ' a|b' || chr(10) || n_name else n_name end when c = 2 and n_nationkey % 2 = 0 then cast(n_nationkey as varchar) end), '') as text
- from ext e, lateral (select unnest(range(0, e.rows + 1)) as r) x, lateral (select unnest(range(0, e.cols + 1)) as c) y left join nation n on n.n_regionkey = e.doc_id and n.n_nationkey // 5 = r group by 1, 2, 3)"""
+_GRID = """cells as (select o_custkey as doc_id, cast(o_orderkey % 7 as integer) as row, 0 as col, o_orderkey as seq, o_orderpriority as text from orders
+union all select o_custkey, cast(o_orderkey % 7 as integer), 2, o_orderkey, ' a|b' || chr(10) || o_orderstatus || ' ' from orders where o_orderkey % 2 = 0),
+ext as (select doc_id, max(row) as rows, max(col) as cols from cells group by 1), last as (select doc_id, row, col, max_by(text, seq) as text from cells group by 1, 2, 3),
+places as (select doc_id, cast(r as integer) as row, cast(c as integer) as col from (select doc_id, cols, unnest(range(0, rows + 1)) as r from ext), lateral (select unnest(range(0, cols + 1)) as c)),
+grid as (select p.doc_id, p.row, p.col, coalesce(l.text, '') as text from places p left join last l on l.doc_id = p.doc_id and l.row = p.row and l.col = p.col)"""
 
 
 @query("table_grid", f"with {_GRID} select doc_id, row, col, text from grid")
 def table_grid(spark, d):
-    return rendering.table_grid(nation_cells(spark, d)).select("doc_id", "row", "col", "text")
+    return rendering.table_grid(order_cells(spark, d)).select("doc_id", "row", "col", "text")
 
 
 def _table_sql(escape: bool) -> str:
@@ -55,12 +57,12 @@ select doc_id, 0 as volume, string_agg(case when row = 0 then line || chr(10) ||
 
 @query("table_markdown", _table_sql(False))
 def table_markdown(spark, d):
-    return rendering.tables_markdown(nation_cells(spark, d)).drop("table_ref")
+    return rendering.tables_markdown(order_cells(spark, d)).drop("table_ref")
 
 
 @query("table_markdown_escaped", _table_sql(True))
 def table_markdown_escaped(spark, d):
-    return rendering.tables_markdown(nation_cells(spark, d), escape=True).drop("table_ref")
+    return rendering.tables_markdown(order_cells(spark, d), escape=True).drop("table_ref")
 
 
 @query("picture_markdown", r"""

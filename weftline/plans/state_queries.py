@@ -132,23 +132,32 @@ def resume_plan(spark, d):
 
 
 @query("config_hashes", """
-with s as (select r_name as stage, string_agg('"' || n_name || '":"' || n_nationkey || '"', ',' order by n_name) as j from nation join region on n_regionkey = r_regionkey group by 1)
-select stage, sha256('{' || j || '}') as config_hash from s""")
+select cast(c_custkey as varchar) as stage, sha256('{"name":"' || c_name || '","nation":"' || c_nationkey || '","segment":"' || c_mktsegment || '"}') as config_hash from customer""")
 def config_hashes(spark, d):
-    joined = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    settings = joined.select(F.col("r_name").alias("stage"), F.col("n_name").alias("name"), F.col("n_nationkey").cast("string").alias("value"))
+    """Customers as stages with three settings each."""
+    settings = table(spark, d, "customer").select(
+        F.col("c_custkey").cast("string").alias("stage"),
+        F.explode(F.array(
+            F.struct(F.lit("segment").alias("name"), F.col("c_mktsegment").alias("value")), F.struct(F.lit("name").alias("name"), F.col("c_name").alias("value")),
+            F.struct(F.lit("nation").alias("name"), F.col("c_nationkey").cast("string").alias("value")),
+        )).alias("s"),
+    ).select("stage", "s.*")
     return state.config_hash(settings)
 
 
+EVENT_STAGES = ("click", "error", "purchase", "signup", "view")
+
+
 @query("invalidated_stages", """
-with r as (select r_regionkey as stage_no, r_name as stage from region) select stage_no, stage, case when stage_no >= 2 then 'invalidate' else 'reuse' end as action from r""")
+with n as (select event_type, count(*) as n, count(*) filter (where value > 0 or event_type <> 'purchase') as m from events group by 1),
+o as (select *, row_number() over (order by event_type) - 1 as stage_no from n)
+select cast(stage_no as integer) as stage_no, event_type as stage, case when stage_no >= 2 then 'invalidate' else 'reuse' end as action from o""")
 def invalidated_stages(spark, d):
-    """Regions as stages; the nations of region 2 lose a setting."""
-    joined = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    settings = joined.select(F.col("r_name").alias("stage"), "n_regionkey", F.col("n_name").alias("name"), F.col("n_nationkey").cast("string").alias("value"))
-    changed = settings.withColumn("value", F.when(F.col("n_regionkey") == 2, "x").otherwise(F.col("value")))
-    names = tuple(r.r_name for r in table(spark, d, "region").orderBy("r_regionkey").collect())
-    return state.invalidated_stages(state.config_hash(settings), state.config_hash(changed), names)
+    """Event types as stages, ten counts each as settings; one stage changes."""
+    e = table(spark, d, "events")
+    settings = e.groupBy(F.col("event_type").alias("stage"), (F.col("user_id") % 10).cast("string").alias("name")).agg(F.count(F.lit(1)).cast("string").alias("value"))
+    changed = settings.withColumn("value", F.when(F.col("stage") == "purchase", "x").otherwise(F.col("value")))
+    return state.invalidated_stages(state.config_hash(settings), state.config_hash(changed), EVENT_STAGES)
 
 
 @query("only_pages", f"with e as ({ELEMENTS_SQL}) select doc_id, idx from e where page in (2, 3)")
@@ -285,14 +294,10 @@ def channel_id_shapes(spark, d):
 
 
 @query("feed_registry", """
-select n_regionkey as k, row_number() over (partition by n_regionkey order by n_nationkey) as seq, case when n_nationkey // 5 < 2 then r_name else 'later' end as source_category, 'https://' || n_name || '.example/feed' as url
-from nation join region on n_regionkey = r_regionkey""")
+select page_id as k, cast(seq as bigint) as seq, case when seq < 3 then 'page ' || page_id else 'later' end as source_category, url || case when seq = 2 then '&b' else '' end as url
+from pages, (values (1), (2), (3)) v(seq)""")
 def feed_registry(spark, d):
-    """A registry text per region, headings above the feeds of its nations."""
-    joined = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    lines = joined.groupBy(F.col("n_regionkey").alias("k"), "r_name").agg(
-        F.array_sort(F.collect_list(F.struct("n_nationkey", F.concat(F.lit("https://"), "n_name", F.lit(".example/feed ")).alias("u")))).alias("l")
-    )
-    urls = F.transform("l", lambda x: x["u"])
-    text = F.concat(F.lit("# "), "r_name", F.lit("\n"), F.array_join(F.slice(urls, 1, 2), "\n"), F.lit("\n\n#later\n"), F.array_join(F.slice(urls, 3, 100), "\n"))
-    return feeds.registry_rows(lines.select("k", text.alias("value"))).withColumn("seq", F.col("seq").cast("bigint"))
+    """A registry text per page: two feeds under one heading, one under another."""
+    p = table(spark, d, "pages")
+    text = F.concat(F.lit("# page "), F.col("page_id").cast("string"), F.lit("\n"), "url", F.lit(" \n"), "url", F.lit("&b\n\n#later\nnot a feed\n"), "url")
+    return feeds.registry_rows(p.select(F.col("page_id").alias("k"), text.alias("value"))).withColumn("seq", F.col("seq").cast("bigint"))
