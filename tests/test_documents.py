@@ -113,7 +113,7 @@ def packed_by_hand(blocks, low, high):
     return chunks
 
 
-@pytest.mark.parametrize("segment_rows", [1, 3, 8, 5000])
+@pytest.mark.parametrize("segment_rows", [None, 1, 3, 8, 5000])
 def test_packing_in_segments_equals_packing_by_hand(spark, segment_rows):
     rng = random.Random(7)
     docs, expected = [], {}

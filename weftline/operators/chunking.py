@@ -1,11 +1,11 @@
 """Size-bounded chunks with heading paths.
 
-Packing is sequential inside a document, so the work unit is a segment: at most
-``segment_rows`` consecutive elements in one row. A document that fits one
-segment is packed and assembled in place, with no shuffle. A longer one is
-packed segment by segment: each segment first reports, for every state it could
-be entered in, the state it leaves behind; those short reports are chained per
-document, and then all segments are packed at once from their entry states.
+Packing is sequential inside a document. A document held in one row is packed
+and assembled in that row. A document spread over an element table is packed by
+segments of at most ``segment_rows`` consecutive elements: each segment first
+reports, for every state it could be entered in, the state it leaves behind;
+those short reports are chained per document, and then all segments are packed
+at once from their entry states. Both ways give the same chunks.
 """
 
 from __future__ import annotations
@@ -272,15 +272,15 @@ def pack_segments(segments: DataFrame, min_chars: int = MIN_CHARS, max_chars: in
 
 
 def build_chunks(arrays: DataFrame, min_chars: int = MIN_CHARS, max_chars: int = MAX_CHARS,
-                 segment_rows: int = SEGMENT_ROWS) -> DataFrame:
+                 segment_rows: int | None = None) -> DataFrame:
     """Chunks of documents held as element arrays.
 
-    ``n_elements`` is cheap to compute, so telling the few long documents
-    apart does not build the elements twice.
+    Such a document is in one task already, so by default it is packed there:
+    one read and no shuffle. With ``segment_rows`` it is cut up and spread.
     """
-    short = arrays.filter(F.col("n_elements") <= segment_rows).select("doc_id", _blocks("elements").alias("blocks"))
-    long = block_segments(arrays.filter(F.col("n_elements") > segment_rows), segment_rows)
-    return pack_whole(short, min_chars, max_chars).unionByName(pack_segments(long, min_chars, max_chars))
+    if segment_rows is None:
+        return pack_whole(arrays.select("doc_id", _blocks("elements").alias("blocks")), min_chars, max_chars)
+    return pack_segments(block_segments(arrays, segment_rows), min_chars, max_chars)
 
 
 def chunk_violations(chunks: DataFrame) -> DataFrame:

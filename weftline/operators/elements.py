@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.arrays import let
 from weftline.functions.cleaning import clean_text, normalize_text
-from weftline.functions.coerce import LINE_BREAK, first_truthy, lines_of, strip
+from weftline.functions.coerce import first_truthy, lines_of, strip
 from weftline.functions.elements import (
     element_label, first_page, is_cleanable, is_code, page_list,
 )
@@ -125,8 +125,6 @@ def _item(entry: Column, grp: str, idx: Column) -> Column:
 def element_arrays(docs: DataFrame, payload: str = "payload", order: str = "group") -> DataFrame:
     """One row per document with its elements in reading order.
 
-    ``n_elements`` counts them without building them.
-
     ``order="group"`` sorts by (first page, group, index), ``order="index"``
     by (first page, index, group).
     """
@@ -150,13 +148,12 @@ def element_arrays(docs: DataFrame, payload: str = "payload", order: str = "grou
         lambda e: F.transform(F.array_sort(F.transform(e, sort_key)), lambda k: F.get(e, k["i"])),
     )
     kept = [c for c in docs.columns if c != payload]
-    sizes = [F.greatest(F.size(f"_d.{g}"), F.lit(0)) for g in GROUPS]
-    return parsed.select(*kept, sum(sizes[1:], sizes[0]).alias("n_elements"), ordered.alias("elements"))
+    return parsed.select(*kept, ordered.alias("elements"))
 
 
 def element_table(arrays: DataFrame) -> DataFrame:
     """One row per element; ``pos`` is its place in reading order."""
-    kept = [c for c in arrays.columns if c not in ("elements", "n_elements")]
+    kept = [c for c in arrays.columns if c != "elements"]
     return unpack(arrays, kept, F.col("elements"), "pos")
 
 
@@ -196,7 +193,7 @@ def line_elements(docs: DataFrame, text: str = "text", heading_chars: int = 0) -
     lines = lines_of(F.col(text))
     made = F.transform(lines, lambda line, i: let(label_of(line, i), lambda label: item(line, i, label)))
     kept = [c for c in docs.columns if c != text]
-    return docs.select(*kept, (F.regexp_count(text, F.lit(LINE_BREAK)) + 1).alias("n_elements"), made.alias("elements"))
+    return docs.select(*kept, made.alias("elements"))
 
 
 def clean_elements(elements: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-def chunks(spark: SparkSession, d: str, segment_rows: int = chunking.SEGMENT_ROWS) -> DataFrame:
+def chunks(spark: SparkSession, d: str, segment_rows: int | None = None) -> DataFrame:
     return chunking.build_chunks(inputs.document_arrays(spark, d), segment_rows=segment_rows)
 
 
