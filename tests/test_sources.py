@@ -1,7 +1,6 @@
 import json
 
 import pytest
-from pyspark.sql import functions as F
 
 from weftline.operators import news, state
 from weftline.sources import dumps, feeds, glossaries, sinks

@@ -255,7 +255,6 @@ def merge_elements(elements: DataFrame, merges: DataFrame) -> DataFrame:
     grouped = hit.groupBy("doc_id", "_head", "kind").agg(
         F.array_sort(F.collect_list(F.struct("_place", "text"))).alias("_parts")
     )
-    glue = F.when(F.col("kind") == "group_as_code", "\n").otherwise(" ")
     texts = F.transform("_parts", lambda p: p["text"])
     joined = F.when(F.col("kind") == "group_as_code", F.array_join(texts, "\n")).otherwise(F.array_join(texts, " "))
     heads = grouped.select("doc_id", F.col("_head").alias("ref"), joined.alias("_text"), F.col("kind").alias("_kind"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.coerce import first_truthy, lines_of, strip
 from weftline.functions.elements import (
-    fence_count, is_code, is_heading, picture_markdown, table_row_markdown, text_markdown,
+    fence_count, is_code, picture_markdown, table_row_markdown, text_markdown,
 )
 from weftline.operators.ordering import segmented_last
 from weftline.operators.rows import unpack

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from weftline.functions.elements import picture_markdown
 from weftline.operators import elements, rendering
 from weftline.plans import inputs
-from weftline.plans.element_queries import TRACE, document_payloads, line_table
-from weftline.plans.inputs import CODE_SQL, ELEMENTS_SQL, LINES_SQL, NOISY_SQL, STRIP_SQL, table
+from weftline.plans.element_queries import document_payloads, line_table
+from weftline.plans.inputs import CODE_SQL, ELEMENTS_SQL, LINES_SQL, STRIP_SQL, table
 
 Q: dict = {}
 SQL: dict = {}
