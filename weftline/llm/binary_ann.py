@@ -128,5 +128,5 @@ def nearest(df: DataFrame, key: str, vector: str, is_query: Column, k: int, *, b
         join = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
         return pa.table([join(out[0], np.int64), join(out[1], np.int64), join(out[2], np.float64)], names=["query_id", "vec_id", "score"])
 
-    found = vectors.search_blocks(queries, index, search, FOUND, query_block, candidate_block)
+    found = vectors.search_blocks(queries, index, search, FOUND, usable.count(), query_block, candidate_block)
     return vectors.ranked(found, [F.asc("score"), F.asc("vec_id")], k)

@@ -70,5 +70,5 @@ def topk_inner_product(df: DataFrame, key: str, vector: str, is_query: Column, k
         parts = [np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in out]
         return pa.table(parts, names=["query_id", "vec_id", "score"])
 
-    found = vectors.search_blocks(queries, usable, search, FOUND, query_block, candidate_block)
+    found = vectors.search_blocks(queries, usable, search, FOUND, usable.count(), query_block, candidate_block)
     return vectors.ranked(found, [F.desc("score"), F.asc("vec_id")], k)

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import pathlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import binary_ann, exact_topk
+from weftline.llm import binary_ann, exact_topk, merge_encoding
+
+#: Where the public tokenizer files lie; None asks the installed package ``public_tokenizers``.
+TOKENIZERS: str | None = None
+PIECES = "piece_bpe_32k.model"
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -17,6 +22,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def piece_model(folder: str | None = TOKENIZERS) -> bytes:
+    """The model file, read once on the driver; tasks get its bytes."""
+    if folder is None:
+        import public_tokenizers
+
+        return pathlib.Path(public_tokenizers.path(PIECES)).read_bytes()
+    return pathlib.Path(folder, PIECES).read_bytes()
+
+
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     Q[fn.__name__] = fn
     return fn
@@ -42,3 +56,14 @@ select query_id, place::integer as "rank", vec_id, score from placed where place
 @query
 def op10_binary_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_ann.nearest(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 100 == 0, 10)
+
+
+@query
+def op8_merge_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = piece_model()
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = merge_encoding.decode(merge_encoding.encode(docs, "text", model), "ids", model)
+    return done.select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), merge_encoding.digest(F.col("ids")).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )

@@ -69,11 +69,11 @@ def best_in_order(keys: np.ndarray, k: int) -> np.ndarray:
 
 def search_blocks(
     queries: DataFrame, candidates: DataFrame, search: Callable[[pa.Table, pa.Table], pa.Table], schema: str,
-    query_block: int = QUERY_BLOCK, candidate_block: int = CANDIDATE_BLOCK,
+    n_candidates: int, query_block: int = QUERY_BLOCK, candidate_block: int = CANDIDATE_BLOCK,
 ) -> DataFrame:
     """``search`` over every pair of blocks; both sides have a column ``id``."""
     spark = candidates.sparkSession
-    n_queries, n_candidates = queries.count(), candidates.count()
+    n_queries = queries.count()
     across = max(1, -(-n_queries // query_block))
     down = max(2 * spark.sparkContext.defaultParallelism, -(-n_candidates // candidate_block))
     cells = across * down
