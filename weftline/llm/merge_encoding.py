@@ -27,10 +27,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SPACE = "▁"  # the mark that stands for a space in pieces
 #: Segments and piece pairs remembered per Python worker.
 SEGMENTS, PAIRS = 400_000, 500_000
+ROWS = 512  # texts in Python's hands at a time
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # piece types of the model format
 
 
@@ -87,11 +89,12 @@ class Encoder:
         self.bytes = {int(p[3:5], 16): i for i, (p, kind) in enumerate(zip(self.pieces, self.kinds, strict=True)) if kind == BYTE}
         if any(SPACE in p.lstrip(SPACE) for p in self.ids):
             raise ValueError("a piece holds a space mark after another character")
+        self.lengths = [len(p) for p in self.pieces]
         self.joined = {c for p in self.ids if len(p) > 1 for c in p}
         automaton = ahocorasick.Automaton()
         for p, i in self.ids.items():
             if len(p) == 1 or self.merged(p) == [p]:
-                automaton.add_word(p, (len(p), i))
+                automaton.add_word(p, i)
         automaton.make_automaton()
         self.automaton = automaton
         alone = "".join(re.escape(c) for c in "\n\r\t" if c not in self.joined)
@@ -99,7 +102,7 @@ class Encoder:
         self.cut = re.compile(f" *[^ {alone}]+| +|[{alone}]+" if alone else " *[^ ]+| +")
         self.surface = [self._surface(i) for i in range(len(self.pieces))]
         self.byte_of = {i: byte for byte, i in self.bytes.items()}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}  # left * number of pieces + right
         self.known = _Words(self)
         self.singles = frozenset(p for p in self.ids if len(p) == 1)
         self.plain_lines = "\n" in alone
@@ -131,7 +134,7 @@ class Encoder:
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether merging the two pieces' concatenation anew yields the same two pieces."""
-        key = (left, right)
+        key = left * len(self.pieces) + right
         found = self.pairs.get(key)
         if found is None:
             if len(self.pairs) >= PAIRS:
@@ -142,32 +145,38 @@ class Encoder:
 
     def backtrack(self, segment: str) -> list[int] | None:
         """Ids of a segment all of whose characters are pieces; None if no sequence is consistent."""
-        size = len(segment)
-        matches: list[list[tuple[int, int]]] = [[] for _ in range(size)]
-        for end, (length, i) in self.automaton.iter(segment):
-            matches[end - length + 1].append((length, i))  # shorter ones first, as their ends come first
+        size, lengths, seen, width = len(segment), self.lengths, self.pairs.get, len(self.pieces)
+        matches: list[list[int]] = [[] for _ in range(size)]
+        for end, i in self.automaton.iter(segment):
+            matches[end + 1 - lengths[i]].append(i)  # shorter ones first, as their ends come first
         failed = 0  # bit p: nothing consistent starts at p after the piece tried before it
         ids: list[int] = []
-        spans: list[int] = []
-        at, rank = 0, len(matches[0]) - 1
+        ranks: list[int] = []
+        at, rank, last = 0, len(matches[0]) - 1, -1
         while at < size:
             options = matches[at]
             while rank >= 0:
-                length, i = options[rank]
-                if not failed >> (at + length) & 1 and (not ids or self.compatible(ids[-1], i)):
-                    break
+                i = options[rank]
+                if not failed >> (at + lengths[i]) & 1:
+                    if last < 0:
+                        break
+                    fits = seen(last * width + i)
+                    if self.compatible(last, i) if fits is None else fits:
+                        break
                 rank -= 1
             if rank >= 0:
                 ids.append(i)
-                spans.append(rank)
-                at += length
+                ranks.append(rank)
+                last = i
+                at += lengths[i]
                 rank = len(matches[at]) - 1 if at < size else -1
                 continue
             failed |= 1 << at
             if not ids:
                 return None
-            at -= len(self.pieces[ids.pop()])
-            rank = spans.pop() - 1
+            at -= lengths[ids.pop()]
+            rank = ranks.pop() - 1
+            last = ids[-1] if ids else -1
         return ids
 
     def segment(self, segment: str) -> list[int]:
@@ -284,24 +293,38 @@ def encoder(model: bytes) -> Encoder:
     return held[1]
 
 
-def encode(df: DataFrame, text: str, model: bytes, name: str = "ids") -> DataFrame:
+def encode(df: DataFrame, text: str, model: bytes, name: str = "ids", decoded: str | None = None) -> DataFrame:
     """All columns of ``df`` with ``name`` array<int>: the ids of every whole text.
 
-    A null text has no ids, like an empty one. A column called ``name`` is
-    replaced. Rows stay as they are: repeated rows repeat, an empty table
-    stays empty. The model's bytes (a fixed file, well under a megabyte)
-    travel with the task.
+    ``decoded`` names a further column for the text read back from those ids,
+    made in the same pass. A null text has no ids, like an empty one. Columns
+    with these names are replaced. Rows stay as they are: repeated rows repeat,
+    an empty table stays empty. The model's bytes (a fixed file, well under a
+    megabyte) travel with the task.
     """
+    df = df.drop(name, decoded) if decoded else df.drop(name)
+    fields = [*df.schema.fields, T.StructField(name, T.ArrayType(T.IntegerType())), *([T.StructField(decoded, T.StringType())] if decoded else [])]
 
-    @F.arrow_udf("array<int>")
-    def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = encoder(model)
-        for texts in batches:
-            rows = [np.array(tool.encode(t), dtype=np.int32) for t in texts.to_pylist()]
-            ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
-            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int32)))
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                lists = [tool.encode(t) for t in batch[text].to_pylist()]
+                ends = np.cumsum([0, *map(len, lists)], dtype=np.int32)
+                flat = np.fromiter(chain.from_iterable(lists), np.int32, ends[-1])
+                made = [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
+                if decoded:
+                    made.append(_texts(tool, flat, ends))
+                yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[f.name for f in fields])
 
-    return df.withColumn(name, ids(F.col(text)))
+    return df.mapInArrow(run, T.StructType(fields))
+
+
+def _texts(tool: Encoder, flat: np.ndarray, ends: np.ndarray) -> pa.Array:
+    high = np.concatenate([[0], np.cumsum(tool.high_bytes[flat])])[ends]
+    ids = flat.tolist()
+    return pa.array([tool.decode(ids[a:b], x < y) for a, b, x, y in zip(ends, ends[1:], high, high[1:], strict=False)], pa.string())
 
 
 def decode(df: DataFrame, ids: str, model: bytes, name: str = "decoded") -> DataFrame:
@@ -311,10 +334,8 @@ def decode(df: DataFrame, ids: str, model: bytes, name: str = "decoded") -> Data
     def texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tool = encoder(model)
         for rows in batches:
-            flat, ends = rows.flatten().to_numpy(zero_copy_only=False), np.cumsum([0, *(n or 0 for n in rows.value_lengths().to_pylist())])
-            high = np.concatenate([[0], np.cumsum(tool.high_bytes[flat])])[ends]
-            flat = flat.tolist()
-            yield pa.array([tool.decode(flat[a:b], x < y) for a, b, x, y in zip(ends, ends[1:], high, high[1:], strict=False)], pa.string())
+            ends = np.cumsum([0, *(n or 0 for n in rows.value_lengths().to_pylist())])
+            yield _texts(tool, rows.flatten().to_numpy(zero_copy_only=False), ends)
 
     return df.withColumn(name, texts(F.col(ids)))
 
