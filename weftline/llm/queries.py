@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import binary_ann, exact_topk, merge_encoding
+from weftline.llm import binary_ann, chat, exact_topk, language, merge_encoding, mixing, rule_quality, toxicity
+from weftline.llm.text_features import fold
 
 #: Where the public tokenizer files lie; None asks the installed package ``public_tokenizers``.
 TOKENIZERS: str | None = None
@@ -62,8 +63,109 @@ def op10_binary_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_merge_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = piece_model()
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    done = merge_encoding.decode(merge_encoding.encode(docs, "text", model), "ids", model)
+    done = merge_encoding.encode(docs, "text", model, decoded="decoded")
     return done.select(
         "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), merge_encoding.digest(F.col("ids")).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.train(docs, "doc_id", "text", "lang", fold(F.col("doc_id"), 4) != 2)
+    found = language.predict(docs.drop("lang"), "text", model)
+    return found.select("doc_id", F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), "doc_id", "text", "toxic", fold(F.col("doc_id"), 5) != 0)
+    found = toxicity.score(docs, "text", model)
+    return found.select(
+        "doc_id", F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+@query
+def op3_rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ensemble = rule_quality.train(docs, table(spark, sf_dir, "labels"), "doc_id", "text", "quality", fold(F.col("doc_id"), 4) != 2)
+    found = rule_quality.score(docs, "text", ensemble)
+    return found.select(
+        "doc_id", F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
+
+
+@query
+def op2_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), "doc_id", "text", "source")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+SQL["op2_pareto_mix"] = r"""
+with sized as (
+    select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
+        (('0x' || substr(md5('mix:' || coalesce(doc_id::varchar, 'null')), 1, 13))::bigint + 0.5) / 4503599627370496.0 as u
+    from documents
+), weighed as (select *, length(bin(size))::double as w from sized
+), sources as (
+    select source, sum(size)::double as s, case (row_number() over (order by source is null, source) - 1) % 3 when 0 then 5.0 when 1 then 2.0 else 1.0 end::double as share
+    from weighed group by source
+), filled as (
+    select *, (sum(s) over () - coalesce(sum(3 * s) over (order by 3 * s / share, source rows between unbounded preceding and 1 preceding), 0))
+        / sum(share) over (order by 3 * s / share, source rows between current row and unbounded following) as level
+    from sources
+), levelled as (select *, min_by(level, 3 * s / share) filter (where level * share <= 3 * s) over () as fits from filled
+), goals as (select source, s, case when fits is null then 3 * s else least(3 * s, fits * share) end as target from levelled
+), classes as (
+    select source, w, sum(size)::double as mass from weighed group by all
+), shared as (
+    select c.*, g.s, g.target, (g.target - 3 * coalesce(sum(mass) over (partition by c.source order by w desc rows between unbounded preceding and 1 preceding), 0))
+        / nullif(sum(w * mass) over (partition by c.source order by w desc rows between current row and unbounded following), 0) as f
+    from classes c join goals g on c.source is not distinct from g.source
+), factors as (select *, max_by(f, w) filter (where f * w <= 3) over (partition by source) as factor from shared
+), copies as (select source, w, mass, s, target, coalesce(least(3.0, factor * w), 3.0) as e from factors
+), rests as (select source, max(target) - sum(floor(e) * mass) as rest from copies group by source
+), ranked as (
+    select d.doc_id, d.source, d.size, c.s, c.target, floor(c.e) as whole, r.rest,
+        case when c.e > floor(c.e) then (u / (1 - u)) / ((c.e - floor(c.e)) / (1 - (c.e - floor(c.e)))) end as q
+    from weighed d join copies c on d.source is not distinct from c.source and d.w = c.w join rests r on d.source is not distinct from r.source
+), drawn as (
+    select *, case when q is not null then coalesce(sum(case when q is not null then size end)
+        over (partition by source order by q nulls last, doc_id rows between unbounded preceding and 1 preceding), 0) end as before_it from ranked
+)
+select doc_id, size, s::bigint as source_size, target, ((whole + case when before_it + size / 2.0 <= rest then 1 else 0 end) * size)::bigint as taken from drawn
+"""
+
+
+@query
+def op4_chat_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    probe = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
+    read = chat.read_back(chat.examples(given.unionByName(probe), "conv_id", "turn", "role", "text"))
+    lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        "conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(lines.cast("binary"), 256).alias("turns_sha256"),
+        F.length("loss").cast("bigint").alias("loss_chars"), F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"), "formatted_chars",
+    )
+
+
+SQL["op4_chat_prefixes"] = r"""
+with given as (
+    select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+    union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), marked as (
+    select *, length('<|' || regexp_replace(role, '([\\|<\[])', '\\\1', 'g') || '|>' || chr(10)) + length('</s>' || chr(10))
+        + length(regexp_replace(regexp_replace(replace(text, '\', '\\'), '<(\||/?s>)', '<\\\1', 'g'), '\[(/?INST\])', '[\\\1', 'g')) as chars,
+        row_number() over (partition by conv_id order by turn, role, text) as place, count(*) over (partition by conv_id) as n
+    from given
+), summed as (select *, sum(chars) over (partition by conv_id order by place) as upto from marked)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by place)) as turns_sha256,
+    coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::bigint as loss_chars,
+    sha256(coalesce(string_agg(text, '' order by place) filter (where role = 'assistant'), '')) as loss_sha256,
+    coalesce(sum(upto) filter (where role = 'assistant' or place = n), 0)::bigint as formatted_chars
+from summed group by conv_id
+"""
