@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import binary_ann, chat, exact_topk, language, merge_encoding, mixing, rule_quality, toxicity
+from weftline.llm import binary_ann, chat, exact_topk, language, line_templates, merge_encoding, mixing, rule_quality, toxicity
 from weftline.llm.text_features import fold
 
 #: Where the public tokenizer files lie; None asks the installed package ``public_tokenizers``.
@@ -169,3 +169,47 @@ select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text |
     coalesce(sum(upto) filter (where role = 'assistant' or place = n), 0)::bigint as formatted_chars
 from summed group by conv_id
 """
+
+
+@query
+def op5_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_templates.drop_recurring_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
+
+
+SQL["op5_line_templates"] = r"""
+with docs as (select distinct doc_id, text from documents where text is not null
+), cut as (select doc_id, text, string_split(text, chr(10)) as parts from docs
+), numbered as (select doc_id, text, parts[i] as line, i - 1 as pos from (select *, unnest(range(1, len(parts) + 1)) as i from cut)
+), masked as (
+    select *, regexp_replace(trim(regexp_replace(line, '[\x20\x09\x0B-\x0D]+', ' ', 'g'), ' '), '[^ ]*[0-9][^ ]*', '<*>', 'g') as template from numbered
+), lines as (
+    select *, string_split(template, ' ') as tokens, len(tokens) as size, concat_ws(' ', size::varchar, array_to_string(tokens[1:3], ' ')) as leaf,
+        min(md5(template)) over (partition by doc_id, text) as family
+    from masked where template <> ''
+), direct as (
+    select template from lines group by template
+    having count(distinct family) >= 10 and count(distinct family) >= count(distinct (doc_id, text)) * 0.3
+), rest as (select * from lines where size > 4 and template not in (from direct)
+), leaves as (
+    select leaf from rest group by leaf having count(distinct family) >= 10 and count(distinct family) >= count(distinct (doc_id, text)) * 0.3
+), opened as (select * from rest where leaf in (from leaves)
+), votes as (
+    select leaf, size, place, token, count(*) as n from (select leaf, size, unnest(tokens) as token, unnest(range(len(tokens))) as place from opened) group by all
+), places as (
+    select leaf, size, place, max_by(token, {'n': n, 't': token}) as token, max(n) as n, sum(n) as whole from votes group by all
+), kept as (
+    select leaf, list({'place': place, 'token': token}) as kept from places where n >= whole * 0.8 group by leaf, size
+    having count(*) >= size * 0.6 and count(*) - 3 >= (size - 3) / 2
+), fitting as (
+    select o.* from opened o join kept k using (leaf) where len(list_filter(k.kept, lambda k: o.tokens[k.place + 1] <> k.token)) = 0
+), loose as (
+    select leaf from fitting group by leaf having count(distinct family) >= 10 and count(distinct family) >= count(distinct (doc_id, text)) * 0.3
+), lost as (
+    select doc_id, text, list(distinct pos) as positions from (
+        select doc_id, text, pos from lines where template in (from direct) union all select doc_id, text, pos from fitting where leaf in (from loose)
+    ) group by all
+)
+select d.doc_id, coalesce(len(positions), 0)::bigint as n_dropped,
+    case when positions is null then d.text else array_to_string([p for p, i in string_split(d.text, chr(10)) if not list_contains(positions, i - 1)], chr(10)) end as text
+from documents d left join lost l on d.doc_id is not distinct from l.doc_id and d.text = l.text
+"""
