@@ -1,0 +1,39 @@
+"""Connected components of an edge table, in Spark."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from weftline.session import durable
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component) for the nodes of the edges (a, b): the smallest node id reachable.
+
+    Alternating star contraction: every node hands its larger neighbours to its
+    smallest one, then its smaller ones, until only stars are left. The number
+    of rounds grows with the logarithm of the longest path, and a hub's edges
+    are aggregated before they are shuffled. Edges are cut loose after each
+    round, so a lost executor costs one round.
+    """
+    def state(table: DataFrame) -> tuple:
+        return tuple(table.agg(F.count(F.lit(1)), F.sum("b"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
+
+    links = durable(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct())
+    before = state(links)
+    while True:
+        # large star: every larger neighbour of a node goes to the smallest node around it
+        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = both.groupBy("a").agg(F.min("b").alias("_low")).select("a", F.least("a", "_low").alias("_low"))
+        large = both.join(low, "a").filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("_low").alias("b")).distinct()
+        # small star: smaller neighbours, and the node itself, go to the smallest of them
+        low = large.groupBy("a").agg(F.min("b").alias("_low"))
+        small = large.join(low, "a").select(F.explode(F.array(F.struct("b", "_low"), F.struct(F.col("a").alias("b"), "_low"))).alias("_e"))
+        following = durable(small.select(F.col("_e.b").alias("a"), F.col("_e._low").alias("b")).filter("a != b").distinct())
+        links, now = following, state(following)
+        if now == before:
+            break
+        before = now
+    star = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    return star.unionByName(star.select(F.col("component").alias("node"), "component").distinct())

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import binary_ann, chat, exact_topk, language, line_templates, merge_encoding, mixing, rule_quality, toxicity
+from weftline.llm import binary_ann, chat, exact_topk, language, line_templates, merge_encoding, minhash_dedup, mixing, rule_quality, toxicity
 from weftline.llm.text_features import fold
 
 #: Where the public tokenizer files lie; None asks the installed package ``public_tokenizers``.
@@ -213,3 +213,29 @@ select d.doc_id, coalesce(len(positions), 0)::bigint as n_dropped,
     case when positions is null then d.text else array_to_string([p for p, i in string_split(d.text, chr(10)) if not list_contains(positions, i - 1)], chr(10)) end as text
 from documents d left join lost l on d.doc_id is not distinct from l.doc_id and d.text = l.text
 """
+
+
+@query
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text", shingle=4)
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+SQL["op1_minhash"] = r"""
+with recursive words as (
+    select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+), cut as (
+    select distinct doc_id, array_to_string(w[i:i + 3], ' ') as s from (select *, unnest(range(1, greatest(len(w) - 3, 1) + 1)) as i from words where len(w) > 0)
+), sizes as (select doc_id, count(*) as n from cut group by 1
+), shared as (
+    select a.doc_id as a, b.doc_id as b, count(*) as common from cut a join cut b on a.s = b.s and a.doc_id <> b.doc_id group by all
+), links as (
+    select a, b from shared join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * common >= 80 * (x.n + y.n - common)
+), reach(doc_id, other) as (
+    select doc_id, doc_id from documents
+    union
+    select r.doc_id, l.b from reach r join links l on l.a = r.other
+), least_ as (select doc_id, min(other) as component_id from reach group by 1)
+select d.doc_id, coalesce(n, 0)::bigint as n_shingles, component_id, d.doc_id = component_id as kept
+from documents d join least_ using (doc_id) left join sizes using (doc_id)
+"""
