@@ -101,16 +101,18 @@ def temperature(logits: np.ndarray, labels: np.ndarray) -> float:
 def train(docs: DataFrame, key: str, text: str, lang: str, learnable: Column, *, rows_per_language: int = ROWS_PER_LANGUAGE, epochs: int = 4,
           alpha: float = 0.3, beta: float = 1.0, l1: float = 0.02, l2: float = 0.01, seed: int = 11) -> Model | None:
     """Model of the learnable rows with an id, a text and a language; None if there are none."""
-    known = docs.filter(learnable & F.col(key).isNotNull() & F.col(text).isNotNull() & F.col(lang).isNotNull() & (F.col(lang) != UNKNOWN))
-    by_hash = Window.partitionBy("_lang").orderBy("_hash", "_key")
+    given = docs.select(F.col(key).alias("_key"), F.col(text).alias("text"), F.col(lang).alias("lang"), learnable.alias("_learn"))
+    known = given.filter(F.col("_learn") & F.col("_key").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.col("lang") != UNKNOWN))
+    by_hash = Window.partitionBy("lang").orderBy("_hash", "_key")
     picked = (
-        known.select(F.col(key).alias("_key"), F.col(lang).alias("_lang"), F.xxhash64(key).alias("_hash"))
+        known.select("_key", "lang", F.xxhash64("_key").alias("_hash"))
         .withColumn("_place", F.row_number().over(by_hash)).filter(F.col("_place") <= rows_per_language).select("_key").distinct()
     )
-    counted = known.join(F.broadcast(picked), F.col(key) == F.col("_key")).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    counted = known.join(F.broadcast(picked), "_key").select("lang", "text")  # at most rows_per_language ids of each language
     sample = counted.mapInArrow(_counts, "lang string, at array<int>, tf array<double>").collect()
     if not sample:
         return None
+    sample.sort(key=lambda r: (r.lang, r.at, r.tf))  # the order in which rows arrive must not matter
     languages = sorted({r.lang for r in sample})
     labels = np.array([languages.index(r.lang) for r in sample])
     at, tf = [np.array(r.at, dtype=np.int64) for r in sample], [np.array(r.tf) for r in sample]
@@ -163,6 +165,6 @@ def predict(df: DataFrame, text: str, model: Model | None, lang: str = "lang_pre
                 best = np.where(ok, p[np.arange(len(texts)), top], 0.0)
             yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(best)], names=["lang", "score"])
 
-    given = [c for c in df.columns if c not in (lang, score)]
-    found = df.select(*[df[c] for c in given], label(F.col(text)).alias("_found"))
-    return found.select(*given, F.col("_found.lang").alias(lang), F.col("_found.score").alias(score))
+    kept = [c for c in df.columns if c not in (lang, score)]
+    found = df.select(F.struct(*[df[c] for c in kept]).alias("_row"), label(F.col(text)).alias("_found"))
+    return found.select("_row.*", F.col("_found.lang").alias(lang), F.col("_found.score").alias(score))

@@ -157,10 +157,10 @@ def fit(x: np.ndarray, y: np.ndarray, l1: float = 5e-4) -> Ensemble:
 
 def train(docs: DataFrame, labels: DataFrame, key: str, text: str, quality: str, learnable: Column, fit_rows: int = FIT_ROWS) -> Ensemble:
     """Ensemble of the learnable labelled rows. Contradicting labels of an id count as their mean, rounded up."""
-    known = labels.filter(F.col(key).isNotNull() & F.col(quality).isNotNull() & learnable).groupBy(F.col(key).alias("_key"))
-    known = known.agg((F.avg(quality) >= 0.5).cast("double").alias("_label"))
+    known = labels.select(F.col(key).alias("_key"), F.col(quality).alias("_quality"), learnable.alias("_learn")).filter(F.col("_learn"))
+    known = known.filter(F.col("_key").isNotNull() & F.col("_quality").isNotNull()).groupBy("_key").agg((F.avg("_quality") >= 0.5).cast("double").alias("_label"))
     picked = known.orderBy(F.xxhash64("_key"), "_key").limit(fit_rows)  # bounded: may be broadcast
-    rows = docs.join(F.broadcast(picked), F.col(key) == F.col("_key")).select("_label", F.col(text).alias("_text"))
+    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(picked), "_key")
     sample = rows.select("_label", *[c.alias(n) for n, c in statistics(F.col("_text")).items()]).collect()
     table = np.array([list(r) for r in sample], dtype=float).reshape(len(sample), 1 + len(STATISTICS))
     order = np.lexsort(table.T)  # the order in which rows arrive must not matter

@@ -114,15 +114,18 @@ def train(docs: DataFrame, labels: DataFrame, key: str, text: str, toxic: str, l
           positives: int = POSITIVES, unlabelled: int = UNLABELLED, features_kept: int = KEPT_FEATURES, steps: int = 300, rate: float = 0.05,
           l1: float = 1e-5) -> Model | None:
     """Model of the learnable rows; None without a toxic example. A row labelled both ways counts as toxic."""
-    known = labels.filter(F.col(key).isNotNull() & F.col(toxic).isNotNull() & learnable).groupBy(key).agg(F.max(F.col(toxic) == 1).alias("positive"))
+    known = labels.select(F.col(key).alias("_key"), F.col(toxic).alias("_toxic"), learnable.alias("_learn")).filter(F.col("_learn"))
+    known = known.filter(F.col("_key").isNotNull() & F.col("_toxic").isNotNull()).groupBy("_key").agg(F.max(F.col("_toxic") == 1).alias("positive"))
     if prior is None:
         prior = known.agg(F.avg(F.col("positive").cast("double"))).first()[0]
-    p = known.filter("positive").select(F.col(key).alias("_key"), F.lit(True).alias("positive"))
-    u = docs.filter(F.col(key).isNotNull() & learnable).select(F.col(key).alias("_key"), F.lit(False).alias("positive")).distinct()
+    given = docs.select(F.col(key).alias("_key"), F.col(text).alias("text"), learnable.alias("_learn"))
+    p = known.filter("positive").select("_key", F.lit(True).alias("positive"))
+    u = given.filter(F.col("_key").isNotNull() & F.col("_learn")).select("_key", F.lit(False).alias("positive")).distinct()
     few = lambda df, n: df.orderBy(F.xxhash64("_key"), "_key").limit(n)
     picked = few(p, positives).unionByName(few(u, unlabelled))  # at most positives + unlabelled rows
-    counted = docs.join(F.broadcast(picked), F.col(key) == F.col("_key")).select("positive", F.col(text).alias("text"))
+    counted = given.join(F.broadcast(picked), "_key").select("positive", "text")
     sample = counted.mapInArrow(_distinct, "positive boolean, at array<int>").collect()
+    sample.sort(key=lambda r: (r.positive, r.at))  # the order in which rows arrive must not matter
     sets = {side: [np.array(r.at, dtype=np.int64) for r in sample if r.positive is side] for side in (True, False)}
     if not sets[True] or not sets[False]:
         return None
