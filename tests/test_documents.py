@@ -66,7 +66,7 @@ def test_normalising(spark):
 def test_grid_cells_and_strings(spark):
     doc = {"tables": [{"data": {"grid": [["a", {"text": "b"}], [{"content": "c"}]]}}]}
     flat = elements.element_table(arrays(spark, doc))
-    assert rendering.tables_markdown(elements.cell_table(flat)).first().markdown == "| a | b |\n| --- | --- |\n| c |  |"
+    assert rendering.tables_markdown(elements.rendered_cells(flat)).first().markdown == "| a | b |\n| --- | --- |\n| c |  |"
 
 
 def test_heading_and_body_stay_together(spark):

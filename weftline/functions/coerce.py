@@ -93,6 +93,25 @@ def text_moment(text: Column) -> Column:
     return F.coalesce(as_time, epoch_moment(value.try_cast("double")))
 
 
+# Month and zone names of RFC 822 dates.
+_MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
+_ZONES = {"EST": "-05:00", "EDT": "-04:00", "CST": "-06:00", "CDT": "-05:00", "MST": "-07:00", "MDT": "-06:00", "PST": "-08:00", "PDT": "-07:00"}
+_MAIL_DATE = r"^(?:[A-Za-z]{3},\s*)?(\d{1,2})\s+([A-Za-z]{3})[a-z]*\s+(\d{4}|\d{2})\s+(\d{2}:\d{2})(:\d{2})?\s*([A-Z]{1,3}|[+-]\d{2}:?\d{2})?$"
+
+
+def feed_moment(text: Column) -> Column:
+    """Timestamp of a feed date: RFC 822 (``Wed, 24 Apr 2024 09:00:00 +0900``) or anything ``text_moment`` takes."""
+    value = strip(text)
+    part = lambda n: F.regexp_extract(value, _MAIL_DATE, n)
+    month = F.array_position(F.array(*[F.lit(m.lower()) for m in _MONTHS]), F.lower(part(2)))
+    year = F.when(F.length(part(3)) == 4, part(3)).when(part(3) < "70", F.concat(F.lit("20"), part(3))).otherwise(F.concat(F.lit("19"), part(3)))
+    zone = F.coalesce(*[F.when(part(6) == name, offset) for name, offset in _ZONES.items()], F.when(part(6).rlike(r"^[+-]"), part(6)), F.lit("Z"))
+    zone = F.regexp_replace(zone, r"^([+-]\d{2})(\d{2})$", "$1:$2")
+    seconds = F.when(part(5) == "", ":00").otherwise(part(5))
+    iso = F.concat(year, F.lit("-"), F.lpad(month.cast("string"), 2, "0"), F.lit("-"), F.lpad(part(1), 2, "0"), F.lit("T"), part(4), seconds, zone)
+    return F.coalesce(F.when(value.rlike(_MAIL_DATE), iso.try_cast("timestamp")), text_moment(text))
+
+
 def moment(col: Column, dtype: str) -> Column:
     """Timestamp ladder for a column of the given simple type name."""
     if dtype.startswith("timestamp"):

@@ -42,9 +42,13 @@ def last_day_window(df: DataFrame, until: str, hours: int = 24, ts: str = "ts")
 
 
 def with_channel(messages: DataFrame, channels: DataFrame) -> DataFrame:
-    """Add the channel name; the id stands in where the name is empty."""
-    names = channels.select(F.col("id").alias("channel_id"), F.col("name").alias("_channel_name"))
-    named = messages.join(names, "channel_id")
+    """Add the channel name; the id stands in where there is none.
+
+    A channel listed twice has one name, so messages never multiply, and
+    messages of unlisted channels stay.
+    """
+    names = channels.groupBy(F.col("id").alias("channel_id")).agg(F.max("name").alias("_channel_name"))
+    named = messages.join(names, "channel_id", "left")
     return named.withColumn(
         "channel_name", first_truthy(F.col("_channel_name"), F.col("channel_id"))
     ).drop("_channel_name")

@@ -28,8 +28,9 @@ from weftline.operators.rows import unpack
 SEGMENT_ROWS = 4096
 MIN_CHARS, MAX_CHARS = 1000, 2000
 MAX_LEVEL = 6
-# Block codes: body text, heading, stands alone (table, code, html, image).
-BODY, HEADING, ALONE = 0, 1, 2
+# Block codes: body text, heading, stands alone (table, code, html, image), body text that looks like a heading.
+BODY, HEADING, ALONE, LOOKALIKE = 0, 1, 2, 3
+HEADING_LOOK = r"^#{1,6}\s"
 
 
 def render_block(element: Column) -> Column:
@@ -39,18 +40,20 @@ def render_block(element: Column) -> Column:
         F.when(text == "", "").when(is_heading(label), heading_markdown(heading_level(element["level"], label), text))
         .when(is_code_label(label), fenced(text)).otherwise(text)
     )
-    table = F.coalesce(table_markdown(matrix_of(element["cells"])), text)
+    table = F.coalesce(table_markdown(matrix_of(F.coalesce(element["grid"], element["cells"]))), text)
     return F.when(element["grp"] == "tables", table).otherwise(prose)
 
 
 def _block(element: Column) -> Column:
     kind = chunk_kind(element["grp"], element["label"])
-    code = F.when(kind != "text", ALONE).when(is_heading(element["label"]), HEADING).otherwise(BODY)
-    return F.struct(
-        render_block(element).alias("md"), kind.alias("kind"), code.cast("tinyint").alias("code"),
+    code = lambda md: (
+        F.when(kind != "text", ALONE).when(is_heading(element["label"]), HEADING).when(md.rlike(HEADING_LOOK), LOOKALIKE).otherwise(BODY)
+    )
+    return let(render_block(element), lambda md: F.struct(
+        md.alias("md"), kind.alias("kind"), code(md).cast("tinyint").alias("code"),
         heading_level(element["level"], element["label"]).alias("level"),
         element["ref"].alias("ref"), element["pages"].alias("pages"), element["assets"].alias("assets"),
-    )
+    ))
 
 
 def _blocks(elements: str | Column) -> Column:
@@ -74,7 +77,7 @@ def gather_segments(elements: DataFrame, segment_rows: int = SEGMENT_ROWS) -> Da
 
     Groups by (document, segment), so no group outgrows a segment.
     """
-    fields = ["grp", "idx", "ref", "label", "text", "level", "pages", "assets", "cells"]
+    fields = ["grp", "idx", "ref", "label", "text", "level", "pages", "assets", "cells", "grid"]
     rows = F.array_sort(F.collect_list(F.struct("pos", F.struct(*fields).alias("e"))))
     grouped = elements.groupBy("doc_id", F.floor(F.col("pos") / segment_rows).cast("int").alias("seg")).agg(
         rows.alias("_rows")
@@ -88,7 +91,8 @@ def _cut(codes: list, sizes: list, levels: list, heads: list, pending: int, open
 
     ``pending`` characters of chunk number ``opened`` may be carried in; that
     chunk then has a piece here, even an empty one, as this is where it closes.
-    The path moves to a heading before that heading closes the chunk ahead.
+    The path moves to a heading before that heading closes the chunk ahead. A
+    block that looks like a heading never closes its chunk, however long.
     """
     pieces: list[dict] = []
     path, number, first = list(path or []), opened, 0 if pending else None

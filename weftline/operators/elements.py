@@ -39,33 +39,41 @@ def _first_given(*cols: Column) -> Column:
 
 
 def _cell_text(cell: Column) -> Column:
-    """Text of a table cell, given as an object or as a bare value."""
-    is_object = F.startswith(F.schema_of_variant(cell), F.lit("OBJECT"))
+    """Text of a table cell as it is, given as an object or as a bare value."""
     inner = first_truthy(
         F.try_variant_get(cell, "$.text", "string"), F.try_variant_get(cell, "$.content", "string"), default=""
     )
-    return strip(F.when(is_object, inner).otherwise(F.coalesce(F.try_variant_get(cell, "$", "string"), F.lit(""))))
+    return F.when(_is_object(cell), inner).otherwise(F.coalesce(F.try_variant_get(cell, "$", "string"), F.lit("")))
+
+
+def _is_object(cell: Column) -> Column:
+    return F.startswith(F.schema_of_variant(cell), F.lit("OBJECT"))
 
 
 def _cell_at(cell: Column, *names: str) -> Column:
     return F.coalesce(*[F.try_variant_get(cell, f"$.{n}", "int") for n in names], F.lit(0))
 
 
-def _cell_entries(data: Column) -> Column:
-    """Cells with their place; a cell list wins over the grid."""
+def _listed_cells(data: Column) -> Column:
+    """Objects of the cell list with their place; bare values in the list are no cells."""
     listed = F.coalesce(
         F.when(F.size(data["table_cells"]) > 0, data["table_cells"]), F.when(F.size(data["cells"]) > 0, data["cells"])
     )
-    from_list = F.transform(
-        listed,
-        lambda c, i: F.struct(
-            _cell_at(c, "start_row_offset_idx", "row", "row_idx").alias("row"),
-            _cell_at(c, "start_col_offset_idx", "col", "col_idx").alias("col"),
-            i.alias("seq"), _cell_text(c).alias("text"),
-            F.format_string("/data/table_cells/%d", i).alias("path"),
+    numbered = F.filter(F.transform(listed, lambda c, i: F.struct(c.alias("c"), i.alias("i"))), lambda x: F.coalesce(_is_object(x["c"]), F.lit(False)))
+    return F.transform(
+        numbered,
+        lambda x: F.struct(
+            _cell_at(x["c"], "start_row_offset_idx", "row", "row_idx").alias("row"),
+            _cell_at(x["c"], "start_col_offset_idx", "col", "col_idx").alias("col"),
+            x["i"].alias("seq"), _cell_text(x["c"]).alias("text"),
+            F.format_string("/data/table_cells/%d", x["i"]).alias("path"),
         ),
     )
-    from_grid = F.flatten(
+
+
+def _grid_cells(data: Column) -> Column:
+    """Cells of the grid with their place."""
+    return F.flatten(
         F.transform(
             data["grid"],
             lambda r, y: F.transform(
@@ -77,11 +85,10 @@ def _cell_entries(data: Column) -> Column:
             ),
         )
     )
-    return F.coalesce(from_list, from_grid)
 
 
 def matrix_of(entries: Column) -> Column:
-    """Rows of cell texts; gaps are blank, the last cell on a place wins."""
+    """Rows of trimmed cell texts; gaps are blank, the last cell on a place wins."""
     def grid(cells: Column) -> Column:
         top = F.array_max(F.transform(cells, lambda e: e["row"]))
         side = F.array_max(F.transform(cells, lambda e: e["col"]))
@@ -93,7 +100,7 @@ def matrix_of(entries: Column) -> Column:
             lambda mine: F.transform(
                 F.sequence(F.lit(0), width),
                 lambda c: F.coalesce(
-                    F.try_element_at(F.filter(mine, lambda e: e["col"] == c), F.lit(-1))["text"], F.lit("")
+                    strip(F.try_element_at(F.filter(mine, lambda e: e["col"] == c), F.lit(-1))["text"]), F.lit("")
                 ),
             ),
         )
@@ -103,7 +110,8 @@ def matrix_of(entries: Column) -> Column:
 
 def _item(entry: Column, grp: str, idx: Column) -> Column:
     pages = page_list(entry["prov"])
-    cells = _cell_entries(entry["data"]) if grp == "tables" else F.lit(None)
+    grid = _grid_cells(entry["data"]) if grp == "tables" else F.lit(None)
+    cells = F.coalesce(_listed_cells(entry["data"]), grid) if grp == "tables" else F.lit(None)
     cell_type = "array<struct<row:int,col:int,seq:int,text:string,path:string>>"
     uri = entry["image"]["uri"]
     return F.struct(
@@ -113,12 +121,14 @@ def _item(entry: Column, grp: str, idx: Column) -> Column:
         element_label(entry["label"], entry["type"]).alias("label"),
         first_filled(entry["text"], entry["orig"], entry["content"]).alias("text"),
         _first_given(entry["text"], entry["orig"], entry["content"]).alias("raw_text"),
+        entry["text"].alias("own_text"),
         F.coalesce(F.nullif(entry["level"], F.lit(0)), entry["heading_level"]).alias("level"),
         pages.alias("pages"),
         entry["content_layer"].alias("layer"),
-        strip(first_truthy(entry["caption"], entry["title"], default="")).alias("caption"),
+        # a picture's title is no caption
+        strip(first_truthy(entry["caption"], *([] if grp == "pictures" else [entry["title"]]), default="")).alias("caption"),
         F.when(uri.isNotNull(), F.array(uri)).otherwise(F.array().cast("array<string>")).alias("assets"),
-        cells.cast(cell_type).alias("cells"),
+        cells.cast(cell_type).alias("cells"), grid.cast(cell_type).alias("grid"),
     )
 
 
@@ -158,12 +168,21 @@ def element_table(arrays: DataFrame) -> DataFrame:
 
 
 def cell_table(elements: DataFrame) -> DataFrame:
-    """One row per table cell."""
+    """One row per table cell as it is edited: the cell list, else the grid."""
+    return _cells_of(elements, F.col("cells"))
+
+
+def rendered_cells(elements: DataFrame) -> DataFrame:
+    """One row per table cell as it is rendered: the grid, else the cell list."""
+    return _cells_of(elements, F.coalesce("grid", "cells"))
+
+
+def _cells_of(elements: DataFrame, cells: Column) -> DataFrame:
     return unpack(
-        elements.filter(F.col("grp") == "tables"), ["doc_id", F.col("ref").alias("table_ref")], F.col("cells")
+        elements.filter(F.col("grp") == "tables"), ["doc_id", F.col("ref").alias("table_ref"), F.col("pages").alias("page_numbers")], cells
     ).select(
         "doc_id", "table_ref", "row", "col", "seq", "text",
-        F.concat("table_ref", "path").alias("cell_ref"),
+        F.concat("table_ref", "path").alias("cell_ref"), "page_numbers",
     )
 
 
@@ -184,12 +203,13 @@ def line_elements(docs: DataFrame, text: str = "text", heading_chars: int = 0) -
         level = F.when(label == "section_header", F.length(line) % 4 + 1)
         return F.struct(
             F.lit("texts").alias("grp"), i.alias("idx"), F.concat(F.lit("#/texts/"), i.cast("string")).alias("ref"),
-            label.alias("label"), strip(line).alias("text"), line.alias("raw_text"), level.cast("int").alias("level"),
+            label.alias("label"), strip(line).alias("text"), line.alias("raw_text"), line.alias("own_text"), level.cast("int").alias("level"),
             F.array(F.floor(i / 50).cast("int") + 1).alias("pages"), F.lit("body").alias("layer"),
             F.lit("").alias("caption"), F.array().cast("array<string>").alias("assets"),
-            F.lit(None).cast("array<struct<row:int,col:int,seq:int,text:string,path:string>>").alias("cells"),
+            no_cells.alias("cells"), no_cells.alias("grid"),
         )
 
+    no_cells = F.lit(None).cast("array<struct<row:int,col:int,seq:int,text:string,path:string>>")
     lines = lines_of(F.col(text))
     made = F.transform(lines, lambda line, i: let(label_of(line, i), lambda label: item(line, i, label)))
     kept = [c for c in docs.columns if c != text]
@@ -197,26 +217,37 @@ def line_elements(docs: DataFrame, text: str = "text", heading_chars: int = 0) -
 
 
 def clean_elements(elements: DataFrame) -> DataFrame:
-    """Add ``cleaned``: the text after cleanup where the element allows it."""
-    allowed = is_cleanable(F.col("label"), F.col("layer"))
-    return elements.withColumn("cleaned", F.when(allowed, clean_text(F.col("text"))).otherwise(F.col("text")))
+    """Add ``cleaned``: the element's own text after cleanup where the element allows it.
+
+    Only the ``text`` field is cleaned, untrimmed; an element whose text comes
+    from another field has nothing to clean.
+    """
+    allowed = is_cleanable(F.col("label"), F.col("layer")) & F.col("own_text").isNotNull()
+    return elements.withColumn("cleaned", F.when(allowed, clean_text(F.col("own_text"))).otherwise(F.col("own_text")))
 
 
-def change_log(cleaned: DataFrame, before: str = "text", after: str = "cleaned") -> DataFrame:
-    """Audit rows of the texts that cleanup changed."""
+def change_log(cleaned: DataFrame, before: str = "own_text", after: str = "cleaned", ref: str = "ref", pages: str = "pages",
+               sample_chars: int | None = SAMPLE_CHARS) -> DataFrame:
+    """Audit rows of the texts that cleanup changed; ``sample_chars`` cuts the samples (None: whole texts)."""
+    sample = lambda c: F.col(c) if sample_chars is None else F.substring(c, 1, sample_chars)
     return cleaned.filter(F.col(before) != F.col(after)).select(
-        "doc_id", F.lit("conservative_text_cleanup").alias("rule"), F.col("ref").alias("node_ref"),
-        F.col("pages").alias("page_numbers"),
+        "doc_id", F.lit("conservative_text_cleanup").alias("rule"), F.col(ref).alias("node_ref"),
+        F.col(pages).alias("page_numbers"),
         F.length(before).alias("before_chars"), F.length(after).alias("after_chars"),
-        F.substring(before, 1, SAMPLE_CHARS).alias("before_sample"),
-        F.substring(after, 1, SAMPLE_CHARS).alias("after_sample"),
+        sample(before).alias("before_sample"), sample(after).alias("after_sample"),
     )
 
 
 def clean_cells(cells: DataFrame) -> DataFrame:
+    """Add ``cleaned`` to table cells; a cell carries no label, so every cell is cleaned."""
     return cells.withColumn("cleaned", clean_text(F.col("text")))
 
 
+def cell_change_log(cells: DataFrame, sample_chars: int | None = SAMPLE_CHARS) -> DataFrame:
+    """Audit rows of the table cells that cleanup changed."""
+    return change_log(clean_cells(cells), "text", "cleaned", "cell_ref", "page_numbers", sample_chars)
+
+
 def change_counts(changes: DataFrame) -> DataFrame:
     return changes.groupBy("doc_id").agg(F.count(F.lit(1)).alias("change_count"))
 

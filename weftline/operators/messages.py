@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from weftline.functions.coerce import TIME_KEYS, first_truthy, strip, text_moment
 from weftline.operators.rows import unpack
 
-THREAD_PAGE = 50
 MAX_MESSAGE_CHARS = 20000
 MODEL_ROLES = ("user", "assistant", "system")
 
@@ -77,31 +76,37 @@ def effective_time(messages: DataFrame) -> DataFrame:
     return messages.withColumn("ts", F.coalesce("message_ts", "chat_ts"))
 
 
-def thread_page(replies: DataFrame, limit: int = THREAD_PAGE) -> DataFrame:
-    """First ``limit`` replies of each thread, numbered.
+def thread_page(replies: DataFrame, limit: int, skip: int = 0) -> DataFrame:
+    """Replies ``skip + 1`` to ``skip + limit`` of each thread, numbered, and whether ``more`` follow.
 
     The rank filter is applied before the shuffle, so a huge thread sends at
-    most ``limit`` rows per input partition.
+    most ``skip + limit + 1`` rows per input partition.
     """
     order = Window.partitionBy("parent_id").orderBy("seq")
     ranked = replies.select(
         "parent_id", "seq", F.col("id").cast("string").alias("id"), "content",
-    ).withColumn("reply_no", F.row_number().over(order))
-    return ranked.filter(F.col("reply_no") <= limit)
+    ).withColumn("reply_no", F.row_number().over(order)).filter(F.col("reply_no") <= skip + limit + 1)
+    more = F.max("reply_no").over(Window.partitionBy("parent_id")) > skip + limit
+    return ranked.withColumn("more", more).filter((F.col("reply_no") > skip) & (F.col("reply_no") <= skip + limit))
 
 
-def attach_threads(messages: DataFrame, replies: DataFrame, limit: int = THREAD_PAGE) -> DataFrame:
-    """Nest the first page of replies into the parent message.
+def attach_threads(messages: DataFrame, replies: DataFrame, limit: int | None = None, skip: int = 0) -> DataFrame:
+    """Nest the replies into the parent message: all of them, or one page with a ``thread_more`` flag.
 
-    A thread is fetched as one page, so no array outgrows ``limit``; replies
-    beyond it stay available as rows of ``replies``.
+    Without a limit a message holds its whole thread; for threads of unbounded
+    length give a limit, or keep ``replies`` as rows.
     """
-    nested = thread_page(replies, limit).groupBy("parent_id").agg(
-        F.array_sort(F.collect_list(F.struct("reply_no", "id", "content"))).alias("thread")
-    )
+    if limit is None:
+        order = F.array_sort(F.collect_list(F.struct("seq", F.col("id").cast("string").alias("id"), "content")))
+        nested = replies.groupBy("parent_id").agg(order.alias("_t"), F.lit(False).alias("thread_more")).select(
+            "parent_id", "thread_more", F.transform("_t", lambda t, i: F.struct((i + 1).alias("reply_no"), t["id"].alias("id"), t["content"].alias("content"))).alias("thread"))
+    else:
+        nested = thread_page(replies, limit, skip).groupBy("parent_id").agg(
+            F.max("more").alias("thread_more"), F.array_sort(F.collect_list(F.struct("reply_no", "id", "content"))).alias("thread")
+        )
     joined = messages.join(nested, messages["id"] == nested["parent_id"], "left").drop("parent_id")
     empty = F.array().cast("array<struct<reply_no:int,id:string,content:string>>")
-    return joined.withColumn("thread", F.coalesce("thread", empty))
+    return joined.withColumns({"thread": F.coalesce("thread", empty), "thread_more": F.coalesce("thread_more", F.lit(False))})
 
 
 def file_ids(messages: DataFrame, files: str = "files") -> DataFrame:

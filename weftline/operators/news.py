@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.functions.coerce import column_or_null, first_truthy, strip, text_moment
+from weftline.functions.coerce import column_or_null, feed_moment, first_truthy, strip
 from weftline.operators.ordering import number_rows
 
 # Output field, its input aliases in order, and the default.
@@ -132,16 +132,27 @@ def report_input(items: DataFrame, report_date: str, title: str = REPORT_TITLE,
 
 
 def with_feed_category(items: DataFrame, registry: DataFrame) -> DataFrame:
-    """Items labelled with the category of the feed they came from."""
-    feeds = registry.select(F.col("url").alias("feed_url"), F.col("source_category").alias("_category"))
-    labelled = items.join(feeds, "feed_url", "left")
-    return labelled.withColumn("source_category", F.coalesce("_category", F.lit(""))).drop("_category")
+    """Items labelled with the category of the feed they came from.
+
+    A feed under several headings takes the first of them (by ``seq`` if the
+    registry has it); an item of an unlisted feed keeps its own label.
+    """
+    place = F.col("seq") if "seq" in registry.columns else F.col("source_category")
+    feeds = registry.filter(F.coalesce("source_category", F.lit("")) != "").groupBy(F.col("url").alias("feed_url")).agg(
+        F.min_by("source_category", F.struct(place, F.col("source_category"))).alias("_category"))
+    own = F.coalesce(column_or_null(items, "source_category"), F.lit(""))
+    return items.join(feeds, "feed_url", "left").withColumn("source_category", F.coalesce("_category", own)).drop("_category")
+
+
+def published_moment(items: DataFrame, published: str) -> Column:
+    """The publication time; texts are read in every form feeds use."""
+    return feed_moment(F.col(published)) if dict(items.dtypes)[published] == "string" else F.col(published).cast("timestamp")
 
 
 def recent(items: DataFrame, until: str, hours: int = 72, published: str = "published_at") -> DataFrame:
     """Items published in the last ``hours`` before ``until``."""
     high = F.lit(until).cast("timestamp")
-    ts = text_moment(F.col(published))
+    ts = published_moment(items, published)
     return items.filter((ts >= high - F.make_dt_interval(hours=F.lit(hours))) & (ts <= high))
 
 
@@ -152,14 +163,16 @@ def topic_key(title: Column) -> Column:
 
 
 def one_per_topic(items: DataFrame, title: str = "title", priority: str = "source_priority", published: str = "published_at") -> DataFrame:
-    """One item per topic: primary sources first, then the earliest.
+    """One item per topic: primary sources first, then the earliest; an item without a date comes last.
 
-    A minimum per key, reduced before the shuffle, so a topic that holds a
-    third of all items sends one row per task.
+    Only the keys are reduced, before the shuffle, so a topic that holds a
+    third of all items sends one short row per task; the chosen items are then
+    joined by their ``seq``, which identifies an item.
     """
-    kept = F.struct(priority, published, "seq", *[c for c in items.columns if c not in (priority, published, "seq")])
-    best = items.groupBy(topic_key(F.col(title)).alias("topic")).agg(F.min(kept).alias("b"), F.count(F.lit(1)).alias("copies"))
-    return best.select("topic", "copies", *[F.col(f"b.{c}").alias(c) for c in items.columns])
+    ts = published_moment(items, published)
+    order = F.struct(F.col(priority).isNull().alias("p0"), F.col(priority).alias("p"), ts.isNull().alias("t0"), ts.alias("t"), F.col("seq").alias("seq"))
+    best = items.groupBy(topic_key(F.col(title)).alias("topic")).agg(F.min(order)["seq"].alias("_seq"), F.count(F.lit(1)).alias("copies"))
+    return items.join(best, items["seq"] == best["_seq"]).select("topic", "copies", *[items[c] for c in items.columns])
 
 
 def balanced(items: DataFrame, limits: dict[str, int] | None = None, source: str = "source", priority: str = "source_priority") -> DataFrame:
@@ -180,8 +193,8 @@ def balanced(items: DataFrame, limits: dict[str, int] | None = None, source: str
 
 
 def newest_per_feed(items: DataFrame, count: int = 1, feed: str = "feed_url", published: str = "published_at") -> DataFrame:
-    """Newest ``count`` items of each feed; 0 keeps all."""
+    """Newest ``count`` items of each feed, by date; undated ones come last. 0 keeps all."""
     if count == 0:
         return items
-    order = Window.partitionBy(feed).orderBy(F.desc(published), "seq")
+    order = Window.partitionBy(feed).orderBy(published_moment(items, published).desc_nulls_last(), "seq")
     return items.withColumn("feed_rank", F.row_number().over(order)).filter(F.col("feed_rank") <= count).drop("feed_rank")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -61,18 +62,25 @@ def _embedded_object(raw: pd.Series, key: pd.Series) -> pd.Series:
 
 
 def _payload(raw: Column, key: str) -> Column:
-    """JSON text of a response: the whole text, else an embedded object.
+    """JSON text of a response that parses whole or inside a fence, else NULL: the rest is searched in Python.
 
-    Nearly every response parses whole or inside a fence on the JVM; only the
-    rest is handed to Python.
+    With a ``key`` a whole text counts whatever it is, and a fenced one only as
+    an object with that key; without one, both count as objects only.
     """
     whole = strip(raw)
     unfenced = strip(F.regexp_extract(whole, "(?s)^" + FENCE + r"\w*\n(.*)\n" + FENCE + r"$", 1))
 
-    def parsed(text: Column) -> Column:
-        return F.when(F.try_parse_json(text).isNotNull(), text)
+    def parsed(text: Column, test: Callable[[Column], Column]) -> Column:
+        return F.when(F.coalesce(test(F.try_parse_json(text)), F.lit(False)), text)
 
-    return F.coalesce(parsed(whole), parsed(F.nullif(unfenced, F.lit(""))))
+    def is_object(value: Column) -> Column:
+        return F.startswith(F.schema_of_variant(value), F.lit("OBJECT"))
+
+    def has_key(value: Column) -> Column:
+        return is_object(value) & F.try_variant_get(value, f"$.{key}", "variant").isNotNull()
+
+    tests = (lambda v: v.isNotNull(), has_key) if key else (is_object, is_object)
+    return F.coalesce(parsed(whole, tests[0]), parsed(F.nullif(unfenced, F.lit("")), tests[1]))
 
 
 def read_responses(responses: DataFrame, strict: bool = True) -> tuple[DataFrame, DataFrame]:

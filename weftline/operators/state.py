@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,7 +28,10 @@ def directory_hash(hashes: DataFrame, root: str) -> DataFrame:
 
     Works on the short hash rows, never on file contents.
     """
-    relative = F.regexp_replace(F.col("path"), "^(file:)?/*" + root.strip("/") + "/", "")
+    # scheme and host go, then the root as plain text
+    path = F.regexp_replace(F.col("path"), "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+    path, top = F.ltrim(path, F.lit("/")), re.sub("^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", root).strip("/") + "/"
+    relative = F.when(F.startswith(path, F.lit(top)), F.substring(path, len(top) + 1, 1 << 30)).otherwise(path)
     lines = hashes.select(relative.alias("p"), "sha256")
     ordered = F.array_sort(F.collect_list(F.struct("p", "sha256")))
     nul = F.lit("\0")
@@ -107,8 +112,7 @@ def resume_plan(states: DataFrame, artifacts: DataFrame, config: DataFrame) -> D
     """
     found = artifacts.select("stage", "unit_id", F.col("sha256").alias("artifact_sha256"))
     current = config.select("stage", F.col("config_hash").alias("now_config"), F.col("input_hash").alias("now_input"))
-    # one row per stage of a fixed short list, joined to states that share few stages
-    joined = states.join(found, ["stage", "unit_id"], "left").join(F.broadcast(current), "stage", "left")
+    joined = states.join(found, ["stage", "unit_id"], "left").join(current, "stage", "left")
     reason = (
         F.when(F.col("status") == "running", "stale running")
         .when(F.col("status") != "completed", "not completed")

@@ -184,7 +184,7 @@ _REPLIES_SQL = "select conv_id as id, cast(conv_id as varchar) || '-' || turn as
 
 
 @query("thread_attach", f"""
-select c.conv_id as id, coalesce(string_agg(r.reply_id, ',' order by r.turn) filter (where r.turn <= 3), '') as replies
+select c.conv_id as id, coalesce(string_agg(r.reply_id, ',' order by r.turn), '') as replies
 from conversations c left join ({_REPLIES_SQL}) r on r.id = c.conv_id where c.turn = 0 group by 1""")
 def thread_attach(spark, d):
     c = table(spark, d, "conversations")
@@ -193,7 +193,7 @@ def thread_attach(spark, d):
         F.col("conv_id").alias("parent_id"), F.col("turn").alias("seq"),
         F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), F.col("text").alias("content"),
     )
-    nested = messages.attach_threads(heads, replies, limit=3)
+    nested = messages.attach_threads(heads, replies)
     return nested.select("id", F.array_join(F.transform("thread", lambda t: t["id"]), ",").alias("replies"))
 
 

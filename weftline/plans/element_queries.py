@@ -157,23 +157,46 @@ def normalize_text_query(spark, d):
 
 
 def noisy_elements(spark: SparkSession, d: str) -> DataFrame:
-    """Noisy documents as one element each, labels by document number."""
+    """Noisy documents as one element each, labels by document number; some padded, some with their text in another field."""
     label = F.element_at(F.array(*[F.lit(x) for x in ("paragraph", "code", "page_header", "text", "list_item")]), (F.col("doc_id") % 5 + 1).cast("int"))
     return inputs.noisy_documents(spark, d).select(
         "doc_id", F.lit("texts").alias("grp"), F.lit(0).alias("idx"), F.lit("#/texts/0").alias("ref"), label.alias("label"), "text",
-        F.col("text").alias("raw_text"), F.array(F.lit(1)).alias("pages"), F.when(F.col("doc_id") % 7 == 0, "furniture").otherwise("body").alias("layer"),
+        F.col("text").alias("raw_text"), F.when(F.col("doc_id") % 4 == 2, F.concat(F.lit("  "), "text", F.lit(" "))).when(F.col("doc_id") % 4 < 2, F.col("text")).alias("own_text"),
+        F.array(F.lit(1)).alias("pages"), F.when(F.col("doc_id") % 7 == 0, "furniture").otherwise("body").alias("layer"),
     )
 
 
 _NOISY_LABEL = "case doc_id % 5 when 0 then 'paragraph' when 1 then 'code' when 2 then 'page_header' when 3 then 'text' else 'list_item' end"
-_CHANGES = f"""n as (select doc_id, text, case when doc_id % 5 in (1, 2) or doc_id % 7 = 0 then text else {_outside_urls('text')} end as cleaned from ({NOISY_SQL}))"""
+_CHANGES = f"""own as (select doc_id, case when doc_id % 4 = 2 then '  ' || text || ' ' when doc_id % 4 < 2 then text end as text from ({NOISY_SQL})),
+n as (select doc_id, text, case when doc_id % 5 in (1, 2) or doc_id % 7 = 0 then text else {_outside_urls('text')} end as cleaned from own)"""
 
 
 @query("clean_changes", f"""
 with {_CHANGES} select doc_id, 'conservative_text_cleanup' as rule, '#/texts/0' as node_ref, cast(length(text) as integer) as before_chars,
-cast(length(cleaned) as integer) as after_chars, left(text, 120) as before_sample, left(cleaned, 120) as after_sample from n where text <> cleaned""")
+cast(length(cleaned) as integer) as after_chars, left(text, 120) as before_sample, left(cleaned, 120) as after_sample, [1] as page_numbers from n where text <> cleaned""")
 def clean_changes(spark, d):
-    return elements.change_log(elements.clean_elements(noisy_elements(spark, d))).drop("page_numbers")
+    return elements.change_log(elements.clean_elements(noisy_elements(spark, d)))
+
+
+def noisy_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Every line of the noisy documents as a padded table cell."""
+    lines = inputs.noisy_documents(spark, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("k", "text"))
+    return lines.select(
+        "doc_id", F.concat(F.lit("#/tables/0/data/table_cells/"), F.col("k").cast("string")).alias("cell_ref"),
+        F.concat(F.lit(" "), "text", F.lit(" ")).alias("text"), F.array(F.lit(2)).alias("page_numbers"),
+    )
+
+
+_CELLS = f"""cells as (select doc_id, '#/tables/0/data/table_cells/' || (k - 1) as ref, ' ' || w || ' ' as before from
+(select doc_id, unnest(l) as w, generate_subscripts(l, 1) as k from (select doc_id, string_split(text, chr(10)) as l from ({NOISY_SQL}))))"""
+
+
+@query("clean_cell_changes", f"""
+with {_CELLS}, n as (select *, {_outside_urls('before')} as after from cells)
+select doc_id, 'conservative_text_cleanup' as rule, ref as node_ref, [2] as page_numbers, cast(length(before) as integer) as before_chars,
+cast(length(after) as integer) as after_chars, left(before, 120) as before_sample, left(after, 120) as after_sample from n where before <> after""")
+def clean_cell_changes(spark, d):
+    return elements.cell_change_log(noisy_cells(spark, d))
 
 
 @query("clean_change_counts", f"with {_CHANGES} select doc_id, count(*) as change_count from n where text <> cleaned group by 1")
@@ -185,16 +208,12 @@ _CODE_NOISY = f"({_NOISY_LABEL} = 'code' or regexp_matches(text, '{CODE_SQL}'))"
 
 
 @query("normalize_patches", f"""
-with n as (select doc_id, text as before, case when {_CODE_NOISY} then text else {STRIP_SQL.format(_outside_urls('text', False))} end as after from ({NOISY_SQL})),
-c as (select doc_id, '#/tables/0/data/table_cells/' || k as ref, w as before from (select doc_id, string_split(text, chr(10)) as l from ({NOISY_SQL})), lateral (select unnest([l[1], l[2]]) as w, unnest([0, 1]) as k))
+with n as (select doc_id, text as before, case when {_CODE_NOISY} then text else {STRIP_SQL.format(_outside_urls('text', False))} end as after from ({NOISY_SQL})), {_CELLS}
 select doc_id, 'set_text' as op, '#/texts/0' as ref, 'normalize text noise' as reason, before, after from n where before <> after
-union all select doc_id, 'set_table_cell_text', ref, 'normalize table cell', before, {STRIP_SQL.format(_outside_urls('before', False))} from c
-where before is not null and before <> {STRIP_SQL.format(_outside_urls('before', False))}""")
+union all select doc_id, 'set_table_cell_text', ref, 'normalize table cell', before, {STRIP_SQL.format(_outside_urls('before', False))} from cells
+where before <> {STRIP_SQL.format(_outside_urls('before', False))}""")
 def normalize_patches(spark, d):
-    cells = inputs.noisy_documents(spark, d).select("doc_id", F.slice(lines_of(F.col("text")), 1, 2).alias("l")).select(
-        "doc_id", F.posexplode("l").alias("k", "text")
-    ).select("doc_id", F.concat(F.lit("#/tables/0/data/table_cells/"), F.col("k").cast("string")).alias("cell_ref"), "text")
-    return elements.normalization_patches(noisy_elements(spark, d), cells)
+    return elements.normalization_patches(noisy_elements(spark, d), noisy_cells(spark, d))
 
 
 _WORDS = f"select doc_id, generate_subscripts(l, 1) - 1 as k, unnest(l) as w from (select doc_id, regexp_split_to_array(text, '[ \\n]') as l from ({NOISY_SQL}))"

@@ -16,18 +16,9 @@ from weftline.operators.elements import line_elements
 SINCE, UNTIL = "2024-01-05 00:00:00", "2024-01-25 23:59:59"
 
 
-TEXT_TABLES = ("documents", "pages", "conversations")
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table. Text tables stored in fewer files than there are cores
-    are spread over the cores, as the work per byte is high; tables of many
-    files are read as they lie."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in TEXT_TABLES and len(df.inputFiles()) < cores:
-        return df.repartition(cores)
-    return df
+    """A given table, read as it lies."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _user(user_id: Column) -> Column:

@@ -112,15 +112,34 @@ def news_report_input(spark, d):
 
 
 @query("news_feed_category", f"""
-with f as ({inputs.FEED_SQL}) select seq, feed_url, case when source like '%.com' then 'com' when source like '%.org' then 'org' else '' end as source_category from f""")
+with f as ({inputs.FEED_SQL}) select seq, feed_url, case when source like '%.com' then 'a com' when source like '%.org' then 'org' else 'own' || seq % 3 end as source_category from f""")
 def news_feed_category(spark, d):
-    items = inputs.feed_items(spark, d).select("seq", "feed_url")
+    """The registry lists some feeds twice; items of feeds it does not list keep their own label."""
+    items = inputs.feed_items(spark, d).select("seq", "feed_url", F.concat(F.lit("own"), (F.col("seq") % 3).cast("string")).alias("source_category"))
     registry = inputs.feed_items(spark, d).select("feed_url", "site").distinct().select(
         F.col("feed_url").alias("url"), F.when(F.col("site").endswith(".com"), "com").when(F.col("site").endswith(".org"), "org").alias("source_category"),
     ).filter(F.col("source_category").isNotNull())
+    registry = registry.unionByName(registry.filter("source_category = 'com'").withColumn("source_category", F.lit("a com")))
     return news.with_feed_category(items, registry)
 
 
+def dated_items(spark: SparkSession, d: str) -> DataFrame:
+    """Feed items whose dates come as ISO text, as RFC 822 text in two zones, or not at all."""
+    ts = F.to_timestamp("date")
+    mail = F.date_format(ts + F.make_dt_interval(hours=F.lit(9)), "EEE, d MMM yyyy HH:mm:ss")
+    form = F.col("seq") % 4
+    date = F.when(form == 0, F.col("date")).when(form == 1, F.concat(mail, F.lit(" +0900"))).when(form == 2, F.concat(F.date_format(ts, "dd MMM yyyy HH:mm:ss"), F.lit(" GMT")))
+    return inputs.feed_items(spark, d).withColumn("date", date)
+
+
+_DATED = f"d as (select *, case when seq % 4 < 3 then strptime(published_at, '%Y-%m-%dT%H:%M:%SZ') end as ts from ({inputs.FEED_SQL}))"
+
+
+@query("news_recent_dates", f"with {_DATED} select seq from d where ts between timestamp '{UNTIL}' - interval 72 hours and timestamp '{UNTIL}'")
+def news_recent_dates(spark, d):
+    return news.recent(news.normalize_news(dated_items(spark, d)), UNTIL).select("seq")
+
+
 @query("news_recent", f"""
 with f as ({inputs.FEED_SQL}) select seq, published_at from f
 where strptime(published_at, '%Y-%m-%dT%H:%M:%SZ') between timestamp '{UNTIL}' - interval 72 hours and timestamp '{UNTIL}'""")
@@ -134,17 +153,17 @@ def ranked_documents(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select(
         F.col("doc_id").alias("seq"), F.split("text", "\n").getItem(0).alias("title"), "source",
         F.lit("articles").alias("section"), F.when(F.col("lang") == "en", 0).otherwise(1).alias("source_priority"),
-        F.format_string("2024-01-%02d", (F.col("doc_id") % 28 + 1).cast("int")).alias("published_at"),
+        F.when(F.col("doc_id") % 5 > 0, F.format_string("2024-01-%02d", (F.col("doc_id") % 28 + 1).cast("int"))).alias("published_at"),
     )
 
 
 _RANKED = """docs as (select doc_id as seq, string_split(text, chr(10))[1] as title, source, 'articles' as section,
-case when lang = 'en' then 0 else 1 end as source_priority, '2024-01-' || lpad(cast(doc_id % 28 + 1 as varchar), 2, '0') as published_at from documents)"""
+case when lang = 'en' then 0 else 1 end as source_priority, case when doc_id % 5 > 0 then '2024-01-' || lpad(cast(doc_id % 28 + 1 as varchar), 2, '0') end as published_at from documents)"""
 _TOPIC = r"sha256(trim(regexp_replace(lower(trim(title)), '[^\p{L}\p{N}]+', ' ', 'g')))"
 
 
 @query("news_dedup", f"""
-with {_RANKED}, r as (select *, {_TOPIC} as topic, row_number() over (partition by {_TOPIC} order by source_priority, published_at, seq) as rn,
+with {_RANKED}, r as (select *, {_TOPIC} as topic, row_number() over (partition by {_TOPIC} order by source_priority, published_at nulls last, seq) as rn,
 count(*) over (partition by {_TOPIC}) as copies from docs)
 select topic, copies, seq, title, source, section, source_priority, published_at from r where rn = 1""")
 def news_dedup(spark, d):
@@ -175,11 +194,11 @@ def news_balanced(spark, d):
 
 
 @query("news_feed_topn", f"""
-with f as ({inputs.FEED_SQL}), r as (select seq, feed_url, published_at, row_number() over (partition by feed_url order by published_at desc, seq) as rn from f)
-select seq, feed_url, published_at from r where rn <= 2""")
+with {_DATED}, r as (select seq, feed_url, row_number() over (partition by feed_url order by ts desc nulls last, seq) as rn from d)
+select seq, feed_url from r where rn <= 2""")
 def news_feed_topn(spark, d):
-    items = inputs.feed_items(spark, d).select("seq", "feed_url", F.col("date").alias("published_at"))
-    return news.newest_per_feed(items, 2)
+    items = dated_items(spark, d).select("seq", "feed_url", F.col("date").alias("published_at"))
+    return news.newest_per_feed(items, 2).select("seq", "feed_url")
 
 
 @query("news_feed_all", f"with f as ({inputs.FEED_SQL}) select seq, feed_url from f")

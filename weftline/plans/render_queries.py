@@ -94,7 +94,7 @@ t as (select doc_id, '**Words**' || chr(10) || chr(10) || '| ' || coalesce(repla
 p as (select doc_id, '![image](img/' || doc_id || '.png)' as md from documents) select doc_id, t.md as table_part, p.md as picture_part from t join p using (doc_id)""")
 def document_render_tables(spark, d):
     flat = elements.element_table(elements.element_arrays(document_payloads(spark, d), order="index"))
-    tables = rendering.tables_markdown(elements.cell_table(flat), escape=True)
+    tables = rendering.tables_markdown(elements.rendered_cells(flat), escape=True)
     parts = rendering.document_parts(flat.filter(F.col("grp") != "texts"), tables)
     return parts.groupBy("doc_id").agg(
         F.max(F.when(F.col("part").startswith("**"), F.col("part"))).alias("table_part"),

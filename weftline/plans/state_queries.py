@@ -226,13 +226,13 @@ def channel_rows(spark, d):
 
 @query("stitched_pages", """
 with p as (select l_orderkey as k, cast(l_linenumber as integer) as page, count(*) as n from lineitem group by 1, 2),
-e as (select k, min(case when n < 1 + k % 2 then page end) as last from p where page < 5 group by 1)
-select p.k, p.page, p.n from p join e using (k) where page < 5 and (last is null or page <= last)""")
+e as (select k, min(case when n < 1 + k % 2 then page end) as last from p group by 1)
+select p.k, p.page, p.n from p join e using (k) where last is null or page <= last""")
 def stitched_pages(spark, d):
     """Order lines as page dumps; every second order wants two items a page."""
     pages = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("page")).agg(F.collect_list("l_partkey").alias("items"))
-    odd = dumps.stitch_pages(pages.filter("k % 2 = 1"), page_size=2, max_pages=5, keys=["k"])
-    even = dumps.stitch_pages(pages.filter("k % 2 = 0"), page_size=1, max_pages=5, keys=["k"])
+    odd = dumps.stitch_pages(pages.filter("k % 2 = 1"), page_size=2, keys=["k"])
+    even = dumps.stitch_pages(pages.filter("k % 2 = 0"), page_size=1, keys=["k"])
     return odd.unionByName(even).groupBy("k", "page").agg(F.count(F.lit(1)).alias("n"))
 
 

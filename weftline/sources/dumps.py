@@ -89,14 +89,14 @@ def channels(dump: DataFrame, payload: str = "payload") -> DataFrame:
     ).filter(F.col("id").isNotNull())
 
 
-def stitch_pages(pages: DataFrame, page_size: int = 100, max_pages: int = 100, keys: list[str] | None = None) -> DataFrame:
-    """Items of a paged dump up to and including the first short page.
+def stitch_pages(pages: DataFrame, page_size: int = 100, max_pages: int | None = None, keys: list[str] | None = None) -> DataFrame:
+    """Items of a paged dump up to and including the first short page, or ``max_pages`` if given.
 
     ``pages``: page, items (plus ``keys``). Only page numbers and sizes are
     aggregated; the items stay where they are.
     """
     groups = keys or ["_all"]
-    sized = pages.filter(F.col("page") < max_pages)
+    sized = pages if max_pages is None else pages.filter(F.col("page") < max_pages)
     if not keys:
         sized = sized.withColumn("_all", F.lit(0))
     ends = sized.groupBy(*groups).agg(F.min(F.when(F.size("items") < page_size, F.col("page"))).alias("_end"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions.arrays import let
-from weftline.functions.coerce import lines_of, strip
+from weftline.functions.coerce import feed_moment, lines_of, strip
 from weftline.operators.rows import unpack
 
 # Element names of the three feed formats.
@@ -44,7 +44,7 @@ def read_registry(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_feed_items(spark: SparkSession, path: str, kind: str = "rss") -> DataFrame:
-    """Items of feed dumps as texts; nothing is inferred."""
+    """Items of feed dumps as texts, with the date also as a timestamp (``published_ts``)."""
     schema = _ATOM_SCHEMA if kind == "atom" else _RSS_SCHEMA
     rows = spark.read.format("xml").option("rowTag", ITEM_TAGS[kind]).schema(schema).load(path)
     feed = F.col("_metadata.file_path").alias("feed_url")
@@ -55,9 +55,9 @@ def read_feed_items(spark: SparkSession, path: str, kind: str = "rss") -> DataFr
         )
         return rows.select(
             feed, "title", link.alias("url"), F.coalesce("published", "updated").alias("published_at"),
-            F.coalesce("summary", "content").alias("summary"),
+            F.coalesce("summary", "content").alias("summary"), feed_moment(F.coalesce("published", "updated")).alias("published_ts"),
         )
     return rows.select(
         feed, "title", F.col("link").alias("url"), F.coalesce("pubDate", "date").alias("published_at"),
-        F.col("description").alias("summary"),
+        F.col("description").alias("summary"), feed_moment(F.coalesce("pubDate", "date")).alias("published_ts"),
     )
