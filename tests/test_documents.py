@@ -160,21 +160,23 @@ def test_glossary(spark):
     assert tuple(glossary.entry_counts(raw).first()) == (3, 2)
     entries = glossary.effective_entries(raw)
     chunks = spark.createDataFrame([(0, 1, "The dod will publish guidance.")], "doc_id long, chunk_no long, source_text string")
-    for join_terms in (300, 0):
-        chosen = glossary.select_entries(chunks, entries, join_terms=join_terms)
-        assert glossary.prompt_terms(chosen).first().glossary_text == "- DoD => 米国国防総省 / 軍事 / 省\n- Air => 空"
+    chosen = glossary.select_entries(chunks, entries)
+    assert glossary.prompt_terms(chosen).first().glossary_text == "- DoD => 米国国防総省 / 軍事 / 省\n- Air => 空"
+    half = spark.createDataFrame([(0, "", "空", "", ""), (1, "Sea", " ", "", "")], raw.schema)
+    assert glossary.effective_entries(half).count() == 0 and glossary.entry_problems(half).count() == 2
     none = glossary.translation_messages(chunks, glossary.prompt_terms(glossary.select_entries(chunks, entries.limit(0)))).first()
     assert "用語辞書:\nなし\n" in none.messages[1].content
 
 
-def test_glossary_batches(spark, monkeypatch):
-    monkeypatch.setattr(glossary, "BATCH_TERMS", 7)
+@pytest.mark.parametrize(("count", "broadcast"), [(1, 50_000), (60, 50_000), (60, 0), (3000, 50_000)])
+def test_glossary_of_any_size(spark, monkeypatch, count, broadcast):
+    monkeypatch.setattr(glossary, "BROADCAST_TERMS", broadcast)
     rng = random.Random(3)
-    words = sorted({"".join(rng.choice("abAB") for _ in range(rng.randrange(1, 5))) for _ in range(60)})
-    texts = ["".join(rng.choice("abAB ") for _ in range(40)) for _ in range(20)]
+    words = sorted({"".join(rng.choice("abAB🦖") for _ in range(rng.randrange(1, 9))) for _ in range(count)})
+    texts = ["".join(rng.choice("abAB \n🦖") for _ in range(60)) for _ in range(20)] + ["", "ab"]
     terms = spark.createDataFrame([(w,) for w in words], "english string")
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    found = {tuple(r) for r in glossary.matches(docs, terms, "text", ("doc_id",), join_terms=0).collect()}
+    found = {tuple(r) for r in glossary.matches(docs, terms, "text", ("doc_id",)).collect()}
     assert found == {(i, w) for i, t in enumerate(texts) for w in words if w.lower() in t.lower()}
 
 

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,8 +12,9 @@ from weftline.operators.rows import unpack
 COLUMNS = ("english", "japanese", "genre", "description")
 NO_TERMS = "なし"
 MATCH_LIMIT = 80
-JOIN_TERMS = 300
-BATCH_TERMS = 200_000
+# Characters of a term that stand in for it in the join; terms broadcast at most, by count.
+GRAM = 4
+BROADCAST_TERMS = 50_000
 SYSTEM_PROMPT = (
     "あなたは軍事・政策文書に強い日英翻訳者です。"
     "原文の意味を保持し、Markdown 構造を壊さず、日本語へ翻訳してください。"
@@ -49,8 +47,12 @@ def entry_problems(raw: DataFrame) -> DataFrame:
 
 
 def effective_entries(raw: DataFrame) -> DataFrame:
-    """One entry per term: the last one given wins."""
-    usable = trimmed_entries(raw)
+    """One entry per term: the last one given wins.
+
+    Entries without a term or a translation are left out; ``entry_problems``
+    reports them.
+    """
+    usable = trimmed_entries(raw).filter((F.col("english") != "") & (F.col("japanese") != ""))
     best = usable.groupBy("english").agg(
         F.max_by(F.struct("japanese", "genre", "description"), "seq").alias("e")
     )
@@ -66,82 +68,54 @@ def entry_counts(raw: DataFrame) -> DataFrame:
 
 
 def matches(chunks: DataFrame, entries: DataFrame, text: str = "source_text",
-            keys: tuple[str, ...] = ("doc_id", "chunk_no"), join_terms: int = JOIN_TERMS) -> DataFrame:
+            keys: tuple[str, ...] = ("doc_id", "chunk_no")) -> DataFrame:
     """Entries whose term occurs in a chunk, ignoring case.
 
-    Containment has no join key, so the terms travel to the texts. A counted
-    handful is compared by a broadcast join on the JVM. More terms are searched
-    for in one pass over each text with an automaton, in batches of at most
-    ``BATCH_TERMS`` terms, so what is sent to the tasks stays bounded however
-    large the glossary is. Neither way shuffles the texts.
+    Containment has no join key, so the beginning of a term stands in: its
+    first ``GRAM`` characters, or all of a shorter term. A chunk offers its
+    distinct character sequences of those lengths, the join finds the terms
+    that may occur, and these are looked for in the text. ``keys`` identify a
+    chunk. The texts are joined once, with one row of candidates per chunk.
     """
-    terms = entries.select("english", F.lower("english").alias("_t")).distinct()
+    terms = entries.select("english", F.lower("english").alias("_t")).filter("_t != ''").distinct()
+    keyed = terms.withColumn("_gram", F.substring("_t", 1, GRAM))
+    sizes = keyed.agg(F.collect_set(F.length("_gram")).alias("sizes"), F.count(F.lit(1)).alias("n")).first()
     lowered = chunks.select(*keys, F.lower(text).alias("_text"))
-    total = terms.count()
-    if total <= join_terms:
-        return lowered.join(F.broadcast(terms), F.contains("_text", F.col("_t"))).select(*keys, "english")
-    batches = -(-total // BATCH_TERMS)
-    found = None
-    for number in range(batches):
-        # hash batches hold about BATCH_TERMS short strings each
-        mine = terms if batches == 1 else terms.filter(F.pmod(F.xxhash64("english"), F.lit(batches)) == number)
-        pairs = chunks.sparkSession.sparkContext.broadcast([(r.english, r["_t"]) for r in mine.collect()])
-        part = unpack(lowered, list(keys), _search_udf(pairs)("_text"), item="english")
-        found = part if found is None else found.unionByName(part)
-    return found
-
-
-_AUTOMATA: dict = {}
-
-
-def _automaton(key: str, pairs: list[tuple[str, str]]):
-    """Search automaton of the terms, built once per worker process."""
-    if key not in _AUTOMATA:
-        import ahocorasick
-
-        spelled: dict[str, list[str]] = {}
-        for english, lowered in pairs:
-            spelled.setdefault(lowered, []).append(english)
-        automaton = ahocorasick.Automaton()
-        for lowered, names in spelled.items():
-            automaton.add_word(lowered, names)
-        automaton.make_automaton()
-        _AUTOMATA[key] = automaton
-    return _AUTOMATA[key]
-
-
-def _search_udf(pairs):
-    key = uuid.uuid4().hex
-
-    @F.arrow_udf("array<string>")
-    def search(texts: pa.Array) -> pa.Array:
-        automaton = _automaton(key, pairs.value)
-        hits = ({n for _, names in automaton.iter(t) for n in names} if t else () for t in texts.to_pylist())
-        return pa.array([sorted(h) for h in hits], type=pa.list_(pa.string()))
-    return search
+    # overlapping sequences: a match of no width at every place
+    grams = [F.regexp_extract_all("_text", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in sorted(sizes.sizes)] or [F.array().cast("array<string>")]
+    offered = unpack(lowered, list(keys), F.array_distinct(F.concat(*grams)), item="_gram")
+    # a broadcast of the counted terms spares the shuffle of the sequences; the rows are the same
+    side = F.broadcast(keyed) if sizes.n <= BROADCAST_TERMS else keyed
+    maybe = offered.join(side, "_gram").groupBy(*keys).agg(F.collect_list(F.struct("english", "_t")).alias("_maybe"))
+    found = F.filter("_maybe", lambda m: F.contains(F.col("_text"), m["_t"]))
+    return unpack(lowered.join(maybe, list(keys)), list(keys), F.transform(found, lambda m: m["english"]), item="english")
 
 
 def select_entries(chunks: DataFrame, entries: DataFrame, limit: int = MATCH_LIMIT, text: str = "source_text",
-                   keys: tuple[str, ...] = ("doc_id", "chunk_no"), join_terms: int = JOIN_TERMS) -> DataFrame:
+                   keys: tuple[str, ...] = ("doc_id", "chunk_no")) -> DataFrame:
     """Per chunk, matching entries first, filled with others up to ``limit``.
 
-    The filler of any chunk lies among the first ``2 * limit`` terms overall,
-    which travel as a literal array; it is picked inside the chunk's own row.
+    The filler of any chunk lies among the first ``2 * limit`` entries overall,
+    which travel as a literal array; it is picked inside the chunk's own row, so
+    only matches are joined with the entries.
     """
-    head = [r.english for r in entries.select("english").orderBy("english").limit(2 * limit).collect()]
-    found = matches(chunks, entries, text, keys, join_terms)
+    fields = ("english", *COLUMNS[1:])
+    head = entries.select(*fields).orderBy("english").limit(2 * limit).collect()
+    kind = f"array<struct<{','.join(f'{c}:string' for c in fields)}>>"
+    none = F.array().cast(kind)
     order = Window.partitionBy(*keys).orderBy("english")
-    ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
-    per_chunk = ranked.groupBy(*keys).agg(F.array_sort(F.collect_list("english")).alias("_hits"))
-    none = F.array().cast("array<string>")
-    joined = chunks.select(*keys).join(per_chunk, list(keys), "left").withColumn("_hits", F.coalesce("_hits", none))
-    pool = F.array(*[F.lit(t) for t in head]) if head else none
-    filler = F.slice(F.array_except(pool, "_hits"), F.lit(1), F.lit(limit) - F.size("_hits"))
-    chosen = F.concat(
-        F.transform("_hits", lambda t, i: F.struct((i + 1).alias("rank"), t.alias("english"), F.lit(True).alias("matched"))),
-        F.transform(filler, lambda t, i: F.struct((F.size("_hits") + i + 1).alias("rank"), t.alias("english"), F.lit(False).alias("matched"))),
-    )
-    return unpack(joined, list(keys), chosen).join(entries, "english")
+    ranked = matches(chunks, entries, text, keys).withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= limit)
+    hits = ranked.join(entries.select(*fields), "english").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("_hits"))
+    joined = chunks.select(*keys).join(hits, list(keys), "left").withColumn("_hits", F.coalesce(F.col("_hits").cast(kind), none))
+    pool = F.array(*[F.struct(*[F.lit(r[c]).cast("string").alias(c) for c in fields]) for r in head]) if head else none
+    taken = F.transform("_hits", lambda h: h["english"])
+    filler = F.slice(F.filter(pool, lambda e: ~F.array_contains(taken, e["english"])), F.lit(1), F.lit(limit) - F.size("_hits"))
+
+    def numbered(found: Column, matched: bool, before: Column) -> Column:
+        return F.transform(found, lambda e, i: F.struct(
+            *[e[c].alias(c) for c in fields], (before + i + 1).cast("int").alias("rank"), F.lit(matched).alias("matched")))
+
+    return unpack(joined, list(keys), F.concat(numbered(F.col("_hits"), True, F.lit(0)), numbered(filler, False, F.size("_hits"))))
 
 
 def entry_line() -> Column:

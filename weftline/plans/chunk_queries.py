@@ -150,10 +150,10 @@ def glossary_match(spark, d):
 
 @query("glossary_search", f"with {_TERMS} select cast(conv_id * 1000 + turn as bigint) as doc_id, english from conversations, terms where contains(lower(text), english)")
 def glossary_search(spark, d):
-    """The one-pass search taken by a glossary of more than a few terms."""
+    """The same search over conversation turns."""
     texts = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
     terms = glossary.effective_entries(inputs.short_terms(spark, d))
-    return glossary.matches(texts, terms, "text", KEYS, join_terms=0)
+    return glossary.matches(texts, terms, "text", KEYS)
 
 
 _FILL = f"""{_TERMS}, hit as (select doc_id, english, true as matched from documents, terms where contains(lower(text), english)),
@@ -161,16 +161,16 @@ pool as (select d.doc_id, t.english, t.japanese, h.matched is not null as matche
 picked as (select *, row_number() over (partition by doc_id order by matched desc, english) as rank from pool)"""
 
 
-@query("glossary_fill", f"with {_FILL} select doc_id, english, japanese, matched, cast(rank as integer) as rank from picked where rank <= 20")
+@query("glossary_fill", f"with {_FILL} select doc_id, english, japanese, matched, cast(rank as integer) as rank from picked where rank <= 80")
 def glossary_fill(spark, d):
     terms = glossary.effective_entries(inputs.short_terms(spark, d))
-    return glossary.select_entries(inputs.documents(spark, d), terms, 20, "text", KEYS).select("doc_id", "english", "japanese", "matched", "rank")
+    return glossary.select_entries(inputs.documents(spark, d), terms, text="text", keys=KEYS).select("doc_id", "english", "japanese", "matched", "rank")
 
 
-@query("glossary_prompt", f"with {_FILL} select doc_id, string_agg('- ' || english || ' => ' || japanese, chr(10) order by rank) as glossary_text from picked where rank <= 20 group by 1")
+@query("glossary_prompt", f"with {_FILL} select doc_id, string_agg('- ' || english || ' => ' || japanese, chr(10) order by rank) as glossary_text from picked where rank <= 80 group by 1")
 def glossary_prompt(spark, d):
     terms = glossary.effective_entries(inputs.short_terms(spark, d))
-    return glossary.prompt_terms(glossary.select_entries(inputs.documents(spark, d), terms, 20, "text", KEYS), KEYS)
+    return glossary.prompt_terms(glossary.select_entries(inputs.documents(spark, d), terms, text="text", keys=KEYS), KEYS)
 
 
 @query("glossary_lines", f"""
@@ -180,15 +180,15 @@ def glossary_lines(spark, d):
 
 
 @query("translation_messages", f"""
-with {_FILL}, lines as (select doc_id, string_agg('- ' || english || ' => ' || japanese, chr(10) order by rank) as g from picked where rank <= 5 group by 1)
-select d.doc_id, 'system,user' as roles, contains(text, g) as whole, {inputs._sql_text(glossary.USER_PROMPT_HEAD)} || g || {inputs._sql_text(glossary.USER_PROMPT_MIDDLE)} || text || chr(10) as user_message from documents d join lines using (doc_id)""")
+with {_FILL}, lines as (select doc_id, string_agg('- ' || english || ' => ' || japanese, chr(10) order by rank) as g from picked where rank <= 80 group by 1)
+select d.doc_id, 'system,user' as roles, {inputs._sql_text(glossary.USER_PROMPT_HEAD)} || g || {inputs._sql_text(glossary.USER_PROMPT_MIDDLE)} || text || chr(10) as user_message from documents d join lines using (doc_id)""")
 def translation_messages(spark, d):
     terms = glossary.effective_entries(inputs.short_terms(spark, d))
     docs = inputs.documents(spark, d).withColumnRenamed("text", "source_text")
-    lines = glossary.prompt_terms(glossary.select_entries(docs, terms, 5, "source_text", KEYS), KEYS)
+    lines = glossary.prompt_terms(glossary.select_entries(docs, terms, text="source_text", keys=KEYS), KEYS)
     asked = glossary.translation_messages(docs, lines, KEYS)
     return asked.select(
-        "doc_id", F.array_join(F.transform("messages", lambda m: m["role"]), ",").alias("roles"), F.lit(False).alias("whole"),
+        "doc_id", F.array_join(F.transform("messages", lambda m: m["role"]), ",").alias("roles"),
         F.get("messages", F.lit(1))["content"].alias("user_message"),
     )
 

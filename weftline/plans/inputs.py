@@ -169,10 +169,10 @@ GLOSSARY_SQL = (
 
 
 def short_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Glossary of syllables that do occur in the texts: words of the benchmark."""
+    """Glossary of words that do occur in the texts: all words of the benchmark."""
     words = table(spark, sf_dir, "benchmark").select(
         "item_id", F.posexplode(F.split(F.regexp_replace("text", r"[.,\n]", " "), " +")).alias("at", "w")
-    ).filter(F.length("w") >= 6)
+    ).filter("w != ''")
     return words.select(
         (F.col("item_id") * 10000 + F.col("at")).alias("seq"), F.lower("w").alias("english"),
         F.concat(F.lit("訳"), F.col("item_id").cast("string")).alias("japanese"),
@@ -183,7 +183,7 @@ def short_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 SHORT_TERMS_SQL = (
     "select item_id * 10000 + k - 1 as seq, lower(w) as english, '訳' || item_id as japanese, '' as genre, '' as description from "
     "(select item_id, generate_subscripts(l, 1) as k, unnest(l) as w from "
-    "(select item_id, regexp_split_to_array(regexp_replace(text, '[.,\\n]', ' ', 'g'), ' +') as l from benchmark)) where length(w) >= 6"
+    "(select item_id, regexp_split_to_array(regexp_replace(text, '[.,\\n]', ' ', 'g'), ' +') as l from benchmark)) where w <> ''"
 )
 
 
