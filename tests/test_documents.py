@@ -1,5 +1,6 @@
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 from weftline.functions.cleaning import blank_symbol_cell, clean_text, normalize_text
 from weftline.functions.elements import page_ranges
 from weftline.functions.redact import mask_secrets, redact_known
-from weftline.operators import chunking, elements, glossary, ordering, patches, rendering, translation
+from weftline.operators import blocks, chunking, elements, glossary, ordering, patches, rendering, translation
 
 
 def value(spark, text, fn):
@@ -107,7 +108,7 @@ def packed_by_hand(blocks, low, high):
             if pending and sum(len(x["md"]) for x in pending) >= low:
                 flush()
         pending.append(b)
-        if b["kind"] == "text" and sum(len(x["md"]) for x in pending) >= high:
+        if b["kind"] == "text" and not re.match(r"#{1,6}\s", b["md"]) and sum(len(x["md"]) for x in pending) >= high:
             flush()
     flush()
     return chunks
@@ -121,7 +122,7 @@ def test_packing_in_segments_equals_packing_by_hand(spark, segment_rows):
         texts, blocks = [], []
         for i in range(rng.randrange(1, 60)):
             kind = rng.choice(["text", "text", "text", "heading", "code"])
-            level, text = rng.randrange(1, 8), "x" * rng.randrange(1, 90)
+            level, text = rng.randrange(1, 8), rng.choice(["", "", "", "# "]) * (kind == "text") + "x" * rng.randrange(1, 90)
             texts.append({"label": {"text": "text", "heading": "heading", "code": "code"}[kind], "level": level, "text": text})
             level = min(level, 6)
             blocks.append({"kind": kind, "level": level, "md": "#" * level + " " + text if kind == "heading" else text, "ref": f"#/texts/{i}"})
@@ -196,13 +197,47 @@ def test_rendering(spark):
     assert [tuple(r) for r in rendering.paragraphs(blank, ["doc_id"]).collect()] == [(0, 0, None, "")]
 
 
-def test_long_table_spans_volumes(spark, monkeypatch):
-    cells = spark.range(30).selectExpr("0L as doc_id", "'#/tables/0' as table_ref", "cast(id as int) as row", "0 as col", "0 as seq", "cast(id as string) as text")
+@pytest.mark.parametrize("volume_parts", [1, 2, 8, None])
+def test_volumes_are_pieces_of_one_text(spark, volume_parts):
+    cells = spark.range(10_000).selectExpr("0L as doc_id", "'#/tables/0' as table_ref", "cast(id as int) as row", "0 as col", "0 as seq", "cast(id as string) as text")
     lines = rendering.table_lines(rendering.table_grid(cells))
-    tables = rendering.volumes(lines, ["doc_id", "table_ref"], "part_no", "line", "\n", volume_parts=8)
-    flat = elements.element_table(arrays(spark, {"tables": [{"caption": "T", "data": {"grid": [["a"]]}}], "texts": [{"text": "end"}]}))
-    text = rendering.render_documents(flat, tables).first().markdown
-    assert text == "end\n\n**T**\n\n| 0 |\n| --- |\n" + "\n".join(f"| {i} |" for i in range(1, 30)) + "\n"
+    whole = "| 0 |\n| --- |\n" + "\n".join(f"| {i} |" for i in range(1, 10_000))
+    cut = rendering.volumes(lines, ["doc_id", "table_ref"], "part_no", "line", "\n", volume_parts=volume_parts)
+    assert "".join(r.markdown for r in sorted(cut.collect(), key=lambda r: r.volume)) == whole
+    flat = elements.element_table(arrays(spark, {"tables": [{"caption": "T", "data": {"grid": [["a"]]}}], "texts": [{"text": "end"}, {"text": "x"}]}))
+    tables = spark.createDataFrame([(0, "#/tables/0", whole)], "doc_id long, table_ref string, markdown string")
+    pieces = rendering.render_documents(flat, tables, volume_parts).collect()
+    assert "".join(r.markdown for r in sorted(pieces, key=lambda r: r.volume)) == f"end\n\nx\n\n**T**\n\n{whole}\n"
+
+
+def test_raw_texts_and_cells(spark):
+    doc = {
+        "texts": [{"label": "text", "text": "  a....  "}, {"label": "text", "orig": "b......"}],
+        "tables": [{"data": {"table_cells": [{"text": " A ", "row": 0, "col": 0}, "bare", {"text": "B......", "row": 0, "col": 1}]}}],
+        "pictures": [{"title": "T", "image": {"uri": "u"}}],
+    }
+    flat = elements.element_table(arrays(spark, doc))
+    assert [(c.node_ref, c.before_chars, c.after_chars) for c in elements.change_log(elements.clean_elements(flat)).collect()] == [("#/texts/0", 9, 6)]
+    cells = elements.cell_table(flat)
+    assert sorted((c.node_ref, c.before_chars, c.after_chars) for c in elements.cell_change_log(cells).collect()) == [("#/tables/0/data/table_cells/2", 7, 4)]
+    patched = {r.ref: (r.before, r.after) for r in elements.normalization_patches(flat, cells).collect()}
+    assert patched["#/tables/0/data/table_cells/0"] == (" A ", "A") and "#/tables/0/data/table_cells/1" not in patched
+    parts = [r.part for r in rendering.document_parts(flat).filter("part like '!%'").collect()]
+    assert parts == ["![image](u)"]
+
+
+def test_grid_wins_over_the_cell_list(spark):
+    doc = {"tables": [{"data": {"grid": [["G", "G"], ["x", "y"]], "table_cells": [{"text": "G", "row": 0, "col": 0}]}}]}
+    flat = elements.element_table(arrays(spark, doc))
+    assert rendering.tables_markdown(elements.rendered_cells(flat)).first().markdown == "| G | G |\n| --- | --- |\n| x | y |"
+    assert chunking.build_chunks(arrays(spark, doc)).first().source_text == "| G | G |\n| --- | --- |\n| x | y |"
+    assert [r.cell_ref for r in elements.cell_table(flat).collect()] == ["#/tables/0/data/table_cells/0"]
+
+
+def test_fragments(spark):
+    texts = [{"label": "text", "text": t, "prov": [{"page_no": 1}]} for t in ("This goes", "on and", "on.", "New start", *["and on"] * 9)]
+    rows = blocks.merge_fragments(elements.element_table(arrays(spark, {"texts": texts}))).orderBy("pos").collect()
+    assert [r.text for r in rows] == ["This goes on and on.", "New start" + " and on" * 9]
 
 
 def test_numbering_one_hot_group(spark):

@@ -8,13 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.arrays import let, positions
 from weftline.functions.coerce import lines_of, rstrip
 from weftline.functions.elements import is_heading
-from weftline.operators.ordering import segmented_last
 from weftline.operators.rows import unpack
 
 # Line shapes of the block detectors.
@@ -130,49 +129,35 @@ def _offsets(line: Column) -> Column:
     return F.when(F.contains(line, F.lit("  ")), let(F.split(line, ""), starts)).otherwise(F.array(F.lit(0)))
 
 
-def merge_fragments(elements: DataFrame, threshold: int = 3, segment_rows: int = 4096) -> DataFrame:
+def merge_fragments(elements: DataFrame, threshold: int = 3) -> DataFrame:
     """Join a text with the fragments that continue it.
 
     Points: same page as the element before (required), same label, no
     sentence end before, lower-case start. ``threshold`` points join the two.
-    The previous element is found by its position and the start of each run
-    is carried in bounded segments, so long documents stay spread.
-    The text of a run is its volumes in order, joined by a blank.
+    An element only needs three short facts of the one before it; one shuffle
+    on the document serves the look back, the start of each run and the run
+    itself, which becomes one row.
     """
-    own = ["ref", "label", "text", "pages"]
-    texts = elements.filter(F.col("grp") == "texts").select("doc_id", "pos", F.struct(*own).alias("own"))
-    # every element also shows itself to the position after it; one shuffle brings both together
-    shown = F.array(
-        F.struct(F.col("pos").alias("pos"), F.col("own").alias("mine"), F.lit(None).alias("prior")),
-        F.struct((F.col("pos") + 1).alias("pos"), F.lit(None).alias("mine"), F.col("own").alias("prior")),
+    texts = elements.filter(F.col("grp") == "texts").select(
+        "doc_id", "pos", "ref", "label", "text", "pages", rstrip(F.col("text")).rlike(SENTENCE_END).alias("_ends"),
     )
-    seen = unpack(texts, ["doc_id"], shown).groupBy("doc_id", "pos").agg(
-        F.max("mine").alias("mine"), F.max("prior").alias("prior")
-    ).filter(F.col("mine").isNotNull()).select(
-        "doc_id", "pos", "mine.*", F.col("prior.label").alias("p_label"), F.col("prior.text").alias("p_text"), F.col("prior.pages").alias("p_pages"),
-    )
-    last_page = F.try_element_at("p_pages", F.lit(-1))
+    order = Window.partitionBy("doc_id").orderBy("pos")
+    facts = F.struct("pos", "label", F.try_element_at("pages", F.lit(-1)).alias("page"), F.col("_ends").alias("ends"))
+    seen = texts.withColumn("_p", F.lag(facts).over(order))
     points = (
-        (F.col("label") == F.col("p_label")).cast("int")
-        + (~rstrip(F.col("p_text")).rlike(SENTENCE_END)).cast("int")
-        + F.col("text").rlike(r"^\p{Ll}").cast("int")
+        (F.col("label") == F.col("_p.label")).cast("int") + (~F.col("_p.ends")).cast("int") + F.col("text").rlike(r"^\p{Ll}").cast("int")
     )
     plain = (
-        ~is_heading(F.col("label")) & ~is_heading(F.col("p_label"))
-        & (F.col("label") != "code") & (F.col("p_label") != "code")
-    )
-    glued = F.coalesce((F.get("pages", F.lit(0)) == last_page) & plain & (points >= threshold), F.lit(False))
-    starts = segmented_last(
-        seen.withColumn("_glued", glued), ["doc_id"], "pos",
-        {"head_pos": F.when(~F.col("_glued"), F.col("pos"))}, segment_rows=segment_rows,
+        ~is_heading(F.col("label")) & ~is_heading(F.col("_p.label")) & (F.col("label") != "code") & (F.col("_p.label") != "code")
     )
-    # a run of any length is gathered in pieces of bounded size
-    volume = F.floor((F.col("pos") - F.col("head_pos")) / segment_rows).cast("int").alias("volume")
-    runs = starts.groupBy("doc_id", "head_pos", volume).agg(
+    follows = (F.col("_p.pos") == F.col("pos") - 1) & (F.get("pages", F.lit(0)) == F.col("_p.page"))
+    glued = F.coalesce(follows & plain & (points >= threshold), F.lit(False))
+    head = F.max(F.when(~F.col("_glued"), F.col("pos"))).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    runs = seen.withColumn("_glued", glued).withColumn("_head", head).groupBy("doc_id", "_head").agg(
         F.array_sort(F.collect_list(F.struct("pos", "ref", "text", "label"))).alias("run")
     )
     return runs.select(
-        "doc_id", F.col("head_pos").alias("pos"), "volume", F.get("run", F.lit(0))["label"].alias("label"),
+        "doc_id", F.col("_head").alias("pos"), F.get("run", F.lit(0))["label"].alias("label"),
         F.array_join(F.transform("run", lambda r: r["text"]), " ").alias("text"),
         F.transform("run", lambda r: r["ref"]).alias("refs"),
     )

@@ -14,13 +14,11 @@ from weftline.functions.coerce import first_truthy, lines_of, strip
 from weftline.functions.elements import (
     fence_count, is_code, picture_markdown, table_row_markdown, text_markdown,
 )
-from weftline.operators.ordering import segmented_last
+from weftline.operators.ordering import SEGMENT_ROWS, segmented_last
 from weftline.operators.rows import unpack
 
-VOLUME_PARTS = 4096
 # A heading that older chunk files misspell, and its spelling.
 CHUNK_TITLE = ("Chunks(JS)", "Chunks(JA)")
-RULE_LINE = r"^\|\s*:?-{3,}:?\s*(\|\s*:?-{3,}:?\s*)+\|?$"
 OPEN_FENCE = "fenced code block is not closed"
 
 
@@ -53,20 +51,26 @@ def table_lines(grid: DataFrame, escape: bool = False) -> DataFrame:
 
 
 def volumes(parts: DataFrame, keys: list[str], position: str, text: str, glue: str, out: str = "markdown",
-            volume_parts: int = VOLUME_PARTS, continued: str | None = None) -> DataFrame:
-    """Join parts in order into volumes of at most ``volume_parts`` positions.
+            volume_parts: int | None = None, ending: str = "") -> DataFrame:
+    """Join the parts of a key in order: one row, or volumes of at most ``volume_parts`` positions.
 
-    Joining the volumes of a key in order with ``glue`` gives the whole text.
-    Rows with ``continued`` above 0 extend the part before them by a line.
+    Volumes are pieces of the one text: joined with nothing between them they
+    equal the single row, byte by byte. Later volumes therefore begin with the
+    glue, and only the last one has the ``ending``.
     """
-    numbered = parts.withColumn("volume", F.floor(F.col(position) / volume_parts).cast("int"))
-    extends = F.col(continued) if continued else F.lit(0)
-    ordered = F.array_sort(
-        F.collect_list(F.struct(F.col(position).alias("p"), extends.alias("c"), F.col(text).alias("t")))
-    )
-    lead = lambda x, i: F.when(i == 0, "").when(x["c"] > 0, "\n").otherwise(glue)
-    joined = F.array_join(F.transform(ordered, lambda x, i: F.concat(lead(x, i), x["t"])), "")
-    return numbered.groupBy(*keys, "volume").agg(joined.alias(out))
+    size = F.lit(volume_parts) if volume_parts else F.lit(None)
+    numbered = parts.withColumn("volume", F.coalesce(F.floor(F.col(position) / size).cast("int"), F.lit(0)))
+    if volume_parts:
+        ends = parts.groupBy(*keys).agg(F.floor(F.min(position) / size).cast("int").alias("_first"), F.floor(F.max(position) / size).cast("int").alias("_last"))
+        numbered = numbered.join(ends, keys)
+    else:
+        numbered = numbered.withColumns({"_first": F.lit(0), "_last": F.lit(0)})
+    ordered = F.array_sort(F.collect_list(F.struct(F.col(position).alias("p"), F.col(text).alias("t"))))
+    joined = F.array_join(F.transform(ordered, lambda x: x["t"]), glue)
+    lead = F.when(F.col("volume") > F.col("_first"), glue).otherwise("")
+    final = F.when(F.col("volume") == F.col("_last"), ending).otherwise("")
+    gathered = numbered.groupBy(*keys, "volume", "_first", "_last").agg(joined.alias("_text"))
+    return gathered.select(*keys, "volume", F.concat(lead, "_text", final).alias(out))
 
 
 def tables_markdown(cells: DataFrame, escape: bool = False) -> DataFrame:
@@ -93,28 +97,23 @@ def document_parts(elements: DataFrame, tables: DataFrame | None = None) -> Data
     picture = picture_markdown(F.get("assets", F.lit(0)), F.col("caption"), F.col("raw_text"))
     if tables is not None:
         rendered = tables.select(
-            "doc_id", F.col("table_ref").alias("ref"), F.col("volume").alias("_volume"), F.col("markdown").alias("_table")
+            "doc_id", F.col("table_ref").alias("ref"), F.col("markdown").alias("_table")
         )
         rows = elements.join(rendered, ["doc_id", "ref"], "left")
     else:
-        rows = elements.withColumns({"_table": F.lit(None).cast("string"), "_volume": F.lit(0)})
-    titled = (F.col("caption") != "") & (F.coalesce("_volume", F.lit(0)) == 0)
-    title = F.when(titled, F.concat(F.lit("**"), F.col("caption"), F.lit("**\n\n"))).otherwise("")
+        rows = elements.withColumn("_table", F.lit(None).cast("string"))
+    title = F.when(F.col("caption") != "", F.concat(F.lit("**"), F.col("caption"), F.lit("**\n\n"))).otherwise("")
     table = F.when(F.col("_table").isNotNull(), F.concat(title, F.col("_table"))).otherwise(F.col("raw_text"))
     part = F.when(F.col("grp") == "tables", table).when(F.col("grp") == "pictures", picture).otherwise(prose)
-    return rows.select(
-        "doc_id", "pos", F.coalesce("_volume", F.lit(0)).alias("continued"), squeezed(part).alias("part")
-    ).filter(F.col("part") != "")
+    return rows.select("doc_id", "pos", squeezed(part).alias("part")).filter(F.col("part") != "")
 
 
-def render_documents(elements: DataFrame, tables: DataFrame | None = None, volume_parts: int = VOLUME_PARTS) -> DataFrame:
-    """Markdown per document (volumes), each ending with a line break."""
-    joined = volumes(document_parts(elements, tables), ["doc_id"], "pos", "part", "\n\n",
-                     volume_parts=volume_parts, continued="continued")
-    return joined.withColumn("markdown", F.concat("markdown", F.lit("\n")))
+def render_documents(elements: DataFrame, tables: DataFrame | None = None, volume_parts: int | None = None) -> DataFrame:
+    """Markdown per document, ending with a line break; in volumes if asked."""
+    return volumes(document_parts(elements, tables), ["doc_id"], "pos", "part", "\n\n", volume_parts=volume_parts, ending="\n")
 
 
-def concat_parts(chunks: DataFrame, segment_rows: int = VOLUME_PARTS) -> DataFrame:
+def concat_parts(chunks: DataFrame, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
     """Chunk texts in order without blanks and without adjacent repeats."""
     text = strip(first_truthy(F.col("translated_text"), F.col("source_text"), default=""))
     shown = chunks.select("doc_id", "chunk_no", F.replace(text, *map(F.lit, CHUNK_TITLE)).alias("part"))
@@ -123,11 +122,10 @@ def concat_parts(chunks: DataFrame, segment_rows: int = VOLUME_PARTS) -> DataFra
     return seen.filter(F.col("_before").isNull() | (F.col("_before") != F.col("part"))).select("doc_id", "chunk_no", "part")
 
 
-def concat_chunks(chunks: DataFrame, volume_parts: int = VOLUME_PARTS) -> DataFrame:
-    """Chunks of each document as Markdown (volumes)."""
+def concat_chunks(chunks: DataFrame, volume_parts: int | None = None) -> DataFrame:
+    """Chunks of each document as Markdown, ending with a line break; in volumes if asked."""
     parts = concat_parts(chunks).withColumn("part", squeezed(F.col("part")))
-    joined = volumes(parts, ["doc_id"], "chunk_no", "part", "\n\n", volume_parts=volume_parts)
-    return joined.withColumn("markdown", F.concat("markdown", F.lit("\n")))
+    return volumes(parts, ["doc_id"], "chunk_no", "part", "\n\n", volume_parts=volume_parts, ending="\n")
 
 
 def lint_markdown(texts: DataFrame, keys: list[str], text: str = "markdown") -> DataFrame:
@@ -190,7 +188,7 @@ def count_mismatches(source: DataFrame, target: DataFrame) -> DataFrame:
     return joined.filter(F.col("source_chunks") != F.col("target_chunks"))
 
 
-def link_captions(elements: DataFrame, segment_rows: int = VOLUME_PARTS) -> DataFrame:
+def link_captions(elements: DataFrame, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
     """Pictures with the caption nearest before or after them on their page."""
     is_caption = (F.col("label") == "caption") & (F.col("text") != "")
     caption = F.when(is_caption, F.struct(F.col("pos").alias("p"), F.col("text").alias("t"), F.get("pages", F.lit(0)).alias("page")))

@@ -50,12 +50,13 @@ def skipped_rows(chunks: DataFrame) -> DataFrame:
 def memory_lookup(chunks: DataFrame, memory: DataFrame) -> DataFrame:
     """Join known translations on the hash of the source text.
 
-    Copies of one text share a hash, so the texts are reduced to distinct
-    hashes before the join and the join stays on even keys; the rows then meet
-    their result on the hash again. AQE splits what is left of a hot hash.
+    Only hashes that chunks ask for are looked up: they are reduced to distinct
+    ones, inside each task first, and meet the memory on even keys. The short
+    list of hits then meets the chunks, where AQE splits a hot hash.
     """
     keyed = chunks.withColumn("source_sha256", F.sha2("source_text", 256))
-    known = memory.groupBy("source_sha256").agg(F.max_by("translated_text", "updated_at").alias("translated_text"))
+    asked = keyed.select("source_sha256").distinct()
+    known = memory.join(asked, "source_sha256", "left_semi").groupBy("source_sha256").agg(F.max_by("translated_text", "updated_at").alias("translated_text"))
     return keyed.join(known, "source_sha256", "left")
 
 
@@ -120,11 +121,12 @@ def settle_attempts(chunks: DataFrame, attempts: DataFrame, keys: tuple[str, ...
 
 def id_mismatches(requested: DataFrame, returned: DataFrame) -> DataFrame:
     """Ids that are missing, unknown, duplicated or whose source was changed."""
-    ours = requested.select("request_id", "item_id", "source_text", F.lit(1).alias("q"), F.lit(0).alias("r"))
-    theirs = returned.select("request_id", "item_id", "source_text", F.lit(0).alias("q"), F.lit(1).alias("r"))
+    digest = F.sha2("source_text", 256).alias("h")  # texts stay where they are
+    ours = requested.select("request_id", "item_id", digest, F.lit(1).alias("q"), F.lit(0).alias("r"))
+    theirs = returned.select("request_id", "item_id", digest, F.lit(0).alias("q"), F.lit(1).alias("r"))
     tally = ours.unionByName(theirs).groupBy("request_id", "item_id").agg(
         F.sum("q").alias("q"), F.sum("r").alias("r"),
-        F.min("source_text").alias("low"), F.max("source_text").alias("high"),
+        F.min("h").alias("low"), F.max("h").alias("high"),
     )
     problem = (
         F.when(F.col("q") == 0, "unknown id").when(F.col("r") == 0, "missing id")

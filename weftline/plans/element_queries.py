@@ -298,7 +298,7 @@ with e as ({ELEMENTS_SQL}), p as (select *, lag(label) over w as pl, lag(text) o
 g as (select *, coalesce(page = pp and label not in ('title', 'section_header', 'code') and pl not in ('title', 'section_header', 'code') and
  (label = pl)::int + (not regexp_matches(pt, '[.!?。！？:：;；]$'))::int + regexp_matches(text, '^\p{{Ll}}')::int >= 2, false) as glued from p),
 r as (select *, max(case when not glued then idx end) over (partition by doc_id order by idx) as head from g)
-select doc_id, head as pos, cast((idx - head) // 64 as integer) as volume, min_by(label, idx) as label, string_agg(text, ' ' order by idx) as text, string_agg(ref, ',' order by idx) as refs from r group by 1, 2, 3""")
+select doc_id, head as pos, min_by(label, idx) as label, string_agg(text, ' ' order by idx) as text, string_agg(ref, ',' order by idx) as refs from r group by 1, 2""")
 def fragment_merge(spark, d):
-    merged = blocks.merge_fragments(line_table(spark, d), threshold=2, segment_rows=64)
-    return merged.select("doc_id", "pos", "volume", "label", "text", F.array_join("refs", ",").alias("refs"))
+    merged = blocks.merge_fragments(line_table(spark, d), threshold=2)
+    return merged.select("doc_id", "pos", "label", "text", F.array_join("refs", ",").alias("refs"))

@@ -83,9 +83,12 @@ def document_render(spark, d):
     return rendering.render_documents(line_table(spark, d))
 
 
-@query("document_render_volumes", f"with e as ({ELEMENTS_SQL}) select doc_id, cast(idx // 8 as integer) as volume, string_agg({_PART}, chr(10) || chr(10) order by idx) || chr(10) as markdown from e where text <> '' group by 1, 2")
+@query("document_render_volumes", f"with e as ({ELEMENTS_SQL}) select doc_id, string_agg({_PART}, chr(10) || chr(10) order by idx) || chr(10) as markdown from e where text <> '' group by 1")
 def document_render_volumes(spark, d):
-    return rendering.render_documents(line_table(spark, d), volume_parts=8)
+    """Volumes of 8 elements, put together again: the text is that of one piece."""
+    cut = rendering.render_documents(line_table(spark, d), volume_parts=8)
+    pieces = F.array_sort(F.collect_list(F.struct("volume", "markdown")))
+    return cut.groupBy("doc_id").agg(F.array_join(F.transform(pieces, lambda v: v["markdown"]), "").alias("markdown"))
 
 
 @query("document_render_tables", f"""

@@ -12,8 +12,12 @@ def write_jsonl(df: DataFrame, path: str, append: bool = False) -> None:
 
 
 def write_json_documents(df: DataFrame, path: str, key: str, payload: str = "payload") -> None:
-    """JSON documents partitioned by key, one line each."""
-    df.select(key, F.col(payload).alias("value")).write.mode("overwrite").partitionBy(key).text(path)
+    """JSON documents as JSON lines of (key, document), sorted by key.
+
+    A file or folder per document would mean millions of them.
+    """
+    rows = df.select(key, F.col(payload).alias("document")).repartitionByRange(key).sortWithinPartitions(key)
+    rows.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
 def write_markdown(documents: DataFrame, path: str) -> None:
