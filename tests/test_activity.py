@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.functions.coerce import first_truthy, item_moment, iso_utc, lines_of, strip, text_moment, truncate
+from weftline.functions.coerce import feed_moment, first_truthy, item_moment, iso_utc, lines_of, strip, text_moment, truncate
 from weftline.functions.labels import channel_link
 from weftline.operators import activity, messages
 from weftline.plans.activity_report import ReportInput, report_lines
@@ -125,11 +125,26 @@ def test_summary_feed_hides_chats(spark):
     assert {r.kind for r in rows} == {"channel", "chat", "knowledge"}
 
 
-def test_hot_thread_keeps_first_page(spark):
+def test_threads_whole_and_in_pages(spark):
     replies = spark.range(2000).selectExpr("'m1' as parent_id", "id as seq", "cast(id as string) as id", "'r' as content")
     heads = spark.createDataFrame([("m1",), ("m2",)], "id string")
-    rows = {r.id: r.thread for r in messages.attach_threads(heads, replies).collect()}
-    assert [t.reply_no for t in rows["m1"]] == list(range(1, 51)) and rows["m2"] == []
+    rows = {r.id: r for r in messages.attach_threads(heads, replies).collect()}
+    assert [t.reply_no for t in rows["m1"].thread] == list(range(1, 2001)) and rows["m2"].thread == [] and not rows["m1"].thread_more
+    page = {r.id: r for r in messages.attach_threads(heads, replies, limit=50, skip=1940).collect()}
+    assert [t.id for t in page["m1"].thread] == [str(i) for i in range(1940, 1990)] and page["m1"].thread_more
+    assert not messages.attach_threads(heads.filter("id = 'm1'"), replies, limit=60, skip=1940).first().thread_more
+
+
+def test_channels_listed_twice_or_not_at_all(spark):
+    posts = spark.createDataFrame([(1, "a"), (2, "b")], "seq long, channel_id string")
+    channels = spark.createDataFrame([("a", "Ann"), ("a", "Ann")], "id string, name string")
+    assert sorted((r.seq, r.channel_name) for r in activity.with_channel(posts, channels).collect()) == [(1, "Ann"), (2, "b")]
+
+
+def test_feed_dates(spark):
+    texts = ["Wed, 24 Apr 2024 09:00:00 +0900", "24 Apr 24 00:00 GMT", "Tue, 23 Apr 2024 20:00:00 EDT", "2024-04-24T00:00:00Z", "soon", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", F.unix_seconds(feed_moment(F.col("t"))).alias("s")).orderBy("i").collect()
+    assert [r.s for r in rows] == [1713916800] * 4 + [None, None]
 
 
 def test_pending_turn(spark):

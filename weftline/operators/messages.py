@@ -167,13 +167,6 @@ def append_turn(messages: DataFrame, turns: DataFrame) -> DataFrame:
     return updated.unionByName(fresh_user).unionByName(fresh_reply)
 
 
-def moved_heads(turns: DataFrame) -> DataFrame:
-    """The current message of each chat after :func:`append_turn`."""
-    return turns.filter(strip(F.coalesce("content", F.lit(""))) != "").select(
-        "chat_id", F.col("assistant_id").alias("current_id")
-    )
-
-
 def broken_links(messages: DataFrame) -> DataFrame:
     """Messages hidden by a bad link: unknown parent, or parent not listing them."""
     listed = messages.select(

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from weftline.functions.coerce import first_truthy, iso_utc
 from weftline.operators import activity
 from weftline.operators.ordering import roll_up
-from weftline.session import durable
 
 
 @dataclass(frozen=True)
@@ -127,11 +126,11 @@ def report_lines(data: ReportInput, since: str, until: str, tz: str = "UTC", bas
     The per-user part grows with the users, so lines stay rows: write them
     with an ordered text sink.
     """
-    # each source is read once for its roll-up and once for the keywords;
-    # everything after works on the small results
-    posts = durable(roll_up(data.channel, ["channel_id", "channel_name", "user_label"]))
-    turns = durable(roll_up(data.chat, ["owner"]))
-    mentions = durable(_all_mentions(data))
+    # each source is read once for its roll-up and once for the keywords; the
+    # sections share those shuffles, and nothing runs while the plan is made
+    posts = roll_up(data.channel, ["channel_id", "channel_name", "user_label"])
+    turns = roll_up(data.chat, ["owner"])
+    mentions = _all_mentions(data)
     meta = activity.report_metadata(
         posts, data.chats, turns, data.knowledge, data.channels, data.errors, since, until, tz
     )
@@ -140,20 +139,27 @@ def report_lines(data: ReportInput, since: str, until: str, tz: str = "UTC", bas
     users = activity.top_users(posts).withColumn("o", -F.col("posts"))
     links = activity.joined_links(activity.channel_links(posts, base_url))
     first_items = activity.newest_knowledge(data.knowledge, 5)
-    scalars = meta
-    for fact in (
-        _listed(channels, ["o", "first_seq"], _text(F.col("channel"), " (", F.col("n"), ")"), "top_channels", "なし"),
-        _listed(users, ["o", "user_name"], F.col("user_name"), "top_users", "なし"),
-        links,
-        _listed(owners, ["o", "first_seq"], _text(F.col("owner"), " (", F.col("n"), ")"), "top_owners", "unknown"),
-        _listed(first_items, ["seq"], F.col("name"), "item_names", ""),
-        _listed(first_items, ["seq"], first_truthy(F.col("url"), F.col("id"), default="なし"), "item_urls", ""),
-    ):
-        scalars = scalars.withColumn("_one", F.lit(1)).join(fact.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    risks = _ranked(activity.risk_mentions(mentions), "first_seq", "word_pos")
+    # one row of figures: each fact is a one-row table, and one aggregate puts them side by side
+    facts = {
+        "top_channels": _listed(channels, ["o", "first_seq"], _text(F.col("channel"), " (", F.col("n"), ")"), "top_channels", "なし"),
+        "top_users": _listed(users, ["o", "user_name"], F.col("user_name"), "top_users", "なし"),
+        "links": links,
+        "top_owners": _listed(owners, ["o", "first_seq"], _text(F.col("owner"), " (", F.col("n"), ")"), "top_owners", "unknown"),
+        "item_names": _listed(first_items, ["seq"], F.col("name"), "item_names", ""),
+        "item_urls": _listed(first_items, ["seq"], first_truthy(F.col("url"), F.col("id"), default="なし"), "item_urls", ""),
+    }
+    rows = meta.select(F.struct("*").alias("meta"))
+    rows = rows.unionByName(risks.agg(F.collect_list(F.struct("i", "word", "n")).alias("risks")), allowMissingColumns=True)
+    for name, fact in facts.items():
+        rows = rows.unionByName(fact.select(F.lit(name).alias("fact"), F.col(name).alias("text")), allowMissingColumns=True)
+    scalars = rows.agg(
+        F.first("meta", ignorenulls=True).alias("meta"), F.first("risks", ignorenulls=True).alias("risks"),
+        *[F.max(F.when(F.col("fact") == name, F.col("text"))).alias(name) for name in facts],
+    ).select("meta.*", "risks", *facts)
     opening = _opening(scalars)
 
     actions = _ranked(activity.top_actions(mentions), F.desc("n"), "first_seq", "word_pos")
-    risks = _ranked(activity.risk_mentions(mentions), "first_seq", "word_pos")
 
     def or_default(section: int, title: str, rows: DataFrame, entry: list[Column], none: list[str], key: Column | None = None) -> DataFrame:
         counted = rows.agg(F.count(F.lit(1)).alias("c"))
@@ -174,7 +180,7 @@ def report_lines(data: ReportInput, since: str, until: str, tz: str = "UTC", bas
             "   - 👥 担当者：チャンネル参加者全員", "   - ⏰ 期限：次回レポートまで",
         ],
     )
-    linked = risks.withColumn("_one", F.lit(1)).join(links.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    linked = scalars.select("links", F.inline("risks"))
     risk_part = or_default(
         3, RISKS, linked,
         [
