@@ -47,14 +47,10 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """Keeps the document with the smallest id of each near-duplicate group; documents without an id stay."""
     found = minhash_dedup.near_duplicates(docs, "doc_id", "text")
     gone = found.filter(F.col("id") != F.col("component_id")).select(F.col("id").alias("doc_id"))
-    kept = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
-    # rows that repeat an id are one document
-    known = kept.filter(F.col("doc_id").isNotNull())
-    first = known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("doc_id")
-    single = known.join(first, "doc_id", "left_anti")
-    repeated = known.join(first, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("_r"))
-    repeated = repeated.select("doc_id", "_r.*")
-    return single.select(*COLUMNS).unionByName(repeated).unionByName(kept.filter(F.col("doc_id").isNull()))
+    known = docs.select(*COLUMNS).filter(F.col("doc_id").isNotNull()).join(gone, "doc_id", "left_anti")
+    # rows that repeat an id are one document: the smallest row stays; the join has placed them together already
+    one = known.groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("_r")).select("doc_id", "_r.*")
+    return one.unionByName(docs.select(*COLUMNS).filter(F.col("doc_id").isNull()))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

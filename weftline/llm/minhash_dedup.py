@@ -22,6 +22,9 @@ not yet in their component; hubs then leave the list, as all their pairs in it
 are decided, and lists that lie within one component leave as well. Rounds go
 on, with four times as many hubs each, until no list is left. No pair between
 different components goes untested, so the components are those of all links.
+Members of long lists are posted anew under their full sets, where the same
+prefix needs a fifth of the shingles instead of half the coordinates, and pairs
+whose counts of shared shingles rule a link out are left aside.
 """
 
 from __future__ import annotations
@@ -45,6 +48,7 @@ PREFIX = COORDINATES - MATCHES + 1
 SEED = 2024
 WORDS = 400_000  # word hashes remembered per Python worker
 CHUNK = 1 << 10  # shingles hashed at a time
+LONG_LIST = 16  # members of longer lists are posted under their full sets, which spares pairs and changes no link
 
 _A = np.random.default_rng(SEED).integers(1, 2**63, COORDINATES, dtype=np.uint64) | np.uint64(1)
 _B = np.random.default_rng(SEED + 1).integers(0, 2**63, COORDINATES, dtype=np.uint64)
@@ -134,39 +138,73 @@ def postings(reps: DataFrame) -> DataFrame:
     return shared.filter(room > 0).select("rep", F.explode(F.slice("_all", F.lit(1), room)).alias("_t")).select("rep", F.col("_t.token").alias("token"))
 
 
+def shingle_lists(facts: DataFrame, wanted: DataFrame, threshold: int) -> DataFrame:
+    """(rep, n, s, tokens): set size, how many shingles other wanted classes have too, and the prefix of those on the full set.
+
+    ``wanted`` has ``rep`` and ``m``, the size of its smallest candidate. Sets
+    with a link have at least ``T = t / (1 + t) * (n + m)`` shingles in common,
+    so they share one of their first ``n - T + 1`` in order of frequency; those
+    of one class come first.
+    """
+    rows = facts.join(wanted, "rep").select("rep", "m", F.size("set").alias("n"), F.explode("set").alias("_h"))
+    often = rows.groupBy("_h").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    shared = rows.join(often, "_h").groupBy("rep", "n", "m").agg(F.sort_array(F.collect_list(F.struct("_n", "_h"))).alias("_all"))
+    least = F.ceil((F.col("n") + F.col("m")) * threshold / (100 + threshold) - 1e-9).cast("int")
+    room = F.size("_all") - least + 1
+    return shared.filter(room > 0).select(
+        "rep", "n", F.size("_all").alias("s"), F.transform(F.slice("_all", F.lit(1), room), lambda t: t["_h"]).alias("tokens"))
+
+
 def links(docs: DataFrame, key: str, text: str, width: int, threshold: int, reps: DataFrame) -> DataFrame:
     """(a, b): each linked class with the smallest of its component."""
     spark = docs.sparkSession
     lists = durable(postings(reps))
-    several = lists.groupBy("token").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("token")
-    lists = durable(lists.join(several, "token", "left_semi"))
+    several = lists.groupBy("token").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    lists = durable(lists.join(several, "token"))
     # sets and signatures of posted documents only; the others have no candidate
     wanted = reps.join(lists.select("rep").distinct(), "rep", "left_semi")
     facts = durable(full_sets(docs, key, text, width, wanted).join(reps.select("rep", "sig"), "rep"))
+    # members of long lists are posted anew under their full sets, whose prefix is far shorter; n shingles,
+    # of which s are shared at all: a pair has at most min(s) in common, which bounds its similarity
+    short = lists.filter(F.col("_n") <= LONG_LIST).select("token", "rep").join(facts.select("rep", F.size("set").alias("n")), "rep")
+    in_long = lists.filter(F.col("_n") > LONG_LIST).select("token", "rep").join(facts.select("rep", F.size("set").alias("n")), "rep")
+    smallest = in_long.groupBy("token").agg(F.min("n").alias("m"))
+    smallest = in_long.select("token", "rep").join(smallest, "token").groupBy("rep").agg(F.min("m").alias("m"))
+    longer = durable(shingle_lists(facts, smallest, threshold))
+    anew = longer.select(F.explode("tokens").alias("token"), "rep", "n", "s")
+    state = short.select("token", "rep", "n", F.col("n").alias("s")).unionByName(anew).withColumn("comp", F.col("rep"))
     stars = spark.createDataFrame([], "a bigint, b bigint")
-    state = lists.withColumn("comp", F.col("rep"))
     hubs = 1
     while True:
-        spread = state.groupBy("token").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high"), F.count(F.lit(1)).alias("_n"), F.min("rep").alias("_first"))
-        spread = spread.filter("_low != _high").select("token", "_n", "_first")
-        state = durable(state.join(spread, "token"))
+        # the largest partner a member can have: (100 + t) s >= t (n + m)
+        reach = F.col("s") * (100 + threshold) - F.col("n") * threshold
+        spread = state.groupBy("token").agg(
+            F.min("comp").alias("_low"), F.max("comp").alias("_high"), F.count(F.lit(1)).alias("_m"), F.min("n").alias("_least"), F.max(reach).alias("_reach"),
+            F.max_by("rep", F.struct(reach - F.col("n") * threshold, -F.col("rep"))).alias("_first"))
+        # out go lists within one component, and members too far from all others of their list
+        near_some = (reach >= F.col("_least") * threshold) & (F.col("n") * threshold <= F.col("_reach"))
+        state = durable(state.join(spread.filter("_low != _high"), "token").filter(near_some))
         if state.isEmpty():
             return stars
-        # the first member is always a hub, so every round ends some list or shortens it
-        chance = F.pmod(F.xxhash64("rep", F.lit(hubs)), F.col("_n")) < hubs - 1
+        # the member with the fewest shingles of its own is always a hub: copies are nearest to their original
+        chance = F.pmod(F.xxhash64("rep", F.lit(hubs)), F.col("_m")) < hubs - 1
         is_hub = (F.col("rep") == F.col("_first")) | chance
-        chosen = state.filter(is_hub).select("token", F.col("rep").alias("a"), F.col("comp").alias("_ca"))
-        pairs = chosen.join(state.select("token", F.col("rep").alias("b"), F.col("comp").alias("_cb")), "token").filter("_ca != _cb")
+        side = lambda df, name: df.select("token", F.col("rep").alias(name), *[F.col(c).alias(f"_{c}{name}") for c in ("comp", "n", "s")])
+        possible = F.least("_sa", "_sb") * (100 + threshold) >= (F.col("_na") + F.col("_nb")) * threshold
+        pairs = side(state.filter(is_hub), "a").join(side(state, "b"), "token").filter((F.col("_compa") != F.col("_compb")) & possible)
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        left = facts.select(F.col("rep").alias("a"), F.col("sig").alias("_sa"), F.col("set").alias("_xa"))
-        right = facts.select(F.col("rep").alias("b"), F.col("sig").alias("_sb"), F.col("set").alias("_xb"))
+        # collisions are counted on the signatures; only pairs above the threshold meet their full sets
+        sigs = facts.select("rep", "sig")
+        counted = pairs.join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("_sa")), "a").join(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("_sb")), "b")
         collisions = F.size(F.filter(F.zip_with("_sa", "_sb", lambda x, y: x == y), lambda same: same))
+        likely = counted.filter(collisions >= MATCHES).select("a", "b")
+        left, right = (facts.select(F.col("rep").alias(c), F.col("set").alias(f"_x{c}")) for c in ("a", "b"))
         common = F.size(F.array_intersect("_xa", "_xb"))
-        near = pairs.join(left, "a").join(right, "b").filter(collisions >= MATCHES)
-        near = near.filter(common * 100 >= (F.size("_xa") + F.size("_xb") - common) * threshold).select("a", "b")
+        near = likely.join(left, "a").join(right, "b").filter(common * 100 >= (F.size("_xa") + F.size("_xb") - common) * threshold).select("a", "b")
         stars = durable(components(stars.unionByName(near)).select(F.col("node").alias("a"), F.col("component").alias("b")))
-        rest = state.filter(~is_hub).select("token", "rep")
-        state = rest.join(stars.select(F.col("a").alias("rep"), F.col("b").alias("_comp")), "rep", "left").select("token", "rep", F.coalesce("_comp", "rep").alias("comp"))
+        rest = state.filter(~is_hub).select("token", "rep", "n", "s")
+        state = rest.join(stars.select(F.col("a").alias("rep"), F.col("b").alias("_comp")), "rep", "left").select(
+            "token", "rep", "n", "s", F.coalesce("_comp", "rep").alias("comp"))
         hubs *= 4
 
 
