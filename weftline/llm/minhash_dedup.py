@@ -20,7 +20,7 @@ large group of near copies are merged in rounds rather than as pairs: in each
 round some members of a list are its hubs and meet all other members that are
 not yet in their component; hubs then leave the list, as all their pairs in it
 are decided, and lists that lie within one component leave as well. Rounds go
-on, with four times as many hubs each, until no list is left. No pair between
+on, with sixteen times as many hubs each, until no list is left. No pair between
 different components goes untested, so the components are those of all links.
 Members of long lists are posted anew under their full sets, where the same
 prefix needs a fifth of the shingles instead of half the coordinates, and pairs
@@ -201,11 +201,15 @@ def links(docs: DataFrame, key: str, text: str, width: int, threshold: int, reps
         left, right = (facts.select(F.col("rep").alias(c), F.col("set").alias(f"_x{c}")) for c in ("a", "b"))
         common = F.size(F.array_intersect("_xa", "_xb"))
         near = likely.join(left, "a").join(right, "b").filter(common * 100 >= (F.size("_xa") + F.size("_xb") - common) * threshold).select("a", "b")
+        near = durable(near)
+        rest = state.filter(~is_hub).select("token", "rep", "n", "s", "comp")
+        hubs *= 16
+        if near.isEmpty():
+            state = rest
+            continue
         stars = durable(components(stars.unionByName(near)).select(F.col("node").alias("a"), F.col("component").alias("b")))
-        rest = state.filter(~is_hub).select("token", "rep", "n", "s")
-        state = rest.join(stars.select(F.col("a").alias("rep"), F.col("b").alias("_comp")), "rep", "left").select(
+        state = rest.drop("comp").join(stars.select(F.col("a").alias("rep"), F.col("b").alias("_comp")), "rep", "left").select(
             "token", "rep", "n", "s", F.coalesce("_comp", "rep").alias("comp"))
-        hubs *= 4
 
 
 def near_duplicates(docs: DataFrame, key: str, text: str, *, shingle: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
