@@ -9,10 +9,13 @@ one template. Templates that recur across documents are boilerplate; their
 lines are dropped everywhere.
 
 Copies of a document repeat all their lines without any being boilerplate. So
-recurrence is counted in families: a document's family is its smallest line
-hash, which copies and near copies share and unrelated documents do not.
+recurrence is counted in families of near copies. Each document has a sketch,
+the smallest hashes of its word triples; documents that post a hash in common
+are compared with the first of them, and are one family if the sketches say
+that most of both texts is the same. A passage in otherwise different texts
+makes no family, whatever its hashes are.
 
-Counting shuffles hashes of lines only. Token rows are made for the lines of
+Counting shuffles hashes of lines and sketches only. Token rows are made for the lines of
 leaves to be generalised, and the texts are cut in place after one join with
 the positions each document loses.
 """
@@ -30,6 +33,8 @@ SPACE = r"[\x20\x09\x0B-\x0D]+"
 DEPTH = 3  # leading tokens in a path of the tree
 LEAST_FAMILIES, LEAST_SHARE = 10, 0.3  # families that make a template recur, and their least share of its documents
 AGREE, CONSTANT = 0.8, 0.6  # share of a leaf's lines that keep a position's token, share of positions a general template must keep
+SKETCH, POSTED = 64, 12  # hashes of a document's sketch, and the smallest of them, under which copies are looked for
+ALIKE = 0.6  # least share of word triples that near copies have in common
 BROADCAST_ROWS = 50_000  # leaves broadcast at most, by count; more are joined
 
 
@@ -79,12 +84,34 @@ def general_hits(docs: DataFrame, rest: DataFrame, leaves: DataFrame, text: str,
     return fitting.join(recurring(fitting, "leaf", least_families, least_share), "leaf", "left_semi").select(*same)
 
 
+def families(held: DataFrame) -> DataFrame:
+    """(_doc, family) of the near copies in ``held`` (_doc, sketch); a document without copies has no row."""
+    sketches = durable(held.select("_doc", "sketch").dropDuplicates(["_doc"]))
+    posts = sketches.select("_doc", F.explode(F.slice("sketch", 1, POSTED)).alias("_hash"))
+    first = posts.groupBy("_hash").agg(F.min("_doc").alias("_hub"), F.max("_doc").alias("_other")).filter("_hub != _other").select("_hash", "_hub")
+    pairs = posts.join(first, "_hash").filter("_hub != _doc").select("_doc", "_hub").distinct()
+    hubs = sketches.select(F.col("_doc").alias("_hub"), F.col("sketch").alias("_theirs"))
+    low = F.slice(F.sort_array(F.array_union("sketch", "_theirs")), 1, SKETCH)
+    alike = let(low, lambda all_: F.size(F.array_intersect(F.array_intersect(all_, "sketch"), "_theirs")) >= F.size(all_) * ALIKE)
+    links = pairs.join(sketches, "_doc").join(hubs, "_hub").filter(alike)
+    near = durable(links.groupBy("_doc").agg(F.min("_hub").alias("family")))
+    # the first of a group may be a copy of a still earlier document
+    further = near.select(F.col("_doc").alias("family"), F.col("family").alias("_further"))
+    return near.join(further, "family", "left").select("_doc", F.coalesce("_further", "family").alias("family"))
+
+
 def lost_positions(docs: DataFrame, text: str, depth: int, least_families: int, least_share: float) -> DataFrame:
     """(_key, _text, positions) of the documents that lose lines; ``docs`` has ``_key``, ``_text`` (its hash) and the text."""
-    hashed = F.transform(templates(F.col(text), depth), lambda x: F.struct(
+    hashed = lambda all_: F.transform(all_, lambda x: F.struct(
         x["pos"].alias("pos"), digest(x["template"]).alias("template"), digest(x["leaf"]).alias("leaf"), (x["size"] > depth + 1).alias("open")))
-    lines = let(hashed, lambda all_: F.struct(F.array_min(F.transform(all_, lambda x: x["template"])).alias("family"), all_.alias("lines")))
-    rows = docs.select("_key", "_text", lines.alias("_l")).select("_key", "_text", "_l.family", F.explode("_l.lines").alias("_line"))
+    triples = lambda w: F.transform(w, lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))
+    words = lambda all_: F.split(F.array_join(F.transform(all_, lambda x: x["template"]), " "), " ")
+    sketch = lambda all_: F.slice(F.sort_array(F.array_distinct(let(words(all_), triples))), 1, SKETCH)
+    made = let(templates(F.col(text), depth), lambda all_: F.struct(sketch(all_).alias("sketch"), hashed(all_).alias("lines")))
+    held = docs.select("_key", "_text", F.xxhash64("_key", "_text").alias("_doc"), made.alias("_l")).select("_key", "_text", "_doc", "_l.sketch", "_l.lines")
+    held = durable(held.filter(F.size("lines") > 0))
+    rows = held.select("_key", "_text", "_doc", "lines").join(families(held), "_doc", "left")
+    rows = rows.select("_key", "_text", F.coalesce("family", "_doc").alias("family"), F.explode("lines").alias("_line"))
     rows = durable(rows.select("_key", "_text", "family", "_line.*"))
     direct = durable(recurring(rows, "template", least_families, least_share))
     lost = rows.join(direct, "template", "left_semi").select("_key", "_text", "pos")
