@@ -227,6 +227,15 @@ def test_recurring_line_with_the_smallest_hash(spark):
     assert cut(spark, rows) == {i: text.split("\n")[0] if i < 100 else text for i, text in rows}
 
 
+def test_copies_do_not_protect_a_line(spark):
+    """A line of 12 unrelated documents and of 60 near copies recurs."""
+    own = sentences(5)
+    line, base = own(7), [own() for _ in range(10)]
+    rows = [(i, f"{own()}\n{line}\n{own()}") for i in range(12)]
+    rows += [(100 + i, "\n".join([own() if j == i % 10 else b for j, b in enumerate(base)] + [line])) for i in range(60)]
+    assert cut(spark, rows) == {i: "\n".join(x for x in text.split("\n") if x != line) for i, text in rows}
+
+
 # 8 encoding
 
 

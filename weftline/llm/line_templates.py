@@ -31,7 +31,7 @@ from weftline.session import durable
 FIELD = "<*>"
 SPACE = r"[\x20\x09\x0B-\x0D]+"
 DEPTH = 3  # leading tokens in a path of the tree
-LEAST_FAMILIES, LEAST_SHARE = 10, 0.3  # families that make a template recur, and their least share of its documents
+LEAST_FAMILIES = 10  # families that make a template recur
 AGREE, CONSTANT = 0.8, 0.6  # share of a leaf's lines that keep a position's token, share of positions a general template must keep
 SKETCH, POSTED = 64, 12  # hashes of a document's sketch, and the smallest of them, under which copies are looked for
 ALIKE = 0.6  # least share of word triples that near copies have in common
@@ -55,15 +55,12 @@ def digest(value: Column) -> Column:
     return F.unhex(F.md5(value.cast("binary")))
 
 
-def recurring(rows: DataFrame, by: str, least_families: int, least_share: float) -> DataFrame:
-    """The values of ``by`` with enough families, and enough of them per document."""
-    each = rows.select(by, "family", "_key", "_text").distinct()
-    families = each.groupBy(by, "family").agg(F.count(F.lit(1)).alias("_docs"))
-    whole = families.groupBy(by).agg(F.count(F.lit(1)).alias("_families"), F.sum("_docs").alias("_all"))
-    return whole.filter((F.col("_families") >= least_families) & (F.col("_families") >= F.col("_all") * least_share)).select(by)
+def recurring(rows: DataFrame, by: str, least_families: int) -> DataFrame:
+    """The values of ``by`` with enough families."""
+    return rows.groupBy(by).agg(F.count_distinct("family").alias("_families")).filter(F.col("_families") >= least_families).select(by)
 
 
-def general_hits(docs: DataFrame, rest: DataFrame, leaves: DataFrame, text: str, depth: int, least_families: int, least_share: float) -> DataFrame:
+def general_hits(docs: DataFrame, rest: DataFrame, leaves: DataFrame, text: str, depth: int, least_families: int) -> DataFrame:
     """(_key, _text, pos) of the lines that fit a recurring general template; ``rest`` are the lines not dropped yet."""
     opened = docs.select("_key", "_text", F.explode(templates(F.col(text), depth)).alias("_line")).select(
         "_key", "_text", "_line.pos", "_line.size", digest(F.col("_line.leaf")).alias("leaf"), F.col("_line.template").alias("_words"))
@@ -81,7 +78,7 @@ def general_hits(docs: DataFrame, rest: DataFrame, leaves: DataFrame, text: str,
     kept = kept.filter((n >= F.col("size") * CONSTANT) & (n - depth >= (F.col("size") - depth) / 2)).drop("size")
     fits = F.forall("_kept", lambda k: F.get("_tokens", k["_place"]) == k["_token"])
     fitting = lines.join(kept, "leaf").filter(fits).select(*same, "leaf", "family")
-    return fitting.join(recurring(fitting, "leaf", least_families, least_share), "leaf", "left_semi").select(*same)
+    return fitting.join(recurring(fitting, "leaf", least_families), "leaf", "left_semi").select(*same)
 
 
 def families(held: DataFrame) -> DataFrame:
@@ -100,7 +97,7 @@ def families(held: DataFrame) -> DataFrame:
     return near.join(further, "family", "left").select("_doc", F.coalesce("_further", "family").alias("family"))
 
 
-def lost_positions(docs: DataFrame, text: str, depth: int, least_families: int, least_share: float) -> DataFrame:
+def lost_positions(docs: DataFrame, text: str, depth: int, least_families: int) -> DataFrame:
     """(_key, _text, positions) of the documents that lose lines; ``docs`` has ``_key``, ``_text`` (its hash) and the text."""
     hashed = lambda all_: F.transform(all_, lambda x: F.struct(
         x["pos"].alias("pos"), digest(x["template"]).alias("template"), digest(x["leaf"]).alias("leaf"), (x["size"] > depth + 1).alias("open")))
@@ -113,16 +110,15 @@ def lost_positions(docs: DataFrame, text: str, depth: int, least_families: int,
     rows = held.select("_key", "_text", "_doc", "lines").join(families(held), "_doc", "left")
     rows = rows.select("_key", "_text", F.coalesce("family", "_doc").alias("family"), F.explode("lines").alias("_line"))
     rows = durable(rows.select("_key", "_text", "family", "_line.*"))
-    direct = durable(recurring(rows, "template", least_families, least_share))
+    direct = durable(recurring(rows, "template", least_families))
     lost = rows.join(direct, "template", "left_semi").select("_key", "_text", "pos")
     rest = rows.filter("open").join(direct, "template", "left_anti")
-    leaves = durable(recurring(rest, "leaf", least_families, least_share))
-    lost = lost.unionByName(general_hits(docs, rest, leaves, text, depth, least_families, least_share))
+    leaves = durable(recurring(rest, "leaf", least_families))
+    lost = lost.unionByName(general_hits(docs, rest, leaves, text, depth, least_families))
     return lost.groupBy("_key", "_text").agg(F.collect_set("pos").alias("positions"))
 
 
-def drop_recurring_lines(docs: DataFrame, key: str, text: str, *, depth: int = DEPTH, least_families: int = LEAST_FAMILIES,
-                         least_share: float = LEAST_SHARE) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, key: str, text: str, *, depth: int = DEPTH, least_families: int = LEAST_FAMILIES) -> DataFrame:
     """All columns of ``docs`` with recurring lines cut from the text, and ``n_dropped`` (bigint).
 
     Lines without a token are kept and never counted. A null text stays null,
@@ -132,7 +128,7 @@ def drop_recurring_lines(docs: DataFrame, key: str, text: str, *, depth: int = D
     """
     kept = [c for c in docs.columns if c != "n_dropped"]
     facts = docs.select(F.col(key).alias("_key"), F.xxhash64(text).alias("_text"), F.col(text).alias("_body"))
-    lost = lost_positions(facts, "_body", depth, least_families, least_share).select(F.col("_key").alias("_k"), F.col("_text").alias("_t"), "positions")
+    lost = lost_positions(facts, "_body", depth, least_families).select(F.col("_key").alias("_k"), F.col("_text").alias("_t"), "positions")
     whole = docs.select(F.struct(*[docs[c] for c in kept]).alias("_row"), F.col(key).alias("_key"), F.xxhash64(text).alias("_text"))
     found = whole.join(lost, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_text") == F.col("_t")), "left")
     body = F.col("_row").getField(text)
