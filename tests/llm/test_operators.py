@@ -236,6 +236,15 @@ def test_copies_do_not_protect_a_line(spark):
     assert cut(spark, rows) == {i: "\n".join(x for x in text.split("\n") if x != line) for i, text in rows}
 
 
+def test_lines_without_constants(spark):
+    """Rows of numbers and sentences without spaces recur by their exact text only."""
+    own = sentences(6)
+    rows = [(i, f"{own()}\n{i} {i * 7}.5 {i + 3}\n第{i}章这是一个句子{own(1)}\nhttps://{own(1)}.org/{i}\n{own()}") for i in range(30)]
+    assert cut(spark, rows) == dict(rows)
+    fixed = [(i, f"{own()}\n10 20.5 30\nPage {i} of 30") for i in range(30)]
+    assert cut(spark, fixed) == {i: text.split("\n")[0] for i, text in fixed}
+
+
 # 8 encoding
 
 

@@ -2,7 +2,9 @@
 
 A line is parsed through a tree of fixed depth: its number of tokens, then its
 leading tokens; tokens that hold a digit are variable fields, ``<*>``. Lines
-that agree in all tokens are one template. Where a leaf holds many templates
+that agree in all tokens are one template. A line of which too few tokens are
+constant, a row of numbers or a sentence without spaces, has no fields: it is
+the same only as its exact text. Where a leaf holds many templates
 none of which recurs by itself, the leaf is generalised: a position where the
 lines mostly agree stays, the others become ``<*>``, and the lines that fit are
 one template. Templates that recur across documents are boilerplate; their
@@ -31,6 +33,7 @@ from weftline.session import durable
 FIELD = "<*>"
 SPACE = r"[\x20\x09\x0B-\x0D]+"
 DEPTH = 3  # leading tokens in a path of the tree
+LEAST_CONSTANT = 0.5  # share of tokens without a digit that lets a line have fields
 LEAST_FAMILIES = 10  # families that make a template recur
 AGREE, CONSTANT = 0.8, 0.6  # share of a leaf's lines that keep a position's token, share of positions a general template must keep
 SKETCH, POSTED = 64, 12  # hashes of a document's sketch, and the smallest of them, under which copies are looked for
@@ -40,14 +43,20 @@ BROADCAST_ROWS = 50_000  # leaves broadcast at most, by count; more are joined
 
 def templates(text: Column, depth: int) -> Column:
     """Per line with a token: ``pos``, ``template`` (tokens with fields, one space between), ``size`` and ``leaf`` (path in the tree)."""
-    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda line, i: F.struct(
-        i.alias("pos"), F.regexp_replace(F.trim(F.regexp_replace(line, SPACE, " ")), r"[^ ]*[0-9][^ ]*", FIELD).alias("template"),
+    count = lambda x, token: F.floor((F.length(x) - F.length(F.replace(x, F.lit(token), F.lit("")))) / len(token))
+    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda line, i: F.struct(i.alias("pos"), F.trim(F.regexp_replace(line, SPACE, " ")).alias("line")))
+    masked = F.transform(F.filter(lines, lambda x: x["line"] != ""), lambda x: F.struct(
+        x["pos"].alias("pos"), x["line"].alias("line"), (count(x["line"], " ") + 1).alias("size"),
+        F.regexp_replace(x["line"], r"[^ ]*[0-9][^ ]*", "\x00").alias("masked"),
+    ))
+    constant = lambda x: x["size"] - count(x["masked"], "\x00")
+    full = F.transform(masked, lambda x: F.struct(
+        x["pos"].alias("pos"), x["size"].alias("size"),
+        F.when(constant(x) >= x["size"] * LEAST_CONSTANT, F.replace(x["masked"], F.lit("\x00"), F.lit(FIELD))).otherwise(x["line"]).alias("template"),
     ))
-    full = F.filter(lines, lambda x: x["template"] != "")
-    size = lambda x: F.length(x["template"]) - F.length(F.replace(x["template"], F.lit(" "), F.lit(""))) + 1
     return F.transform(full, lambda x: F.struct(
-        x["pos"].alias("pos"), x["template"].alias("template"), size(x).alias("size"),
-        F.concat_ws(" ", size(x).cast("string"), F.substring_index(x["template"], " ", depth)).alias("leaf"),
+        x["pos"].alias("pos"), x["template"].alias("template"), x["size"].alias("size"),
+        F.concat_ws(" ", x["size"].cast("string"), F.substring_index(x["template"], " ", depth)).alias("leaf"),
     ))
 
 
