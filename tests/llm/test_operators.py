@@ -245,6 +245,14 @@ def test_lines_without_constants(spark):
     assert cut(spark, fixed) == {i: text.split("\n")[0] for i, text in fixed}
 
 
+def test_several_templates_in_a_leaf(spark):
+    """Two templates and foreign lines of the same length and beginning."""
+    own = sentences(7)
+    made = [lambda: f"This page was written by {own(1)} for the public record", lambda: f"This page was printed in {own(1)} under a royal charter"]
+    rows = [(i, f"{own()}\n{made[i % 2]()}") for i in range(40)] + [(100 + i, f"{own()}\nThis page was {own(7)}") for i in range(20)]
+    assert cut(spark, rows) == {i: text.split("\n")[0] if i < 100 else text for i, text in rows}
+
+
 # 8 encoding
 
 

@@ -7,7 +7,9 @@ constant, a row of numbers or a sentence without spaces, has no fields: it is
 the same only as its exact text. Where a leaf holds many templates
 none of which recurs by itself, the leaf is generalised: a position where the
 lines mostly agree stays, the others become ``<*>``, and the lines that fit are
-one template. Templates that recur across documents are boilerplate; their
+one template. A leaf may hold several templates and foreign lines besides: the
+lines with the same frequent tokens at the same positions are a group, each
+group that recurs is a template, and the lines that have all its tokens fit it. Templates that recur across documents are boilerplate; their
 lines are dropped everywhere.
 
 Copies of a document repeat all their lines without any being boilerplate. So
@@ -87,7 +89,24 @@ def general_hits(docs: DataFrame, rest: DataFrame, leaves: DataFrame, text: str,
     kept = kept.filter((n >= F.col("size") * CONSTANT) & (n - depth >= (F.col("size") - depth) / 2)).drop("size")
     fits = F.forall("_kept", lambda k: F.get("_tokens", k["_place"]) == k["_token"])
     fitting = lines.join(kept, "leaf").filter(fits).select(*same, "leaf", "family")
-    return fitting.join(recurring(fitting, "leaf", least_families), "leaf", "left_semi").select(*same)
+    whole = fitting.join(recurring(fitting, "leaf", least_families), "leaf", "left_semi").select(*same)
+    return whole.unionByName(group_hits(lines, depth, least_families)).distinct()
+
+
+def group_hits(lines: DataFrame, depth: int, least_families: int) -> DataFrame:
+    """(_key, _text, pos) of the lines that hold all tokens of a recurring group of their leaf."""
+    same = ["_key", "_text", "pos"]
+    tokens = lines.select(*same, "leaf", "size", "family", F.posexplode("_tokens").alias("_place", "_token")).filter(F.col("_token") != FIELD)
+    frequent = tokens.groupBy("leaf", "_place", "_token").agg(F.count_distinct("family").alias("_n")).filter(F.col("_n") >= least_families)
+    held = tokens.join(frequent, ["leaf", "_place", "_token"]).groupBy(*same, "leaf", "size", "family").agg(
+        F.sort_array(F.collect_list(F.struct("_n", "_place", "_token"))).alias("_held"))
+    behind = F.filter("_held", lambda x: x["_place"] >= depth)  # after the path, the rarest first
+    held = durable(held.filter((F.size("_held") >= F.col("size") * CONSTANT) & (F.size(behind) >= (F.col("size") - depth) / 2)))
+    groups = held.groupBy("leaf", "_held").agg(F.count_distinct("family").alias("_n")).filter(F.col("_n") >= least_families)
+    # a line that fits has the group's rarest token too, so only such lines are compared
+    groups = groups.select("leaf", F.get(behind, F.lit(0)).alias("_rarest"), F.col("_held").alias("_needed"))
+    asked = held.select(*same, "leaf", "_held", F.explode(behind).alias("_rarest"))
+    return asked.join(groups, ["leaf", "_rarest"]).filter(F.size(F.array_except("_needed", "_held")) == 0).select(*same)
 
 
 def families(held: DataFrame) -> DataFrame:
