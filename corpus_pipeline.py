@@ -60,9 +60,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of every whole text, and their number."""
-    encoded = merge_encoding.encode(docs.select("doc_id", "source", "text"), "text", piece_model())
-    return encoded.select("doc_id", "source", "ids", F.size("ids").cast("bigint").alias("n_tokens"))
+    """The token ids of every whole text, their number, and the SHA-256 of the text read back from them."""
+    encoded = merge_encoding.encode(docs.select("doc_id", "source", "text"), "text", piece_model(), decoded="decoded")
+    return encoded.select("doc_id", "source", "ids", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [

@@ -1,5 +1,7 @@
 """The stages against plain versions of their rules."""
 
+import hashlib
+
 import corpus_pipeline
 from weftline.llm import mixing
 
@@ -48,3 +50,8 @@ def test_pipeline_keeps_its_promises(spark):
     counts = {r.doc_id: r["count"] for r in mixed.groupBy("doc_id").count().collect()}
     assert counts == {i: n for i, n in plan.items() if n}
     assert corpus_pipeline.run(spark, sf_dir).count() > 0
+
+
+def test_encoded_ids_read_back(spark, odd_documents):
+    texts = sorted(hashlib.sha256((r.text or "").encode()).hexdigest() for r in odd_documents.collect())
+    assert sorted(r.decoded_sha256 for r in corpus_pipeline.encode_tokens(spark, odd_documents, "").collect()) == texts
