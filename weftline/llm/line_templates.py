@@ -95,18 +95,20 @@ def general_hits(docs: DataFrame, rest: DataFrame, leaves: DataFrame, text: str,
 
 def group_hits(lines: DataFrame, depth: int, least_families: int) -> DataFrame:
     """(_key, _text, pos) of the lines that hold all tokens of a recurring group of their leaf."""
-    same = ["_key", "_text", "pos"]
-    tokens = lines.select(*same, "leaf", "size", "family", F.posexplode("_tokens").alias("_place", "_token")).filter(F.col("_token") != FIELD)
-    frequent = tokens.groupBy("leaf", "_place", "_token").agg(F.count_distinct("family").alias("_n")).filter(F.col("_n") >= least_families)
-    held = tokens.join(frequent, ["leaf", "_place", "_token"]).groupBy(*same, "leaf", "size", "family").agg(
+    kinds = lines.select("leaf", "size", "_tokens", "family").distinct()  # copies hold the same lines
+    tokens = lambda rows, *kept: rows.select(*kept, F.posexplode("_tokens").alias("_place", "_token")).filter(F.col("_token") != FIELD)
+    frequent = tokens(kinds, "leaf", "family").groupBy("leaf", "_place", "_token").agg(F.count_distinct("family").alias("_n")).filter(F.col("_n") >= least_families)
+    once = kinds.select("leaf", "size", "_tokens").distinct()
+    held = tokens(once, "leaf", "size", "_tokens").join(frequent, ["leaf", "_place", "_token"]).groupBy("leaf", "size", "_tokens").agg(
         F.sort_array(F.collect_list(F.struct("_n", "_place", "_token"))).alias("_held"))
     behind = F.filter("_held", lambda x: x["_place"] >= depth)  # after the path, the rarest first
     held = durable(held.filter((F.size("_held") >= F.col("size") * CONSTANT) & (F.size(behind) >= (F.col("size") - depth) / 2)))
-    groups = held.groupBy("leaf", "_held").agg(F.count_distinct("family").alias("_n")).filter(F.col("_n") >= least_families)
+    groups = kinds.drop("size").join(held, ["leaf", "_tokens"]).groupBy("leaf", "_held").agg(F.count_distinct("family").alias("_n")).filter(F.col("_n") >= least_families)
     # a line that fits has the group's rarest token too, so only such lines are compared
     groups = groups.select("leaf", F.get(behind, F.lit(0)).alias("_rarest"), F.col("_held").alias("_needed"))
-    asked = held.select(*same, "leaf", "_held", F.explode(behind).alias("_rarest"))
-    return asked.join(groups, ["leaf", "_rarest"]).filter(F.size(F.array_except("_needed", "_held")) == 0).select(*same)
+    asked = held.select("leaf", "_tokens", "_held", F.explode(behind).alias("_rarest"))
+    fitting = asked.join(groups, ["leaf", "_rarest"]).filter(F.size(F.array_except("_needed", "_held")) == 0).select("leaf", "_tokens")
+    return lines.join(fitting, ["leaf", "_tokens"], "left_semi").select("_key", "_text", "pos")
 
 
 def families(held: DataFrame) -> DataFrame:
