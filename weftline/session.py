@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,3 +52,43 @@ def durable(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder in whatever store it lies."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class Rounds:
+    """Tables handed from round to round, as Parquet in the shared folder.
+
+    The table of a name is deleted as soon as the next one of that name stands,
+    so an iterative job holds two rounds at most, compressed, in a session with
+    any settings. What was kept under a name last stays until ``close``.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self._spark = spark
+        self._folder = f"{ensure_checkpoint_dir(spark)}/rounds-{uuid.uuid4().hex}"
+        self._made = 0
+        self._held: dict[str, str] = {}
+
+    def keep(self, name: str, df: DataFrame) -> DataFrame:
+        """Write ``df`` and go on from the written table."""
+        self._made += 1
+        folder = f"{self._folder}/{name}-{self._made}"
+        df.write.parquet(folder)
+        self.drop(name)
+        self._held[name] = folder
+        return self._spark.read.schema(df.schema).parquet(folder)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            if name in self._held:
+                remove_folder(self._spark, self._held.pop(name))
+
+    def close(self) -> None:
+        """Delete everything; only once no result needs it."""
+        self.drop(*list(self._held))
+        remove_folder(self._spark, self._folder)
