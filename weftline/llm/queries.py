@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import pathlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import binary_ann, chat, exact_topk, language, line_templates, merge_encoding, minhash_dedup, mixing, rule_quality, toxicity
+from weftline.llm import (
+    binary_ann, chat, conversation_repair, exact_topk, language, line_templates, merge_encoding, minhash_dedup, mixing, rule_quality, secret_scan, toxicity,
+    vector_codes,
+)
 from weftline.llm.text_features import fold
 
 #: Where the public tokenizer files lie; None asks the installed package ``public_tokenizers``.
@@ -239,3 +243,147 @@ with recursive words as (
 select d.doc_id, coalesce(n, 0)::bigint as n_shingles, component_id, d.doc_id = component_id as kept
 from documents d join least_ using (doc_id) left join sizes using (doc_id)
 """
+
+
+#: What damages a row, by the remainder of its key's crc32.
+DROP, EMPTY, CUT, TWICE, AS_USER = range(5)
+
+
+@query
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    fault = F.crc32(F.concat(blank("conv_id"), F.lit(":"), blank("turn")).cast("binary")) % 20
+    text = F.when(fault == EMPTY, F.lit("")).when(fault == CUT, F.regexp_replace(blank("text"), "[.!?]", "")).otherwise(blank("text"))
+    rows = given.select(
+        "conv_id", "turn", F.when(fault == AS_USER, F.lit("user")).otherwise(blank("role")).alias("role"), text.alias("text"), (fault != DROP).alias("present"),
+        F.explode(F.when(fault == TWICE, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("copy"),
+    )
+    found = conversation_repair.repair(rows, "conv_id", "turn", "role", "text", F.col("present"))
+    lines = F.array_join(F.transform("repaired", lambda r: F.concat(r["role"], F.lit(":"), r["text"])), "\n")
+    return found.select(
+        "conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", F.sha2(lines.cast("binary"), 256).alias("repaired_sha256"))
+
+
+def _dearer(paths: str, cost: str, edit: str) -> str:
+    """SQL: a path (nine digits of cost, then the audit) with one more edit."""
+    return f"(lpad((substr({paths}, 1, 9)::integer + {cost})::varchar, 9, '0') || substr({paths}, 10) || '{edit}')"
+
+
+SQL["op11_conversation_repair"] = r"""
+with recursive keyed as (
+    select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as k,
+        dense_rank() over (order by conv_id nulls first) as g
+    from conversations
+), folded as (
+    select *, xor(list_reduce(
+        flatten(list_transform(range(1, length(k) + 1), lambda i: [ord(substr(k, i::integer, 1))::bigint, 0, 0, 0, 0, 0, 0, 0])),
+        lambda c, b: xor(xor(c, b) >> 1, (xor(c, b) & 1) * 3988292384), 4294967295::bigint), 4294967295::bigint) % 20 as fault
+    from keyed
+), damaged as (
+    select g, turn, case when fault = 4 then 'user' else role end as role,
+        case fault when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text, unnest(case when fault = 3 then [1, 2] else [1] end) as copy
+    from folded where fault <> 0
+), placed as (
+    select *, row_number() over (partition by g order by turn nulls first, role, text) as i,
+        rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as said, substr(role, 1, 1) as letter
+    from damaged
+), repeated as (
+    select *, row_number() over (partition by g, role, text order by i) > 1 as again, lead(letter) over (partition by g order by i) as following from placed
+), faults as (
+    select *, case when said = '' then 'blank' when again then 'duplicate' when right(said, 1) not in ('.', '!', '?') then 'truncated' else '' end as fault from repeated
+), coded as (select *, fault in ('blank', 'duplicate') as gone, case when fault = 'truncated' then 5 else 0 end as extra from faults
+), sizes as (select g, conv_id, coalesce(n, 0) as n from (select distinct g, conv_id from keyed) left join (select g, count(*) as n from coded group by g) using (g)
+), paths(g, i, s0, s1, s2, s3) as (
+    select g, 0::bigint, '000000000', null::varchar, '000000005I', '000000010II' from sizes
+    union all
+    select g, i, n0, n1, n2, least(m3, [after:n2]) from (
+        select *, least(m2, [after:n0], [after:n1], [after:m3]) as n2 from (
+            select p.g, c.i, [gone:s0] as n0,
+                least([gone:s1], case when not gone and letter = 's' then [kept:s0] end) as n1,
+                least([gone:s2], case when not gone then least([new:s0], [new:s1], [new:s3]) end,
+                    case when not gone and letter = 'u' then least([kept:s0], [kept:s1], [kept:s3]) end) as m2,
+                least([gone:s3], case when not gone then [new:s2] end, case when not gone and letter = 'a' then [kept:s2] end) as m3
+            from paths p join coded c on c.g = p.g and c.i = p.i + 1
+        )
+    )
+), solved as (select z.g, z.conv_id, least(s0, s3) as best from sizes z join paths p on p.g = z.g and p.i = z.n
+), edits as (
+    select g, j, substr(best, 9 + j::integer, 1) as e from (select g, best, unnest(range(1, length(best) - 8)) as j from solved)
+), counted as (
+    select *, count(*) filter (where e <> 'I') over before_it as i, count(*) filter (where e <> 'D') over before_it as place
+    from edits window before_it as (partition by g order by j rows between unbounded preceding and current row)
+), joined as (
+    select t.*, c.role, c.letter, c.text, max((place = 1 and e = 'K' and letter = 's')::integer) over (partition by t.g) as off
+    from counted t left join coded c on c.g = t.g and c.i = t.i and t.e <> 'I' where e <> 'D'
+), written as (
+    select g, string_agg(case when e = 'K' then role when (place - off) % 2 = 1 then 'user' else 'assistant' end || ':' || coalesce(text, ''), chr(10) order by place) as body
+    from joined group by g
+), counts as (
+    select g, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (where fault = 'blank') as blank,
+        count(*) filter (where fault = 'duplicate') as duplicate, count(*) filter (where fault = 'truncated') as truncated,
+        count(*) filter (where following is not null and letter || following not in ('su', 'ua', 'au')) as illegal
+    from coded group by g
+)
+select s.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate,
+    coalesce(truncated, 0)::bigint as truncated, coalesce(illegal, 0)::bigint as illegal, substr(best, 1, 9)::bigint as cost, substr(best, 10) as audit,
+    sha256(coalesce(body, '')) as repaired_sha256
+from solved s left join counts using (g) left join written using (g)
+"""
+for _mark, _cost, _edit in (("gone", "2", "D"), ("kept", "extra", "K"), ("new", "1 + extra", "R"), ("after", "5", "I")):
+    for _state in ("s0", "s1", "s2", "s3", "n0", "n1", "n2", "m3"):
+        SQL["op11_conversation_repair"] = SQL["op11_conversation_repair"].replace(f"[{_mark}:{_state}]", _dearer(_state, _cost, _edit))
+
+
+@query
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, books = vector_codes.compress(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label")
+    digest = hashlib.sha256(vector_codes.listed(books).encode()).hexdigest()
+    return vector_codes.with_label_error(rows).select(
+        F.col("id").alias("vec_id"), vector_codes.code_string(F.col("codes")).alias("code"), "error", "label_error", F.lit(digest).alias("codebooks_sha256"))
+
+
+def _lloyd_sql(rounds: int) -> str:
+    """The rounds one after another: ``a{r}`` assigns parts to the entries ``c{r}``."""
+    steps = [r"""
+with kept as (
+    select row_number() over (order by vec_id nulls last, q) as r, vec_id, label, q from (
+        select vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::double)) as q from embeddings
+        where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0)
+), parts as (
+    select r, p, q[p * w + 1:(p + 1) * w] as v from (select r, q, len(q) // 4 as w, unnest(range(4)) as p from kept)
+), c0 as (select p, r - 1 as e, v as c from parts where r <= 256)"""]
+    for i in range(rounds + 1):
+        steps.append(f""", d{i} as (
+    select r, parts.p, v, e, list_inner_product(v, v) - 2 * list_inner_product(v, c) + list_inner_product(c, c) as d from parts join c{i} on c{i}.p = parts.p
+), a{i} as materialized (select r, p, any_value(v) as v, min(struct_pack(d, e)) as best from d{i} group by r, p)""")
+        if i < rounds:
+            steps.append(f""", s{i} as (
+    select p, e, list(floor(total / n) order by place) as c from (
+        select p, best.e as e, place, sum(x) as total, count(*) as n from (select p, best, unnest(v) as x, unnest(range(len(v))) as place from a{i}) group by all)
+    group by p, e
+), c{i + 1} as materialized (select c{i}.p, c{i}.e, coalesce(s{i}.c, c{i}.c) as c from c{i} left join s{i} on s{i}.p = c{i}.p and s{i}.e = c{i}.e)""")
+    steps.append(f""", coded as (
+    select r, string_agg(printf('%02x', best.e), '' order by p) as code, sum(best.d)::bigint as error from a{rounds} group by r
+), listed as (
+    select sha256(string_agg(x::bigint::varchar, ',' order by p, e, place)) as digest from (select p, e, unnest(c) as x, unnest(range(len(c))) as place from c{rounds})
+)
+select vec_id, code, error, sum(error) over (partition by label)::bigint as label_error, digest as codebooks_sha256
+from kept join coded using (r) cross join listed""")
+    return "".join(steps)
+
+
+SQL["op12_vector_codes"] = _lloyd_sql(vector_codes.LLOYD_ROUNDS)
+
+
+@query
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = secret_scan.train(secret_scan.samples(docs, "text"), "value", "secret")
+    found = secret_scan.scan(docs, "text", model)
+    written = lambda all_: F.array_join(F.transform(all_, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    base = F.filter("secrets", lambda s: s["kind"] != "markov")
+    number = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("bigint")
+    return found.select(
+        "doc_id", *[number(kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")],
+        F.sha2(written(base).cast("binary"), 256).alias("base_sha256"), written(F.col("secrets")).alias("spans"))
