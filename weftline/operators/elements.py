@@ -19,13 +19,16 @@ from weftline.operators.rows import unpack
 
 _ITEM = (
     "struct<self_ref:string,label:string,type:string,text:string,orig:string,content:string,"
-    "level:int,heading_level:int,prov:array<struct<page_no:int>>,content_layer:string,"
+    "level:int,heading_level:int,content_layer:string,formatting:string,"
+    "prov:array<struct<page_no:int,bbox:struct<l:double,t:double,r:double,b:double,coord_origin:string>>>,"
     "caption:string,title:string,image:struct<uri:string>,"
     "data:struct<grid:array<array<variant>>,table_cells:array<variant>,cells:array<variant>>>"
 )
 DOCUMENT_SCHEMA = f"struct<texts:array<{_ITEM}>,tables:array<{_ITEM}>,pictures:array<{_ITEM}>>"
 GROUPS = ("texts", "tables", "pictures")
 SAMPLE_CHARS = 120
+_CELLS = "array<struct<row:int,col:int,seq:int,text:string,path:string>>"
+_BOXES = "array<struct<page:int,l:double,t:double,r:double,b:double>>"
 
 
 def first_filled(*cols: Column) -> Column:
@@ -108,11 +111,20 @@ def matrix_of(entries: Column) -> Column:
     return F.when(F.size(entries) > 0, let(entries, grid))
 
 
+def boxes_of(prov: Column) -> Column:
+    """(page, l, t, r, b) per place of an element; t and b grow downwards whatever the origin, and are null without a box."""
+    def box(p: Column) -> Column:
+        down = F.when(p["bbox"]["coord_origin"] == "BOTTOMLEFT", -1.0).otherwise(1.0)
+        return F.struct(
+            p["page_no"].alias("page"), p["bbox"]["l"].alias("l"), (p["bbox"]["t"] * down).alias("t"), p["bbox"]["r"].alias("r"), (p["bbox"]["b"] * down).alias("b"))
+
+    return F.transform(F.filter(prov, lambda p: p["page_no"].isNotNull()), box)
+
+
 def _item(entry: Column, grp: str, idx: Column) -> Column:
     pages = page_list(entry["prov"])
     grid = _grid_cells(entry["data"]) if grp == "tables" else F.lit(None)
     cells = F.coalesce(_listed_cells(entry["data"]), grid) if grp == "tables" else F.lit(None)
-    cell_type = "array<struct<row:int,col:int,seq:int,text:string,path:string>>"
     uri = entry["image"]["uri"]
     return F.struct(
         F.lit(grp).alias("grp"),
@@ -128,7 +140,8 @@ def _item(entry: Column, grp: str, idx: Column) -> Column:
         # a picture's title is no caption
         strip(first_truthy(entry["caption"], *([] if grp == "pictures" else [entry["title"]]), default="")).alias("caption"),
         F.when(uri.isNotNull(), F.array(uri)).otherwise(F.array().cast("array<string>")).alias("assets"),
-        cells.cast(cell_type).alias("cells"), grid.cast(cell_type).alias("grid"),
+        cells.cast(_CELLS).alias("cells"), grid.cast(_CELLS).alias("grid"),
+        boxes_of(entry["prov"]).cast(_BOXES).alias("boxes"), entry["formatting"].alias("style"),
     )
 
 
@@ -207,9 +220,10 @@ def line_elements(docs: DataFrame, text: str = "text", heading_chars: int = 0) -
             F.array(F.floor(i / 50).cast("int") + 1).alias("pages"), F.lit("body").alias("layer"),
             F.lit("").alias("caption"), F.array().cast("array<string>").alias("assets"),
             no_cells.alias("cells"), no_cells.alias("grid"),
+            F.lit(None).cast(_BOXES).alias("boxes"), F.lit(None).cast("string").alias("style"),
         )
 
-    no_cells = F.lit(None).cast("array<struct<row:int,col:int,seq:int,text:string,path:string>>")
+    no_cells = F.lit(None).cast(_CELLS)
     lines = lines_of(F.col(text))
     made = F.transform(lines, lambda line, i: let(label_of(line, i), lambda label: item(line, i, label)))
     kept = [c for c in docs.columns if c != text]

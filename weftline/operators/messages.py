@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.coerce import TIME_KEYS, first_truthy, strip, text_moment
 from weftline.operators.rows import unpack
+from weftline.session import Rounds
 
 MAX_MESSAGE_CHARS = 20000
 MODEL_ROLES = ("user", "assistant", "system")
@@ -140,16 +141,19 @@ def completion_messages(messages: DataFrame, pending: DataFrame | None = None) -
     return usable.unionByName(added)
 
 
-def append_turn(messages: DataFrame, turns: DataFrame) -> DataFrame:
-    """Add a user turn and its assistant placeholder to each chat tree.
+def append_turn(messages: DataFrame, heads: DataFrame, turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Add a user turn and its assistant placeholder to chat trees: the messages and the heads after it.
 
     ``messages``: chat_id, id, parent_id, children_ids, role, content.
-    ``turns``: chat_id, current_id, user_id, assistant_id, content. The new
-    user id joins the children of the current message.
+    ``heads``: chat_id, current_id, where each chat stands; a chat without a
+    head, or with an empty one, begins anew. ``turns``: chat_id, user_id,
+    assistant_id, content; blank turns are left out. The new user id joins the
+    children of the current message, and the head moves to the reply.
     """
-    usable = turns.filter(strip(F.coalesce("content", F.lit(""))) != "")
+    now = F.nullif("current_id", F.lit(""))
+    usable = turns.filter(strip(F.coalesce("content", F.lit(""))) != "").join(heads.select("chat_id", now.alias("current_id")), "chat_id", "left")
     fresh_user = usable.select(
-        "chat_id", F.col("user_id").alias("id"), F.nullif("current_id", F.lit("")).alias("parent_id"),
+        "chat_id", F.col("user_id").alias("id"), F.col("current_id").alias("parent_id"),
         F.array("assistant_id").alias("children_ids"), F.lit("user").alias("role"), "content",
     )
     fresh_reply = usable.select(
@@ -164,21 +168,87 @@ def append_turn(messages: DataFrame, turns: DataFrame) -> DataFrame:
         F.when(F.array_contains(children, F.col("_child")), children).otherwise(F.array_append(children, F.col("_child")))
     )
     updated = linked.withColumn("children_ids", grown).select(*fresh_user.columns)
-    return updated.unionByName(fresh_user).unionByName(fresh_reply)
+    moved = usable.select("chat_id", F.col("assistant_id").alias("_moved"))
+    after = heads.join(moved, "chat_id", "full").select("chat_id", F.coalesce("_moved", "current_id").alias("current_id"))
+    return updated.unionByName(fresh_user).unionByName(fresh_reply), after
+
+
+def tree_links(messages: DataFrame) -> DataFrame:
+    """(chat_id, id, parent_id, up, reason): the parent a message can be reached from, and why not.
+
+    A link holds if the parent exists in the chat and lists the message. Roots
+    have neither ``up`` nor a reason.
+    """
+    listed = messages.select("chat_id", F.col("id").alias("parent_id"), F.explode("children_ids").alias("id")).distinct().withColumn("_listed", F.lit(True))
+    known = messages.select("chat_id", F.col("id").alias("parent_id")).distinct().withColumn("_known", F.lit(True))
+    child = messages.select("chat_id", "id", F.nullif("parent_id", F.lit("")).alias("parent_id"))
+    joined = child.join(listed, ["chat_id", "id", "parent_id"], "left").join(known, ["chat_id", "parent_id"], "left")
+    reason = F.when(F.col("parent_id").isNull(), None).when(F.col("_known").isNull(), "unknown parent").when(F.col("_listed").isNull(), "not listed by parent")
+    return joined.select("chat_id", "id", "parent_id", F.when(reason.isNull(), F.col("parent_id")).alias("up"), reason.alias("reason"))
+
+
+class ChatTrees:
+    """What can be reached in chat trees of any depth, by pointer doubling.
+
+    Round k joins every message with the one 2^k links above it, so trees of
+    depth n take about log2(n) joins, whatever the shape, and no chat is
+    gathered in one place. Rounds are tables in the shared folder.
+    """
+
+    def __init__(self, messages: DataFrame) -> None:
+        self._rounds = Rounds(messages.sparkSession)
+        start = tree_links(messages)
+        # top: the message a chain ends at; steps: links up to it
+        state = start.select("chat_id", "id", "up", F.coalesce("up", "id").alias("top"), F.col("up").isNotNull().cast("bigint").alias("steps"))
+        self.links = self._rounds.keep("links", start)
+        self.jumps = [self._rounds.keep("jump-0", state)]
+        largest = messages.groupBy("chat_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+        while self.jumps[-1].filter("up is not null").limit(1).count():
+            if 1 << len(self.jumps) > 2 * largest:
+                break  # longer chains than messages: only loops are left
+            here = self.jumps[-1]
+            above = here.select("chat_id", F.col("id").alias("up"), F.col("up").alias("_up"), F.col("top").alias("_top"), F.col("steps").alias("_steps"))
+            next_ = here.join(above, ["chat_id", "up"], "left").select(
+                "chat_id", "id", F.col("_up").alias("up"), F.coalesce("_top", "top").alias("top"), (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps"))
+            self.jumps.append(self._rounds.keep(f"jump-{len(self.jumps)}", next_))
+
+    def hidden(self) -> DataFrame:
+        """(chat_id, id, parent_id, reason, broken_at): messages that no chain of links joins with a root.
+
+        ``broken_at`` is the nearest message with a broken link, the message
+        itself or one above; in a loop it is null.
+        """
+        last = self.jumps[-1]
+        breaks = self.links.filter("reason is not null").select("chat_id", F.col("id").alias("top"), F.lit(True).alias("_broken"))
+        found = last.join(breaks, ["chat_id", "top"], "left").filter(F.col("_broken") | F.col("up").isNotNull())
+        joined = self.links.join(found.select("chat_id", "id", F.when(F.col("up").isNull(), F.col("top")).alias("broken_at")), ["chat_id", "id"])
+        inherited = F.when(F.col("broken_at").isNull(), "parents form a loop").otherwise("under a broken link")
+        return joined.select("chat_id", "id", "parent_id", F.coalesce("reason", inherited).alias("reason"), "broken_at")
+
+    def visible(self, heads: DataFrame) -> DataFrame:
+        """(chat_id, id, place): the branch from the first message in reach (place 0) to the chat's head.
+
+        ``heads``: chat_id, current_id. A head that is no message shows nothing;
+        above a broken link nothing is shown; a loop shows each message once, from 0 at the head.
+        """
+        first = heads.select("chat_id", F.col("current_id").alias("id")).join(self.jumps[0].select("chat_id", "id"), ["chat_id", "id"])
+        path = first.withColumn("below", F.lit(0).cast("bigint"))
+        for k in range(len(self.jumps) - 1, -1, -1):
+            step = self.jumps[k].filter("up is not null").select("chat_id", "id", "up")
+            further = path.join(step, ["chat_id", "id"]).select("chat_id", F.col("up").alias("id"), (F.col("below") + (1 << k)).alias("below"))
+            path = self._rounds.keep("path", path.unionByName(further))
+        once = path.groupBy("chat_id", "id").agg(F.min("below").alias("below"))
+        length = self.jumps[-1].select("chat_id", "id", F.when(F.col("up").isNull(), F.col("steps")).alias("_steps"))
+        return once.join(length, ["chat_id", "id"]).select("chat_id", "id", F.coalesce("_steps", -F.col("below")).alias("place"))
+
+    def close(self) -> None:
+        """Delete the tables of the rounds; results are void then."""
+        self._rounds.close()
 
 
 def broken_links(messages: DataFrame) -> DataFrame:
-    """Messages hidden by a bad link: unknown parent, or parent not listing them."""
-    listed = messages.select(
-        "chat_id", F.col("id").alias("parent_id"), F.explode("children_ids").alias("id")
-    ).distinct()
-    known = messages.select("chat_id", F.col("id").alias("parent_id"), F.lit(True).alias("known"))
-    child = messages.filter(F.col("parent_id").isNotNull()).select("chat_id", "id", "parent_id")
-    lost = child.join(listed, ["chat_id", "id", "parent_id"], "left_anti")
-    return lost.join(known, ["chat_id", "parent_id"], "left").select(
-        "chat_id", "id", "parent_id",
-        F.when(F.col("known"), "not listed by parent").otherwise("unknown parent").alias("reason"),
-    )
+    """Messages hidden by a bad link of their own or of a message above them; see :meth:`ChatTrees.hidden`."""
+    return ChatTrees(messages).hidden()
 
 
 def publishable(posts: DataFrame, limit: int = MAX_MESSAGE_CHARS) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.coerce import column_or_null, feed_moment, first_truthy, strip
+from weftline.operators.components import similar_groups
 from weftline.operators.ordering import number_rows
 
 # Output field, its input aliases in order, and the default.
@@ -156,6 +157,10 @@ def recent(items: DataFrame, until: str, hours: int = 72, published: str = "publ
     return items.filter((ts >= high - F.make_dt_interval(hours=F.lit(hours))) & (ts <= high))
 
 
+#: Share of title words that makes two items one topic.
+SAME_TOPIC = 0.6
+
+
 def topic_key(title: Column) -> Column:
     """Key of a topic: letters and digits of the title, lower-cased."""
     words = F.regexp_replace(F.lower(strip(title)), r"[^\p{L}\p{N}]+", " ")
@@ -175,6 +180,26 @@ def one_per_topic(items: DataFrame, title: str = "title", priority: str = "sourc
     return items.join(best, items["seq"] == best["_seq"]).select("topic", "copies", *[items[c] for c in items.columns])
 
 
+def one_per_similar_topic(
+    items: DataFrame, threshold: float = SAME_TOPIC, title: str = "title", priority: str = "source_priority", published: str = "published_at",
+) -> DataFrame:
+    """One item per topic under whatever titles: ``topic_seq``, ``copies`` and the item's columns.
+
+    Items are of one topic if their titles share at least ``threshold`` of
+    their words (Jaccard), directly or over other titles; ``topic_seq`` is the
+    smallest ``seq`` of the topic. Primary sources first, then the earliest, as
+    in :func:`one_per_topic`. Only keys are grouped; items are joined by ``seq``.
+    """
+    words = F.split(F.trim(F.regexp_replace(F.lower(strip(F.col(title))), r"[^\p{L}\p{N}]+", " ")), " ")
+    words = F.filter(F.coalesce(words, F.array().cast("array<string>")), lambda w: w != "")
+    ts = published_moment(items, published)
+    keyed = items.select("seq", F.col(priority).alias("_p"), ts.alias("_t"), words.alias("_words"))
+    order = F.struct(F.col("_p").isNull().alias("p0"), F.col("_p").alias("p"), F.col("_t").isNull().alias("t0"), F.col("_t").alias("t"), F.col("seq").alias("seq"))
+    grouped = similar_groups(keyed, "seq", "_words", threshold).join(keyed.drop("_words"), "seq")
+    best = grouped.groupBy(F.col("group").alias("topic_seq")).agg(F.min(order)["seq"].alias("_seq"), F.count(F.lit(1)).alias("copies"))
+    return items.join(best, items["seq"] == best["_seq"]).select("topic_seq", "copies", *[items[c] for c in items.columns])
+
+
 def balanced(items: DataFrame, limits: dict[str, int] | None = None, source: str = "source", priority: str = "source_priority") -> DataFrame:
     """Items per section taken in turn from each source, up to the limit.
 

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from weftline.functions.coerce import strip
 from weftline.functions.elements import FENCE
-from weftline.operators.ordering import number_rows, segmented_last
+from weftline.operators.ordering import segmented_last
 from weftline.operators.rows import unpack
 
 # Patch operations and the element column each one sets.
@@ -33,11 +33,11 @@ def page_units(elements: DataFrame) -> DataFrame:
     )
 
 
-def structure_units(elements: DataFrame) -> DataFrame:
-    """Text elements as short one-line units for structure review."""
+def structure_units(elements: DataFrame, unit_chars: int = UNIT_CHARS) -> DataFrame:
+    """Text elements as short one-line units for structure review, cut at ``unit_chars``."""
     line = F.replace(F.col("raw_text"), F.lit("\n"), F.lit(" "))
     return elements.filter(F.col("grp") == "texts").select(
-        "doc_id", "idx", "ref", F.col("pages").alias("page"), "label", "level", F.substring(line, 1, UNIT_CHARS).alias("text")
+        "doc_id", "idx", "ref", F.col("pages").alias("page"), "label", "level", F.substring(line, 1, unit_chars).alias("text")
     )
 
 
@@ -203,45 +203,67 @@ def order_problems(elements: DataFrame, orders: DataFrame, complete: bool = Fals
     return counts.filter(bad)
 
 
-def reorder_texts(elements: DataFrame, orders: DataFrame, renumber: bool = False) -> DataFrame:
+def reorder_texts(elements: DataFrame, orders: DataFrame) -> DataFrame:
     """Listed texts first in the given order, the rest after them as before.
 
     All or nothing per document. ``order_major``/``order_minor`` hold the new
-    order; ``renumber`` also rewrites ``idx`` so that positional refs follow.
+    order; :func:`apply_patches` also rewrites ``idx`` so that positional refs follow.
     """
     sound = orders.join(order_problems(elements, orders), "doc_id", "left_anti")
     places = sound.select("doc_id", F.posexplode("refs").alias("_place", "ref"))
     texts = elements.filter(F.col("grp") == "texts")
-    placed = texts.join(places, ["doc_id", "ref"], "left").select(
+    return texts.join(places, ["doc_id", "ref"], "left").select(
         *elements.columns,
         F.when(F.col("_place").isNull(), 1).otherwise(0).alias("order_major"),
         F.coalesce("_place", "idx").alias("order_minor"),
     )
-    if not renumber:
-        return placed
-    numbered = number_rows(placed, ["order_major", "order_minor"], ["doc_id"], "_n")
-    return numbered.withColumn("idx", (F.col("_n") - 1).cast("int")).select(*elements.columns)
+
+
+def text_orders(elements: DataFrame, patches: DataFrame) -> DataFrame:
+    """(doc_id, seqs, orders): the reorders of each document and the order of its texts after each of them.
+
+    ``orders`` has one entry more than ``seqs``: the original positions, in the
+    order before the first reorder, after the first, and so on. A reorder that
+    names a ref twice or an unknown one changes nothing. One row per document
+    that has a reorder; an order is an array of one index per text.
+    """
+    asked = patches.filter(F.col("op") == "reorder_texts").select("doc_id", "seq", "refs")
+    texts = elements.filter(F.col("grp") == "texts").join(asked.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "idx", "ref")
+    sizes = texts.groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    named = asked.select("doc_id", "seq", F.posexplode("refs").alias("_place", "ref"))
+    known = texts.groupBy("doc_id", "ref").agg(F.min("idx").alias("idx"))
+    moves = named.join(known, ["doc_id", "ref"], "left").groupBy("doc_id", "seq").agg(
+        F.array_sort(F.collect_list(F.struct("_place", "idx"))).alias("_moves"), F.count_if(F.col("idx").isNull()).alias("_unknown"))
+    front = F.transform("_moves", lambda m: m["idx"])
+    sound = moves.filter((F.col("_unknown") == 0) & (F.size(F.array_distinct(front)) == F.size("_moves")))
+    listed = sound.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", front.alias("front")))).alias("_all"))
+    whole = listed.join(sizes, "doc_id")
+    start = F.array(F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: (i - 1).cast("int")))
+    turned = lambda all_, m: F.concat(all_, F.array(F.concat(m["front"], F.array_except(F.element_at(all_, -1), m["front"]))))
+    return whole.select("doc_id", F.transform("_all", lambda m: m["seq"]).alias("seqs"), F.aggregate("_all", start, turned).alias("orders"))
 
 
 def apply_patches(elements: DataFrame, patches: DataFrame) -> DataFrame:
     """Field patches and reorders in sequence.
 
-    A positional ref means the element at that place at that moment, so the
-    patches between two reorders form one round. Rounds are few: their number
-    is the largest count of reorders in one document.
+    A positional ref means the element at that place at that moment. The
+    reorders of a document are composed inside its row; each field patch on a
+    text is led back to the text's original position through the order in
+    force at its place in the sequence. Then all field patches are applied at
+    once and the last order numbers the texts: one pass, no job while planning.
     """
-    is_order = F.col("op") == "reorder_texts"
-    orders = number_rows(patches.filter(is_order).select("doc_id", "seq", "refs"), ["seq"], ["doc_id"], "round_no")
-    rounds = orders.agg(F.max("round_no")).first()[0] or 0
-    marked = patches.join(orders.select("doc_id", "seq", "round_no"), ["doc_id", "seq"], "left")
-    marked = segmented_last(marked, ["doc_id"], "seq", {"_done": F.col("round_no")}, include_current=False)
-    texts = elements.filter(F.col("grp") == "texts")
-    for number in range(rounds + 1):
-        here = marked.filter(F.coalesce("_done", F.lit(0)) == number)
-        texts = apply_field_patches(texts, here.filter(~is_order).select(*patches.columns))
-        if number < rounds:
-            texts = reorder_texts(texts, orders.filter(F.col("round_no") == number + 1).select("doc_id", "refs"), renumber=True)
-    return texts.unionByName(elements.filter(F.col("grp") != "texts"))
+    orders = text_orders(elements, patches)
+    aimed = _target(patches.filter(F.col("op").isin(*FIELD_OPS)))
+    on_texts = aimed.filter("_grp = 'texts'").select("doc_id", F.struct(*[c for c in aimed.columns if c != "doc_id"]).alias("_patch"))
+    moved = on_texts.join(orders.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.collect_list("_patch").alias("_patches")).join(orders, "doc_id")
+    at = lambda p: F.get(F.get("orders", F.size(F.filter("seqs", lambda s: s < p["seq"]))), p["_idx"])
+    led = F.transform("_patches", lambda p: F.struct(p.alias("p"), at(p).alias("original")))
+    back = unpack(moved, ["doc_id"], led).select("doc_id", "p.*", "original").filter(F.col("original").isNotNull())
+    back = back.withColumn("ref", F.concat(F.lit("#/texts/"), F.col("original").cast("string"))).select(*patches.columns)
+    still = aimed.filter("_grp <> 'texts'").unionByName(aimed.filter("_grp = 'texts'").join(orders.select("doc_id"), "doc_id", "left_anti")).select(*patches.columns)
+    done = apply_field_patches(elements, still.unionByName(back))
+    last = unpack(orders, ["doc_id"], F.element_at("orders", -1), "_new", "_old").select("doc_id", F.lit("texts").alias("grp"), F.col("_old").alias("idx"), "_new")
+    return done.join(last, ["doc_id", "grp", "idx"], "left").withColumn("idx", F.coalesce("_new", "idx")).select(*elements.columns)
 
 
 def route_patches(patches: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.functions.arrays import let
 from weftline.functions.coerce import lines_of, strip
 from weftline.functions.elements import (
     fence_count, is_code, is_heading, looks_protected,
@@ -93,16 +94,19 @@ def translation_error(source: Column, translated: Column, kind: Column) -> Colum
     )
 
 
-def settle_attempts(chunks: DataFrame, attempts: DataFrame, keys: tuple[str, ...] = CHUNK_KEYS, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
+def settle_attempts(chunks: DataFrame, attempts: DataFrame, keys: tuple[str, ...] = CHUNK_KEYS, max_attempts: int = MAX_ATTEMPTS,
+                    error_chars: int = ERROR_CHARS) -> DataFrame:
     """First valid attempt per chunk, else the source text as fallback.
 
     Attempts carry ``attempt``, ``text`` and ``error``. The result has the
-    translation columns plus the number of attempts used.
+    translation columns plus the number of attempts used. Attempts numbered
+    beyond ``max_attempts`` are not looked at (:func:`late_attempts` has them);
+    errors are cut at ``error_chars``.
     """
     work = chunks.filter(~is_skipped(chunks))
     tried = attempts.filter(F.col("attempt") <= max_attempts).join(work.select(*keys, "source_text", "kind"), list(keys))
     wrong = F.coalesce(F.nullif(F.col("error"), F.lit("")), translation_error(F.col("source_text"), F.col("text"), F.col("kind")))
-    judged = tried.withColumn("_wrong", F.substring(wrong, 1, ERROR_CHARS))
+    judged = tried.withColumn("_wrong", F.substring(wrong, 1, error_chars))
     good = F.col("_wrong").isNull()
     best = judged.groupBy(*keys).agg(
         F.min(F.when(good, F.struct("attempt", "text"))).alias("_hit"),
@@ -119,6 +123,11 @@ def settle_attempts(chunks: DataFrame, attempts: DataFrame, keys: tuple[str, ...
     return settled.unionByName(skipped_rows(chunks).withColumn("attempts", F.lit(0)))
 
 
+def late_attempts(attempts: DataFrame, keys: tuple[str, ...] = CHUNK_KEYS, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
+    """(keys, late): how many attempts of a chunk come after the last one allowed."""
+    return attempts.filter(F.col("attempt") > max_attempts).groupBy(*keys).agg(F.count(F.lit(1)).alias("late"))
+
+
 def id_mismatches(requested: DataFrame, returned: DataFrame) -> DataFrame:
     """Ids that are missing, unknown, duplicated or whose source was changed."""
     digest = F.sha2("source_text", 256).alias("h")  # texts stay where they are
@@ -146,12 +155,25 @@ KEPT_SHAPES = {
 
 
 def lost_tokens(pairs: DataFrame, keys: tuple[str, ...] = CHUNK_KEYS) -> DataFrame:
-    """URLs, numbers, units, code and placeholders missing from the translation."""
-    def lost(name: str, shape: str) -> Column:
-        ours, theirs = (F.regexp_extract_all(c, F.lit(shape), F.lit(0)) for c in ("source_text", "translated_text"))
-        return F.transform(F.array_except(ours, theirs), lambda t: F.struct(F.lit(name).alias("token_kind"), t.alias("token")))
+    """(keys, token_kind, token, missing): URLs, numbers, units, code and placeholders the translation has less often than the source.
+
+    Bags, not sets: one of two equal numbers may not vanish. A null
+    translation has lost everything. Texts whose bags agree drop out in their
+    row; only the tokens of the others are counted.
+    """
+    def tokens(text: str, shape: str) -> Column:
+        return F.array_sort(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(shape), F.lit(0)))
+
+    def signed(found: Column, name: str, sign: int) -> Column:
+        return F.transform(found, lambda t: F.struct(F.lit(name).alias("token_kind"), t.alias("token"), F.lit(sign).cast("bigint").alias("n")))
+
+    def both(name: str, shape: str) -> Column:
+        pair = F.struct(tokens("source_text", shape).alias("a"), tokens("translated_text", shape).alias("b"))
+        return let(pair, lambda p: F.when(p["a"] != p["b"], F.concat(signed(p["a"], name, 1), signed(p["b"], name, -1))).otherwise(
+            F.array().cast("array<struct<token_kind:string,token:string,n:bigint>>")))
 
-    return unpack(pairs, list(keys), F.concat(*[lost(n, s) for n, s in KEPT_SHAPES.items()]))
+    rows = unpack(pairs, list(keys), F.concat(*[both(n, s) for n, s in KEPT_SHAPES.items()]))
+    return rows.groupBy(*keys, "token_kind", "token").agg(F.sum("n").alias("missing")).filter("missing > 0")
 
 
 def element_route(elements: DataFrame) -> DataFrame:

@@ -494,31 +494,61 @@ _TREE_SQL = "select conv_id as chat_id, 'm' || turn as id, case when turn > 0 th
 
 @query("chat_append", f"""
 with t as ({_TREE_SQL}), h as (select conv_id as chat_id, max(turn) as m from conversations group by 1)
-select t.chat_id, id, parent_id, case when id = 'm' || m then 'new-user' else children end as children, role, length(content) as n from t join h using (chat_id)
-union all select chat_id, 'new-user', 'm' || m, 'new-reply', 'user', 5 from h
-union all select chat_id, 'new-reply', 'new-user', '', 'assistant', 0 from h""")
+select t.chat_id, id, parent_id, case when id = 'm' || m then 'new-user' else children end as children, role, length(content) as n, false as is_head from t join h using (chat_id)
+union all select chat_id, 'new-user', 'm' || m, 'new-reply', 'user', 5, false from h
+union all select chat_id, 'new-reply', 'new-user', '', 'assistant', 0, true from h""")
 def chat_append(spark, d):
+    """A turn is added at the last message, and the head moves to the reply."""
     tree = chat_tree(spark, d)
-    heads = table(spark, d, "conversations").groupBy("conv_id").agg(F.max("turn").alias("m"))
-    turn = heads.select(
-        F.col("conv_id").alias("chat_id"), F.concat(F.lit("m"), F.col("m").cast("string")).alias("current_id"),
-        F.lit("new-user").alias("user_id"), F.lit("new-reply").alias("assistant_id"), F.lit("hello").alias("content"),
-    )
-    grown = messages.append_turn(tree, turn)
-    return grown.select("chat_id", "id", "parent_id", F.array_join("children_ids", ",").alias("children"), "role", F.length("content").cast("bigint").alias("n"))
-
-
-@query("chat_broken_links", """
-select conv_id as chat_id, 'm' || turn as id, 'm' || (turn - 1) as parent_id,
-case when (turn - 1) % 3 = 0 then 'unknown parent' else 'not listed by parent' end as reason
-from conversations where turn % 3 <> 0 and ((turn - 1) % 3 = 0 or turn % 3 = 2)""")
+    last = table(spark, d, "conversations").groupBy("conv_id").agg(F.max("turn").alias("m"))
+    heads = last.select(F.col("conv_id").alias("chat_id"), F.concat(F.lit("m"), F.col("m").cast("string")).alias("current_id"))
+    turn = heads.select("chat_id", F.lit("new-user").alias("user_id"), F.lit("new-reply").alias("assistant_id"), F.lit("hello").alias("content"))
+    grown, after = messages.append_turn(tree, heads, turn)
+    marked = grown.join(after.select("chat_id", F.col("current_id").alias("id"), F.lit(True).alias("_h")), ["chat_id", "id"], "left")
+    return marked.select(
+        "chat_id", "id", "parent_id", F.array_join("children_ids", ",").alias("children"), "role", F.length("content").cast("bigint").alias("n"),
+        F.coalesce("_h", F.lit(False)).alias("is_head"))
+
+
+def branching_tree(spark, d) -> DataFrame:
+    """Chats in which every third message answers the one before the last; some links are cut, and some chats have lost their first message."""
+    c = table(spark, d, "conversations")
+    last = c.groupBy("conv_id").agg(F.max("turn").alias("last"))
+    node = lambda t: F.concat(F.lit("m"), t.cast("string"))
+    t = F.col("turn")
+    next_ = F.when((t % 3 != 1) & ~((t % 9 == 2) & (F.col("conv_id") % 2 == 1)), t + 1)
+    over = F.when(t % 3 == 0, t + 2)
+    children = F.transform(F.filter(F.array(next_, over), lambda x: x <= F.col("last")), node)
+    parent = F.when(t % 3 == 2, node(t - 2)).when(t > 0, node(t - 1))
+    return c.join(last, "conv_id").filter((t > 0) | (F.col("conv_id") % 5 > 0)).select(
+        F.col("conv_id").alias("chat_id"), node(t).alias("id"), parent.alias("parent_id"), children.alias("children_ids"), "role", F.col("text").alias("content"))
+
+
+_BRANCHES = """b as (select conv_id as chat_id, turn, case when turn % 3 = 2 then turn - 2 when turn > 0 then turn - 1 end as parent,
+ case when turn in (1, 2) and conv_id % 5 = 0 then 'unknown parent' when turn % 9 = 3 and conv_id % 2 = 1 then 'not listed by parent' end as reason
+ from conversations where turn > 0 or conv_id % 5 > 0)"""
+
+
+@query("chat_broken_links", f"""
+with recursive {_BRANCHES}, up(chat_id, turn, cur) as (
+ select chat_id, turn, turn from b union all
+ select u.chat_id, u.turn, b.parent from up u join b on b.chat_id = u.chat_id and b.turn = u.cur where b.parent is not null and b.reason is null)
+select b.chat_id, 'm' || b.turn as id, 'm' || b.parent as parent_id, coalesce(b.reason, 'under a broken link') as reason, 'm' || e.turn as broken_at
+from up u join b e on e.chat_id = u.chat_id and e.turn = u.cur and e.reason is not null join b on b.chat_id = u.chat_id and b.turn = u.turn""")
 def chat_broken_links(spark, d):
-    """Trees with every third message lost and every other child link cut."""
-    tree = chat_tree(spark, d)
-    number = F.substring("id", 2, 9).cast("int")
-    kept = tree.filter(number % 3 != 0)
-    cut = kept.withColumn("children_ids", F.when(number % 3 == 1, F.array().cast("array<string>")).otherwise(F.col("children_ids")))
-    return messages.broken_links(cut)
+    return messages.broken_links(branching_tree(spark, d))
+
+
+@query("chat_visible_branch", f"""
+with recursive {_BRANCHES}, h as (select chat_id, max(turn) - chat_id % 2 as turn from b group by chat_id), up(chat_id, turn, below) as (
+ select h.chat_id, h.turn, 0 from h join b using (chat_id, turn) union all
+ select u.chat_id, b.parent, below + 1 from up u join b on b.chat_id = u.chat_id and b.turn = u.turn where b.parent is not null and b.reason is null)
+select chat_id, 'm' || turn as id, max(below) over (partition by chat_id) - below as place from up""")
+def chat_visible_branch(spark, d):
+    tree = branching_tree(spark, d)
+    turn = F.substring("id", 2, 9).cast("bigint")
+    heads = tree.groupBy("chat_id").agg(F.concat(F.lit("m"), (F.max(turn) - F.col("chat_id") % 2).cast("string")).alias("current_id"))
+    return messages.ChatTrees(tree).visible(heads)
 
 
 @query("message_lines", f"select conv_id, turn, {_LINE.format('text')} as line from conversations")

@@ -303,17 +303,21 @@ def id_mismatches(spark, d):
 
 
 _LOST = " union all ".join(
-    rf"""select doc_id, '{n}' as token_kind, unnest(list_distinct(list_filter(regexp_extract_all(s, '{shape}'), lambda x: not list_contains(regexp_extract_all(t, '{shape}'), x)))) as token from p"""
+    rf"""select doc_id, '{n}' as token_kind, token, sum(k) as missing from (select doc_id, unnest(regexp_extract_all(s, '{shape}')) as token, 1 as k from p
+ union all select doc_id, unnest(regexp_extract_all(coalesce(t, ''), '{shape}')), -1 from p) group by 1, 2, 3 having sum(k) > 0"""
     for n, shape in translation.KEPT_SHAPES.items()
 )
 
 
 @query("lost_tokens", f"""
-with n as ({inputs.NOISY_SQL}), p as (select doc_id, text || ' {{name}} `x=1` 5 GB' as s, case when doc_id % 2 = 0 then text || ' {{name}} 5 GB' else replace(text, '1', '') end as t from n) {_LOST}""")
+with n as ({inputs.NOISY_SQL}), p as (select doc_id, text || ' {{name}} `x=1` 5 GB 5 GB' as s,
+case doc_id % 3 when 0 then text || ' {{name}} 5 GB' when 1 then replace(text, '1', '') end as t from n) {_LOST}""")
 def lost_tokens(spark, d):
+    """A repeated unit said once, numbers without their ones, and translations that are missing."""
     docs = inputs.noisy_documents(spark, d)
-    target = F.when(F.col("doc_id") % 2 == 0, F.concat("text", F.lit(" {name} 5 GB"))).otherwise(F.replace("text", F.lit("1"), F.lit("")))
-    pairs = docs.select("doc_id", F.concat("text", F.lit(" {name} `x=1` 5 GB")).alias("source_text"), target.alias("translated_text"))
+    kind = F.col("doc_id") % 3
+    target = F.when(kind == 0, F.concat("text", F.lit(" {name} 5 GB"))).when(kind == 1, F.replace("text", F.lit("1"), F.lit("")))
+    pairs = docs.select("doc_id", F.concat("text", F.lit(" {name} `x=1` 5 GB 5 GB")).alias("source_text"), target.alias("translated_text"))
     return translation.lost_tokens(pairs, KEYS)
 
 

@@ -302,3 +302,50 @@ select doc_id, head as pos, min_by(label, idx) as label, string_agg(text, ' ' or
 def fragment_merge(spark, d):
     merged = blocks.merge_fragments(line_table(spark, d), threshold=2)
     return merged.select("doc_id", "pos", "label", "text", F.array_join("refs", ",").alias("refs"))
+
+
+_BOX_SQL = """
+x as (select *, case when idx % 50 = 0 then 50.0 when idx % 50 <= 24 then 50.0 + idx % 5 else 310.0 + idx % 3 end as l,
+ 100.0 + 20 * (idx % 50 % 25) + case when idx % 6 = 0 then 15 else 0 end as t from e),
+y as (select *, case when idx % 50 = 0 then 500.0 else 60.0 + least(length(line), 180) end as width, 9.0 + 2 * (idx % 4) as height from x)"""
+
+
+def boxed_payloads(spark: SparkSession, d: str) -> DataFrame:
+    """Lines on pages of two columns under a title; the last line of the left column goes on in the right one."""
+    def item(line, i):
+        slot = i % 50
+        left = F.when(slot == 0, 50.0).when(slot <= 24, 50.0 + i % 5).otherwise(310.0 + i % 3)
+        top = 100.0 + 20 * (slot % 25) + F.when(i % 6 == 0, 15).otherwise(0)
+        width = F.when(slot == 0, 500.0).otherwise(60.0 + F.least(F.length(line), F.lit(180)))
+        page = (F.floor(i / 50) + 1).cast("int").alias("page_no")
+        box = F.struct(left.alias("l"), (-top).alias("t"), (left + width).alias("r"), (-(top + 9.0 + 2 * (i % 4))).alias("b"), F.lit("BOTTOMLEFT").alias("coord_origin"))
+        over = F.struct(F.lit(310.0).alias("l"), F.lit(-85.0).alias("t"), F.lit(400.0).alias("r"), F.lit(-93.0).alias("b"), F.lit("BOTTOMLEFT").alias("coord_origin"))
+        here = F.struct(page, box.alias("bbox"))
+        return F.struct(
+            F.when(slot == 0, "title").otherwise("text").alias("label"), line.alias("text"),
+            F.when(slot == 24, F.array(here, F.struct(page, over.alias("bbox")))).otherwise(F.array(here)).alias("prov"),
+            F.when(i % 11 == 0, F.struct(F.lit(True).alias("bold"))).alias("formatting"),
+        )
+
+    return inputs.documents(spark, d).select("doc_id", F.to_json(F.struct(F.transform(lines_of(F.col("text")), item).alias("texts"))).alias("payload"))
+
+
+@query("fragment_merge_columns", rf"""
+with e as (select doc_id, idx, line, {STRIP_SQL.format('line')} as text, case when idx % 50 = 0 then 'title' else 'text' end as label, idx // 50 as page from ({LINES_SQL})), {_BOX_SQL},
+b as (select doc_id, idx, 0 as k, page, l, t, l + width as r, t + height as b from y union all
+ select doc_id, idx, 1, page, 310.0, 85.0, 400.0, 93.0 from y where idx % 50 = 24),
+n as (select *, r - l <= (max(r) over (partition by doc_id, page) - min(l) over (partition by doc_id, page)) * 0.6 as narrow from b),
+o as (select *, narrow and l > coalesce(max(case when narrow then r end) over (partition by doc_id, page order by l, r, idx rows between unbounded preceding and 1 preceding), -1e9) - 8 as opens from n),
+c as (select *, sum(opens::int) over (partition by doc_id, page order by l, r, idx rows between unbounded preceding and current row) as no from o),
+s as (select *, case when max(no) over (partition by doc_id, page) <= 1 then 0 when narrow then no else -1 end as col from c),
+f as (select e.*, i.col as col_in, i.t as t_in, q.col as col_out, q.b as b_out from e
+ join s i on i.doc_id = e.doc_id and i.idx = e.idx and i.k = 0 join s q on q.doc_id = e.doc_id and q.idx = e.idx and q.k = (e.idx % 50 = 24)::int),
+p as (select *, lag(label) over w as pl, lag(text) over w as pt, lag(page) over w as pp, lag(col_out) over w as pc, lag(b_out) over w as pb from f window w as (partition by doc_id order by idx)),
+g as (select *, coalesce(page = pp and label = 'text' and pl = 'text' and col_in = pc and abs(t_in - pb) <= 12
+ and (label = pl)::int + (not regexp_matches(pt, '[.!?。！？:：;；]$'))::int + regexp_matches(text, '^\p{{Ll}}')::int >= 1, false) as glued from p),
+r as (select *, max(case when not glued then idx end) over (partition by doc_id order by idx) as head from g)
+select doc_id, head as pos, min_by(label, idx) as label, string_agg(text, ' ' order by idx) as text, string_agg('#/texts/' || idx, ',' order by idx) as refs from r group by 1, 2""")
+def fragment_merge_columns(spark, d):
+    flat = elements.element_table(elements.element_arrays(boxed_payloads(spark, d), order="index"))
+    merged = blocks.merge_fragments(flat, threshold=1)
+    return merged.select("doc_id", F.col("pos").cast("bigint").alias("pos"), "label", "text", F.array_join("refs", ",").alias("refs"))

@@ -170,6 +170,34 @@ def news_dedup(spark, d):
     return news.one_per_topic(ranked_documents(spark, d))
 
 
+_SMALL = "abcdefghijklmnopqrstuvwxyz"
+
+
+def titled_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages under their titles, under titles with a comment added, and in other case and punctuation."""
+    pages = inputs.feed_items(spark, d)
+    kind = F.col("seq") % 4
+    said = F.when(kind == 1, F.concat("headline", F.lit(": a comment"))).when(kind == 2, F.concat(F.lit("On "), F.translate("headline", _SMALL, _SMALL.upper()), F.lit("!"))).otherwise(F.col("headline"))
+    return pages.select("seq", said.alias("title"), "site", F.when(kind == 0, 0).otherwise(1).alias("source_priority"), F.col("date").alias("published_at"))
+
+
+@query("news_same_topic", rf"""
+with recursive f as ({inputs.FEED_SQL}), t as (select seq, published_at, case when seq % 4 = 0 then 0 else 1 end as p,
+ case seq % 4 when 1 then title || ': a comment' when 2 then 'On ' || translate(title, '{_SMALL}', '{_SMALL.upper()}') || '!' else title end as title from f),
+w as (select *, list_sort(list_distinct(list_filter(string_split(trim(regexp_replace(lower(title), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' '), lambda x: x <> ''))) as words from t),
+k as (select words, min(seq) as rep from w group by words),
+s as (select rep, words, unnest(words) as token from k), c as (select a.rep as a, b.rep as b, count(*) as common, len(any_value(a.words)) + len(any_value(b.words)) as n
+ from s a join s b on a.token = b.token and a.rep <> b.rep group by 1, 2),
+l as (select a, b from c where common >= 0.6 * (n - common) - 1e-9),
+r(rep, other) as (select rep, rep from k union select r.rep, l.b from r join l on l.a = r.other),
+g as (select w.*, x.topic_seq from w join k on k.words = w.words join (select rep, min(other) as topic_seq from r group by rep) x on x.rep = k.rep),
+h as (select *, case when len(words) = 0 then seq else topic_seq end as topic from g),
+o as (select *, row_number() over (partition by topic order by p, published_at, seq) as rn, count(*) over (partition by topic) as copies from h)
+select topic as topic_seq, copies, seq, title, p as source_priority from o where rn = 1""")
+def news_same_topic(spark, d):
+    return news.one_per_similar_topic(titled_pages(spark, d)).select("topic_seq", "copies", "seq", "title", "source_priority")
+
+
 def sectioned(spark: SparkSession, d: str) -> DataFrame:
     feed = inputs.feed_items(spark, d).select(
         "seq", F.col("site").alias("source"), F.lit("news").alias("section"),

@@ -148,17 +148,29 @@ def reorder_texts(spark, d):
 
 
 @query("patch_sequence", f"""
-with e as ({ELEMENTS_SQL}), {_SIZES}, m as (select e.*, n, case when n >= 2 and idx < 2 then 1 - idx else idx end as i2 from e join sizes using (doc_id))
-select doc_id, ref, i2 as idx, case when i2 = 0 then 'after' when idx = 0 then 'before' else text end as text from m""")
+with e as ({ELEMENTS_SQL}), {_SIZES},
+s0 as (select e.*, n, idx as i from e join sizes using (doc_id)),
+s1 as (select * replace (case when idx = 0 then 'before' else text end as text) from s0),
+s2 as (select * replace (case when n >= 3 and idx <= 2 then (idx + 1) % 3 else i end as i) from s1),
+s3 as (select * replace (case when i = 0 then 'after' else text end as text, case when i = 1 then 'code' else label end as label) from s2),
+s4 as (select * replace (case when n >= 2 and idx = 0 then 0 when n >= 3 and idx = 2 then 1 when n >= 3 and idx = 1 then 2 else i end as i) from s3),
+s5 as (select * replace (case when i = n - 1 and n >= 4 then 'last' else text end as text) from s4)
+select doc_id, ref, i as idx, label, text from s5""")
 def patch_sequence(spark, d):
-    """A text patch, a reorder, then the same positional ref again."""
+    """Field patches on positional refs between three reorders, of which one is unusable, in every document with all its texts."""
     row = "struct<seq:int,op:string,ref:string,text:string,label:string,level:int,refs:array<string>>"
     steps = F.from_json(
-        F.lit('[{"seq":1,"op":"set_text","ref":"#/texts/0","text":"before"},{"seq":2,"op":"reorder_texts","refs":["#/texts/1","#/texts/0"]},'
-              '{"seq":3,"op":"set_text","ref":"#/texts/0","text":"after"}]'), f"array<{row}>",
+        F.lit('[{"seq":1,"op":"set_text","ref":"#/texts/0","text":"before"},{"seq":2,"op":"reorder_texts","refs":["#/texts/2","#/texts/0","#/texts/1"]},'
+              '{"seq":3,"op":"set_text","ref":"#/texts/0","text":"after"},{"seq":4,"op":"set_label","ref":"#/texts/1","label":"code"},'
+              '{"seq":5,"op":"reorder_texts","refs":["#/texts/1","#/texts/1"]},{"seq":6,"op":"reorder_texts","refs":["#/texts/0","#/texts/2"]}]'), f"array<{row}>",
     )
     todo = unpack(inputs.documents(spark, d), ["doc_id"], steps)
-    return patches.apply_patches(line_table(spark, d), todo).select("doc_id", "ref", "idx", "text")
+    n = line_table(spark, d).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n >= 4")
+    null = lambda c, kind: F.lit(None).cast(kind).alias(c)
+    late = n.select(
+        "doc_id", F.lit(7).alias("seq"), F.lit("set_text").alias("op"), F.format_string("#/texts/%d", F.col("n") - 1).alias("ref"), F.lit("last").alias("text"),
+        null("label", "string"), null("level", "int"), null("refs", "array<string>"))
+    return patches.apply_patches(line_table(spark, d), todo.unionByName(late)).select("doc_id", "ref", "idx", "label", "text")
 
 
 @query("patch_routing", "select lang, n_chars % 10 >= 8 as sure, count(*) as n from documents group by 1, 2")

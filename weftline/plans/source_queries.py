@@ -47,24 +47,28 @@ def jsonl_round_trip(spark, d):
 def _broken_lines(spark: SparkSession, d: str) -> DataFrame:
     body = F.to_json(F.struct("doc_id", F.length("text").alias("n")))
     shown = F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("["), body, F.lit("]"))).when(F.col("doc_id") % 7 == 1, F.substring(body, 2, 1000)).when(F.col("doc_id") % 7 == 2, "  ")
-    return inputs.documents(spark, d).select(F.coalesce(shown, body).alias("value"))
+    return table(spark, d, "documents").select("doc_id", "source", F.coalesce(shown, body).alias("value"))
 
 
 @query("jsonl_good_lines", "select doc_id, length(text) as n from documents where doc_id % 7 > 2")
 def jsonl_good_lines(spark, d):
     """Arrays, broken and blank lines among the objects."""
     path = folder(spark)
-    _broken_lines(spark, d).write.text(path)
+    _broken_lines(spark, d).select("value").write.text(path)
     return dumps.read_jsonl(spark, path, "doc_id bigint, n bigint")[0]
 
 
 @query("jsonl_rejects", """
-select case doc_id % 7 when 0 then '[{"doc_id":' || doc_id || ',"n":' || length(text) || '}]' else '"doc_id":' || doc_id || ',"n":' || length(text) || '}' end as line
-from documents where doc_id % 7 < 2""")
+with n as (select source, doc_id, text, row_number() over (partition by source order by doc_id) as line_no from documents)
+select source, line_no, case doc_id % 7 when 0 then '[{"doc_id":' || doc_id || ',"n":' || length(text) || '}]' else '"doc_id":' || doc_id || ',"n":' || length(text) || '}' end as line
+from n where doc_id % 7 < 2""")
 def jsonl_rejects(spark, d):
+    """One file for each source, its lines by id; rejects name file and line."""
     path = folder(spark)
-    _broken_lines(spark, d).write.text(path)
-    return dumps.read_jsonl(spark, path, "doc_id bigint, n bigint")[1].select("line")
+    docs = _broken_lines(spark, d)
+    docs.repartition("source").sortWithinPartitions("source", "doc_id").select("source", "value").write.partitionBy("source").option("maxRecordsPerFile", 0).text(path)
+    bad = dumps.read_jsonl(spark, path, "doc_id bigint, n bigint")[1]
+    return bad.select(F.regexp_extract("path", "source=([^/]*)", 1).alias("source"), "line_no", "line")
 
 
 @query("json_files", "select item_id, text from benchmark")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,38 +20,48 @@ def read_json_documents(spark: SparkSession, path: str, schema: T.StructType | s
     )
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """Rows of JSON lines files and the lines that are no JSON objects.
+def _is_object(text: str) -> Column:
+    return F.startswith(F.coalesce(F.schema_of_variant(F.try_parse_json(text)), F.lit("")), F.lit("OBJECT"))
+
+
+def text_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Lines of text files, and what numbers them.
 
-    Blank lines are skipped. Rejects carry file and byte block, as a line
-    number is not known where a file is split between tasks.
+    Lines are (path, block, at, value): the file, the byte at which the block
+    of the file begins that a task reads, and a number that grows by one with
+    every line of a block. Blocks are (path, block, first, before): the number
+    of a block's first line and the lines of the file ahead of it, from a count
+    per block and a running sum over the blocks of a file. So line numbers
+    need no file to be read by one task: ``at - first + before + 1``.
     """
     lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block_start"), "value"
-    ).filter(strip(F.col("value")) != "")
-    is_object = F.startswith(F.coalesce(F.schema_of_variant(F.try_parse_json("value")), F.lit("")), F.lit("OBJECT"))
-    good = lines.filter(is_object).select(F.from_json("value", schema).alias("r")).select("r.*")
-    bad = lines.filter(~is_object).select("path", "block_start", F.col("value").alias("line"))
-    return good, bad
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    counts = lines.groupBy("path", "block").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    return lines, counts.select("path", "block", "first", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+
+
+def read_jsonl(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of JSON lines files, and the lines that are no JSON objects (path, line_no, line).
+
+    Blank lines are skipped but counted. Line numbers start at 1 and hold for
+    files of any size, however many tasks read one: see :func:`text_lines`.
+    """
+    lines, blocks = text_lines(spark, path)
+    filled = lines.filter(strip(F.col("value")) != "")
+    good = filled.filter(_is_object("value")).select(F.from_json("value", schema).alias("r")).select("r.*")
+    bad = filled.filter(~_is_object("value")).join(blocks, ["path", "block"])
+    return good, bad.select("path", (F.col("at") - F.col("first") + F.col("before") + 1).alias("line_no"), F.col("value").alias("line"))
 
 
 def read_jsonl_strict(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Like :func:`read_jsonl`, but a line that is no object fails the job."""
     lines = spark.read.text(path).filter(strip(F.col("value")) != "")
-    is_object = F.startswith(F.coalesce(F.schema_of_variant(F.try_parse_json("value")), F.lit("")), F.lit("OBJECT"))
     message = F.concat(F.lit("JSON lines must contain objects: "), F.substring("value", 1, 120))
-    checked = F.when(is_object, F.col("value")).otherwise(F.raise_error(message))
+    checked = F.when(_is_object("value"), F.col("value")).otherwise(F.raise_error(message))
     return lines.select(F.from_json(checked, schema).alias("r")).select("r.*")
 
 
-def numbered_bad_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Line numbers of bad lines, for files small enough to be read whole."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    lines = whole.select("path", F.posexplode(F.split("value", "\r?\n")).alias("_n", "line"))
-    is_object = F.startswith(F.coalesce(F.schema_of_variant(F.try_parse_json("line")), F.lit("")), F.lit("OBJECT"))
-    return lines.filter((strip(F.col("line")) != "") & ~is_object).select("path", (F.col("_n") + 1).alias("line_no"), "line")
-
-
 def read_items(spark: SparkSession, path: str | None = None, inline: str | None = None, schema: str | None = None) -> DataFrame:
     """Items of a JSON array given as a file or inline; ``seq`` keeps order."""
     if path:
