@@ -4,24 +4,26 @@ A line is parsed through a tree of fixed depth: its number of tokens, then its
 leading tokens; tokens that hold a digit are variable fields, ``<*>``. Lines
 that agree in all tokens are one template. A line of which too few tokens are
 constant, a row of numbers or a sentence without spaces, has no fields: it is
-the same only as its exact text. Where a leaf holds many templates
-none of which recurs by itself, the leaf is generalised: a position where the
-lines mostly agree stays, the others become ``<*>``, and the lines that fit are
-one template. A leaf may hold several templates and foreign lines besides: the
-lines with the same frequent tokens at the same positions are a group, each
-group that recurs is a template, and the lines that have all its tokens fit it. Templates that recur across documents are boilerplate; their
-lines are dropped everywhere.
+the same only as its exact text. A leaf whose lines do not recur by themselves
+is generalised: the lines with the same frequent tokens at the same positions
+are a group, its other positions are fields, each group that recurs is a
+template, and the lines that have all its tokens fit it. So a leaf may hold
+several templates and foreign lines besides. Templates that recur across
+documents are boilerplate; their lines are dropped everywhere. The longer a
+line, the fewer documents it takes.
 
 Copies of a document repeat all their lines without any being boilerplate. So
-recurrence is counted in families of near copies. Each document has a sketch,
-the smallest hashes of its word triples; documents that post a hash in common
-are compared with the first of them, and are one family if the sketches say
-that most of both texts is the same. A passage in otherwise different texts
-makes no family, whatever its hashes are.
-
-Counting shuffles hashes of lines and sketches only. Token rows are made for the lines of
-leaves to be generalised, and the texts are cut in place after one join with
-the positions each document loses.
+recurrence is counted in families: the connected components of near copies.
+Each document has a sketch, the smallest hashes of its word triples; documents
+that post a hash in common are compared with two of those that do, and are
+linked if the sketches say that enough of both texts is the same. Versions
+that drift apart are linked through those between them; a passage in otherwise
+different texts links nothing.
+
+Lines are counted as hashes. Only templates and leaves in enough documents
+meet the families, tokens are made once for each distinct line of a leaf to be
+generalised, and the texts are cut in place after one join with the positions
+each document loses.
 """
 
 from __future__ import annotations
@@ -30,139 +32,151 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.arrays import let
-from weftline.session import durable
+from weftline.operators.components import components
+from weftline.session import Rounds
 
 FIELD = "<*>"
 SPACE = r"[\x20\x09\x0B-\x0D]+"
+MASKED = r"(?<![^ \n])[^ \n0-9]*+[0-9][^ \n]*"  # a token with a digit, looked for at the beginnings of tokens only
 DEPTH = 3  # leading tokens in a path of the tree
 LEAST_CONSTANT = 0.5  # share of tokens without a digit that lets a line have fields
-LEAST_FAMILIES = 10  # families that make a template recur
-AGREE, CONSTANT = 0.8, 0.6  # share of a leaf's lines that keep a position's token, share of positions a general template must keep
-SKETCH, POSTED = 64, 12  # hashes of a document's sketch, and the smallest of them, under which copies are looked for
-ALIKE = 0.6  # least share of word triples that near copies have in common
-BROADCAST_ROWS = 50_000  # leaves broadcast at most, by count; more are joined
+LEAST_FAMILIES = 10  # families that make a template of up to SHORT tokens recur
+LONG_FAMILIES, SHORT = 3, 10  # a longer line takes proportionally fewer families, but so many at least
+CONSTANT = 0.6  # share of positions a general template must keep
+ALIKE = 0.45  # least share of word triples that near copies have in common
+SKETCH, POSTED = 48, 12  # hashes of a sketch, and the smallest of them, under which copies are looked for
+BROADCAST_ROWS = 50_000  # hashes broadcast at most, by count; more are joined
 
 
-def templates(text: Column, depth: int) -> Column:
+def lines_of(text: Column, depth: int, least_constant: float) -> Column:
     """Per line with a token: ``pos``, ``template`` (tokens with fields, one space between), ``size`` and ``leaf`` (path in the tree)."""
-    count = lambda x, token: F.floor((F.length(x) - F.length(F.replace(x, F.lit(token), F.lit("")))) / len(token))
-    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda line, i: F.struct(i.alias("pos"), F.trim(F.regexp_replace(line, SPACE, " ")).alias("line")))
-    masked = F.transform(F.filter(lines, lambda x: x["line"] != ""), lambda x: F.struct(
-        x["pos"].alias("pos"), x["line"].alias("line"), (count(x["line"], " ") + 1).alias("size"),
-        F.regexp_replace(x["line"], r"[^ ]*[0-9][^ ]*", "\x00").alias("masked"),
-    ))
-    constant = lambda x: x["size"] - count(x["masked"], "\x00")
-    full = F.transform(masked, lambda x: F.struct(
-        x["pos"].alias("pos"), x["size"].alias("size"),
-        F.when(constant(x) >= x["size"] * LEAST_CONSTANT, F.replace(x["masked"], F.lit("\x00"), F.lit(FIELD))).otherwise(x["line"]).alias("template"),
-    ))
-    return F.transform(full, lambda x: F.struct(
-        x["pos"].alias("pos"), x["template"].alias("template"), x["size"].alias("size"),
-        F.concat_ws(" ", x["size"].cast("string"), F.substring_index(x["template"], " ", depth)).alias("leaf"),
-    ))
-
-
-def digest(value: Column) -> Column:
-    return F.unhex(F.md5(value.cast("binary")))
-
-
-def recurring(rows: DataFrame, by: str, least_families: int) -> DataFrame:
-    """The values of ``by`` with enough families."""
-    return rows.groupBy(by).agg(F.count_distinct("family").alias("_families")).filter(F.col("_families") >= least_families).select(by)
-
-
-def general_hits(docs: DataFrame, rest: DataFrame, leaves: DataFrame, text: str, depth: int, least_families: int) -> DataFrame:
-    """(_key, _text, pos) of the lines that fit a recurring general template; ``rest`` are the lines not dropped yet."""
-    opened = docs.select("_key", "_text", F.explode(templates(F.col(text), depth)).alias("_line")).select(
-        "_key", "_text", "_line.pos", "_line.size", digest(F.col("_line.leaf")).alias("leaf"), F.col("_line.template").alias("_words"))
-    few = F.broadcast(leaves) if leaves.count() <= BROADCAST_ROWS else leaves
-    opened = opened.join(few, "leaf", "left_semi").select("_key", "_text", "pos", "size", F.split("_words", " ").alias("_tokens")).distinct()
-    same = ["_key", "_text", "pos"]
-    held = rest.join(few, "leaf", "left_semi").select(*same, "leaf", "family").distinct()
-    match = [F.col(f"h.{c}").eqNullSafe(F.col(f"o.{c}")) for c in same]
-    lines = durable(held.alias("h").join(opened.alias("o"), match).select("h.*", "size", "_tokens"))
-    votes = lines.select("leaf", "size", F.posexplode("_tokens").alias("_place", "_token")).groupBy("leaf", "size", "_place", "_token").agg(F.count(F.lit(1)).alias("_n"))
-    places = votes.groupBy("leaf", "size", "_place").agg(F.max(F.struct("_n", "_token")).alias("_top"), F.sum("_n").alias("_all"))
-    kept = places.filter(F.col("_top._n") >= F.col("_all") * AGREE).groupBy("leaf", "size").agg(F.collect_list(F.struct("_place", "_top._token")).alias("_kept"))
-    # the path agrees by itself, so the positions after it have to agree as well
-    n = F.size("_kept")
-    kept = kept.filter((n >= F.col("size") * CONSTANT) & (n - depth >= (F.col("size") - depth) / 2)).drop("size")
-    fits = F.forall("_kept", lambda k: F.get("_tokens", k["_place"]) == k["_token"])
-    fitting = lines.join(kept, "leaf").filter(fits).select(*same, "leaf", "family")
-    whole = fitting.join(recurring(fitting, "leaf", least_families), "leaf", "left_semi").select(*same)
-    return whole.unionByName(group_hits(lines, depth, least_families)).distinct()
-
-
-def group_hits(lines: DataFrame, depth: int, least_families: int) -> DataFrame:
-    """(_key, _text, pos) of the lines that hold all tokens of a recurring group of their leaf."""
-    kinds = lines.select("leaf", "size", "_tokens", "family").distinct()  # copies hold the same lines
-    tokens = lambda rows, *kept: rows.select(*kept, F.posexplode("_tokens").alias("_place", "_token")).filter(F.col("_token") != FIELD)
-    frequent = tokens(kinds, "leaf", "family").groupBy("leaf", "_place", "_token").agg(F.count_distinct("family").alias("_n")).filter(F.col("_n") >= least_families)
-    once = kinds.select("leaf", "size", "_tokens").distinct()
-    held = tokens(once, "leaf", "size", "_tokens").join(frequent, ["leaf", "_place", "_token"]).groupBy("leaf", "size", "_tokens").agg(
+    count = lambda x, token: F.length(x) - F.length(F.replace(x, F.lit(token), F.lit("")))
+    squeezed = F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, " ")
+    both = F.struct(F.split(squeezed, "\n").alias("plain"), F.split(F.regexp_replace(squeezed, MASKED, "\x00"), "\n").alias("masked"))
+
+    def line(plain: Column, masked: Column, pos: Column) -> Column:
+        fields = lambda size: F.when(size - count(masked, "\x00") >= size * least_constant, F.replace(masked, F.lit("\x00"), F.lit(FIELD))).otherwise(plain)
+        return let(count(plain, " ") + 1, lambda size: let(fields(size), lambda template: F.struct(
+            pos.alias("pos"), template.alias("template"), size.alias("size"),
+            F.concat_ws(" ", size.cast("string"), F.substring_index(template, " ", depth)).alias("leaf"))))
+
+    def lines(b: Column) -> Column:
+        kept = F.filter(F.transform(b["plain"], lambda x, i: F.struct(i.alias("i"), F.trim(x).alias("x"))), lambda x: x["x"] != "")
+        return F.transform(kept, lambda x: line(x["x"], F.trim(F.get(b["masked"], x["i"])), x["i"]))
+
+    return let(both, lines)
+
+
+def sketch_of(lines: Column, size: int) -> Column:
+    """The ``size`` smallest hashes of the word triples of the templates; of a long text only hashes small enough to be among them are sorted."""
+    words = F.split(F.array_join(F.transform(lines, lambda x: x["template"]), " "), " ")
+    triples = lambda w: F.transform(w, lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))
+    # hashes are uniform: four times as many as needed lie below the bound
+    bound = lambda w: F.when(F.size(w) > 4 * size, F.lit(-(2.0**63)) + F.lit(2.0**64 * 4 * size) / F.size(w)).otherwise(F.lit(2.0**63))
+    small = lambda w: let(bound(w), lambda b: F.filter(triples(w), lambda h: h.cast("double") <= b))
+    return F.slice(F.sort_array(F.array_distinct(let(words, small))), 1, size)
+
+
+def few(df: DataFrame) -> DataFrame:
+    """``df``, broadcast if it is counted to be small."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def families(kept: Rounds, sketches: DataFrame, alike: float, size: int, posted: int) -> DataFrame:
+    """(_doc, family) of the near copies in ``sketches`` (_doc, sketch); a document like no other has no row.
+
+    Documents with equal sketches are one at once. A list of documents that
+    post the same hash is compared with two of its members, not among itself.
+    """
+    classes = kept.keep("classes", sketches.groupBy("sketch").agg(F.min("_doc").alias("_rep")))
+    posts = classes.select("_rep", F.explode(F.slice("sketch", 1, posted)).alias("_hash"))
+    lists = posts.groupBy("_hash").agg(F.min("_rep").alias("_low"), F.max("_rep").alias("_high")).filter("_low != _high")
+    hubs = posts.join(lists, "_hash").select("_rep", F.explode(F.array("_low", "_high")).alias("_hub")).filter("_hub != _rep").distinct()
+    theirs = classes.select(F.col("_rep").alias("_hub"), F.col("sketch").alias("_theirs"))
+    low = F.slice(F.sort_array(F.array_union("sketch", "_theirs")), 1, size)
+    same = let(low, lambda all_: F.size(F.array_intersect(F.array_intersect(all_, "sketch"), "_theirs")) >= F.size(all_) * alike)
+    links = hubs.join(classes, "_rep").join(theirs, "_hub").filter(same).select(F.col("_rep").alias("a"), F.col("_hub").alias("b"))
+    found = components(links, kept).select(F.col("node").alias("_rep"), F.col("component").alias("family"))
+    named = classes.join(found, "_rep", "left").select("sketch", F.coalesce("family", "_rep").alias("family"))
+    return kept.keep("families", sketches.join(named, "sketch").filter("family != _doc").select("_doc", "family"))
+
+
+def general_templates(kept: Rounds, rest: DataFrame, docs: DataFrame, text: str, depth: int, least_families: int, constant: float, least_constant: float) -> DataFrame:
+    """(template): hashes of the lines that fit a recurring general template; ``rest`` (leaf, template, family) are lines not dropped yet."""
+    leaves = rest.groupBy("leaf").agg(F.count_distinct("family").alias("_n")).filter(F.col("_n") >= least_families).select("leaf")
+    leaves = kept.keep("leaves", leaves)
+    kinds = kept.keep("kinds", rest.join(few(leaves), "leaf", "left_semi").distinct())
+    if kinds.isEmpty():
+        return kinds.select("template")
+    # the words of the distinct lines, from the texts that have them
+    lines = docs.select(F.explode(lines_of(F.col(text), depth, least_constant)).alias("_l")).select(
+        F.xxhash64("_l.leaf").alias("leaf"), F.xxhash64("_l.template").alias("template"), "_l.size", F.col("_l.template").alias("_words"))
+    lines = lines.join(few(leaves), "leaf", "left_semi").groupBy("leaf", "template").agg(F.first("size").alias("size"), F.first("_words").alias("_words"))
+    in_families = kinds.groupBy("leaf", "template").agg(F.count_distinct("family").alias("_in"))
+    lines = kept.keep("lines", lines.join(in_families, ["leaf", "template"]))
+    tokens = lines.select("leaf", "template", "size", "_in", F.posexplode(F.split("_words", " ")).alias("_place", "_token")).filter(F.col("_token") != FIELD)
+    frequent = tokens.groupBy("leaf", "_place", "_token").agg(F.sum("_in").alias("_n")).filter(F.col("_n") >= least_families)
+    held = tokens.join(frequent, ["leaf", "_place", "_token"]).groupBy("leaf", "template", "size").agg(
         F.sort_array(F.collect_list(F.struct("_n", "_place", "_token"))).alias("_held"))
     behind = F.filter("_held", lambda x: x["_place"] >= depth)  # after the path, the rarest first
-    held = durable(held.filter((F.size("_held") >= F.col("size") * CONSTANT) & (F.size(behind) >= (F.col("size") - depth) / 2)))
-    groups = kinds.drop("size").join(held, ["leaf", "_tokens"]).groupBy("leaf", "_held").agg(F.count_distinct("family").alias("_n")).filter(F.col("_n") >= least_families)
+    held = kept.keep("held", held.filter((F.size("_held") >= F.col("size") * constant) & (F.size(behind) >= (F.col("size") - depth) / 2)))
+    groups = kinds.join(held, ["leaf", "template"]).groupBy("leaf", "_held").agg(F.count_distinct("family").alias("_n")).filter(F.col("_n") >= least_families)
     # a line that fits has the group's rarest token too, so only such lines are compared
     groups = groups.select("leaf", F.get(behind, F.lit(0)).alias("_rarest"), F.col("_held").alias("_needed"))
-    asked = held.select("leaf", "_tokens", "_held", F.explode(behind).alias("_rarest"))
-    fitting = asked.join(groups, ["leaf", "_rarest"]).filter(F.size(F.array_except("_needed", "_held")) == 0).select("leaf", "_tokens")
-    return lines.join(fitting, ["leaf", "_tokens"], "left_semi").select("_key", "_text", "pos")
-
-
-def families(held: DataFrame) -> DataFrame:
-    """(_doc, family) of the near copies in ``held`` (_doc, sketch); a document without copies has no row."""
-    sketches = durable(held.select("_doc", "sketch").dropDuplicates(["_doc"]))
-    posts = sketches.select("_doc", F.explode(F.slice("sketch", 1, POSTED)).alias("_hash"))
-    first = posts.groupBy("_hash").agg(F.min("_doc").alias("_hub"), F.max("_doc").alias("_other")).filter("_hub != _other").select("_hash", "_hub")
-    pairs = posts.join(first, "_hash").filter("_hub != _doc").select("_doc", "_hub").distinct()
-    hubs = sketches.select(F.col("_doc").alias("_hub"), F.col("sketch").alias("_theirs"))
-    low = F.slice(F.sort_array(F.array_union("sketch", "_theirs")), 1, SKETCH)
-    alike = let(low, lambda all_: F.size(F.array_intersect(F.array_intersect(all_, "sketch"), "_theirs")) >= F.size(all_) * ALIKE)
-    links = pairs.join(sketches, "_doc").join(hubs, "_hub").filter(alike)
-    near = durable(links.groupBy("_doc").agg(F.min("_hub").alias("family")))
-    # the first of a group may be a copy of a still earlier document
-    further = near.select(F.col("_doc").alias("family"), F.col("family").alias("_further"))
-    return near.join(further, "family", "left").select("_doc", F.coalesce("_further", "family").alias("family"))
-
-
-def lost_positions(docs: DataFrame, text: str, depth: int, least_families: int) -> DataFrame:
-    """(_key, _text, positions) of the documents that lose lines; ``docs`` has ``_key``, ``_text`` (its hash) and the text."""
-    hashed = lambda all_: F.transform(all_, lambda x: F.struct(
-        x["pos"].alias("pos"), digest(x["template"]).alias("template"), digest(x["leaf"]).alias("leaf"), (x["size"] > depth + 1).alias("open")))
-    triples = lambda w: F.transform(w, lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))
-    words = lambda all_: F.split(F.array_join(F.transform(all_, lambda x: x["template"]), " "), " ")
-    sketch = lambda all_: F.slice(F.sort_array(F.array_distinct(let(words(all_), triples))), 1, SKETCH)
-    made = let(templates(F.col(text), depth), lambda all_: F.struct(sketch(all_).alias("sketch"), hashed(all_).alias("lines")))
-    held = docs.select("_key", "_text", F.xxhash64("_key", "_text").alias("_doc"), made.alias("_l")).select("_key", "_text", "_doc", "_l.sketch", "_l.lines")
-    held = durable(held.filter(F.size("lines") > 0))
-    rows = held.select("_key", "_text", "_doc", "lines").join(families(held), "_doc", "left")
-    rows = rows.select("_key", "_text", F.coalesce("family", "_doc").alias("family"), F.explode("lines").alias("_line"))
-    rows = durable(rows.select("_key", "_text", "family", "_line.*"))
-    direct = durable(recurring(rows, "template", least_families))
-    lost = rows.join(direct, "template", "left_semi").select("_key", "_text", "pos")
-    rest = rows.filter("open").join(direct, "template", "left_anti")
-    leaves = durable(recurring(rest, "leaf", least_families))
-    lost = lost.unionByName(general_hits(docs, rest, leaves, text, depth, least_families))
-    return lost.groupBy("_key", "_text").agg(F.collect_set("pos").alias("positions"))
-
-
-def drop_recurring_lines(docs: DataFrame, key: str, text: str, *, depth: int = DEPTH, least_families: int = LEAST_FAMILIES) -> DataFrame:
+    asked = held.select("leaf", "template", "_held", F.explode(behind).alias("_rarest"))
+    return asked.join(groups, ["leaf", "_rarest"]).filter(F.size(F.array_except("_needed", "_held")) == 0).select("template").distinct()
+
+
+def drop_recurring_lines(
+    docs: DataFrame, key: str, text: str, *, depth: int = DEPTH, least_families: int = LEAST_FAMILIES, long_families: int = LONG_FAMILIES, short: int = SHORT,
+    constant: float = CONSTANT, least_constant: float = LEAST_CONSTANT, alike: float = ALIKE, sketch: int = SKETCH, posted: int = POSTED,
+) -> DataFrame:
     """All columns of ``docs`` with recurring lines cut from the text, and ``n_dropped`` (bigint).
 
+    A line of up to ``short`` tokens recurs in ``least_families`` families of
+    near copies, a longer one in proportionally fewer, ``long_families`` at
+    least; general templates take ``least_families``. ``sketch`` and ``posted``
+    say how closely copies are looked for: with the defaults a copy with 90 %
+    of its word triples is linked with a chance above 0.999.
+
     Lines without a token are kept and never counted. A null text stays null,
     an empty one empty; a text all of whose lines recur becomes empty. Rows
     with the same id (null ids included) and text count once and are cut
     alike. A column called ``n_dropped`` is replaced. An empty table stays empty.
     """
-    kept = [c for c in docs.columns if c != "n_dropped"]
-    facts = docs.select(F.col(key).alias("_key"), F.xxhash64(text).alias("_text"), F.col(text).alias("_body"))
-    lost = lost_positions(facts, "_body", depth, least_families).select(F.col("_key").alias("_k"), F.col("_text").alias("_t"), "positions")
-    whole = docs.select(F.struct(*[docs[c] for c in kept]).alias("_row"), F.col(key).alias("_key"), F.xxhash64(text).alias("_text"))
-    found = whole.join(lost, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_text") == F.col("_t")), "left")
+    rounds = Rounds(docs.sparkSession)
+    columns = [c for c in docs.columns if c != "n_dropped"]
+    doc = F.xxhash64(F.col(key), F.col(text))
+    hashed = lambda all_: F.transform(all_, lambda x: F.struct(
+        x["pos"].alias("pos"), F.xxhash64(x["template"]).alias("template"), F.when(x["size"] > depth + 1, F.xxhash64(x["leaf"])).alias("leaf"), x["size"].alias("size")))
+    made = let(lines_of(F.col(text), depth, least_constant), lambda all_: F.struct(sketch_of(all_, sketch).alias("sketch"), hashed(all_).alias("lines")))
+    parsed = docs.filter(F.col(text).isNotNull()).select(doc.alias("_doc"), made.alias("_l")).select("_doc", "_l.*").filter(F.size("lines") > 0)
+    parsed = rounds.keep("parsed", parsed)
+    # rows that repeat a document count once: counts are of distinct documents wherever a document could repeat
+    family_of = families(rounds, parsed.select("_doc", "sketch"), alike, sketch, posted)
+    once = F.array_distinct(F.transform("lines", lambda x: F.struct(x["template"], x["leaf"], x["size"])))
+    seen = parsed.select("_doc", F.explode(once).alias("_x")).select("_doc", "_x.*")
+    needed = F.greatest(F.lit(long_families), F.least(F.lit(least_families), F.ceil(F.lit(least_families * short) / F.col("size")))).cast("int")
+    often = seen.groupBy("template", "size").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= needed).select("template")
+    full = seen.filter("leaf is not null").groupBy("leaf").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= least_families).select("leaf")
+    often, full = rounds.keep("often", often), rounds.keep("full", full)
+    with_family = lambda rows: rows.join(family_of, "_doc", "left").withColumn("family", F.coalesce("family", "_doc")).drop("_doc")
+    direct = with_family(seen.join(few(often), "template", "left_semi").select("_doc", "template", "size"))
+    direct = direct.groupBy("template", "size").agg(F.count_distinct("family").alias("_n")).filter(F.col("_n") >= needed).select("template")
+    direct = rounds.keep("direct", direct)
+    rest = with_family(seen.join(few(full), "leaf", "left_semi").join(few(direct), "template", "left_anti").select("_doc", "leaf", "template"))
+    bodies = docs.filter(F.col(text).isNotNull()).select(F.col(text).alias("_body"))
+    general = general_templates(rounds, rest, bodies, "_body", depth, least_families, constant, least_constant)
+    gone = rounds.keep("gone", direct.unionByName(general))
+    places = parsed.select("_doc", F.explode("lines").alias("_x")).select("_doc", "_x.template", "_x.pos").join(few(gone), "template", "left_semi")
+    lost = rounds.keep("lost", places.groupBy("_doc").agg(F.collect_set("pos").alias("_lost")))
+    rounds.drop("parsed", "classes", "links", "families", "often", "full", "direct", "leaves", "kinds", "lines", "held", "gone")
+    whole = docs.select(F.struct(*[docs[c] for c in columns]).alias("_row"), doc.alias("_doc"))
+    found = whole.join(lost, "_doc", "left")
     body = F.col("_row").getField(text)
-    left = F.array_join(F.filter(F.split(body, "\n"), lambda _, i: ~F.array_contains("positions", i)), "\n")
-    cut = F.when(F.col("positions").isNull(), body).otherwise(left)
-    columns = [cut.alias(c) if c == text else F.col("_row").getField(c).alias(c) for c in kept]
-    return found.select(*columns, F.coalesce(F.size("positions"), F.lit(0)).cast("bigint").alias("n_dropped"))
+    # array_except keeps the order and looks positions up by hash
+    left = let(F.split(body, "\n"), lambda parts: F.transform(
+        F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "_lost"), lambda i: F.get(parts, i)))
+    cut = F.when(F.col("_lost").isNull() | body.isNull(), body).otherwise(F.array_join(left, "\n"))
+    shown = [cut.alias(c) if c == text else F.col("_row").getField(c).alias(c) for c in columns]
+    return found.select(*shown, F.when(body.isNull() | F.col("_lost").isNull(), F.lit(0)).otherwise(F.size("_lost")).cast("bigint").alias("n_dropped"))

@@ -181,41 +181,44 @@ def op5_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["op5_line_templates"] = r"""
-with docs as (select distinct doc_id, text from documents where text is not null
-), cut as (select doc_id, text, string_split(text, chr(10)) as parts from docs
-), numbered as (select doc_id, text, parts[i] as line, i - 1 as pos from (select *, unnest(range(1, len(parts) + 1)) as i from cut)
+with recursive docs as (select distinct doc_id, text, md5(coalesce(doc_id::varchar, '') || '/' || text) as doc from documents where text is not null
+), cut as (select doc, string_split(text, chr(10)) as parts from docs
+), numbered as (select doc, parts[i] as line, i - 1 as pos from (select *, unnest(range(1, len(parts) + 1)) as i from cut)
+), squeezed as (select doc, pos, trim(regexp_replace(line, '[\x20\x09\x0B-\x0D]+', ' ', 'g'), ' ') as line from numbered
 ), masked as (
-    select *, regexp_replace(trim(regexp_replace(line, '[\x20\x09\x0B-\x0D]+', ' ', 'g'), ' '), '[^ ]*[0-9][^ ]*', '<*>', 'g') as template from numbered
-), lines as (
-    select *, string_split(template, ' ') as tokens, len(tokens) as size, concat_ws(' ', size::varchar, array_to_string(tokens[1:3], ' ')) as leaf,
-        min(md5(template)) over (partition by doc_id, text) as family
-    from masked where template <> ''
-), direct as (
-    select template from lines group by template
-    having count(distinct family) >= 10 and count(distinct family) >= count(distinct (doc_id, text)) * 0.3
-), rest as (select * from lines where size > 4 and template not in (from direct)
-), leaves as (
-    select leaf from rest group by leaf having count(distinct family) >= 10 and count(distinct family) >= count(distinct (doc_id, text)) * 0.3
-), opened as (select * from rest where leaf in (from leaves)
-), votes as (
-    select leaf, size, place, token, count(*) as n from (select leaf, size, unnest(tokens) as token, unnest(range(len(tokens))) as place from opened) group by all
-), places as (
-    select leaf, size, place, max_by(token, {'n': n, 't': token}) as token, max(n) as n, sum(n) as whole from votes group by all
-), kept as (
-    select leaf, list({'place': place, 'token': token}) as kept from places where n >= whole * 0.8 group by leaf, size
-    having count(*) >= size * 0.6 and count(*) - 3 >= (size - 3) / 2
-), fitting as (
-    select o.* from opened o join kept k using (leaf) where len(list_filter(k.kept, lambda k: o.tokens[k.place + 1] <> k.token)) = 0
-), loose as (
-    select leaf from fitting group by leaf having count(distinct family) >= 10 and count(distinct family) >= count(distinct (doc_id, text)) * 0.3
-), lost as (
-    select doc_id, text, list(distinct pos) as positions from (
-        select doc_id, text, pos from lines where template in (from direct) union all select doc_id, text, pos from fitting where leaf in (from loose)
-    ) group by all
+    select *, regexp_replace(line, '[^ ]*[0-9][^ ]*', '<*>', 'g') as fields, len(string_split(line, ' ')) as size from squeezed where line <> ''
+), lines as materialized (
+    select doc, pos, size, case when size - len(regexp_extract_all(line, '[^ ]*[0-9][^ ]*')) >= size * 0.5 then fields else line end as template from masked
+), parsed as materialized (
+    select *, string_split(template, ' ') as tokens, case when size > 4 then concat_ws(' ', size::varchar, array_to_string(string_split(template, ' ')[1:3], ' ')) end as leaf,
+        greatest(3, least(10, ceil(100.0 / size))) as needed from lines
+), words as (select doc, flatten(list(tokens order by pos)) as w from parsed group by doc
+), triples as materialized (select distinct doc, array_to_string(w[i:i + 2], ' ') as s from (select *, unnest(range(1, len(w) + 1)) as i from words)
+), sizes as (select doc, count(*) as n from triples group by doc
+), links as materialized (
+    select a.doc as a, b.doc as b from triples a join triples b on a.s = b.s and a.doc <> b.doc join sizes x on x.doc = a.doc join sizes y on y.doc = b.doc
+    group by a.doc, b.doc having count(*) >= 0.45 * (any_value(x.n) + any_value(y.n) - count(*))
+), reach(doc, other) as (select doc, doc from sizes union select r.doc, l.b from reach r join links l on l.a = r.other
+), families as materialized (select doc, min(other) as family from reach group by doc
+), rows as materialized (select p.*, family from parsed p join families using (doc)
+), direct as materialized (select template from rows group by template, needed having count(distinct family) >= needed
+), rest as (select * from rows where leaf is not null and template not in (from direct)
+), leaves as (select leaf from rest group by leaf having count(distinct family) >= 10
+), kinds as materialized (select leaf, template, any_value(size) as size, any_value(tokens) as tokens, list(distinct family) as families from rest where leaf in (from leaves) group by leaf, template
+), spread as (select leaf, template, size, families, unnest(tokens) as token, unnest(range(len(tokens))) as place from kinds
+), frequent as (select leaf, place, token from spread where token <> '<*>' group by all having sum(len(families)) >= 10
+), held as materialized (
+    select leaf, template, any_value(size) as size, any_value(families) as families, list({'place': place, 'token': token} order by place) as held,
+        count(*) filter (where place >= 3) as behind from spread join frequent using (leaf, place, token) group by leaf, template
+), formed as (select * from held where len(held) >= size * 0.6 and behind >= (size - 3) / 2
+), loose as (select leaf, held as needed from (select leaf, held, unnest(families) as family from formed) group by leaf, held having count(distinct family) >= 10
+), gone as materialized (
+    select template from direct union select f.template from formed f join loose l on l.leaf = f.leaf and len(list_filter(l.needed, lambda x: not list_contains(f.held, x))) = 0
+), lost as (select doc, list(distinct pos) as positions from parsed where template in (from gone) group by doc
 )
 select d.doc_id, coalesce(len(positions), 0)::bigint as n_dropped,
     case when positions is null then d.text else array_to_string([p for p, i in string_split(d.text, chr(10)) if not list_contains(positions, i - 1)], chr(10)) end as text
-from documents d left join lost l on d.doc_id is not distinct from l.doc_id and d.text = l.text
+from documents d left join lost l on l.doc = md5(coalesce(d.doc_id::varchar, '') || '/' || d.text)
 """
 
 
