@@ -65,9 +65,13 @@ class Rounds:
 
     The table of a name is deleted as soon as the next one of that name stands,
     so an iterative job holds two rounds at most, compressed, in a session with
-    any settings. What was kept under a name last stays until ``close``.
+    any settings; shuffle files go with the job that wrote a table. What was
+    kept under a name last stays until ``close``.
     """
 
+    #: A job's shuffle files are of no use once its table stands; without this they wait for the driver's garbage collector.
+    _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
     def __init__(self, spark: SparkSession) -> None:
         self._spark = spark
         self._folder = f"{ensure_checkpoint_dir(spark)}/rounds-{uuid.uuid4().hex}"
@@ -78,7 +82,12 @@ class Rounds:
         """Write ``df`` and go on from the written table."""
         self._made += 1
         folder = f"{self._folder}/{name}-{self._made}"
-        df.write.parquet(folder)
+        before = self._spark.conf.get(self._CLEANUP, "false")
+        self._spark.conf.set(self._CLEANUP, "true")
+        try:
+            df.write.parquet(folder)
+        finally:
+            self._spark.conf.set(self._CLEANUP, before)
         self.drop(name)
         self._held[name] = folder
         return self._spark.read.schema(df.schema).parquet(folder)
