@@ -38,8 +38,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.components import components
-from weftline.session import durable
+from weftline.operators.components import components
+from weftline.session import Rounds
 
 SHINGLE = 5
 THRESHOLD = 80  # percent
@@ -155,22 +155,22 @@ def shingle_lists(facts: DataFrame, wanted: DataFrame, threshold: int) -> DataFr
         "rep", "n", F.size("_all").alias("s"), F.transform(F.slice("_all", F.lit(1), room), lambda t: t["_h"]).alias("tokens"))
 
 
-def links(docs: DataFrame, key: str, text: str, width: int, threshold: int, reps: DataFrame) -> DataFrame:
+def links(docs: DataFrame, key: str, text: str, width: int, threshold: int, reps: DataFrame, rounds: Rounds) -> DataFrame:
     """(a, b): each linked class with the smallest of its component."""
     spark = docs.sparkSession
-    lists = durable(postings(reps))
-    several = lists.groupBy("token").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    lists = durable(lists.join(several, "token"))
+    posted = rounds.keep("posted", postings(reps))
+    several = posted.groupBy("token").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    lists = rounds.keep("lists", posted.join(several, "token"))
     # sets and signatures of posted documents only; the others have no candidate
     wanted = reps.join(lists.select("rep").distinct(), "rep", "left_semi")
-    facts = durable(full_sets(docs, key, text, width, wanted).join(reps.select("rep", "sig"), "rep"))
+    facts = rounds.keep("facts", full_sets(docs, key, text, width, wanted).join(reps.select("rep", "sig"), "rep"))
     # members of long lists are posted anew under their full sets, whose prefix is far shorter; n shingles,
     # of which s are shared at all: a pair has at most min(s) in common, which bounds its similarity
     short = lists.filter(F.col("_n") <= LONG_LIST).select("token", "rep").join(facts.select("rep", F.size("set").alias("n")), "rep")
     in_long = lists.filter(F.col("_n") > LONG_LIST).select("token", "rep").join(facts.select("rep", F.size("set").alias("n")), "rep")
     smallest = in_long.groupBy("token").agg(F.min("n").alias("m"))
     smallest = in_long.select("token", "rep").join(smallest, "token").groupBy("rep").agg(F.min("m").alias("m"))
-    longer = durable(shingle_lists(facts, smallest, threshold))
+    longer = rounds.keep("longer", shingle_lists(facts, smallest, threshold))
     anew = longer.select(F.explode("tokens").alias("token"), "rep", "n", "s")
     state = short.select("token", "rep", "n", F.col("n").alias("s")).unionByName(anew).withColumn("comp", F.col("rep"))
     stars = spark.createDataFrame([], "a bigint, b bigint")
@@ -183,7 +183,7 @@ def links(docs: DataFrame, key: str, text: str, width: int, threshold: int, reps
             F.max_by("rep", F.struct(reach - F.col("n") * threshold, -F.col("rep"))).alias("_first"))
         # out go lists within one component, and members too far from all others of their list
         near_some = (reach >= F.col("_least") * threshold) & (F.col("n") * threshold <= F.col("_reach"))
-        state = durable(state.join(spread.filter("_low != _high"), "token").filter(near_some))
+        state = rounds.keep("state", state.join(spread.filter("_low != _high"), "token").filter(near_some))
         if state.isEmpty():
             return stars
         # the member with the fewest shingles of its own is always a hub: copies are nearest to their original
@@ -201,13 +201,13 @@ def links(docs: DataFrame, key: str, text: str, width: int, threshold: int, reps
         left, right = (facts.select(F.col("rep").alias(c), F.col("set").alias(f"_x{c}")) for c in ("a", "b"))
         common = F.size(F.array_intersect("_xa", "_xb"))
         near = likely.join(left, "a").join(right, "b").filter(common * 100 >= (F.size("_xa") + F.size("_xb") - common) * threshold).select("a", "b")
-        near = durable(near)
+        near = rounds.keep("near", near)
         rest = state.filter(~is_hub).select("token", "rep", "n", "s", "comp")
         hubs *= 16
         if near.isEmpty():
             state = rest
             continue
-        stars = durable(components(stars.unionByName(near)).select(F.col("node").alias("a"), F.col("component").alias("b")))
+        stars = rounds.keep("stars", components(stars.unionByName(near), rounds).select(F.col("node").alias("a"), F.col("component").alias("b")))
         state = rest.drop("comp").join(stars.select(F.col("a").alias("rep"), F.col("b").alias("_comp")), "rep", "left").select(
             "token", "rep", "n", "s", F.coalesce("_comp", "rep").alias("comp"))
 
@@ -221,12 +221,14 @@ def near_duplicates(docs: DataFrame, key: str, text: str, *, shingle: int = SHIN
     that repeat an id are one document: of its texts without a copy under a
     smaller id the one with the smallest digest makes the links. Other columns are ignored. An empty table gives no row.
     """
-    signed = durable(signatures(docs, key, text, shingle))
+    rounds = Rounds(docs.sparkSession)
+    signed = rounds.keep("signed", signatures(docs, key, text, shingle))
     real = signed.filter(F.col("id").isNotNull() & (F.col("n") > 0))
     # copies meet in a partial aggregate, so a large class sends one row per task
-    firsts = durable(real.groupBy("class").agg(F.min(F.struct("id", "sig")).alias("_f")).select("class", F.col("_f.id").alias("rep"), F.col("_f.sig").alias("sig")))
-    reps = durable(firsts.groupBy("rep").agg(F.min(F.struct("class", "sig")).alias("_r")).select("rep", "_r.class", "_r.sig"))
-    stars = links(docs, key, text, shingle, threshold, reps).select(F.col("a").alias("rep"), F.col("b").alias("component"))
+    firsts = rounds.keep("firsts", real.groupBy("class").agg(F.min(F.struct("id", "sig")).alias("_f")).select("class", F.col("_f.id").alias("rep"), F.col("_f.sig").alias("sig")))
+    reps = rounds.keep("reps", firsts.groupBy("rep").agg(F.min(F.struct("class", "sig")).alias("_r")).select("rep", "_r.class", "_r.sig"))
+    stars = links(docs, key, text, shingle, threshold, reps, rounds).select(F.col("a").alias("rep"), F.col("b").alias("component"))
+    rounds.drop("reps", "posted", "lists", "facts", "longer", "state", "near", "links")
     named = firsts.join(stars, "rep", "left").select("class", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"))
     found = signed.join(named, "class", "left")
     own = F.col("id").isNull() | (F.col("n") == 0)
