@@ -14,7 +14,7 @@ line, the fewer documents it takes.
 
 Copies of a document repeat all their lines without any being boilerplate. So
 recurrence is counted in families: the connected components of near copies.
-Each document has a sketch, the smallest hashes of its word triples; documents
+Each document has a sketch, the smallest hashes of its units of a few words; documents
 that post a hash in common are compared with two of those that do, and are
 linked if the sketches say that enough of both texts is the same. Versions
 that drift apart are linked through those between them; a passage in otherwise
@@ -28,6 +28,8 @@ each document loses.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,38 +45,56 @@ LEAST_CONSTANT = 0.5  # share of tokens without a digit that lets a line have fi
 LEAST_FAMILIES = 10  # families that make a template of up to SHORT tokens recur
 LONG_FAMILIES, SHORT = 3, 10  # a longer line takes proportionally fewer families, but so many at least
 CONSTANT = 0.6  # share of positions a general template must keep
-ALIKE = 0.45  # least share of word triples that near copies have in common
+UNITS = r"[.,;:!?\n]|[bdfhjlnprtvxz] "  # ends of units: a few words each, cut by what they end with, so that an edit changes only its own
+ALIKE = 0.5  # least share of units that near copies have in common
 SKETCH, POSTED = 48, 12  # hashes of a sketch, and the smallest of them, under which copies are looked for
 BROADCAST_ROWS = 50_000  # hashes broadcast at most, by count; more are joined
 
 
-def lines_of(text: Column, depth: int, least_constant: float) -> Column:
-    """Per line with a token: ``pos``, ``template`` (tokens with fields, one space between), ``size`` and ``leaf`` (path in the tree)."""
+def has_any(text: Column, characters: str) -> Column:
+    """True if the text holds one of the characters: plain scans, which cost less than a pattern where most texts have none."""
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(c)) for c in characters])
+
+
+def squeezed(text: Column) -> Column:
+    """The text with one space for every run of blanks inside a line."""
+    return F.when(F.contains(text, F.lit("  ")) | has_any(text, "\t\r\x0b\x0c"), F.regexp_replace(text, SPACE, " ")).otherwise(text)
+
+
+def templates_of(text: Column, least_constant: float) -> Column:
+    """Per line of a squeezed text its template: the tokens with fields, one space between; empty for a line without a token."""
     count = lambda x, token: F.length(x) - F.length(F.replace(x, F.lit(token), F.lit("")))
-    squeezed = F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, " ")
-    both = F.struct(F.split(squeezed, "\n").alias("plain"), F.split(F.regexp_replace(squeezed, MASKED, "\x00"), "\n").alias("masked"))
+    plain = F.transform(F.split(text, "\n"), lambda x: F.trim(x))
+    masked = F.transform(F.split(F.regexp_replace(text, MASKED, "\x00"), "\n"), lambda x: F.trim(x))
+
+    def fields(line: Column, mask: Column) -> Column:
+        enough = count(mask, "\x00") <= (count(line, " ") + 1) * (1 - least_constant)
+        return F.when(F.contains(mask, F.lit("\x00")) & enough, F.replace(mask, F.lit("\x00"), F.lit(FIELD))).otherwise(line)
+
+    return F.when(F.rlike(text, F.lit("[0-9]")), F.zip_with(plain, masked, fields)).otherwise(plain)
+
+
+def hashed_lines(text: Column, depth: int, least_constant: float) -> Column:
+    """Per line with a token: ``pos``, the hash of its ``template``, its ``size`` in tokens, and ``leaf``, the hash of its path in the tree."""
+    def line(x: Column, i: Column) -> Column:
+        return let(F.size(F.split(x, " ")), lambda size: F.struct(
+            i.alias("pos"), F.xxhash64(x).alias("template"), size.alias("size"), F.when(size > depth + 1, path(x, size, depth)).alias("leaf")))
 
-    def line(plain: Column, masked: Column, pos: Column) -> Column:
-        fields = lambda size: F.when(size - count(masked, "\x00") >= size * least_constant, F.replace(masked, F.lit("\x00"), F.lit(FIELD))).otherwise(plain)
-        return let(count(plain, " ") + 1, lambda size: let(fields(size), lambda template: F.struct(
-            pos.alias("pos"), template.alias("template"), size.alias("size"),
-            F.concat_ws(" ", size.cast("string"), F.substring_index(template, " ", depth)).alias("leaf"))))
+    return F.filter(F.transform(templates_of(text, least_constant), line), lambda x: x["template"] != F.xxhash64(F.lit("")))
 
-    def lines(b: Column) -> Column:
-        kept = F.filter(F.transform(b["plain"], lambda x, i: F.struct(i.alias("i"), F.trim(x).alias("x"))), lambda x: x["x"] != "")
-        return F.transform(kept, lambda x: line(x["x"], F.trim(F.get(b["masked"], x["i"])), x["i"]))
 
-    return let(both, lines)
+def path(template: Column, size: Column, depth: int) -> Column:
+    """Hash of the path of a line in the tree."""
+    return F.xxhash64(size, F.substring_index(template, " ", depth))
 
 
-def sketch_of(lines: Column, size: int) -> Column:
-    """The ``size`` smallest hashes of the word triples of the templates; of a long text only hashes small enough to be among them are sorted."""
-    words = F.split(F.array_join(F.transform(lines, lambda x: x["template"]), " "), " ")
-    triples = lambda w: F.transform(w, lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))
-    # hashes are uniform: four times as many as needed lie below the bound
-    bound = lambda w: F.when(F.size(w) > 4 * size, F.lit(-(2.0**63)) + F.lit(2.0**64 * 4 * size) / F.size(w)).otherwise(F.lit(2.0**63))
-    small = lambda w: let(bound(w), lambda b: F.filter(triples(w), lambda h: h.cast("double") <= b))
-    return F.slice(F.sort_array(F.array_distinct(let(words, small))), 1, size)
+def sketch_of(text: Column, size: int) -> Column:
+    """The ``size`` smallest hashes of the units of a squeezed text; of a long text only hashes small enough to be among them are sorted."""
+    hashes = F.transform(F.split(text, UNITS), lambda x: F.xxhash64(x))
+    # hashes are uniform: about twice as many as needed lie below the bound
+    bound = lambda h: (F.lit(-(2.0**63)) + F.lit(2.0**64 * 2 * size) / F.size(h)).cast("bigint")
+    small = lambda h: F.when(F.size(h) <= 2 * size, h).otherwise(let(bound(h), lambda b: F.filter(h, lambda x: x <= b)))
+    return F.slice(F.sort_array(F.array_distinct(let(hashes, small))), 1, size)
 
 
 def few(df: DataFrame) -> DataFrame:
@@ -88,7 +108,8 @@ def families(kept: Rounds, sketches: DataFrame, alike: float, size: int, posted:
     Documents with equal sketches are one at once. A list of documents that
     post the same hash is compared with two of its members, not among itself.
     """
-    classes = kept.keep("classes", sketches.groupBy("sketch").agg(F.min("_doc").alias("_rep")))
+    named = sketches.withColumn("_class", F.xxhash64("sketch"))
+    classes = kept.keep("classes", named.groupBy("_class").agg(F.min("_doc").alias("_rep"), F.first("sketch").alias("sketch")))
     posts = classes.select("_rep", F.explode(F.slice("sketch", 1, posted)).alias("_hash"))
     lists = posts.groupBy("_hash").agg(F.min("_rep").alias("_low"), F.max("_rep").alias("_high")).filter("_low != _high")
     hubs = posts.join(lists, "_hash").select("_rep", F.explode(F.array("_low", "_high")).alias("_hub")).filter("_hub != _rep").distinct()
@@ -97,21 +118,25 @@ def families(kept: Rounds, sketches: DataFrame, alike: float, size: int, posted:
     same = let(low, lambda all_: F.size(F.array_intersect(F.array_intersect(all_, "sketch"), "_theirs")) >= F.size(all_) * alike)
     links = hubs.join(classes, "_rep").join(theirs, "_hub").filter(same).select(F.col("_rep").alias("a"), F.col("_hub").alias("b"))
     found = components(links, kept).select(F.col("node").alias("_rep"), F.col("component").alias("family"))
-    named = classes.join(found, "_rep", "left").select("sketch", F.coalesce("family", "_rep").alias("family"))
-    return kept.keep("families", sketches.join(named, "sketch").filter("family != _doc").select("_doc", "family"))
+    families_of = classes.join(found, "_rep", "left").select("_class", F.coalesce("family", "_rep").alias("family"))
+    return kept.keep("families", named.select("_doc", "_class").join(families_of, "_class").filter("family != _doc").select("_doc", "family"))
 
 
-def general_templates(kept: Rounds, rest: DataFrame, docs: DataFrame, text: str, depth: int, least_families: int, constant: float, least_constant: float) -> DataFrame:
-    """(template): hashes of the lines that fit a recurring general template; ``rest`` (leaf, template, family) are lines not dropped yet."""
+def general_templates(kept: Rounds, rest: DataFrame, docs: DataFrame, depth: int, least_families: int, constant: float, least_constant: float) -> DataFrame:
+    """(template): hashes of the lines that fit a recurring general template; ``rest`` (_doc, leaf, template, family) are lines not dropped yet, ``docs`` (_doc, _body) the texts."""
     leaves = rest.groupBy("leaf").agg(F.count_distinct("family").alias("_n")).filter(F.col("_n") >= least_families).select("leaf")
     leaves = kept.keep("leaves", leaves)
-    kinds = kept.keep("kinds", rest.join(few(leaves), "leaf", "left_semi").distinct())
+    opened = rest.join(few(leaves), "leaf", "left_semi").groupBy("leaf", "template", "family").agg(F.min("_doc").alias("_doc"))
+    kinds = kept.keep("kinds", opened)
     if kinds.isEmpty():
         return kinds.select("template")
-    # the words of the distinct lines, from the texts that have them
-    lines = docs.select(F.explode(lines_of(F.col(text), depth, least_constant)).alias("_l")).select(
-        F.xxhash64("_l.leaf").alias("leaf"), F.xxhash64("_l.template").alias("template"), "_l.size", F.col("_l.template").alias("_words"))
-    lines = lines.join(few(leaves), "leaf", "left_semi").groupBy("leaf", "template").agg(F.first("size").alias("size"), F.first("_words").alias("_words"))
+    # the words of the distinct lines, each from one document that has it
+    shown = kept.keep("shown", kinds.groupBy("leaf", "template").agg(F.min("_doc").alias("_doc")))
+    wanted = docs.join(few(shown.select("_doc").distinct()), "_doc", "left_semi")
+    words = wanted.select("_doc", F.explode(templates_of(squeezed(F.col("_body")), least_constant)).alias("_words")).filter("_words != ''")
+    sized = words.withColumn("size", F.size(F.split("_words", " ")))
+    lines = sized.select("_doc", path(F.col("_words"), F.col("size"), depth).alias("leaf"), F.xxhash64("_words").alias("template"), "size", "_words")
+    lines = lines.join(few(shown), ["_doc", "leaf", "template"], "left_semi").groupBy("leaf", "template").agg(F.first("size").alias("size"), F.first("_words").alias("_words"))
     in_families = kinds.groupBy("leaf", "template").agg(F.count_distinct("family").alias("_in"))
     lines = kept.keep("lines", lines.join(in_families, ["leaf", "template"]))
     tokens = lines.select("leaf", "template", "size", "_in", F.posexplode(F.split("_words", " ")).alias("_place", "_token")).filter(F.col("_token") != FIELD)
@@ -137,7 +162,7 @@ def drop_recurring_lines(
     near copies, a longer one in proportionally fewer, ``long_families`` at
     least; general templates take ``least_families``. ``sketch`` and ``posted``
     say how closely copies are looked for: with the defaults a copy with 90 %
-    of its word triples is linked with a chance above 0.999.
+    of its units is linked with a chance above 0.999.
 
     Lines without a token are kept and never counted. A null text stays null,
     an empty one empty; a text all of whose lines recur becomes empty. Rows
@@ -147,9 +172,7 @@ def drop_recurring_lines(
     rounds = Rounds(docs.sparkSession)
     columns = [c for c in docs.columns if c != "n_dropped"]
     doc = F.xxhash64(F.col(key), F.col(text))
-    hashed = lambda all_: F.transform(all_, lambda x: F.struct(
-        x["pos"].alias("pos"), F.xxhash64(x["template"]).alias("template"), F.when(x["size"] > depth + 1, F.xxhash64(x["leaf"])).alias("leaf"), x["size"].alias("size")))
-    made = let(lines_of(F.col(text), depth, least_constant), lambda all_: F.struct(sketch_of(all_, sketch).alias("sketch"), hashed(all_).alias("lines")))
+    made = let(squeezed(F.col(text)), lambda t: F.struct(sketch_of(t, sketch).alias("sketch"), hashed_lines(t, depth, least_constant).alias("lines")))
     parsed = docs.filter(F.col(text).isNotNull()).select(doc.alias("_doc"), made.alias("_l")).select("_doc", "_l.*").filter(F.size("lines") > 0)
     parsed = rounds.keep("parsed", parsed)
     # rows that repeat a document count once: counts are of distinct documents wherever a document could repeat
@@ -160,19 +183,20 @@ def drop_recurring_lines(
     often = seen.groupBy("template", "size").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= needed).select("template")
     full = seen.filter("leaf is not null").groupBy("leaf").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= least_families).select("leaf")
     often, full = rounds.keep("often", often), rounds.keep("full", full)
-    with_family = lambda rows: rows.join(family_of, "_doc", "left").withColumn("family", F.coalesce("family", "_doc")).drop("_doc")
+    with_family = lambda rows: rows.join(family_of, "_doc", "left").withColumn("family", F.coalesce("family", "_doc"))
     direct = with_family(seen.join(few(often), "template", "left_semi").select("_doc", "template", "size"))
     direct = direct.groupBy("template", "size").agg(F.count_distinct("family").alias("_n")).filter(F.col("_n") >= needed).select("template")
     direct = rounds.keep("direct", direct)
     rest = with_family(seen.join(few(full), "leaf", "left_semi").join(few(direct), "template", "left_anti").select("_doc", "leaf", "template"))
-    bodies = docs.filter(F.col(text).isNotNull()).select(F.col(text).alias("_body"))
-    general = general_templates(rounds, rest, bodies, "_body", depth, least_families, constant, least_constant)
+    bodies = docs.filter(F.col(text).isNotNull()).select(doc.alias("_doc"), F.col(text).alias("_body"))
+    general = general_templates(rounds, rest, bodies, depth, least_families, constant, least_constant)
     gone = rounds.keep("gone", direct.unionByName(general))
     places = parsed.select("_doc", F.explode("lines").alias("_x")).select("_doc", "_x.template", "_x.pos").join(few(gone), "template", "left_semi")
     lost = rounds.keep("lost", places.groupBy("_doc").agg(F.collect_set("pos").alias("_lost")))
-    rounds.drop("parsed", "classes", "links", "families", "often", "full", "direct", "leaves", "kinds", "lines", "held", "gone")
+    rounds.drop("parsed", "classes", "links", "families", "often", "full", "direct", "leaves", "kinds", "shown", "lines", "held", "gone")
     whole = docs.select(F.struct(*[docs[c] for c in columns]).alias("_row"), doc.alias("_doc"))
-    found = whole.join(lost, "_doc", "left")
+    # texts meet their positions by document at every size; a broadcast of the positions would be bounded by nothing
+    found = whole.join(lost.hint("merge"), "_doc", "left")
     body = F.col("_row").getField(text)
     # array_except keeps the order and looks positions up by hash
     left = let(F.split(body, "\n"), lambda parts: F.transform(

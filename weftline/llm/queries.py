@@ -181,10 +181,12 @@ def op5_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["op5_line_templates"] = r"""
-with recursive docs as (select distinct doc_id, text, md5(coalesce(doc_id::varchar, '') || '/' || text) as doc from documents where text is not null
+with recursive docs as (
+    select distinct doc_id, regexp_replace(text, '[\x20\x09\x0B-\x0D]+', ' ', 'g') as text, md5(coalesce(doc_id::varchar, '') || '/' || text) as doc
+    from documents where text is not null
 ), cut as (select doc, string_split(text, chr(10)) as parts from docs
 ), numbered as (select doc, parts[i] as line, i - 1 as pos from (select *, unnest(range(1, len(parts) + 1)) as i from cut)
-), squeezed as (select doc, pos, trim(regexp_replace(line, '[\x20\x09\x0B-\x0D]+', ' ', 'g'), ' ') as line from numbered
+), squeezed as (select doc, pos, trim(line, ' ') as line from numbered
 ), masked as (
     select *, regexp_replace(line, '[^ ]*[0-9][^ ]*', '<*>', 'g') as fields, len(string_split(line, ' ')) as size from squeezed where line <> ''
 ), lines as materialized (
@@ -192,12 +194,12 @@ with recursive docs as (select distinct doc_id, text, md5(coalesce(doc_id::varch
 ), parsed as materialized (
     select *, string_split(template, ' ') as tokens, case when size > 4 then concat_ws(' ', size::varchar, array_to_string(string_split(template, ' ')[1:3], ' ')) end as leaf,
         greatest(3, least(10, ceil(100.0 / size))) as needed from lines
-), words as (select doc, flatten(list(tokens order by pos)) as w from parsed group by doc
-), triples as materialized (select distinct doc, array_to_string(w[i:i + 2], ' ') as s from (select *, unnest(range(1, len(w) + 1)) as i from words)
-), sizes as (select doc, count(*) as n from triples group by doc
+), units as materialized (
+    select distinct doc, unnest(regexp_split_to_array(text, '[.,;:!?\n]|[bdfhjlnprtvxz] ')) as s from docs where doc in (select doc from parsed)
+), sizes as (select doc, count(*) as n from units group by doc
 ), links as materialized (
-    select a.doc as a, b.doc as b from triples a join triples b on a.s = b.s and a.doc <> b.doc join sizes x on x.doc = a.doc join sizes y on y.doc = b.doc
-    group by a.doc, b.doc having count(*) >= 0.45 * (any_value(x.n) + any_value(y.n) - count(*))
+    select a.doc as a, b.doc as b from units a join units b on a.s = b.s and a.doc <> b.doc join sizes x on x.doc = a.doc join sizes y on y.doc = b.doc
+    group by a.doc, b.doc having count(*) >= 0.5 * (any_value(x.n) + any_value(y.n) - count(*))
 ), reach(doc, other) as (select doc, doc from sizes union select r.doc, l.b from reach r join links l on l.a = r.other
 ), families as materialized (select doc, min(other) as family from reach group by doc
 ), rows as materialized (select p.*, family from parsed p join families using (doc)
