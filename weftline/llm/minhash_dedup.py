@@ -192,7 +192,7 @@ def links(docs: DataFrame, key: str, text: str, width: int, threshold: int, reps
         side = lambda df, name: df.select("token", F.col("rep").alias(name), *[F.col(c).alias(f"_{c}{name}") for c in ("comp", "n", "s")])
         possible = F.least("_sa", "_sb") * (100 + threshold) >= (F.col("_na") + F.col("_nb")) * threshold
         pairs = side(state.filter(is_hub), "a").join(side(state, "b"), "token").filter((F.col("_compa") != F.col("_compb")) & possible)
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = pairs.select("a", "b").distinct()
         # collisions are counted on the signatures; only pairs above the threshold meet their full sets
         sigs = facts.select("rep", "sig")
         counted = pairs.join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("_sa")), "a").join(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("_sb")), "b")
@@ -201,7 +201,10 @@ def links(docs: DataFrame, key: str, text: str, width: int, threshold: int, reps
         left, right = (facts.select(F.col("rep").alias(c), F.col("set").alias(f"_x{c}")) for c in ("a", "b"))
         common = F.size(F.array_intersect("_xa", "_xb"))
         near = likely.join(left, "a").join(right, "b").filter(common * 100 >= (F.size("_xa") + F.size("_xb") - common) * threshold).select("a", "b")
-        near = rounds.keep("near", near)
+        # a member goes to the smallest of its hubs, and so do its other hubs: as many edges as members, and few between hubs
+        to_hubs = near.groupBy("b").agg(F.min("a").alias("_low"), F.collect_set("a").alias("_hubs"))
+        between = to_hubs.select(F.explode("_hubs").alias("a"), F.col("_low").alias("b"))
+        near = rounds.keep("near", to_hubs.select(F.col("b").alias("a"), F.col("_low").alias("b")).unionByName(between).filter("a != b").distinct())
         rest = state.filter(~is_hub).select("token", "rep", "n", "s", "comp")
         hubs *= 16
         if near.isEmpty():
