@@ -10,6 +10,10 @@ at once from their entry states. Both ways give the same chunks.
 
 from __future__ import annotations
 
+import bisect
+import itertools
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -331,3 +335,103 @@ def section_items(elements: DataFrame, segment_rows: int = SEGMENT_ROWS) -> Data
         "doc_id", F.coalesce("_head.p", F.lit(-1)).alias("section_pos"),
         F.coalesce("_head.t", F.lit("")).alias("section_title"), "pos", F.col("ref").alias("item_id"), "text",
     )
+
+
+# Fixed value: characters of a translation request; what one prompt holds.
+REQUEST_CHARS = 4000
+
+
+def _packed(sizes: list[int], limit: int, filled: int) -> tuple[list[int], int]:
+    """Next-fit: how many requests were begun before each item's own, and the fill after the last; an empty request is never closed."""
+    opened, numbers = 0, []
+    for size in sizes:
+        if filled and filled + size > limit:
+            opened, filled = opened + 1, 0
+        filled += size
+        numbers.append(opened)
+    return numbers, filled
+
+
+def _breaks(sizes: list[int], limit: int) -> tuple[list[int], list[int], list[int]]:
+    """For every item at which a segment may first break: the characters up to it, and the requests begun and the fill from there to the end."""
+    n = len(sizes)
+    upto = [0, *itertools.accumulate(sizes)]
+    opened, filled = [1] * n, [0] * n
+    for i in range(n - 1, -1, -1):
+        # the first item that no longer fits after item i; sizes may be zero, so the sums need not grow
+        j = max(bisect.bisect_right(upto, upto[i] + limit) - 1, i + 1)
+        opened[i] = 1 if j >= n else 1 + opened[j]
+        filled[i] = upto[n] - upto[i] if j >= n else filled[j]
+    return upto[1:], opened, filled
+
+
+def _carried(segments: list, limit: int) -> list[tuple[int, int]]:
+    """(fill, requests begun) with which each segment of a section is entered."""
+    filled = number = 0
+    out = []
+    for upto, opened, ends in segments:
+        out.append((filled, number))
+        at = 0 if filled and upto and filled + upto[0] > limit else bisect.bisect_right(upto, limit - filled)
+        if not filled and upto and upto[0] > limit:  # an item over the limit fills an empty request by itself
+            at = 1
+        if at < len(upto):
+            filled, number = ends[at], number + opened[at]
+        else:
+            filled += upto[-1]
+    return out
+
+
+def translation_requests(elements: DataFrame, limit: int = REQUEST_CHARS, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
+    """Bounded translation requests: (doc_id, section_pos, request_no, document_title, section_title, chars, items).
+
+    The items of a section (see :func:`section_items`) are packed in order,
+    each into the open request if it still fits ``limit`` characters, else
+    into a new one; an item over the limit is a request of its own. ``items``
+    holds ids and texts, so every id stays with its text; the document title is
+    the first element labelled ``title``. A section is packed in segments of
+    ``segment_rows`` positions: each reports, for every item at which it may
+    first break, the requests and the fill it ends with, and the segments of a
+    section are entered accordingly. Requests do not depend on the segments.
+    """
+    items = section_items(elements, segment_rows)
+    sized = items.select("doc_id", "section_pos", F.floor(F.col("pos") / segment_rows).alias("seg"), "pos", F.length("text").alias("size"))
+    segment = sized.groupBy("doc_id", "section_pos", "seg").agg(F.array_sort(F.collect_list(F.struct("pos", "size"))).alias("rows"))
+    segment = segment.select("doc_id", "section_pos", "seg", F.transform("rows", lambda r: r["pos"]).alias("at"), F.transform("rows", lambda r: r["size"]).alias("sizes"))
+    doc_type = elements.schema["doc_id"].dataType.simpleString()
+
+    def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [_breaks(sizes, limit) for sizes in batch["sizes"].to_pylist()]
+            lists = [pa.array([m[k] for m in made], pa.list_(pa.int64())) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["section_pos"], batch["seg"], *lists], names=["doc_id", "section_pos", "seg", "upto", "opened", "ends"])
+
+    def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_carried([(s["upto"], s["opened"], s["ends"]) for s in parts], limit) for parts in batch["parts"].to_pylist()]
+            entered = [[{"seg": s["seg"], "fill": f, "number": n} for s, (f, n) in zip(parts, e, strict=True)] for parts, e in zip(batch["parts"].to_pylist(), found, strict=True)]
+            kind = pa.list_(pa.struct([("seg", pa.int64()), ("fill", pa.int64()), ("number", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["section_pos"], pa.array(entered, kind)], names=["doc_id", "section_pos", "entered"])
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            filled, before = (batch[c].to_pylist() for c in ("fill", "number"))
+            made = [[n + b for n in _packed(sizes, limit, f)[0]] for sizes, f, b in zip(batch["sizes"].to_pylist(), filled, before, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["at"], pa.array(made, pa.list_(pa.int64()))], names=["doc_id", "at", "numbers"])
+
+    # only sections of several segments have anything to carry
+    several = segment.groupBy("doc_id", "section_pos").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    reports = segment.join(several, ["doc_id", "section_pos"], "left_semi").select("doc_id", "section_pos", "seg", "sizes").mapInArrow(
+        report, f"doc_id {doc_type}, section_pos bigint, seg bigint, upto array<bigint>, opened array<bigint>, ends array<bigint>")
+    parts = reports.groupBy("doc_id", "section_pos").agg(F.array_sort(F.collect_list(F.struct("seg", "upto", "opened", "ends"))).alias("parts"))
+    entered = parts.mapInArrow(carry, f"doc_id {doc_type}, section_pos bigint, entered array<struct<seg:bigint,fill:bigint,number:bigint>>")
+    entered = unpack(entered, ["doc_id", "section_pos"], F.col("entered"))
+    known = segment.join(entered, ["doc_id", "section_pos", "seg"], "left").withColumns({c: F.coalesce(c, F.lit(0).cast("bigint")) for c in ("fill", "number")})
+    numbers = known.select("doc_id", "at", "sizes", "fill", "number").mapInArrow(number, f"doc_id {doc_type}, at array<bigint>, numbers array<bigint>")
+    numbered = unpack(numbers, ["doc_id"], F.arrays_zip("at", "numbers")).select("doc_id", F.col("at").alias("pos"), F.col("numbers").alias("request_no"))
+    requests = items.join(numbered, ["doc_id", "pos"]).groupBy("doc_id", "section_pos", "request_no").agg(
+        F.first("section_title").alias("section_title"), F.sum(F.length("text")).alias("chars"),
+        F.array_sort(F.collect_list(F.struct("pos", F.col("item_id").alias("id"), "text"))).alias("_items"))
+    titles = elements.filter("label = 'title'").groupBy("doc_id").agg(F.min_by("text", "pos").alias("document_title"))
+    return requests.join(titles, "doc_id", "left").select(
+        "doc_id", "section_pos", "request_no", F.coalesce("document_title", F.lit("")).alias("document_title"), "section_title", "chars",
+        F.transform("_items", lambda i: F.struct(i["id"].alias("id"), i["text"].alias("text"))).alias("items"))

@@ -77,11 +77,14 @@ def similar_groups(sets: DataFrame, key: str, tokens: str, threshold: float) ->
         side = lambda df, name: df.select("token", F.col("rep").alias(name), F.col("group").alias(f"_g{name}"), F.col("n").alias(f"_n{name}"))
         fits = F.least("_na", "_nb") >= F.greatest("_na", "_nb") * threshold - 1e-9
         pairs = side(state.filter(is_hub), "a").join(side(state, "b"), "token").filter((F.col("_ga") != F.col("_gb")) & fits)
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = pairs.select("a", "b").distinct()
         left, right = (reps.select(F.col("rep").alias(c), F.col("set").alias(f"_s{c}")) for c in ("a", "b"))
         common = F.size(F.array_intersect("_sa", "_sb"))
         near = pairs.join(left, "a").join(right, "b").filter(common >= (F.size("_sa") + F.size("_sb") - common) * threshold - 1e-9).select("a", "b")
-        near = rounds.keep("near", near)
+        # a member goes to the smallest of its hubs, and so do its other hubs
+        to_hubs = near.groupBy("b").agg(F.min("a").alias("_low"), F.collect_set("a").alias("_hubs"))
+        between = to_hubs.select(F.explode("_hubs").alias("a"), F.col("_low").alias("b"))
+        near = rounds.keep("near", to_hubs.select(F.col("b").alias("a"), F.col("_low").alias("b")).unionByName(between).filter("a != b").distinct())
         rest = state.filter(~is_hub).select("token", "rep", "n", "group")
         hubs *= 16
         if not near.isEmpty():

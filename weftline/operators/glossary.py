@@ -6,15 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.coerce import strip
+from weftline.operators.matching import term_hits
 from weftline.operators.rows import unpack
 
 # Glossary columns and prompt texts.
 COLUMNS = ("english", "japanese", "genre", "description")
 NO_TERMS = "なし"
 MATCH_LIMIT = 80
-# Characters of a term that stand in for it in the join; terms broadcast at most, by count.
-GRAM = 4
-BROADCAST_TERMS = 50_000
 SYSTEM_PROMPT = (
     "あなたは軍事・政策文書に強い日英翻訳者です。"
     "原文の意味を保持し、Markdown 構造を壊さず、日本語へ翻訳してください。"
@@ -71,24 +69,13 @@ def matches(chunks: DataFrame, entries: DataFrame, text: str = "source_text",
             keys: tuple[str, ...] = ("doc_id", "chunk_no")) -> DataFrame:
     """Entries whose term occurs in a chunk, ignoring case.
 
-    Containment has no join key, so the beginning of a term stands in: its
-    first ``GRAM`` characters, or all of a shorter term. A chunk offers its
-    distinct character sequences of those lengths, the join finds the terms
-    that may occur, and these are looked for in the text. ``keys`` identify a
-    chunk. The texts are joined once, with one row of candidates per chunk.
+    ``keys`` identify a chunk; see :func:`weftline.operators.matching.term_hits`.
     """
-    terms = entries.select("english", F.lower("english").alias("_t")).filter("_t != ''").distinct()
-    keyed = terms.withColumn("_gram", F.substring("_t", 1, GRAM))
-    sizes = keyed.agg(F.collect_set(F.length("_gram")).alias("sizes"), F.count(F.lit(1)).alias("n")).first()
-    lowered = chunks.select(*keys, F.lower(text).alias("_text"))
-    # overlapping sequences: a match of no width at every place
-    grams = [F.regexp_extract_all("_text", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in sorted(sizes.sizes)] or [F.array().cast("array<string>")]
-    offered = unpack(lowered, list(keys), F.array_distinct(F.concat(*grams)), item="_gram")
-    # a broadcast of the counted terms spares the shuffle of the sequences; the rows are the same
-    side = F.broadcast(keyed) if sizes.n <= BROADCAST_TERMS else keyed
-    maybe = offered.join(side, "_gram").groupBy(*keys).agg(F.collect_list(F.struct("english", "_t")).alias("_maybe"))
-    found = F.filter("_maybe", lambda m: F.contains(F.col("_text"), m["_t"]))
-    return unpack(lowered.join(maybe, list(keys)), list(keys), F.transform(found, lambda m: m["english"]), item="english")
+    lowered = chunks.select(*keys, F.lower(text).alias("_lowered"))
+    terms = entries.select("english", F.lower("english").alias("_t"))
+    hits = term_hits(lowered, terms, "_lowered", "_t", keys)
+    # terms that differ by case only are several entries with one lower-case form
+    return hits.join(terms, "_t").select(*keys, "english")
 
 
 def select_entries(chunks: DataFrame, entries: DataFrame, limit: int = MATCH_LIMIT, text: str = "source_text",

@@ -157,6 +157,10 @@ def only_pages(elements: DataFrame, pages: list[int]) -> DataFrame:
     return elements.filter(F.arrays_overlap("pages", F.array(*[F.lit(p) for p in pages])))
 
 
+#: Size of a quantile sketch, and the error of a rank it leaves.
+SKETCH_PRECISION, RANK_ERROR = 200, 0.0165
+
+
 def stage_metrics(events: DataFrame) -> DataFrame:
     """Volume, failures and duration per stage."""
     return events.groupBy("stage").agg(
@@ -166,6 +170,39 @@ def stage_metrics(events: DataFrame) -> DataFrame:
     )
 
 
+def duration_sketches(events: DataFrame, keys: tuple[str, ...] = ("run_id", "stage"), precision: int = SKETCH_PRECISION) -> DataFrame:
+    """(keys, events, errors, durations): per run and stage, a quantile sketch of the durations that later runs are merged with.
+
+    ``durations`` is a KLL sketch of a size that does not grow with the events;
+    with the default ``precision`` the rank of a quantile is off by at most
+    ``RANK_ERROR``, with 99 % confidence. Null durations are not counted in it.
+    """
+    return events.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("events"), F.count_if(F.col("error_type").isNotNull()).alias("errors"),
+        F.kll_sketch_agg_bigint(F.col("duration_ms").cast("bigint"), precision).alias("durations"))
+
+
+def merged_durations(sketches: DataFrame, keys: tuple[str, ...] = ("stage",), quantiles: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
+    """(keys, events, errors, p50_ms, p95_ms, ...): the sketches of several runs as one; no event is read again."""
+    merged = sketches.groupBy(*keys).agg(
+        F.sum("events").alias("events"), F.sum("errors").alias("errors"), F.kll_merge_agg_bigint("durations").alias("_d"))
+    some = F.kll_sketch_get_n_bigint("_d") > 0
+    named = {f"p{round(q * 100)}_ms": F.when(some, F.kll_sketch_get_quantile_bigint("_d", F.lit(q))) for q in quantiles}
+    return merged.select(*keys, "events", "errors", *[c.alias(n) for n, c in named.items()])
+
+
+def settled_states(events: DataFrame, now: Column, patience: str) -> DataFrame:
+    """(stage, unit_id, status, ts, ...): the last state of each unit; ``running`` without a sign of life for ``patience`` is ``pending``.
+
+    ``events``: stage, unit_id, ts, status and further fields of the state; of
+    events at the same time the one with the greatest status counts.
+    """
+    rest = [c for c in events.columns if c not in ("stage", "unit_id")]
+    last = events.groupBy("stage", "unit_id").agg(F.max_by(F.struct(*rest), F.struct("ts", "status")).alias("s")).select("stage", "unit_id", "s.*")
+    stale = (F.col("status") == "running") & (F.col("ts") + F.expr(f"interval {patience}") <= now)
+    return last.withColumn("status", F.when(stale, "pending").otherwise(F.col("status"))).select(*events.columns)
+
+
 def errors_by_type(events: DataFrame) -> DataFrame:
     return events.filter(F.col("error_type").isNotNull()).groupBy("stage", "error_type").agg(F.count(F.lit(1)).alias("errors"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.functions.redact import mask_secrets, mask_string_fields, redact_known
+from weftline.functions.redact import mask_secrets, mask_string_fields, redact_known, redact_table
 from weftline.operators import patches
 from weftline.operators.rows import unpack
 from weftline.plans import inputs
@@ -217,3 +217,18 @@ def mask_event_fields(spark, d):
 @query("known_secrets", "select doc_id, replace(replace(text, 'the ', '[REDACTED]'), 'and', '[REDACTED]') as text from documents")
 def known_secrets(spark, d):
     return inputs.documents(spark, d).select("doc_id", redact_known(F.col("text"), "the ", "", "and").alias("text"))
+
+
+_SECRETS = "select distinct split_part(text, ' ', 1) as secret from documents where length(split_part(text, ' ', 1)) >= 6 union select distinct c_mktsegment from customer"
+
+
+@query("known_secrets_table", f"""
+with recursive s as materialized (select secret, row_number() over (order by -length(secret), secret) as k from ({_SECRETS})),
+h as materialized (select d.doc_id, s.secret, row_number() over (partition by d.doc_id order by s.k) as k from documents d join s on contains(d.text, s.secret)),
+r(doc_id, k, text) as (select doc_id, 0::bigint, text from documents union all select r.doc_id, h.k, replace(r.text, h.secret, chr(1)) from r join h on h.doc_id = r.doc_id and h.k = r.k + 1)
+select doc_id, replace(max_by(text, k), chr(1), '[REDACTED]') as text from r group by 1""")
+def known_secrets_table(spark, d):
+    """The first words of all documents, if long enough, and the market segments, as secrets."""
+    word = F.get(F.split("text", " "), F.lit(0))
+    secrets = inputs.documents(spark, d).select(word.alias("secret")).filter(F.length("secret") >= 6).unionByName(table(spark, d, "customer").select(F.col("c_mktsegment").alias("secret")))
+    return redact_table(inputs.documents(spark, d), "text", secrets, "secret", ("doc_id",))

@@ -180,6 +180,35 @@ def stage_metrics(spark, d):
     return m.select("stage", "events", "errors", F.round("avg_ms", 4).alias("avg_ms"), "max_ms")
 
 
+@query("merged_durations", f"""
+with {_LOG} select stage, count(*) as events, count(error_type) as errors, true as p50_right, true as p95_right, true as p99_right from log group by 1""")
+def merged_durations(spark, d):
+    """Sketches of ten runs merged; each quantile is checked against the exact ranks of the value it names."""
+    log = _stage_log(spark, d).withColumn("run_id", F.pmod(F.xxhash64("duration_ms"), F.lit(10)))
+    merged = state.merged_durations(state.duration_sketches(log))
+    ranks = log.filter("duration_ms is not null").join(merged.select("stage", "p50_ms", "p95_ms", "p99_ms"), "stage").groupBy("stage").agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.count_if(F.col("duration_ms") < F.col(f"{p}_ms")).alias(f"{p}_below") for p in ("p50", "p95", "p99")],
+        *[F.count_if(F.col("duration_ms") <= F.col(f"{p}_ms")).alias(f"{p}_upto") for p in ("p50", "p95", "p99")])
+    off = state.RANK_ERROR * 1.5
+    right = [((F.col(f"{p}_below") <= (q + off) * F.col("n")) & (F.col(f"{p}_upto") >= (q - off) * F.col("n"))).alias(f"{p}_right")
+             for p, q in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))]
+    return merged.select("stage", "events", "errors").join(ranks.select("stage", *right), "stage")
+
+
+@query("settled_states", """
+with e as (select event_type as stage, cast(user_id as varchar) as unit_id, ts, case event_id % 3 when 0 then 'running' when 1 then 'completed' else 'failed' end as status, event_id from events),
+l as (select *, row_number() over (partition by stage, unit_id order by ts desc, status desc, event_id desc) as k from e)
+select stage, unit_id, ts, case when status = 'running' and ts + interval 3 days <= timestamp '2024-01-20' then 'pending' else status end as status from l where k = 1""")
+def settled_states(spark, d):
+    """Events as states of (type, user); running ones that are three days old are pending."""
+    kind = F.col("event_id") % 3
+    log = table(spark, d, "events").select(
+        F.col("event_type").alias("stage"), F.col("user_id").cast("string").alias("unit_id"), "ts",
+        F.when(kind == 0, "running").when(kind == 1, "completed").otherwise("failed").alias("status"))
+    return state.settled_states(log, F.lit("2024-01-20 00:00:00").cast("timestamp_ntz"), "3 days")
+
+
 @query("errors_by_type", f"with {_LOG} select stage, error_type, count(*) as errors from log where error_type is not null group by 1, 2")
 def errors_by_type(spark, d):
     return state.errors_by_type(_stage_log(spark, d))

@@ -2,8 +2,17 @@
 
 from __future__ import annotations
 
+import urllib.parse
+import uuid
+import zlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
+from pyspark.sql.types import StructType
 
 
 def write_jsonl(df: DataFrame, path: str, append: bool = False) -> None:
@@ -30,6 +39,80 @@ def write_markdown(documents: DataFrame, path: str) -> None:
     documents.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)
 
 
+class _Committed(WriterCommitMessage):
+    """A task has put all its files in place."""
+
+
+class _MarkdownWriter(DataSourceArrowWriter):
+    def __init__(self, path: str, fanout: int, overwrite: bool) -> None:
+        self._path, self._fanout, self._overwrite = path, fanout, overwrite
+        self._waiting = f"_temporary-{uuid.uuid4().hex}"
+
+    def _store(self) -> tuple:
+        """The file system of the path and the path in it; made anew in every task."""
+        return fs.FileSystem.from_uri(self._path) if "://" in self._path or self._path.startswith("file:") else (fs.LocalFileSystem(), self._path)
+
+    def write(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
+        store, root = self._store()
+        task = f"{root}/{self._waiting}/{uuid.uuid4().hex}"
+        store.create_dir(task, recursive=True)
+        made: set[str] = set()
+        for batch in batches:
+            for name, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                file = urllib.parse.quote(str(name), safe="") + ".md"
+                folder = f"{zlib.crc32(file.encode()) % self._fanout:04d}/" if self._fanout else ""
+                with store.open_output_stream(f"{task}/{file}") as out:
+                    out.write((body or "").encode())
+                if folder and folder not in made:
+                    store.create_dir(f"{root}/{folder}", recursive=True)
+                    made.add(folder)
+                # whole files only are moved to their place, and a task that is run again writes the same ones
+                store.move(f"{task}/{file}", f"{root}/{folder}{file}")
+        return _Committed()
+
+    def commit(self, messages: list[WriterCommitMessage | None]) -> None:
+        store, root = self._store()
+        store.delete_dir(f"{root}/{self._waiting}") if store.get_file_info(f"{root}/{self._waiting}").type == fs.FileType.Directory else None
+        with store.open_output_stream(f"{root}/_SUCCESS"):
+            pass
+
+    def abort(self, messages: list[WriterCommitMessage | None]) -> None:
+        store, root = self._store()
+        if store.get_file_info(f"{root}/{self._waiting}").type == fs.FileType.Directory:
+            store.delete_dir(f"{root}/{self._waiting}")
+
+
+class MarkdownFiles(DataSource):
+    """One Markdown file per row of (name, markdown); a task writes as many as it has rows.
+
+    ``path`` is a folder that all executors reach, with or without a scheme.
+    Files are written aside and moved when whole, so a killed task leaves no
+    half file; what it had moved is written again, the same. ``_SUCCESS`` is
+    put in when all tasks are done. ``fanout`` spreads the files over so many
+    folders; 0 puts them all into one. Names are percent-encoded. With mode
+    overwrite the folder is emptied first.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "markdown_files"
+
+    def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
+        made = _MarkdownWriter(self.options["path"], int(self.options.get("fanout", "0")), overwrite)
+        store, root = made._store()
+        if overwrite and store.get_file_info(root).type == fs.FileType.Directory:
+            store.delete_dir_contents(root)
+        store.create_dir(root, recursive=True)
+        return made
+
+
+def write_markdown_files(documents: DataFrame, path: str, name: str = "doc_id", markdown: str = "markdown", fanout: int = 0) -> None:
+    """A Markdown file per document; see :class:`MarkdownFiles`."""
+    documents.sparkSession.dataSource.register(MarkdownFiles)
+    rows = documents.select(F.col(name).cast("string").alias("name"), F.col(markdown).alias("markdown"))
+    rows.write.format("markdown_files").option("fanout", fanout).mode("overwrite").save(path)
+
+
 def write_lines(lines: DataFrame, path: str, order_by: list[str]) -> None:
     """Ordered line table as text: part files in order give the document."""
     lines.orderBy(*order_by).select(F.col("line").alias("value")).write.mode("overwrite").text(path)
