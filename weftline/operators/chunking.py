@@ -393,7 +393,7 @@ def translation_requests(elements: DataFrame, limit: int = REQUEST_CHARS, segmen
     first break, the requests and the fill it ends with, and the segments of a
     section are entered accordingly. Requests do not depend on the segments.
     """
-    items = section_items(elements, segment_rows)
+    items = section_items(elements, segment_rows).withColumns({c: F.col(c).cast("bigint") for c in ("section_pos", "pos")})
     sized = items.select("doc_id", "section_pos", F.floor(F.col("pos") / segment_rows).alias("seg"), "pos", F.length("text").alias("size"))
     segment = sized.groupBy("doc_id", "section_pos", "seg").agg(F.array_sort(F.collect_list(F.struct("pos", "size"))).alias("rows"))
     segment = segment.select("doc_id", "section_pos", "seg", F.transform("rows", lambda r: r["pos"]).alias("at"), F.transform("rows", lambda r: r["size"]).alias("sizes"))

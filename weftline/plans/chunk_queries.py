@@ -116,6 +116,25 @@ def section_items(spark, d):
     return chunking.section_items(line_table(spark, d), segment_rows=32)
 
 
+@query("translation_requests", f"""
+with recursive e as ({ELEMENTS_SQL}), h as (select *, max(case when label in ('title', 'section_header') then idx end) over (partition by doc_id order by idx) as hp from e),
+i as (select h.doc_id, coalesce(hp, -1) as section_pos, coalesce(t.text, '') as section_title, h.idx, h.ref, h.text, row_number() over (partition by h.doc_id, hp order by h.idx) as k
+ from h left join e t on t.doc_id = h.doc_id and t.idx = hp where h.text <> '' and h.label not in ('title', 'section_header')),
+r(doc_id, section_pos, k, filled, request_no) as (
+ select doc_id, section_pos, k, length(text), 0 from i where k = 1 union all
+ select i.doc_id, i.section_pos, i.k, case when r.filled + length(i.text) > 900 then length(i.text) else r.filled + length(i.text) end,
+  r.request_no + (r.filled + length(i.text) > 900)::int from r join i on i.doc_id = r.doc_id and i.section_pos = r.section_pos and i.k = r.k + 1)
+select doc_id, section_pos, request_no, coalesce(any_value(d.text), '') as document_title, any_value(i.section_title) as section_title, cast(sum(length(i.text)) as bigint) as chars,
+ string_agg(i.ref, ',' order by idx) as ids, sha256(string_agg(i.text, chr(10) order by idx)) as texts
+from i join r using (doc_id, section_pos, k) left join (select doc_id, text from e where idx = 0) d using (doc_id) group by doc_id, section_pos, request_no""")
+def translation_requests(spark, d):
+    made = chunking.translation_requests(line_table(spark, d), limit=900, segment_rows=16)
+    part = lambda c: F.transform("items", lambda i: i[c])
+    return made.select(
+        "doc_id", "section_pos", "request_no", "document_title", "section_title", "chars", F.array_join(part("id"), ",").alias("ids"),
+        F.sha2(F.array_join(part("text"), "\n").cast("binary"), 256).alias("texts"))
+
+
 _LAST = f"g as ({GLOSSARY_SQL}), last as (select english, max_by(japanese, seq) as japanese, max_by(genre, seq) as genre, max_by(description, seq) as description from g group by 1)"
 
 
