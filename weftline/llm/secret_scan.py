@@ -7,9 +7,10 @@ token whose log-likelihood ratio outweighs the odds against a secret, as the
 samples have them, and a margin, is a span of its own kind. Base spans stay
 whatever the models say.
 
-Unseen transitions get Witten-Bell estimates; the model of random strings also
-keeps a share for uniform characters, as a secret may be of another alphabet
-than the samples. Training counts transitions of all samples: a task hands on
+Both are smoothed towards character frequencies: ordinary samples are labelled
+by what the patterns do not find, so unknown secrets are among them. The model
+of random strings keeps a share for uniform characters, as a secret may be of
+another alphabet than the samples. Training counts transitions of all samples: a task hands on
 one table of counts per label, and the driver gets their sum.
 """
 
@@ -38,6 +39,7 @@ EDGES = "+/_.-"  # punctuation cut off at either end of a token
 SIZE = len(LETTERS)
 START = SIZE  # what comes before the first character
 UNIFORM = 0.25  # share of uniform characters in the model of random strings
+PRIOR = 1000.0  # observations by which rare characters are drawn to the frequencies of all, so that a secret among the ordinary samples teaches little
 MARGIN = 10.0  # nats by which a token must outweigh the odds
 BATCH_TOKENS = 1 << 21  # characters scored at a time
 
@@ -119,25 +121,21 @@ def _known(value: str | None) -> str:
     return "".join(c for c in value or "" if c in LETTERS)
 
 
-def _witten_bell(counts: np.ndarray) -> np.ndarray:
-    """Transition probabilities; rows never seen get those of all rows, and those the uniform ones."""
-    def mixed(n: np.ndarray, lower: np.ndarray) -> np.ndarray:
-        kinds = np.count_nonzero(n, axis=-1, keepdims=True).astype(float)
-        whole = n.sum(axis=-1, keepdims=True) + kinds
-        return np.where(whole > 0, (n + kinds * lower) / np.maximum(whole, 1), lower)
+def _smoothed(counts: np.ndarray, prior: float) -> np.ndarray:
+    """Transition probabilities; each row is drawn to those of all rows, and these to uniform ones, as by ``prior`` observations."""
+    whole = (counts.sum(axis=0) + prior / SIZE) / (counts.sum() + prior)
+    return (counts + prior * whole) / (counts.sum(axis=1, keepdims=True) + prior)
 
-    return mixed(counts, mixed(counts.sum(axis=0), np.full(SIZE, 1 / SIZE)))
 
-
-def model_of(counts: np.ndarray, tokens: np.ndarray, uniform: float = UNIFORM, margin: float = MARGIN) -> Model:
+def model_of(counts: np.ndarray, tokens: np.ndarray, uniform: float = UNIFORM, margin: float = MARGIN, prior: float = PRIOR) -> Model:
     """The models from transition counts (ordinary, secret) and numbers of sample tokens (ordinary, secret)."""
-    ordinary, random = _witten_bell(counts[0].astype(float)), _witten_bell(counts[1].astype(float))
+    ordinary, random = (_smoothed(c.astype(float), prior) for c in counts)
     random = (1 - uniform) * random + uniform / SIZE
     odds = np.log((tokens[0] + 1) / (tokens[1] + 1))
     return Model(np.log(random) - np.log(ordinary), max(float(odds), 0.0) + margin)
 
 
-def train(labelled: DataFrame, value: str, secret: str, uniform: float = UNIFORM, margin: float = MARGIN) -> Model:
+def train(labelled: DataFrame, value: str, secret: str, uniform: float = UNIFORM, margin: float = MARGIN, prior: float = PRIOR) -> Model:
     """Both models from all labelled samples; null values and labels teach nothing, other characters are skipped."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +161,7 @@ def train(labelled: DataFrame, value: str, secret: str, uniform: float = UNIFORM
     flat = np.zeros(2 * (SIZE + 1) * SIZE + 2, np.int64)
     for slot, n in sums.collect():  # at most as many as the table has places
         flat[slot] = n
-    return model_of(flat[:-2].reshape(2, SIZE + 1, SIZE), flat[-2:], uniform, margin)
+    return model_of(flat[:-2].reshape(2, SIZE + 1, SIZE), flat[-2:], uniform, margin, prior)
 
 
 def scan(docs: DataFrame, text: str, model: Model, name: str = "secrets") -> DataFrame:
