@@ -15,7 +15,7 @@ line, the fewer documents it takes.
 Copies of a document repeat all their lines without any being boilerplate. So
 recurrence is counted in families: the connected components of near copies.
 Each document has a sketch, the smallest hashes of its units of a few words; documents
-that post a hash in common are compared with two of those that do, and are
+that post two neighbouring hashes in common are compared with two of those that do, and are
 linked if the sketches say that enough of both texts is the same. Versions
 that drift apart are linked through those between them; a passage in otherwise
 different texts links nothing.
@@ -47,7 +47,7 @@ LONG_FAMILIES, SHORT = 3, 10  # a longer line takes proportionally fewer familie
 CONSTANT = 0.6  # share of positions a general template must keep
 UNITS = r"[.,;:!?\n]|[bdfhjlnprtvxz] "  # ends of units: a few words each, cut by what they end with, so that an edit changes only its own
 ALIKE = 0.5  # least share of units that near copies have in common
-SKETCH, POSTED = 48, 12  # hashes of a sketch, and the smallest of them, under which copies are looked for
+SKETCH, POSTED = 32, 16  # hashes of a sketch, and the smallest of them, under which copies are looked for
 BROADCAST_ROWS = 50_000  # hashes broadcast at most, by count; more are joined
 
 
@@ -106,11 +106,14 @@ def families(kept: Rounds, sketches: DataFrame, alike: float, size: int, posted:
     """(_doc, family) of the near copies in ``sketches`` (_doc, sketch); a document like no other has no row.
 
     Documents with equal sketches are one at once. A list of documents that
-    post the same hash is compared with two of its members, not among itself.
+    post the same pair of hashes is compared with two of its members, not among
+    itself.
     """
     named = sketches.withColumn("_class", F.xxhash64("sketch"))
     classes = kept.keep("classes", named.groupBy("_class").agg(F.min("_doc").alias("_rep"), F.first("sketch").alias("sketch")))
-    posts = classes.select("_rep", F.explode(F.slice("sketch", 1, posted)).alias("_hash"))
+    # each hash with its follower: a single one may be of a few common words, which most texts have
+    pairs = F.transform(F.slice("sketch", 1, posted), lambda x, i: F.xxhash64(x, F.get("sketch", i + 1)))
+    posts = classes.select("_rep", F.explode(pairs).alias("_hash"))
     lists = posts.groupBy("_hash").agg(F.min("_rep").alias("_low"), F.max("_rep").alias("_high")).filter("_low != _high")
     hubs = posts.join(lists, "_hash").select("_rep", F.explode(F.array("_low", "_high")).alias("_hub")).filter("_hub != _rep").distinct()
     theirs = classes.select(F.col("_rep").alias("_hub"), F.col("sketch").alias("_theirs"))
