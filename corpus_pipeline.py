@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.llm import language, line_templates, merge_encoding, minhash_dedup, mixing
@@ -44,12 +44,17 @@ def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each near-duplicate group; documents without an id stay."""
+    """Keeps the document with the smallest id of each near-duplicate group; documents without an id stay.
+
+    Of rows that repeat an id and a text one stays; different texts under an id
+    stay apart, unless the id as a whole is a copy of a smaller one.
+    """
     found = minhash_dedup.near_duplicates(docs, "doc_id", "text")
     gone = found.filter(F.col("id") != F.col("component_id")).select(F.col("id").alias("doc_id"))
     known = docs.select(*COLUMNS).filter(F.col("doc_id").isNotNull()).join(gone, "doc_id", "left_anti")
-    # rows that repeat an id are one document: the smallest row stays; the join has placed them together already
-    one = known.groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("_r")).select("doc_id", "_r.*")
+    # the join has dealt the rows by id already
+    same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(*COLUMNS[2:])
+    one = known.withColumn("_n", F.row_number().over(same)).filter("_n = 1").select(*COLUMNS)
     return one.unionByName(docs.select(*COLUMNS).filter(F.col("doc_id").isNull()))
 
 
