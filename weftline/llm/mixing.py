@@ -123,14 +123,14 @@ def mix(docs: DataFrame, key: str, text: str, source: str, *, weights: tuple[flo
     """All columns of ``docs`` with ``size``, ``source_size``, ``target``, ``copies`` and ``taken`` (``copies * size``).
 
     ``size`` is the number of words of the whole text, 0 for a null one. A null
-    source is a source of its own, other than the empty name. Rows with a null
-    id are drawn like one more id. Rows that repeat an id draw the same number;
-    if they are alike they are taken alike. Columns of these names are
+    source is a source of its own, other than the empty name. Rows draw by id and
+    text, so different texts under one id, or without an id, are drawn apart;
+    rows that repeat both are taken alike. Columns of these names are
     replaced. An empty table stays empty; if no text has a word, every target is 0.
     """
     made = ("size", "source_size", "target", "copies", "taken")
     kept = [c for c in docs.columns if c not in made]
-    digits = F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit("null"))).cast("binary")), 1, 13)
+    digits = F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit("null")), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))).cast("binary")), 1, 13)
     facts = {
         "name": F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("")),
         "_id": F.coalesce(F.col(key).cast("bigint"), F.lit(-(1 << 63))),

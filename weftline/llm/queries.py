@@ -111,7 +111,7 @@ def op2_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["op2_pareto_mix"] = r"""
 with sized as (
     select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
-        (('0x' || substr(md5('mix:' || coalesce(doc_id::varchar, 'null')), 1, 13))::bigint + 0.5) / 4503599627370496.0 as u
+        (('0x' || substr(md5('mix:' || coalesce(doc_id::varchar, 'null') || ':' || md5(coalesce(text, ''))), 1, 13))::bigint + 0.5) / 4503599627370496.0 as u
     from documents
 ), weighed as (select *, length(bin(size))::double as w from sized
 ), sources as (
