@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from test_documents import arrays
 from weftline.functions.redact import redact_table
-from weftline.operators import chunking, elements, glossary, matching, state
+from weftline.operators import chunking, elements, glossary, matching, rendering, state
 from weftline.sources import sinks
 from weftline.streaming import stage_states
 
@@ -136,3 +136,17 @@ def test_terms_in_blocks(spark):
     assert set(map(tuple, matching.term_hits(texts, terms, "t", "w", ("k",), block_chars=12).collect())) == whole
     entries = spark.createDataFrame([("Cat", "a", "", ""), ("CAT", "b", "", ""), ("Dog", "c", "", "")], "english string, japanese string, genre string, description string")
     assert sorted((r.k, r.english) for r in glossary.matches(texts, entries, "t", ("k",)).collect()) == [(1, "CAT"), (1, "Cat"), (2, "Dog")]
+
+
+def test_captions_and_edited_cells_reach_the_translated_markdown(spark):
+    doc = {
+        "texts": [{"label": "section_header", "text": "Results"}, {"label": "text", "text": "Body text."}, {"label": "code", "text": "x = 1"}, {"label": "text", "text": "Not in memory."}],
+        "tables": [{"caption": "Table 1", "data": {"grid": [["Two words", "A-1"], ["Other words", ""]], "table_cells": [{"row": 1, "col": 0, "text": "Edited words"}]}}],
+    }
+    flat = elements.element_table(arrays(spark, doc))
+    known = ["Results", "Body text.", "Table 1", "Two words", "Edited words", "A-1"]
+    memory = spark.createDataFrame([(t, f"ja {t}", 1) for t in known], "s string, translated_text string, updated_at int").select(F.sha2("s", 256).alias("source_sha256"), "translated_text", "updated_at")
+    made = rendering.render_translated(flat, memory, elements.cell_table(flat)).first().markdown
+    assert made == (
+        "## Results / ja Results\n\nja Body text.\n\n```\nx = 1\n```\n\nNot in memory.\n\n**Table 1 / ja Table 1**\n\n"
+        "| ja Two words | A-1 |\n| --- | --- |\n| ja Edited words |  |\n")

@@ -14,8 +14,10 @@ from weftline.functions.coerce import first_truthy, lines_of, strip
 from weftline.functions.elements import (
     fence_count, is_code, picture_markdown, table_row_markdown, text_markdown,
 )
+from weftline.operators.elements import rendered_cells
 from weftline.operators.ordering import SEGMENT_ROWS, segmented_last
 from weftline.operators.rows import unpack
+from weftline.operators.translation import memory_lookup, routed_text, translate_cells, translate_elements
 
 # A heading that older chunk files misspell, and its spelling.
 CHUNK_TITLE = ("Chunks(JS)", "Chunks(JA)")
@@ -113,6 +115,43 @@ def render_documents(elements: DataFrame, tables: DataFrame | None = None, volum
     return volumes(document_parts(elements, tables), ["doc_id"], "pos", "part", "\n\n", volume_parts=volume_parts, ending="\n")
 
 
+def with_edits(cells: DataFrame, edits: DataFrame) -> DataFrame:
+    """One cell table: rendered cells with the text of the edit at their place.
+
+    A table may come with a grid and with a list of cells. The grid is what is
+    rendered and the list is what is edited; ``edits`` (doc_id, table_ref, row,
+    col, seq, text) of the list reach the grid here, the last one of a place wins.
+    """
+    place = ["doc_id", "table_ref", "row", "col"]
+    last = edits.groupBy(*place).agg(F.max_by("text", "seq").alias("_edit"))
+    return cells.join(last, place, "left").withColumn("text", F.coalesce("_edit", "text")).select(*cells.columns)
+
+
+def render_translated(elements: DataFrame, memory: DataFrame, edits: DataFrame | None = None, volume_parts: int | None = None) -> DataFrame:
+    """Markdown per document from elements and a translation memory.
+
+    Body texts and cells are replaced, headings and table captions become
+    ``source / translation``, code and protected cells stay; what the memory
+    does not hold stays as it is. ``edits`` are changed cells, see
+    :func:`with_edits`. Texts, captions and cells are looked up apart; each
+    lookup is one join on the hash of the source.
+    """
+    def shown(looked: DataFrame) -> Column:
+        return F.when(F.col("translated_text").isNull(), F.col("source_text")).otherwise(F.col("render_text"))
+
+    texts = translate_elements(elements, memory)
+    texts = texts.withColumn("render_text", shown(texts)).select(*elements.columns, "render_text")
+    named = elements.filter((F.col("grp") == "tables") & (F.col("caption") != "")).select("doc_id", "ref", F.col("caption").alias("source_text"))
+    captions = memory_lookup(named, memory).filter(F.col("translated_text").isNotNull()).select(
+        "doc_id", "ref", routed_text(F.lit("caption"), F.col("source_text"), F.col("translated_text")).alias("_caption"))
+    others = elements.filter(F.col("grp") != "texts").join(captions, ["doc_id", "ref"], "left")
+    others = others.withColumn("caption", F.coalesce("_caption", "caption")).select(*elements.columns, F.lit(None).cast("string").alias("render_text"))
+    cells = rendered_cells(elements)
+    done = translate_cells(with_edits(cells, edits) if edits is not None else cells, memory)
+    tables = tables_markdown(done.withColumn("text", shown(done)), escape=True)
+    return render_documents(texts.unionByName(others), tables, volume_parts)
+
+
 def concat_parts(chunks: DataFrame, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
     """Chunk texts in order without blanks and without adjacent repeats."""
     text = strip(first_truthy(F.col("translated_text"), F.col("source_text"), default=""))
@@ -192,6 +231,8 @@ def link_captions(elements: DataFrame, segment_rows: int = SEGMENT_ROWS) -> Data
     """Pictures with the caption nearest before or after them on their page."""
     is_caption = (F.col("label") == "caption") & (F.col("text") != "")
     caption = F.when(is_caption, F.struct(F.col("pos").alias("p"), F.col("text").alias("t"), F.get("pages", F.lit(0)).alias("page")))
+    # only captions and pictures take part, in one shuffle each way
+    elements = elements.filter(is_caption | (F.col("grp") == "pictures"))
     low = segmented_last(elements, ["doc_id"], "pos", {"_above": caption}, segment_rows=segment_rows)
     # positions mirrored: the last caption before a row of the mirror follows the picture
     high = segmented_last(low.withColumn("_back", -F.col("pos")), ["doc_id"], "_back", {"_below": caption}, segment_rows=segment_rows)

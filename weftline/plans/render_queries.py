@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.functions.coerce import lines_of
 from weftline.functions.elements import picture_markdown
 from weftline.operators import elements, rendering
 from weftline.plans import inputs
@@ -105,6 +106,39 @@ def document_render_tables(spark, d):
     )
 
 
+def edited_payloads(spark: SparkSession, d: str) -> DataFrame:
+    """Lines under a title, and a table that has a grid and, newer, a list with one of its cells."""
+    def item(line, i):
+        page = F.array(F.struct((F.floor(i / 50) + 1).cast("int").alias("page_no")))
+        return F.struct(F.when(i == 0, "title").otherwise("paragraph").alias("label"), line.alias("text"), page.alias("prov"))
+
+    number = F.col("doc_id").cast("string")
+    grid = F.array(F.array(F.lit("old cell"), F.lit("A-1")), F.array(F.concat(F.lit("row | of "), number), F.lit("")))
+    cell = F.struct(F.lit(0).alias("row"), F.lit(0).alias("col"), F.concat(F.lit("edited cell "), number).alias("text"))
+    table_item = F.struct(
+        F.lit("table").alias("label"), F.lit("Words").alias("caption"), F.array(F.struct(F.lit(1).alias("page_no"))).alias("prov"),
+        F.struct(grid.alias("grid"), F.array(cell).alias("table_cells")).alias("data"))
+    body = F.struct(F.transform(lines_of(F.col("text")), item).alias("texts"), F.array(table_item).alias("tables"))
+    return inputs.documents(spark, d).select("doc_id", F.to_json(body).alias("payload"))
+
+
+@query("document_translated", f"""
+with l as (select doc_id, idx, line, {STRIP_SQL.format('line')} as text from ({LINES_SQL})),
+p as (select doc_id, idx // 50 + 1 as page, idx, 0 as grp, case when regexp_matches(line, '{CODE_SQL}') then '```' || chr(10) || text || chr(10) || '```'
+ when idx = 0 then '# ' || text || ' / 訳:' || text else '訳:' || text end as part from l where text <> ''
+ union all select doc_id, 1, 0, 1, '**Words / 訳:Words**' || chr(10) || chr(10) || '| 訳:edited cell ' || doc_id || ' | A-1 |' || chr(10) || '| --- | --- |' || chr(10)
+  || '| 訳:row \\| of ' || doc_id || ' |  |' from documents)
+select doc_id, 0 as volume, string_agg(part, chr(10) || chr(10) order by page, idx, grp) || chr(10) as markdown from p group by doc_id""")
+def document_translated(spark, d):
+    """From elements and a memory to Markdown: texts, captions and the edited cells, of all documents."""
+    flat = elements.element_table(elements.element_arrays(edited_payloads(spark, d), order="index"))
+    edits = elements.cell_table(flat)
+    sources = flat.select(F.explode(F.array("text", "caption")).alias("s")).unionByName(edits.select(F.col("text").alias("s"))).unionByName(
+        elements.rendered_cells(flat).select(F.col("text").alias("s")))
+    memory = sources.filter("s <> ''").distinct().select(F.sha2("s", 256).alias("source_sha256"), F.concat(F.lit("訳:"), "s").alias("translated_text"), F.lit(0).alias("updated_at"))
+    return rendering.render_translated(flat, memory, edits)
+
+
 def line_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Lines as chunks: each third is translated, some repeat the line before."""
     lines = line_table(spark, d)
