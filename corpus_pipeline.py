@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from weftline.llm import language, line_templates, merge_encoding, minhash_dedup, mixing
 from weftline.llm.queries import piece_model
 from weftline.llm.text_features import fold
-from weftline.session import ensure_checkpoint_dir
+from weftline.session import ensure_checkpoint_dir, remove_folder
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Least probability of the predicted language; below it the language counts as unknown.
@@ -86,7 +86,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of a folder."""
     folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            remove_folder(spark, f"{folder}/{before}")  # the next stage stands
+        before = name
     return docs
