@@ -140,6 +140,8 @@ def patch_audit(elements: DataFrame, patches: DataFrame) -> DataFrame:
         "doc_id", F.col("grp").alias("_grp"), F.col("idx").alias("_idx"), F.lit(True).alias("_known"),
         F.col("text").alias("_text"), F.col("label").alias("_label"), F.col("level").cast("string").alias("_level"),
     )
+    # only elements that a patch addresses come along with their texts
+    own = own.join(aimed.select("doc_id", "_grp", "_idx").distinct(), ["doc_id", "_grp", "_idx"], "left_semi")
     joined = aimed.join(own, ["doc_id", "_grp", "_idx"], "left")
     original = (
         F.when(F.col("op") == "set_text", F.col("_text")).when(F.col("op") == "set_label", F.col("_label"))

@@ -9,8 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.functions.coerce import first_truthy
-from weftline.functions.labels import chat_owner, user_label
+from weftline.functions.labels import chat_owner, knowledge_name, user_label
 from weftline.operators.elements import line_elements
 
 SINCE, UNTIL = "2024-01-05 00:00:00", "2024-01-25 23:59:59"
@@ -89,7 +88,7 @@ def knowledge(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = F.lit("2024-01-01 00:00:00").cast("timestamp")
     return table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("seq"), F.col("doc_id").cast("string").alias("id"),
-        first_truthy(F.concat("source", F.lit("/"), "lang"), F.col("doc_id").cast("string")).alias("name"),
+        knowledge_name(F.concat("source", F.lit("/"), "lang"), F.lit(None), F.col("doc_id").cast("string")).alias("name"),
         F.lit(None).cast("string").alias("url"),
         (start + F.make_dt_interval(hours=(F.col("doc_id") % 1000).cast("int"))).alias("ts"),
     )
