@@ -99,6 +99,15 @@ def test_mix_meets_targets(spark):
     assert mixed.groupBy("source").agg(F.max("target").alias("t")).agg(F.sum("t")).first()[0] == pytest.approx(total)
 
 
+def test_mix_without_ids_is_no_tie(spark):
+    """A third of the rows have no id and another third share one: targets are met as with ids of their own."""
+    rng = random.Random(4)
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, " ".join(rng.choice("abcd") * 3 for _ in range(rng.randrange(5, 60))) + f" {i}", rng.choice("xyz")) for i in range(900)]
+    mixed = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), "doc_id", "text", "source")
+    for r in mixed.groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target"), F.max("size").alias("largest")).collect():
+        assert abs(r.taken - r.target) <= r.largest
+
+
 # 3 quality, 6 toxicity, 7 language: held-out accuracy
 
 

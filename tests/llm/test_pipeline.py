@@ -55,3 +55,11 @@ def test_pipeline_keeps_its_promises(spark):
 def test_encoded_ids_read_back(spark, odd_documents):
     texts = sorted(hashlib.sha256((r.text or "").encode()).hexdigest() for r in odd_documents.collect())
     assert sorted(r.decoded_sha256 for r in corpus_pipeline.encode_tokens(spark, odd_documents, "").collect()) == texts
+
+
+def test_different_texts_under_one_id_stay(spark):
+    rows = [(1, "one text about something that is long enough", "en", "a", 44), (1, "another text altogether with other words in it", "en", "b", 46),
+            (1, "another text altogether with other words in it", "en", "b", 46), (2, "a third text that stands under its own number", "en", "a", 45)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = sorted(columns(corpus_pipeline.keep_one_of_each_group(spark, docs, "").collect()))
+    assert kept == sorted(set(rows))
