@@ -45,7 +45,7 @@ LEAST_CONSTANT = 0.5  # share of tokens without a digit that lets a line have fi
 LEAST_FAMILIES = 10  # families that make a template of up to SHORT tokens recur
 LONG_FAMILIES, SHORT = 3, 10  # a longer line takes proportionally fewer families, but so many at least
 CONSTANT = 0.6  # share of positions a general template must keep
-UNITS = r"[.,;:!?\n]|[bdfhjlnprtvxz] "  # ends of units: a few words each, cut by what they end with, so that an edit changes only its own
+UNITS = r"[bdfhjlnprtvxz.,;:!?] "  # ends of units: a few words each, cut by what they end with, so that an edit changes only its own
 ALIKE = 0.5  # least share of units that near copies have in common
 SKETCH, POSTED = 32, 16  # hashes of a sketch, and the smallest of them, under which copies are looked for
 BROADCAST_ROWS = 50_000  # hashes broadcast at most, by count; more are joined
@@ -90,7 +90,9 @@ def path(template: Column, size: Column, depth: int) -> Column:
 
 def sketch_of(text: Column, size: int) -> Column:
     """The ``size`` smallest hashes of the units of a squeezed text; of a long text only hashes small enough to be among them are sorted."""
-    hashes = F.transform(F.split(text, UNITS), lambda x: F.xxhash64(x))
+    # a line ends a unit too; one pattern without alternatives costs a fraction
+    ended = F.replace(text, F.lit("\n"), F.lit("x "))
+    hashes = F.transform(F.split(ended, UNITS), lambda x: F.xxhash64(x))
     # hashes are uniform: about twice as many as needed lie below the bound
     bound = lambda h: (F.lit(-(2.0**63)) + F.lit(2.0**64 * 2 * size) / F.size(h)).cast("bigint")
     small = lambda h: F.when(F.size(h) <= 2 * size, h).otherwise(let(bound(h), lambda b: F.filter(h, lambda x: x <= b)))

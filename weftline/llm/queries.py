@@ -195,7 +195,7 @@ with recursive docs as (
     select *, string_split(template, ' ') as tokens, case when size > 4 then concat_ws(' ', size::varchar, array_to_string(string_split(template, ' ')[1:3], ' ')) end as leaf,
         greatest(3, least(10, ceil(100.0 / size))) as needed from lines
 ), units as materialized (
-    select distinct doc, unnest(regexp_split_to_array(text, '[.,;:!?\n]|[bdfhjlnprtvxz] ')) as s from docs where doc in (select doc from parsed)
+    select distinct doc, unnest(regexp_split_to_array(replace(text, chr(10), 'x '), '[bdfhjlnprtvxz.,;:!?] ')) as s from docs where doc in (select doc from parsed)
 ), sizes as (select doc, count(*) as n from units group by doc
 ), links as materialized (
     select a.doc as a, b.doc as b from units a join units b on a.s = b.s and a.doc <> b.doc join sizes x on x.doc = a.doc join sizes y on y.doc = b.doc
