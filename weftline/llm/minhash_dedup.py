@@ -173,14 +173,42 @@ def links(docs: DataFrame, key: str, text: str, width: int, threshold: int, reps
     longer = rounds.keep("longer", shingle_lists(facts, smallest, threshold))
     anew = longer.select(F.explode("tokens").alias("token"), "rep", "n", "s")
     state = short.select("token", "rep", "n", F.col("n").alias("s")).unionByName(anew).withColumn("comp", F.col("rep"))
+    sigs = facts.select("rep", "sig")
+    left, right = (facts.select(F.col("rep").alias(c), F.col("set").alias(f"_x{c}")) for c in ("a", "b"))
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        """The links among pairs: collisions are counted on the signatures; only pairs above the threshold meet their full sets."""
+        counted = pairs.join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("_sa")), "a").join(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("_sb")), "b")
+        collisions = F.size(F.filter(F.zip_with("_sa", "_sb", lambda x, y: x == y), lambda same: same))
+        likely = counted.filter(collisions >= MATCHES).select("a", "b")
+        common = F.size(F.array_intersect("_xa", "_xb"))
+        return likely.join(left, "a").join(right, "b").filter(common * 100 >= (F.size("_xa") + F.size("_xb") - common) * threshold).select("a", "b")
+
+    def merged(stars: DataFrame, near: DataFrame) -> DataFrame:
+        return rounds.keep("stars", components(stars.unionByName(near), rounds).select(F.col("node").alias("a"), F.col("component").alias("b")))
+
+    def regrouped(state: DataFrame, stars: DataFrame) -> DataFrame:
+        return state.drop("comp").join(stars.select(F.col("a").alias("rep"), F.col("b").alias("_comp")), "rep", "left").select(
+            "token", "rep", "n", "s", F.coalesce("_comp", "rep").alias("comp"))
+
+    # the largest partner a member can have: (100 + t) s >= t (n + m)
+    reach = F.col("s") * (100 + threshold) - F.col("n") * threshold
+    # the member with the fewest shingles of its own comes first: copies are nearest to their original
+    score = F.struct(reach - F.col("n") * threshold, -F.col("rep"))
     stars = spark.createDataFrame([], "a bigint, b bigint")
+    # before the rounds every member meets the best of its lists' first members, one pair each; large groups are mostly one component after that
+    state = rounds.keep("state", state)
+    firsts = state.groupBy("token").agg(F.max_by("rep", score).alias("_first"), F.max(score).alias("_score"))
+    best = state.join(firsts, "token").groupBy("rep").agg(F.max_by("_first", "_score").alias("a")).select("a", F.col("rep").alias("b")).filter("a != b")
+    near = rounds.keep("near", confirmed(best))
+    if not near.isEmpty():
+        stars = merged(stars, near)
+        state = regrouped(state, stars)
     hubs = 1
     while True:
-        # the largest partner a member can have: (100 + t) s >= t (n + m)
-        reach = F.col("s") * (100 + threshold) - F.col("n") * threshold
         spread = state.groupBy("token").agg(
             F.min("comp").alias("_low"), F.max("comp").alias("_high"), F.count(F.lit(1)).alias("_m"), F.min("n").alias("_least"), F.max(reach).alias("_reach"),
-            F.max_by("rep", F.struct(reach - F.col("n") * threshold, -F.col("rep"))).alias("_first"))
+            F.max_by("rep", score).alias("_first"))
         # out go lists within one component, and members too far from all others of their list
         near_some = (reach >= F.col("_least") * threshold) & (F.col("n") * threshold <= F.col("_reach"))
         state = rounds.keep("state", state.join(spread.filter("_low != _high"), "token").filter(near_some))
@@ -193,14 +221,7 @@ def links(docs: DataFrame, key: str, text: str, width: int, threshold: int, reps
         possible = F.least("_sa", "_sb") * (100 + threshold) >= (F.col("_na") + F.col("_nb")) * threshold
         pairs = side(state.filter(is_hub), "a").join(side(state, "b"), "token").filter((F.col("_compa") != F.col("_compb")) & possible)
         pairs = pairs.select("a", "b").distinct()
-        # collisions are counted on the signatures; only pairs above the threshold meet their full sets
-        sigs = facts.select("rep", "sig")
-        counted = pairs.join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("_sa")), "a").join(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("_sb")), "b")
-        collisions = F.size(F.filter(F.zip_with("_sa", "_sb", lambda x, y: x == y), lambda same: same))
-        likely = counted.filter(collisions >= MATCHES).select("a", "b")
-        left, right = (facts.select(F.col("rep").alias(c), F.col("set").alias(f"_x{c}")) for c in ("a", "b"))
-        common = F.size(F.array_intersect("_xa", "_xb"))
-        near = likely.join(left, "a").join(right, "b").filter(common * 100 >= (F.size("_xa") + F.size("_xb") - common) * threshold).select("a", "b")
+        near = confirmed(pairs)
         # a member goes to the smallest of its hubs, and so do its other hubs: as many edges as members, and few between hubs
         to_hubs = near.groupBy("b").agg(F.min("a").alias("_low"), F.collect_set("a").alias("_hubs"))
         between = to_hubs.select(F.explode("_hubs").alias("a"), F.col("_low").alias("b"))
@@ -210,9 +231,8 @@ def links(docs: DataFrame, key: str, text: str, width: int, threshold: int, reps
         if near.isEmpty():
             state = rest
             continue
-        stars = rounds.keep("stars", components(stars.unionByName(near), rounds).select(F.col("node").alias("a"), F.col("component").alias("b")))
-        state = rest.drop("comp").join(stars.select(F.col("a").alias("rep"), F.col("b").alias("_comp")), "rep", "left").select(
-            "token", "rep", "n", "s", F.coalesce("_comp", "rep").alias("comp"))
+        stars = merged(stars, near)
+        state = regrouped(rest, stars)
 
 
 def near_duplicates(docs: DataFrame, key: str, text: str, *, shingle: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
