@@ -150,3 +150,28 @@ def test_captions_and_edited_cells_reach_the_translated_markdown(spark):
     assert made == (
         "## Results / ja Results\n\nja Body text.\n\n```\nx = 1\n```\n\nNot in memory.\n\n**Table 1 / ja Table 1**\n\n"
         "| ja Two words | A-1 |\n| --- | --- |\n| ja Edited words |  |\n")
+
+
+def physical_plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_terms_and_secrets_are_found_inside_the_row(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abc \t🦖") for _ in range(rng.randrange(1, 24))) for _ in range(400)]
+    texts = ["".join(rng.choice("abc \n\t🦖") for _ in range(rng.randrange(120))) for _ in range(40)] + ["", None]
+    index = matching.TermIndex(sorted({w for w in words if w}))
+    for text in texts[:-1]:
+        assert index.hits(text) == {w for w in words if w in text}
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, body string")
+    secrets = spark.createDataFrame([(w,) for w in words], "s string")
+    expected = {}
+    for k, text in enumerate(texts):
+        for w in sorted(set(words), key=lambda w: (-len(w), w)) if text else ():
+            text = text.replace(w, "\x00")
+        expected[k] = text and text.replace("\x00", "[REDACTED]")
+    done = redact_table(df, "body", secrets, "s", ("k",))
+    assert {r.k: r.body for r in done.collect()} == expected
+    assert "Exchange" not in physical_plan(done) and "Join" not in physical_plan(done)
+    several = matching.term_arrays(df, secrets, "body", "s", ("k",), "found", block_chars=900).collect()
+    assert {r.k: r.found for r in several} == {k: sorted({w for w in words if t and w in t}) for k, t in enumerate(texts)}

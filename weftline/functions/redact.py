@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.operators.matching import term_hits
+from weftline.operators.matching import term_arrays
 
 # Secret shapes and what replaces them.
 SECRET_PATTERNS = (
@@ -43,14 +43,13 @@ def redact_table(df: DataFrame, text: str, secrets: DataFrame, secret: str, keys
 
     The result is that of replacing one secret after another over the whole
     table of them, but a text is given only the secrets it holds (see
-    :func:`weftline.operators.matching.term_hits`), and marks already put in
+    :func:`weftline.operators.matching.term_arrays`), and marks already put in
     are never searched. Equal lengths go in code point order. Null and empty
     secrets replace nothing.
     """
     # a mark of one character that no text or secret holds stands in until all secrets are gone
     stand_in = F.lit("\x00")
-    found = term_hits(df, secrets, text, secret, keys).groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct((-F.length(secret)).alias("n"), F.col(secret).alias("s")))).alias("_found"))
-    joined = df.join(found, list(keys), "left")
-    replaced = F.aggregate("_found", F.col(text), lambda body, x: F.replace(body, x["s"], stand_in), lambda body: F.replace(body, stand_in, F.lit(KNOWN_SECRET_MARK)))
-    return joined.withColumn(text, F.when(F.col("_found").isNull(), F.col(text)).otherwise(replaced)).select(*df.columns)
+    joined = term_arrays(df, secrets, text, secret, keys, "_found")
+    longest_first = F.array_sort(F.transform("_found", lambda s: F.struct((-F.length(s)).alias("n"), s.alias("s"))))
+    replaced = F.aggregate(longest_first, F.col(text), lambda body, x: F.replace(body, x["s"], stand_in), lambda body: F.replace(body, stand_in, F.lit(KNOWN_SECRET_MARK)))
+    return joined.withColumn(text, F.when(F.size("_found") == 0, F.col(text)).otherwise(replaced)).select(*df.columns)

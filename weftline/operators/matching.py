@@ -2,63 +2,130 @@
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections import defaultdict
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.operators.rows import unpack
 
 GRAM = 4  # characters of a term that stand in for it
 BLOCK_CHARS = 4_000_000  # characters of terms that are with a task at a time
+CACHED_WORDS = 200_000  # words whose terms a task remembers
+FEW_PHRASES = 20  # so many terms with white space are looked for one by one
 
 
-def gram_index(terms: list[str]) -> dict[str, list[str]]:
-    """Terms by the one of their character sequences that is rarest among all of them; shorter terms under ``""``."""
-    grams = {t: {t[i : i + GRAM] for i in range(len(t) - GRAM + 1)} for t in terms}
-    often = Counter(g for found in grams.values() for g in found)
-    index: dict[str, list[str]] = defaultdict(list)
-    for term, found in grams.items():
-        index[min(found, key=lambda g: (often[g], g), default="")].append(term)
-    return dict(index)
+class TermIndex:
+    """Terms by their first characters; the work on a text does not grow with the number of terms.
 
-
-def term_hits(texts: DataFrame, terms: DataFrame, text: str, term: str, keys: tuple[str, ...], block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """(keys, term): the distinct non-empty terms that occur in each text, as written.
-
-    Containment has no join key, so a term stands under its rarest sequence of
-    four characters. A text meets the terms in its own task: its sequences are
-    looked up, and a term that answers is looked for in the whole text. Texts
-    are not shuffled, and only hits leave the task. The terms travel to the
-    tasks, so they are counted first; a table with more than ``block_chars``
-    characters goes block by block, one pass over the texts for each block.
+    A term without white space lies within a word of the text, and words come
+    again and again, so words are looked at once and remembered: all pieces of
+    a word that are long enough are looked up. In longer words, and in whole
+    texts for terms with white space, the next few characters say which lengths
+    a term may have at a position, and each such piece is looked up.
     """
+
+    def __init__(self, terms: list[str]) -> None:
+        single = [t for t in terms if t.split() == [t]]
+        self._words, self._starts = frozenset(single), self._lengths(single)
+        self._shortest = min(map(len, single), default=0)
+        phrases = [t for t in terms if t.split() != [t]]
+        self._phrases, self._phrase_starts = frozenset(phrases), self._lengths(phrases)
+        self._known: dict[str, tuple[str, ...]] = {}
+
+    @staticmethod
+    def _lengths(terms: list[str]) -> dict[int, dict[str, list[int]]]:
+        starts: dict[int, dict[str, set[int]]] = defaultdict(lambda: defaultdict(set))
+        for t in terms:
+            starts[min(len(t), GRAM)][t[:GRAM]].add(len(t))
+        return {n: {start: sorted(lengths) for start, lengths in found.items()} for n, found in starts.items()}
+
+    @staticmethod
+    def _pieces(value: str, terms: frozenset[str], starts: dict[int, dict[str, list[int]]]) -> set[str]:
+        found: set[str] = set()
+        for n, lengths in starts.items():
+            for i in range(len(value) - n + 1):
+                for length in lengths.get(value[i : i + n], ()):
+                    piece = value[i : i + length]
+                    if piece in terms:
+                        found.add(piece)
+        return found
+
+    def _in_word(self, word: str) -> tuple[str, ...]:
+        size, low = len(word), self._shortest
+        if size > 4 * GRAM:
+            return tuple(self._pieces(word, self._words, self._starts))
+        return tuple(self._words & {word[i:j] for i in range(size - low + 1) for j in range(i + low, size + 1)})
+
+    def hits(self, value: str) -> set[str]:
+        """The distinct terms in a text."""
+        if len(self._phrases) <= FEW_PHRASES:
+            found = {t for t in self._phrases if t in value}
+        else:
+            found = self._pieces(value, self._phrases, self._phrase_starts)
+        known = self._known
+        for word in set(value.split()) if self._words else ():
+            if len(word) >= self._shortest:
+                here = known.get(word)
+                if here is None:
+                    here = self._in_word(word)
+                    if len(word) <= 64:
+                        if len(known) >= CACHED_WORDS:
+                            known.clear()
+                        known[word] = here
+                found.update(here)
+        return found
+
+
+def term_blocks(terms: DataFrame, term: str, block_chars: int = BLOCK_CHARS) -> list[DataFrame]:
+    """The distinct non-empty terms in as few blocks as keep each at about ``block_chars`` characters."""
     named = terms.select(F.col(term).alias("_term")).filter("_term <> ''").distinct()
     chars = named.agg(F.sum(F.length("_term") + GRAM)).first()[0] or 0
     blocks = -(-chars // block_chars)
+    if blocks == 1:
+        return [named]
+    return [named.filter(F.pmod(F.xxhash64("_term"), F.lit(blocks)) == b) for b in range(blocks)]
+
+
+def terms_in(text: Column, block: DataFrame) -> Column:
+    """The terms of a block that occur in a text, sorted by code point, as an array."""
+    terms = [r[0] for r in block.collect()]  # at most block_chars characters
+    made: list[TermIndex] = []
+
+    @F.arrow_udf("array<string>")
+    def found(values: pa.Array) -> pa.Array:
+        if not made:
+            made.append(TermIndex(terms))
+        return pa.array([sorted(made[0].hits(v or "")) for v in values.to_pylist()], pa.list_(pa.string()))
+
+    return found(text)
+
+
+def term_arrays(texts: DataFrame, terms: DataFrame, text: str, term: str, keys: tuple[str, ...], out: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """``texts`` with the distinct non-empty terms that occur in each, as written, sorted by code point, in a column ``out``.
+
+    ``keys`` identify a row. Containment has no join key: a text meets the
+    terms in its own task, see :class:`TermIndex`. The terms travel to the
+    tasks, so they are counted first. As long as they have no more than
+    ``block_chars`` characters nothing is shuffled; a longer table goes block by
+    block, one pass over the texts for each block, and the hits of a text are
+    put together under its keys.
+    """
+    blocks = term_blocks(terms, term, block_chars)
+    if not blocks:
+        return texts.withColumn(out, F.array().cast("array<string>"))
+    if len(blocks) == 1:
+        return texts.withColumn(out, terms_in(F.col(text), blocks[0]))
+    hits = reduce(DataFrame.unionByName, [texts.select(*keys, terms_in(F.col(text), b).alias(out)) for b in blocks])
+    gathered = hits.filter(F.size(out) > 0).groupBy(*keys).agg(F.array_sort(F.flatten(F.collect_list(out))).alias(out))
+    return texts.join(gathered, list(keys), "left").withColumn(out, F.coalesce(out, F.array().cast("array<string>")))
+
+
+def term_hits(texts: DataFrame, terms: DataFrame, text: str, term: str, keys: tuple[str, ...], block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """(keys, term): the distinct non-empty terms that occur in each text, as written; texts are not shuffled."""
+    blocks = term_blocks(terms, term, block_chars)
     if not blocks:
         return texts.select(*keys, F.lit("").alias(term)).filter(F.lit(False))
-    given = texts.select(F.struct(*keys).alias("_row"), F.col(text).alias("_text"))
-    schema = f"_row {given.schema['_row'].dataType.simpleString()}, _terms array<string>"
-
-    def block_hits(block: int) -> DataFrame:
-        here = named if blocks == 1 else named.filter(F.pmod(F.xxhash64("_term"), F.lit(blocks)) == block)
-        index = gram_index([r[0] for r in here.collect()])  # at most block_chars characters
-        short = index.pop("", [])
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known = index.keys()
-            for batch in batches:
-                found = []
-                for value in batch["_text"].to_pylist():
-                    value = value or ""
-                    grams = known & {value[i : i + GRAM] for i in range(len(value) - GRAM + 1)}
-                    found.append([t for t in short if t in value] + [t for g in grams for t in index[g] if t in value])
-                yield pa.RecordBatch.from_arrays([batch["_row"], pa.array(found, pa.list_(pa.string()))], names=["_row", "_terms"])
-
-        return unpack(given.mapInArrow(run, schema), ["_row"], F.col("_terms"), item=term).select("_row.*", term)
-
-    return reduce(DataFrame.unionByName, [block_hits(b) for b in range(blocks)])
+    return reduce(DataFrame.unionByName, [unpack(texts, list(keys), terms_in(F.col(text), b), item=term) for b in blocks])
