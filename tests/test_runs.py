@@ -175,3 +175,22 @@ def test_terms_and_secrets_are_found_inside_the_row(spark):
     assert "Exchange" not in physical_plan(done) and "Join" not in physical_plan(done)
     several = matching.term_arrays(df, secrets, "body", "s", ("k",), "found", block_chars=900).collect()
     assert {r.k: r.found for r in several} == {k: sorted({w for w in words if t and w in t}) for k, t in enumerate(texts)}
+
+
+def test_glossary_entries_are_selected_inside_the_row(spark):
+    rng = random.Random(6)
+    entries = spark.createDataFrame(
+        [(w, f"ja {w}", "g" if len(w) % 2 else "", "") for w in sorted({"".join(rng.choice("abAB") for _ in range(rng.randrange(1, 4))) for _ in range(60)})],
+        "english string, japanese string, genre string, description string")
+    docs = spark.createDataFrame([(i, "".join(rng.choice("abAB ") for _ in range(12))) for i in range(30)] + [(30, None)], "doc_id int, source_text string")
+    whole = glossary.with_prompt_terms(docs, entries, limit=9, keys=("doc_id",))
+    assert "Exchange" not in physical_plan(whole)
+    rows = glossary.select_entries(docs, entries, limit=9, keys=("doc_id",), block_chars=80)
+    assert {(r.doc_id, r.glossary_text) for r in whole.collect()} == {(r.doc_id, r.glossary_text) for r in glossary.prompt_terms(rows, ("doc_id",)).collect()}
+    names = sorted(r.english for r in entries.collect())
+    for doc, text in ((r.doc_id, r.source_text or "") for r in docs.collect()):
+        hits = [n for n in names if n.lower() in text.lower()]
+        ranked = sorted((r.rank, r.english, r.matched) for r in rows.filter(F.col("doc_id") == doc).collect()) if doc in (0, 30) else None
+        if ranked is not None:
+            picked = (hits + [n for n in names if n not in hits])[:9]
+            assert ranked == [(i + 1, n, n in hits) for i, n in enumerate(picked)]

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.coerce import strip
-from weftline.operators.matching import term_hits
+from weftline.operators.matching import BLOCK_CHARS, TermIndex, term_hits
 from weftline.operators.rows import unpack
 
 # Glossary columns and prompt texts.
@@ -75,40 +78,82 @@ def matches(chunks: DataFrame, entries: DataFrame, text: str = "source_text",
     terms = entries.select("english", F.lower("english").alias("_t"))
     hits = term_hits(lowered, terms, "_lowered", "_t", keys)
     # terms that differ by case only are several entries with one lower-case form
-    return hits.join(terms, "_t").select(*keys, "english")
+    small = (terms.agg(F.sum(F.length("english") + F.length("_t"))).first()[0] or 0) <= 2 * BLOCK_CHARS
+    return hits.join(F.broadcast(terms) if small else terms, "_t").select(*keys, "english")
 
 
-def select_entries(chunks: DataFrame, entries: DataFrame, limit: int = MATCH_LIMIT, text: str = "source_text",
-                   keys: tuple[str, ...] = ("doc_id", "chunk_no")) -> DataFrame:
-    """Per chunk, matching entries first, filled with others up to ``limit``.
+FIELDS = ("english", *COLUMNS[1:])
+_ENTRIES = f"array<struct<{','.join(f'{c}:string' for c in FIELDS)}>>"
 
-    The filler of any chunk lies among the first ``2 * limit`` entries overall,
-    which travel as a literal array; it is picked inside the chunk's own row, so
-    only matches are joined with the entries.
+
+def _entries_in(lowered: Column, block: DataFrame, limit: int) -> Column:
+    """The first ``limit`` entries of a block, by term, whose lower-case term occurs in a text."""
+    rows = [tuple(r) for r in block.collect()]  # a block is bounded
+    made: list[tuple[TermIndex, dict[str, list[tuple]]]] = []
+
+    @F.arrow_udf(_ENTRIES)
+    def found(values: pa.Array) -> pa.Array:
+        if not made:
+            by_term: dict[str, list[tuple]] = {}
+            for term, *entry in rows:
+                by_term.setdefault(term, []).append(tuple(entry))
+            made.append((TermIndex(list(by_term)), by_term))
+        index, by_term = made[0]
+        hits = (sorted(e for t in index.hits(v or "") for e in by_term[t])[:limit] for v in values.to_pylist())
+        kind = pa.list_(pa.struct([(c, pa.string()) for c in FIELDS]))
+        return pa.array([[dict(zip(FIELDS, e, strict=True)) for e in found] for found in hits], kind)
+
+    return found(lowered)
+
+
+def entry_arrays(chunks: DataFrame, entries: DataFrame, limit: int = MATCH_LIMIT, text: str = "source_text",
+                 keys: tuple[str, ...] = ("doc_id", "chunk_no"), block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """``chunks`` with the selected entries of each (see :func:`select_entries`) in an array ``_entries``, in order.
+
+    The entries travel to the tasks, so their characters are counted first. Up
+    to ``block_chars`` everything happens inside the chunk's own row; a longer
+    glossary goes block by block, and the first ``limit`` matches of a chunk in
+    each block meet under its keys.
     """
-    fields = ("english", *COLUMNS[1:])
-    head = entries.select(*fields).orderBy("english").limit(2 * limit).collect()
-    kind = f"array<struct<{','.join(f'{c}:string' for c in fields)}>>"
-    none = F.array().cast(kind)
-    order = Window.partitionBy(*keys).orderBy("english")
-    ranked = matches(chunks, entries, text, keys).withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= limit)
-    hits = ranked.join(entries.select(*fields), "english").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("_hits"))
-    joined = chunks.select(*keys).join(hits, list(keys), "left").withColumn("_hits", F.coalesce(F.col("_hits").cast(kind), none))
-    pool = F.array(*[F.struct(*[F.lit(r[c]).cast("string").alias(c) for c in fields]) for r in head]) if head else none
+    known = entries.select(F.lower("english").alias("_t"), *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in FIELDS]).filter("_t <> ''")
+    chars = known.agg(F.sum(F.length(F.concat("_t", *FIELDS)))).first()[0] or 0
+    blocks = max(1, -(-chars // block_chars))
+    none, lowered = F.array().cast(_ENTRIES), F.lower(text)
+    if blocks == 1:
+        matched = chunks.withColumn("_hits", _entries_in(lowered, known, limit))
+    else:
+        parts = [known.filter(F.pmod(F.xxhash64("_t"), F.lit(blocks)) == b) for b in range(blocks)]
+        hits = reduce(DataFrame.unionByName, [chunks.select(*keys, _entries_in(lowered, p, limit).alias("_hits")) for p in parts])
+        first = hits.filter(F.size("_hits") > 0).groupBy(*keys).agg(F.slice(F.array_sort(F.flatten(F.collect_list("_hits"))), 1, limit).alias("_hits"))
+        matched = chunks.join(first, list(keys), "left").withColumn("_hits", F.coalesce("_hits", none))
+    head = known.select(*FIELDS).orderBy("english").limit(2 * limit).collect()
+    pool = F.array(*[F.struct(*[F.lit(r[c]).cast("string").alias(c) for c in FIELDS]) for r in head]) if head else none
     taken = F.transform("_hits", lambda h: h["english"])
-    filler = F.slice(F.filter(pool, lambda e: ~F.array_contains(taken, e["english"])), F.lit(1), F.lit(limit) - F.size("_hits"))
+    room = F.lit(limit) - F.size("_hits")
+    filler = F.when(room > 0, F.slice(F.filter(pool, lambda e: ~F.array_contains(taken, e["english"])), F.lit(1), F.greatest(room, F.lit(0)))).otherwise(none)
 
     def numbered(found: Column, matched: bool, before: Column) -> Column:
         return F.transform(found, lambda e, i: F.struct(
-            *[e[c].alias(c) for c in fields], (before + i + 1).cast("int").alias("rank"), F.lit(matched).alias("matched")))
+            *[e[c].alias(c) for c in FIELDS], (before + i + 1).cast("int").alias("rank"), F.lit(matched).alias("matched")))
 
-    return unpack(joined, list(keys), F.concat(numbered(F.col("_hits"), True, F.lit(0)), numbered(filler, False, F.size("_hits"))))
+    return matched.withColumn("_entries", F.concat(numbered(F.col("_hits"), True, F.lit(0)), numbered(filler, False, F.size("_hits")))).drop("_hits")
 
 
-def entry_line() -> Column:
+def select_entries(chunks: DataFrame, entries: DataFrame, limit: int = MATCH_LIMIT, text: str = "source_text",
+                   keys: tuple[str, ...] = ("doc_id", "chunk_no"), block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """Per chunk, matching entries first, filled with others up to ``limit``.
+
+    The filler of any chunk lies among the first ``2 * limit`` entries overall,
+    which travel as a literal array; it is picked inside the chunk's own row.
+    """
+    return unpack(entry_arrays(chunks, entries, limit, text, keys, block_chars), list(keys), F.col("_entries"))
+
+
+def entry_line(entry: Column | None = None) -> Column:
     """``- term => translation / genre / description``; empty parts drop out."""
-    detail = [F.when(F.col(c) != "", F.concat(F.lit(" / "), F.col(c))).otherwise("") for c in ("genre", "description")]
-    return F.concat(F.lit("- "), F.col("english"), F.lit(" => "), F.col("japanese"), *detail)
+    part = lambda c: F.col(c) if entry is None else entry[c]
+    detail = [F.when(part(c) != "", F.concat(F.lit(" / "), part(c))).otherwise("") for c in ("genre", "description")]
+    return F.concat(F.lit("- "), part("english"), F.lit(" => "), part("japanese"), *detail)
 
 
 def prompt_terms(selected: DataFrame, keys: tuple[str, ...] = ("doc_id", "chunk_no")) -> DataFrame:
@@ -117,8 +162,16 @@ def prompt_terms(selected: DataFrame, keys: tuple[str, ...] = ("doc_id", "chunk_
     return selected.groupBy(*keys).agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("glossary_text"))
 
 
-def translation_messages(chunks: DataFrame, terms: DataFrame, keys: tuple[str, ...] = ("doc_id", "chunk_no")) -> DataFrame:
-    """System and user message per chunk."""
+def with_prompt_terms(chunks: DataFrame, entries: DataFrame, limit: int = MATCH_LIMIT, text: str = "source_text",
+                      keys: tuple[str, ...] = ("doc_id", "chunk_no")) -> DataFrame:
+    """``chunks`` with the glossary text of each, NULL without entries: ``prompt_terms`` of ``select_entries``, made inside the row."""
+    lines = F.transform("_entries", lambda e: entry_line(e))
+    made = entry_arrays(chunks, entries, limit, text, keys)
+    return made.withColumn("glossary_text", F.when(F.size("_entries") > 0, F.array_join(lines, "\n"))).drop("_entries")
+
+
+def translation_messages(chunks: DataFrame, terms: DataFrame | None = None, keys: tuple[str, ...] = ("doc_id", "chunk_no")) -> DataFrame:
+    """System and user message per chunk; without ``terms`` the chunks have their ``glossary_text``."""
     user = F.concat(
         F.lit(USER_PROMPT_HEAD), F.coalesce("glossary_text", F.lit(NO_TERMS)),
         F.lit(USER_PROMPT_MIDDLE), F.col("source_text"), F.lit("\n"),
@@ -127,4 +180,5 @@ def translation_messages(chunks: DataFrame, terms: DataFrame, keys: tuple[str, .
         F.struct(F.lit("system").alias("role"), F.lit(SYSTEM_PROMPT).alias("content")),
         F.struct(F.lit("user").alias("role"), user.alias("content")),
     )
-    return chunks.join(terms, list(keys), "left").select(*keys, messages.alias("messages"))
+    told = chunks.join(terms, list(keys), "left") if terms is not None else chunks
+    return told.select(*keys, messages.alias("messages"))

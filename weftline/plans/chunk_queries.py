@@ -189,7 +189,8 @@ def glossary_fill(spark, d):
 @query("glossary_prompt", f"with {_FILL} select doc_id, string_agg('- ' || english || ' => ' || japanese, chr(10) order by rank) as glossary_text from picked where rank <= 80 group by 1")
 def glossary_prompt(spark, d):
     terms = glossary.effective_entries(inputs.short_terms(spark, d))
-    return glossary.prompt_terms(glossary.select_entries(inputs.documents(spark, d), terms, text="text", keys=KEYS), KEYS)
+    told = glossary.with_prompt_terms(inputs.documents(spark, d), terms, text="text", keys=KEYS)
+    return told.filter("glossary_text IS NOT NULL").select("doc_id", "glossary_text")
 
 
 @query("glossary_lines", f"""
@@ -204,8 +205,7 @@ select d.doc_id, 'system,user' as roles, {inputs._sql_text(glossary.USER_PROMPT_
 def translation_messages(spark, d):
     terms = glossary.effective_entries(inputs.short_terms(spark, d))
     docs = inputs.documents(spark, d).withColumnRenamed("text", "source_text")
-    lines = glossary.prompt_terms(glossary.select_entries(docs, terms, text="source_text", keys=KEYS), KEYS)
-    asked = glossary.translation_messages(docs, lines, KEYS)
+    asked = glossary.translation_messages(glossary.with_prompt_terms(docs, terms, keys=KEYS), keys=KEYS)
     return asked.select(
         "doc_id", F.array_join(F.transform("messages", lambda m: m["role"]), ",").alias("roles"),
         F.get("messages", F.lit(1))["content"].alias("user_message"),
