@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from llm_inputs import CLASHING, LONG
-from weftline.llm import conversation_repair, line_templates, secret_scan, vector_codes
+from weftline.llm import conversation_repair, language, line_templates, secret_scan, vector_codes
 
 # 11 conversation repair
 
@@ -250,3 +250,16 @@ def test_version_chains_lose_no_line(spark):
     assert all(found[i] == (0, rows[i][1]) for i in range(200))
     # a long passage recurs in few unrelated documents
     assert all(found[1000 + i][0] == 1 and passage not in found[1000 + i][1] for i in range(4))
+
+
+def test_language_sample_reaches_the_driver_as_arrays(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "the cat and the dog" if i % 2 else "der hund und die katze", "en" if i % 2 else "de") for i in range(40)], "doc_id long, text string, lang string")
+
+    def rows(self):
+        raise AssertionError("numbers of the sample as Python objects")
+
+    with monkeypatch.context() as patched:
+        patched.setattr(type(docs), "collect", rows)
+        model = language.train(docs, "doc_id", "text", "lang", F.lit(True))
+    assert model.languages == ["de", "en"]
+    assert list(model.probabilities(["the dog", "die katze"]).argmax(axis=1)) == [1, 0]
