@@ -138,9 +138,8 @@ def markdown_files(spark, d):
     """A Markdown file per document, read back by name."""
     path = folder(spark)
     sinks.write_markdown_files(RENDERED["document_render"](spark, d), path, fanout=16)
-    files = spark.read.text(f"{path}/*/*.md", wholetext=True)
-    number = F.regexp_extract(F.col("_metadata.file_name"), r"(\d+)\.md", 1).cast("bigint")
-    return files.select(number.alias("doc_id"), F.col("value").alias("markdown"))
+    files = sinks.read_markdown_files(spark, path, fanout=16)
+    return files.select(F.col("name").cast("bigint").alias("doc_id"), "markdown")
 
 
 @query("pictures_leave_no_chunk", "select doc_id, 1 as tables, 0 as pictures from documents")

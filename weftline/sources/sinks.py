@@ -9,12 +9,15 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 
+READ_BYTES = 8 << 20  # of Markdown files that a task hands on at a time
+
+
 def write_jsonl(df: DataFrame, path: str, append: bool = False) -> None:
     """JSON lines; every field is written, also NULL ones."""
     df.write.mode("append" if append else "overwrite").option("ignoreNullFields", False).json(path)
@@ -113,6 +116,50 @@ def write_markdown_files(documents: DataFrame, path: str, name: str = "doc_id",
     rows.write.format("markdown_files").option("fanout", fanout).mode("overwrite").save(path)
 
 
+def read_markdown_files(spark: SparkSession, path: str, fanout: int = 0, partitions: int | None = None) -> DataFrame:
+    """(name, markdown) of the files that :func:`write_markdown_files` put under ``path`` with that ``fanout``.
+
+    A folder is listed by one task and its files are read by ``partitions``
+    tasks (default: the session's shuffle partitions): neither the driver nor
+    the planner sees a file, of which there may be millions.
+    """
+    def find() -> tuple:
+        return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, _ = find()
+        for batch in batches:
+            for folder in batch["folder"].to_pylist():
+                files = [i.path for i in store.get_file_info(fs.FileSelector(folder, allow_not_found=True)) if i.type == fs.FileType.File and i.path.endswith(".md")]
+                yield pa.RecordBatch.from_arrays([pa.array(files, pa.string())], names=["file"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, _ = find()
+
+        def rows(names: list[str], bodies: list[str]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(bodies, pa.string())], names=["name", "markdown"])
+
+        for batch in batches:
+            names, bodies, held = [], [], 0
+            for file in batch["file"].to_pylist():
+                with store.open_input_stream(file) as given:
+                    body = given.read()
+                names.append(urllib.parse.unquote(file.rsplit("/", 1)[-1].removesuffix(".md")))
+                bodies.append(body.decode())
+                held += len(body)
+                if held >= READ_BYTES:
+                    yield rows(names, bodies)
+                    names, bodies, held = [], [], 0
+            yield rows(names, bodies)
+
+    _, root = find()
+    inside = [f"{root}/{n:04d}" for n in range(fanout)]
+    folders = spark.createDataFrame([(f,) for f in inside or [root]], "folder string").repartition(max(1, fanout), "folder")
+    files = folders.mapInArrow(listed, "file string")
+    count = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return files.repartition(count, "file").mapInArrow(read, "name string, markdown string")
+
+
 def write_lines(lines: DataFrame, path: str, order_by: list[str]) -> None:
     """Ordered line table as text: part files in order give the document."""
     lines.orderBy(*order_by).select(F.col("line").alias("value")).write.mode("overwrite").text(path)
