@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from test_documents import arrays
 from weftline.functions.redact import redact_table
-from weftline.operators import chunking, elements, glossary, matching, rendering, state
+from weftline.operators import chunking, elements, glossary, matching, rendering, state, translation
 from weftline.sources import sinks
 from weftline.streaming import stage_states
 
@@ -194,3 +194,26 @@ def test_glossary_entries_are_selected_inside_the_row(spark):
         if ranked is not None:
             picked = (hits + [n for n in names if n not in hits])[:9]
             assert ranked == [(i + 1, n, n in hits) for i, n in enumerate(picked)]
+
+
+@pytest.mark.parametrize("fanout", [0, 3])
+def test_markdown_files_are_read_by_their_tasks(spark, tmp_path, fanout):
+    rows = {("a/b c", "x\n"), ("2", ""), ("ü", "y" * 50), ("3.md", "# 🦖\r\n")}
+    path = str(tmp_path / "out")
+    sinks.write_markdown_files(spark.createDataFrame(sorted(rows), "doc_id string, markdown string"), path, fanout=fanout)
+    back = sinks.read_markdown_files(spark, path, fanout=fanout)
+    assert {tuple(r) for r in back.collect()} == rows
+    assert "FileScan" not in physical_plan(back)  # no list of all files in the plan
+
+
+def test_translated_batches_are_bounded_by_their_text(spark):
+    texts = [f"{i} " + "x" * 300_000 for i in range(40)] + ["", "a", None]
+
+    def translate(batch):
+        if batch.str.len().sum() > 2 * translation.BATCH_BYTES:
+            raise ValueError("too much at once")
+        return "ja " + batch
+
+    docs = spark.createDataFrame(list(enumerate(texts)), "k int, source_text string").coalesce(1)
+    done = translation.plug_translate(docs, translate)
+    assert {r.k: r.translated_text for r in done.collect()} == {k: None if t is None else f"ja {t}" for k, t in enumerate(texts)}

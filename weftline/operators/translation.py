@@ -8,7 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +27,7 @@ FINISHED = ("success", "skipped", "fallback_source")
 MAX_ATTEMPTS = 10
 ERROR_CHARS = 500
 CHUNK_KEYS = ("doc_id", "chunk_id")
+BATCH_BYTES = 4 << 20
 
 
 def split_work(chunks: DataFrame, units: DataFrame, outputs: DataFrame, keys: tuple[str, ...] = CHUNK_KEYS) -> tuple[DataFrame, DataFrame]:
@@ -64,14 +68,25 @@ def memory_lookup(chunks: DataFrame, memory: DataFrame) -> DataFrame:
 def plug_translate(chunks: DataFrame, translate: Callable[[pd.Series], pd.Series]) -> DataFrame:
     """Translate each distinct source text once with the caller's function.
 
-    ``translate`` maps a batch of texts to a batch of results.
+    ``translate`` maps a batch of texts to a batch of results. A batch holds
+    about ``BATCH_BYTES`` of text, whatever the number of rows Spark sends.
     """
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """Runs of rows with about ``BATCH_BYTES`` of text each; a longer text is a run of its own."""
+        sizes = pc.fill_null(pc.binary_length(batch["source_text"]), 0).to_numpy(zero_copy_only=False).astype("int64")
+        run = sizes.cumsum() // BATCH_BYTES
+        edges = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), len(run)]
+        for start, stop in zip(edges, edges[1:]):
+            yield batch.slice(start, stop - start)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.assign(translated_text=translate(batch["source_text"]))
+            for piece in pieces(batch) if batch.num_rows else ():
+                made = pa.array(translate(piece["source_text"].to_pandas()), pa.string(), from_pandas=True)
+                yield pa.RecordBatch.from_arrays([piece["source_sha256"], made], names=["source_sha256", "translated_text"])
 
     texts = chunks.select(F.sha2("source_text", 256).alias("source_sha256"), "source_text").dropDuplicates(["source_sha256"])
-    done = texts.mapInPandas(run, "source_sha256 string, source_text string, translated_text string").drop("source_text")
+    done = texts.mapInArrow(run, "source_sha256 string, translated_text string")
     return chunks.withColumn("source_sha256", F.sha2("source_text", 256)).join(done, "source_sha256", "left")
 
 
