@@ -217,3 +217,10 @@ def test_translated_batches_are_bounded_by_their_text(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "k int, source_text string").coalesce(1)
     done = translation.plug_translate(docs, translate)
     assert {r.k: r.translated_text for r in done.collect()} == {k: None if t is None else f"ja {t}" for k, t in enumerate(texts)}
+
+
+def test_missing_parts_of_an_entry_stay_missing(spark):
+    entries = spark.createDataFrame([("cat", "a", None, ""), ("dog", "b", "g", None)], "english string, japanese string, genre string, description string")
+    docs = spark.createDataFrame([(1, "a cat")], "k int, source_text string")
+    rows = glossary.select_entries(docs, entries, keys=("k",)).orderBy("rank").select("english", "genre", "description", "matched").collect()
+    assert [tuple(r) for r in rows] == [("cat", None, "", True), ("dog", "g", None, False)]

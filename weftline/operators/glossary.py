@@ -99,7 +99,7 @@ def _entries_in(lowered: Column, block: DataFrame, limit: int) -> Column:
                 by_term.setdefault(term, []).append(tuple(entry))
             made.append((TermIndex(list(by_term)), by_term))
         index, by_term = made[0]
-        hits = (sorted(e for t in index.hits(v or "") for e in by_term[t])[:limit] for v in values.to_pylist())
+        hits = (sorted((e for t in index.hits(v or "") for e in by_term[t]), key=lambda e: [(p is not None, p or "") for p in e])[:limit] for v in values.to_pylist())
         kind = pa.list_(pa.struct([(c, pa.string()) for c in FIELDS]))
         return pa.array([[dict(zip(FIELDS, e, strict=True)) for e in found] for found in hits], kind)
 
@@ -115,8 +115,8 @@ def entry_arrays(chunks: DataFrame, entries: DataFrame, limit: int = MATCH_LIMIT
     glossary goes block by block, and the first ``limit`` matches of a chunk in
     each block meet under its keys.
     """
-    known = entries.select(F.lower("english").alias("_t"), *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in FIELDS]).filter("_t <> ''")
-    chars = known.agg(F.sum(F.length(F.concat("_t", *FIELDS)))).first()[0] or 0
+    known = entries.select(F.lower("english").alias("_t"), *[F.col(c).cast("string").alias(c) for c in FIELDS]).filter("_t <> ''")
+    chars = known.agg(F.sum(F.length(F.concat_ws("", "_t", *FIELDS)))).first()[0] or 0
     blocks = max(1, -(-chars // block_chars))
     none, lowered = F.array().cast(_ENTRIES), F.lower(text)
     if blocks == 1:
