@@ -9,11 +9,15 @@ import pytest
 from pyspark.sql import functions as F
 
 from test_documents import arrays
+from weftline.functions.coerce import lines_of
 from weftline.functions.redact import redact_table
 from weftline.operators import chunking, elements, glossary, matching, rendering, state, translation
+from weftline.plans import render_queries
 from weftline.sources import sinks
 from weftline.streaming import stage_states
 
+SF = "/root/testdata/sf0.001"
+
 
 @pytest.mark.parametrize("segment_rows", [1, 3, 7, 4096])
 def test_requests_do_not_depend_on_segments(spark, segment_rows):
@@ -224,3 +228,15 @@ def test_missing_parts_of_an_entry_stay_missing(spark):
     docs = spark.createDataFrame([(1, "a cat")], "k int, source_text string")
     rows = glossary.select_entries(docs, entries, keys=("k",)).orderBy("rank").select("english", "genre", "description", "matched").collect()
     assert [tuple(r) for r in rows] == [("cat", None, "", True), ("dog", "g", None, False)]
+
+
+@pytest.mark.parametrize("name", ["document_translated", "document_render_tables"])
+def test_documents_are_parsed_once_for_all_their_parts(spark, name):
+    plan = physical_plan(render_queries.Q[name](spark, SF))
+    assert "from_json" not in plan and "documents.parquet" not in plan
+
+
+def test_lines_end_with_any_break_and_a_last_break_adds_none(spark):
+    texts = ["", "a", "a\n", "a\n\n", "\n", "a\r\nb\r\n", "a b\x0b", None]
+    found = spark.createDataFrame([(t,) for t in texts], "t string").select(lines_of(F.col("t")).alias("l")).collect()
+    assert [r.l for r in found] == [[], ["a"], ["a"], ["a", ""], [""], ["a", "b"], ["a", "b"], None]

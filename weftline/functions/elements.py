@@ -28,7 +28,7 @@ def element_label(label: Column, kind: Column) -> Column:
 def page_list(prov: Column) -> Column:
     """Distinct page numbers, ascending, of a provenance array."""
     pages = F.filter(F.transform(prov, lambda p: p["page_no"]), lambda n: n.isNotNull())
-    return F.coalesce(F.array_sort(F.array_distinct(pages)), F.array().cast("array<int>"))
+    return F.coalesce(F.sort_array(F.array_distinct(pages)), F.array().cast("array<int>"))
 
 
 def first_page(pages: Column) -> Column:

@@ -69,7 +69,7 @@ def _listed_cells(data: Column) -> Column:
             _cell_at(x["c"], "start_row_offset_idx", "row", "row_idx").alias("row"),
             _cell_at(x["c"], "start_col_offset_idx", "col", "col_idx").alias("col"),
             x["i"].alias("seq"), _cell_text(x["c"]).alias("text"),
-            F.format_string("/data/table_cells/%d", x["i"]).alias("path"),
+            F.concat(F.lit("/data/table_cells/"), x["i"].cast("string")).alias("path"),
         ),
     )
 
@@ -83,7 +83,7 @@ def _grid_cells(data: Column) -> Column:
                 r,
                 lambda c, x: F.struct(
                     y.alias("row"), x.alias("col"), x.alias("seq"), _cell_text(c).alias("text"),
-                    F.format_string("/data/grid/%d/%d", y, x).alias("path"),
+                    F.concat(F.lit("/data/grid/"), y.cast("string"), F.lit("/"), x.cast("string")).alias("path"),
                 ),
             ),
         )
@@ -129,7 +129,7 @@ def _item(entry: Column, grp: str, idx: Column) -> Column:
     return F.struct(
         F.lit(grp).alias("grp"),
         idx.alias("idx"),
-        first_truthy(entry["self_ref"], F.format_string(f"#/{grp}/%d", idx)).alias("ref"),
+        F.coalesce(F.nullif(entry["self_ref"], F.lit("")), F.concat(F.lit(f"#/{grp}/"), idx.cast("string"))).alias("ref"),
         element_label(entry["label"], entry["type"]).alias("label"),
         first_filled(entry["text"], entry["orig"], entry["content"]).alias("text"),
         _first_given(entry["text"], entry["orig"], entry["content"]).alias("raw_text"),
@@ -168,7 +168,7 @@ def element_arrays(docs: DataFrame, payload: str = "payload", order: str = "grou
 
     ordered = let(
         gathered,
-        lambda e: F.transform(F.array_sort(F.transform(e, sort_key)), lambda k: F.get(e, k["i"])),
+        lambda e: F.transform(F.sort_array(F.transform(e, sort_key)), lambda k: F.get(e, k["i"])),
     )
     kept = [c for c in docs.columns if c != payload]
     return parsed.select(*kept, ordered.alias("elements"))

@@ -17,7 +17,7 @@ from weftline.functions.elements import (
 from weftline.operators.elements import rendered_cells
 from weftline.operators.ordering import SEGMENT_ROWS, segmented_last
 from weftline.operators.rows import unpack
-from weftline.operators.translation import memory_lookup, routed_text, translate_cells, translate_elements
+from weftline.operators.translation import element_route, memory_lookup, routed_text, translate_cells
 
 # A heading that older chunk files misspell, and its spelling.
 CHUNK_TITLE = ("Chunks(JS)", "Chunks(JA)")
@@ -67,8 +67,9 @@ def volumes(parts: DataFrame, keys: list[str], position: str, text: str, glue: s
         numbered = numbered.join(ends, keys)
     else:
         numbered = numbered.withColumns({"_first": F.lit(0), "_last": F.lit(0)})
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(position).alias("p"), F.col(text).alias("t"))))
-    joined = F.array_join(F.transform(ordered, lambda x: x["t"]), glue)
+    # sorting by place needs no comparison function per pair
+    ordered = F.sort_array(F.collect_list(F.struct(F.col(position).alias("p"), F.col(text).alias("t"))))
+    joined = F.array_join(ordered["t"], glue)
     lead = F.when(F.col("volume") > F.col("_first"), glue).otherwise("")
     final = F.when(F.col("volume") == F.col("_last"), ending).otherwise("")
     gathered = numbered.groupBy(*keys, "volume", "_first", "_last").agg(joined.alias("_text"))
@@ -80,7 +81,15 @@ def tables_markdown(cells: DataFrame, escape: bool = False) -> DataFrame:
 
 
 def squeezed(text: Column) -> Column:
-    return strip(F.regexp_replace(text, r"\n{3,}", "\n\n"))
+    """No more than one blank line at a time; most texts have no such run and skip the pattern."""
+    return strip(F.when(F.contains(text, F.lit("\n\n\n")), F.regexp_replace(text, r"\n{3,}", "\n\n")).otherwise(text))
+
+
+def _prose(label: Column, level: Column, text: Column, code: Column) -> Column:
+    """Part of a text element; a code-looking heading is code here, unlike in chunk input."""
+    return F.when(text == "", "").when(code, text_markdown(F.lit(""), level, text, F.lit(True))).otherwise(
+        text_markdown(label, level, text, F.lit(False))
+    )
 
 
 def document_parts(elements: DataFrame, tables: DataFrame | None = None) -> DataFrame:
@@ -92,10 +101,7 @@ def document_parts(elements: DataFrame, tables: DataFrame | None = None) -> Data
     shown = first_truthy(*[F.col(c) for c in ("render_text", "raw_text") if c in elements.columns], default="")
     text = strip(shown)
     code = is_code(F.col("label"), F.col("raw_text"))
-    # a code-looking heading is code here, unlike in chunk input
-    prose = F.when(text == "", "").when(code, text_markdown(F.lit(""), F.col("level"), text, F.lit(True))).otherwise(
-        text_markdown(F.col("label"), F.col("level"), text, F.lit(False))
-    )
+    prose = _prose(F.col("label"), F.col("level"), text, code)
     picture = picture_markdown(F.get("assets", F.lit(0)), F.col("caption"), F.col("raw_text"))
     if tables is not None:
         rendered = tables.select(
@@ -134,22 +140,30 @@ def render_translated(elements: DataFrame, memory: DataFrame, edits: DataFrame |
     ``source / translation``, code and protected cells stay; what the memory
     does not hold stays as it is. ``edits`` are changed cells, see
     :func:`with_edits`. Texts, captions and cells are looked up apart; each
-    lookup is one join on the hash of the source.
+    lookup is one join on the hash of the source, and of a text only its
+    trimmed source goes through it.
     """
-    def shown(looked: DataFrame) -> Column:
-        return F.when(F.col("translated_text").isNull(), F.col("source_text")).otherwise(F.col("render_text"))
-
-    texts = translate_elements(elements, memory)
-    texts = texts.withColumn("render_text", shown(texts)).select(*elements.columns, "render_text")
+    def shown() -> Column:
+        return F.when(F.col("translated_text").isNull(), F.col("source_text")).otherwise(
+            routed_text(F.col("route"), F.col("source_text"), F.col("translated_text")))
+
+    routed = element_route(elements.filter(strip(F.col("raw_text")) != "")).select(
+        "doc_id", "pos", "label", "level", "route", strip(F.col("raw_text")).alias("source_text"))
+    # code is looked up along with the others and stays as it is by its route
+    looked = memory_lookup(routed, memory)
+    text = strip(first_truthy(shown(), F.col("source_text"), default=""))
+    told = looked.select("doc_id", "pos", "label", "level", "route", text.alias("_text")).filter(F.col("_text") != "")
+    prose = told.select("doc_id", "pos", _prose(F.col("label"), F.col("level"), F.col("_text"), F.col("route") == "code").alias("part"))
     named = elements.filter((F.col("grp") == "tables") & (F.col("caption") != "")).select("doc_id", "ref", F.col("caption").alias("source_text"))
     captions = memory_lookup(named, memory).filter(F.col("translated_text").isNotNull()).select(
         "doc_id", "ref", routed_text(F.lit("caption"), F.col("source_text"), F.col("translated_text")).alias("_caption"))
     others = elements.filter(F.col("grp") != "texts").join(captions, ["doc_id", "ref"], "left")
-    others = others.withColumn("caption", F.coalesce("_caption", "caption")).select(*elements.columns, F.lit(None).cast("string").alias("render_text"))
+    others = others.withColumn("caption", F.coalesce("_caption", "caption")).select(*elements.columns)
     cells = rendered_cells(elements)
     done = translate_cells(with_edits(cells, edits) if edits is not None else cells, memory)
-    tables = tables_markdown(done.withColumn("text", shown(done)), escape=True)
-    return render_documents(texts.unionByName(others), tables, volume_parts)
+    tables = tables_markdown(done.withColumn("text", shown()), escape=True)
+    parts = prose.withColumn("part", squeezed(F.col("part"))).unionByName(document_parts(others, tables))
+    return volumes(parts, ["doc_id"], "pos", "part", "\n\n", volume_parts=volume_parts, ending="\n")
 
 
 def concat_parts(chunks: DataFrame, segment_rows: int = SEGMENT_ROWS) -> DataFrame:

@@ -11,6 +11,10 @@ from weftline.operators import elements, rendering
 from weftline.plans import inputs
 from weftline.plans.element_queries import document_payloads, line_table
 from weftline.plans.inputs import CODE_SQL, ELEMENTS_SQL, LINES_SQL, STRIP_SQL, table
+from weftline.session import Rounds
+
+#: The columns of an element that rendering reads.
+_RENDERED = ("doc_id", "pos", "grp", "ref", "label", "level", "pages", "raw_text", "caption", "assets", "cells", "grid")
 
 Q: dict = {}
 SQL: dict = {}
@@ -98,8 +102,10 @@ t as (select doc_id, '**Words**' || chr(10) || chr(10) || '| ' || coalesce(repla
 p as (select doc_id, '![image](img/' || doc_id || '.png)' as md from documents) select doc_id, t.md as table_part, p.md as picture_part from t join p using (doc_id)""")
 def document_render_tables(spark, d):
     flat = elements.element_table(elements.element_arrays(document_payloads(spark, d), order="index"))
+    # read several times below; the documents are parsed once
+    flat = Rounds(spark).keep("elements", flat.filter(F.col("grp") != "texts").select(*_RENDERED))
     tables = rendering.tables_markdown(elements.rendered_cells(flat), escape=True)
-    parts = rendering.document_parts(flat.filter(F.col("grp") != "texts"), tables)
+    parts = rendering.document_parts(flat, tables)
     return parts.groupBy("doc_id").agg(
         F.max(F.when(F.col("part").startswith("**"), F.col("part"))).alias("table_part"),
         F.max(F.when(F.col("part").startswith("!["), F.col("part"))).alias("picture_part"),
@@ -132,11 +138,14 @@ select doc_id, 0 as volume, string_agg(part, chr(10) || chr(10) order by page, i
 def document_translated(spark, d):
     """From elements and a memory to Markdown: texts, captions and the edited cells, of all documents."""
     flat = elements.element_table(elements.element_arrays(edited_payloads(spark, d), order="index"))
+    # read several times below; the documents are parsed once
+    kept = Rounds(spark)
+    flat = kept.keep("elements", flat.select(*_RENDERED, "text"))
     edits = elements.cell_table(flat)
     sources = flat.select(F.explode(F.array("text", "caption")).alias("s")).unionByName(edits.select(F.col("text").alias("s"))).unionByName(
         elements.rendered_cells(flat).select(F.col("text").alias("s")))
     memory = sources.filter("s <> ''").distinct().select(F.sha2("s", 256).alias("source_sha256"), F.concat(F.lit("訳:"), "s").alias("translated_text"), F.lit(0).alias("updated_at"))
-    return rendering.render_translated(flat, memory, edits)
+    return rendering.render_translated(flat, kept.keep("memory", memory), edits)
 
 
 def line_chunks(spark: SparkSession, d: str) -> DataFrame:
