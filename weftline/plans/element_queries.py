@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.functions.arrays import let
 from weftline.functions.cleaning import blank_symbol_cell, clean_text, is_symbol_only, normalize_text, repair_hyphenation
 from weftline.functions.coerce import lines_of
 from weftline.functions.elements import (
@@ -37,22 +38,24 @@ def document_payloads(spark: SparkSession, d: str) -> DataFrame:
             F.array(F.struct((F.floor(i / 5) + 1).cast("int").alias("page_no")), F.struct((F.floor(i / 5) + 2).cast("int").alias("page_no"))).alias("prov"),
         )
 
-    words = F.split(F.get(lines_of(F.col("text")), F.lit(0)), " ")
-    cells = F.array(
-        *[
-            F.struct(F.lit(r).alias("row"), F.lit(c).alias("col"), F.coalesce(F.get(words, F.lit(k)), F.lit("")).alias("text"))
-            for k, (r, c) in enumerate([(0, 0), (0, 1), (1, 0)])
-        ]
-    )
-    table_item = F.struct(
-        F.lit("#/tables/0").alias("self_ref"), F.lit("table").alias("label"), F.lit("Words").alias("caption"),
-        F.array(F.struct(F.lit(1).alias("page_no"))).alias("prov"), F.struct(cells.alias("table_cells")).alias("data"),
-    )
-    picture = F.struct(F.struct(F.concat(F.lit("img/"), F.col("doc_id").cast("string"), F.lit(".png")).alias("uri")).alias("image"))
-    body = F.struct(
-        F.transform(lines_of(F.col("text")), item).alias("texts"), F.array(table_item).alias("tables"), F.array(picture).alias("pictures"),
-    )
-    return inputs.documents(spark, d).select("doc_id", F.to_json(body).alias("payload"))
+    def body(lines):
+        return let(F.split(F.get(lines, F.lit(0)), " "), lambda words: parts(lines, words))
+
+    def parts(lines, words):
+        cells = F.array(
+            *[
+                F.struct(F.lit(r).alias("row"), F.lit(c).alias("col"), F.coalesce(F.get(words, F.lit(k)), F.lit("")).alias("text"))
+                for k, (r, c) in enumerate([(0, 0), (0, 1), (1, 0)])
+            ]
+        )
+        table_item = F.struct(
+            F.lit("#/tables/0").alias("self_ref"), F.lit("table").alias("label"), F.lit("Words").alias("caption"),
+            F.array(F.struct(F.lit(1).alias("page_no"))).alias("prov"), F.struct(cells.alias("table_cells")).alias("data"),
+        )
+        picture = F.struct(F.struct(F.concat(F.lit("img/"), F.col("doc_id").cast("string"), F.lit(".png")).alias("uri")).alias("image"))
+        return F.struct(F.transform(lines, item).alias("texts"), F.array(table_item).alias("tables"), F.array(picture).alias("pictures"))
+
+    return inputs.documents(spark, d).select("doc_id", F.to_json(let(lines_of(F.col("text")), body)).alias("payload"))
 
 
 _BASE = f"""lines as ({LINES_SQL}), base as (
