@@ -9,10 +9,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from test_documents import arrays
+from weftline.functions.cleaning import clean_text
 from weftline.functions.coerce import lines_of
 from weftline.functions.redact import redact_table
 from weftline.operators import chunking, elements, glossary, matching, rendering, state, translation
-from weftline.plans import render_queries
+from weftline.plans import registry, render_queries
 from weftline.sources import sinks
 from weftline.streaming import stage_states
 
@@ -240,3 +241,20 @@ def test_lines_end_with_any_break_and_a_last_break_adds_none(spark):
     texts = ["", "a", "a\n", "a\n\n", "\n", "a\r\nb\r\n", "a b\x0b", None]
     found = spark.createDataFrame([(t,) for t in texts], "t string").select(lines_of(F.col("t")).alias("l")).collect()
     assert [r.l for r in found] == [[], ["a"], ["a"], ["a", ""], [""], ["a", "b"], ["a", "b"], None]
+
+
+@pytest.mark.parametrize("name", ["translation_requests", "fragment_merge_columns", "translated_elements", "patch_sequence"])
+def test_lines_are_made_once_for_all_their_readers(spark, name):
+    plan = physical_plan(registry.queries()[name](spark, SF))
+    assert "split(text" not in plan and "from_json" not in plan
+
+
+def test_texts_are_normalized_once_per_row(spark):
+    plan = physical_plan(registry.queries()["normalize_patches"](spark, SF))
+    assert not [line for line in plan.splitlines() if "Filter" in line and "regexp_replace" in line]
+
+
+def test_single_blanks_stay_and_runs_shrink(spark):
+    texts = ["a b", "a  b", "a\tb", "a \t b", "\x0b", "a\f\fb", " x  ", "https://e.x/a  b\t\tc"]
+    found = spark.createDataFrame([(t,) for t in texts], "t string").select(clean_text(F.col("t")).alias("c")).collect()
+    assert [r.c for r in found] == ["a b", "a b", "a b", "a b", " ", "a b", " x ", "https://e.x/a b c"]

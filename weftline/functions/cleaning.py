@@ -14,7 +14,8 @@ DOT_RUN = (r"\.{4,}", "...")
 MIDDLE_DOT_RUN = (r"・{4,}", "・・・")
 DASH_RUN = (r"[‐‑‒–—―-]{4,}", "---")
 RULE_RUN = (r"([_=~*])\1{5,}", "$1$1$1")
-BLANK_RUN = (r"[ \t\f\x0B]+", " ")
+# a single space is its own result and needs no replacement
+BLANK_RUN = (r"[ \t\f\x0B]{2,}|[\t\f\x0B]", " ")
 NEWLINE_RUN = (r"\n{3,}", "\n\n")
 
 CLEANUP_RULES = (DOT_RUN, MIDDLE_DOT_RUN, DASH_RUN, RULE_RUN, BLANK_RUN, NEWLINE_RUN)

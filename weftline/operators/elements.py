@@ -269,20 +269,22 @@ def change_counts(changes: DataFrame) -> DataFrame:
 def normalize_elements(elements: DataFrame) -> DataFrame:
     """Normalised text elements; code is tagged and left alone."""
     code = is_code(F.col("label"), F.col("raw_text"))
-    new_text = F.when(code | (F.col("raw_text") == ""), F.col("raw_text")).otherwise(normalize_text(F.col("raw_text")))
     texts = elements.filter(F.col("grp") == "texts")
-    return texts.withColumn("kind", F.when(code, "code")).withColumn("normalized", new_text)
+    return texts.withColumn("kind", F.when(code, "code")).withColumn("normalized", _normalized(code, F.col("raw_text")))
+
+
+def _normalized(code: Column, text: Column) -> Column:
+    return F.when(code | (text == ""), text).otherwise(normalize_text(text))
 
 
 def normalization_patches(texts: DataFrame, cells: DataFrame) -> DataFrame:
     """Patch rows for every text and cell that normalisation changes."""
-    changed = normalize_elements(texts).filter(F.col("normalized") != F.col("raw_text")).select(
-        "doc_id", F.lit("set_text").alias("op"), "ref", F.lit("normalize text noise").alias("reason"),
-        F.col("raw_text").alias("before"), F.col("normalized").alias("after"),
-    )
-    after = normalize_text(F.col("text"))
-    changed_cells = cells.withColumn("after", after).filter(F.col("after") != F.col("text")).select(
-        "doc_id", F.lit("set_table_cell_text").alias("op"), F.col("cell_ref").alias("ref"),
-        F.lit("normalize table cell").alias("reason"), F.col("text").alias("before"), "after",
-    )
-    return changed.unionByName(changed_cells)
+    def changed(rows: DataFrame, op: str, ref: str, reason: str, before: str, after: Column) -> DataFrame:
+        # both texts are made once per row; a filter on them would normalise a second time
+        pair = F.struct(F.col(before).alias("before"), after.alias("after"))
+        return unpack(rows, ["doc_id", F.lit(op).alias("op"), F.col(ref).alias("ref"), F.lit(reason).alias("reason")],
+                      let(pair, lambda p: F.when(p["before"] != p["after"], F.array(p))))
+
+    after = _normalized(is_code(F.col("label"), F.col("raw_text")), F.col("raw_text"))
+    own = changed(texts.filter(F.col("grp") == "texts"), "set_text", "ref", "normalize text noise", "raw_text", after)
+    return own.unionByName(changed(cells, "set_table_cell_text", "cell_ref", "normalize table cell", "text", normalize_text(F.col("text"))))
