@@ -14,6 +14,7 @@ from weftline.functions.elements import (
 from weftline.operators import blocks, elements
 from weftline.plans import inputs
 from weftline.plans.inputs import CODE_SQL, ELEMENTS_SQL, LINES_SQL, NOISY_SQL, STRIP_SQL, table
+from weftline.session import Rounds
 
 Q: dict = {}
 SQL: dict = {}
@@ -112,6 +113,12 @@ def line_table(spark: SparkSession, d: str) -> DataFrame:
     return elements.element_table(inputs.document_arrays(spark, d))
 
 
+def kept_lines(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """The line table written once, with these columns (all without), for queries that read it several times."""
+    lines = line_table(spark, d)
+    return Rounds(spark).keep("lines", lines.select(*columns) if columns else lines)
+
+
 @query("heading_levels", f"""
 with e as ({ELEMENTS_SQL}) select doc_id, idx, label in ('title', 'section_header') as heading,
 case when level > 0 then least(level, 6) when label = 'title' then 1 else 2 end as level from e""")
@@ -350,5 +357,7 @@ r as (select *, max(case when not glued then idx end) over (partition by doc_id
 select doc_id, head as pos, min_by(label, idx) as label, string_agg(text, ' ' order by idx) as text, string_agg('#/texts/' || idx, ',' order by idx) as refs from r group by 1, 2""")
 def fragment_merge_columns(spark, d):
     flat = elements.element_table(elements.element_arrays(boxed_payloads(spark, d), order="index"))
+    # fragments are read twice, for their runs and for what one segment hands to the next
+    flat = Rounds(spark).keep("elements", flat.select("doc_id", "pos", "grp", "ref", "label", "text", "style", "pages", "boxes"))
     merged = blocks.merge_fragments(flat, threshold=1)
     return merged.select("doc_id", F.col("pos").cast("bigint").alias("pos"), "label", "text", F.array_join("refs", ",").alias("refs"))
