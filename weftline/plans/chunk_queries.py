@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.operators import chunking, glossary, translation
 from weftline.plans import inputs
-from weftline.plans.element_queries import line_table
+from weftline.plans.element_queries import kept_lines, line_table
 from weftline.plans.inputs import ELEMENTS_SQL, GLOSSARY_SQL, SHORT_TERMS_SQL, table
 
 Q: dict = {}
@@ -128,7 +128,8 @@ select doc_id, section_pos, request_no, coalesce(any_value(d.text), '') as docum
  string_agg(i.ref, ',' order by idx) as ids, sha256(string_agg(i.text, chr(10) order by idx)) as texts
 from i join r using (doc_id, section_pos, k) left join (select doc_id, text from e where idx = 0) d using (doc_id) group by doc_id, section_pos, request_no""")
 def translation_requests(spark, d):
-    made = chunking.translation_requests(line_table(spark, d), limit=900, segment_rows=16)
+    lines = kept_lines(spark, d, "doc_id", "pos", "ref", "label", "text")
+    made = chunking.translation_requests(lines, limit=900, segment_rows=16)
     part = lambda c: F.transform("items", lambda i: i[c])
     return made.select(
         "doc_id", "section_pos", "request_no", "document_title", "section_title", "chars", F.array_join(part("id"), ",").alias("ids"),
@@ -351,10 +352,10 @@ def element_routes(spark, d):
 with e as ({ELEMENTS_SQL}), k as (select *, case when text = '' then 'empty' when label = 'code' or regexp_matches(raw_text, '{inputs.CODE_SQL}') then 'code' when label in ('title', 'section_header') then 'heading' else 'body' end as route from e)
 select doc_id, idx, case route when 'heading' then text || ' / ' || '訳:' || text when 'body' then '訳:' || text else text end as render_text from k""")
 def translated_elements(spark, d):
-    lines = line_table(spark, d)
+    lines = kept_lines(spark, d, "doc_id", "idx", "grp", "label", "text", "raw_text")
     texts = lines.select("text").distinct()
     memory = texts.select(F.sha2("text", 256).alias("source_sha256"), F.concat(F.lit("訳:"), "text").alias("translated_text"), F.lit(0).alias("updated_at"))
-    return translation.translate_elements(lines, memory).select("doc_id", "idx", "render_text")
+    return translation.translate_elements(lines.drop("text"), memory).select("doc_id", "idx", "render_text")
 
 
 @query("translated_cells", """
