@@ -9,7 +9,7 @@ from weftline.functions.redact import mask_secrets, mask_string_fields, redact_k
 from weftline.operators import patches
 from weftline.operators.rows import unpack
 from weftline.plans import inputs
-from weftline.plans.element_queries import line_table
+from weftline.plans.element_queries import kept_lines, line_table
 from weftline.plans.inputs import ELEMENTS_SQL, LINES_SQL, NOISY_SQL, table
 
 Q: dict = {}
@@ -165,12 +165,13 @@ def patch_sequence(spark, d):
               '{"seq":5,"op":"reorder_texts","refs":["#/texts/1","#/texts/1"]},{"seq":6,"op":"reorder_texts","refs":["#/texts/0","#/texts/2"]}]'), f"array<{row}>",
     )
     todo = unpack(inputs.documents(spark, d), ["doc_id"], steps)
-    n = line_table(spark, d).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n >= 4")
+    lines = kept_lines(spark, d, "doc_id", "grp", "idx", "ref", "label", "level", "text")
+    n = lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n >= 4")
     null = lambda c, kind: F.lit(None).cast(kind).alias(c)
     late = n.select(
         "doc_id", F.lit(7).alias("seq"), F.lit("set_text").alias("op"), F.format_string("#/texts/%d", F.col("n") - 1).alias("ref"), F.lit("last").alias("text"),
         null("label", "string"), null("level", "int"), null("refs", "array<string>"))
-    return patches.apply_patches(line_table(spark, d), todo.unionByName(late)).select("doc_id", "ref", "idx", "label", "text")
+    return patches.apply_patches(lines, todo.unionByName(late)).select("doc_id", "ref", "idx", "label", "text")
 
 
 @query("patch_routing", "select lang, n_chars % 10 >= 8 as sure, count(*) as n from documents group by 1, 2")
