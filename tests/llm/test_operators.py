@@ -69,6 +69,33 @@ def test_minhash_equals_brute_force(spark):
     assert found == {i: root(i) for i in order}
 
 
+def test_minhash_centred_lists(spark, tmp_path):
+    """Of a large group few pairs meet, among them all links that do not go over the centre."""
+    rng = random.Random(7)
+    original, sets = [rng.randrange(10**6) for _ in range(150)], {}
+    for key in range(300):
+        words = list(original)
+        for _ in range(rng.randrange(7) if key else 0):
+            words[rng.randrange(150)] = rng.randrange(40)
+        if key >= 280:  # far from the centre, and near each other
+            words[20:60] = range(1000 + key % 2 * 100, 1040 + key % 2 * 100)
+        sets[key] = {hash(tuple(words[i : i + 4])) for i in range(147)}
+    facts = spark.createDataFrame([(k, sorted(v)) for k, v in sets.items()], "rep bigint, set array<bigint>")
+    members = facts.filter("rep > 0").select(F.lit(0).cast("bigint").alias("centre"), "rep")
+    compared, posted = minhash_dedup.centred_lists(facts, members, 80)
+    compared.write.parquet(f"{tmp_path}/compared")
+    compared = spark.read.parquet(f"{tmp_path}/compared")
+    linked = lambda a, b: 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+    near = {r.rep for r in compared.filter("near").collect()}
+    assert near == {k for k in sets if k and linked(0, k)} and 100 < len(near) < 279
+    lists = posted(compared).groupBy("token").agg(F.collect_set("rep").alias("reps")).collect()
+    met = {p for r in lists for p in itertools.combinations(sorted(r.reps), 2)}
+    open_pairs = [p for p in itertools.combinations(range(1, 300), 2) if not near.issuperset(p)]
+    due = {p for p in open_pairs if linked(*p)}
+    assert due and due <= met
+    assert len(met) < len(open_pairs) / 5
+
+
 def test_components_of_paths_and_stars(spark):
     path = [(i, i + 1) for i in range(1, 40)]
     star = [(100, i) for i in range(101, 160)]

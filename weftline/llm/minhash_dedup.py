@@ -25,12 +25,20 @@ different components goes untested, so the components are those of all links.
 Members of long lists are posted anew under their full sets, where the same
 prefix needs a fifth of the shingles instead of half the coordinates, and pairs
 whose counts of shared shingles rule a link out are left aside.
+
+A large group keeps members outside its component, each of which would meet all
+others to show that it has no link. So long lists are posted once more, under
+what their members have and the list's first member, the centre, has not, and
+the reverse. All members meet the centre. Two members in different components
+are not both linked to it, and then a link between them needs more than four
+ninths of the smaller difference in common (``centred_lists``). Differences are
+mostly edits of one member, so few meet.
 """
 
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import blake2b
 
 import numpy as np
@@ -155,6 +163,39 @@ def shingle_lists(facts: DataFrame, wanted: DataFrame, threshold: int) -> DataFr
         "rep", "n", F.size("_all").alias("s"), F.transform(F.slice("_all", F.lit(1), room), lambda t: t["_h"]).alias("tokens"))
 
 
+def centred_lists(facts: DataFrame, members: DataFrame, threshold: int) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """Members (centre, rep) compared with their centres, and a function that makes their new postings (token, rep) of the compared, written rows.
+
+    The compared rows are (centre, rep, near, slack, diff): ``diff`` is the
+    symmetric difference of both sets. Sets x and y are linked if theirs has at
+    most ``r (n_x + n_y)`` elements, where ``r = (1 - t) / (1 + t)``; it has
+    ``|D_x| + |D_y| - 2 |D_x & D_y|``. With ``slack = |D| - r n`` a link so takes
+    ``(slack_x + slack_y) / 2`` common differences at least. That is more than none
+    unless both are near the centre, as ``slack > r n_c`` for one that is not near
+    and ``slack >= (1 - r) |D| - r n_c`` for any; those near are linked over it.
+    Slacks are multiplied by ``100 + threshold`` to stay whole numbers.
+    """
+    mine, theirs = facts.select("rep", "set"), facts.select(F.col("rep").alias("centre"), F.col("set").alias("_centre"))
+    diff = F.concat(F.array_except("set", "_centre"), F.array_except("_centre", "set"))
+    met = members.join(theirs, "centre").join(mine, "rep").select("centre", "rep", F.size("set").alias("_n"), F.size("_centre").alias("_c"), diff.alias("diff"))
+    slack = F.size("diff") * (100 + threshold) - F.col("_n") * (100 - threshold)
+    compared = met.select("centre", "rep", (slack <= F.col("_c") * (100 - threshold)).alias("near"), slack.alias("slack"), "diff")
+
+    def posted(compared: DataFrame) -> DataFrame:
+        # only pairs with a member that is not near are left to decide
+        least = compared.groupBy("centre").agg(F.min("slack").alias("_any"), F.min(F.when(~F.col("near"), F.col("slack"))).alias("_far")).filter("_far is not null")
+        rows = compared.join(least, "centre").select(
+            "centre", "rep", "near", F.ceil((F.col("slack") + F.when(F.col("near"), F.col("_far")).otherwise(F.col("_any"))) / (2 * (100 + threshold))).cast("int").alias("_least"),
+            F.explode("diff").alias("_h"))
+        often = rows.groupBy("centre", "_h").agg(F.count(F.lit(1)).alias("_n"), F.bool_and("near").alias("_near")).filter("_n > 1 and not _near").select("centre", "_h", "_n")
+        shared = rows.join(often, ["centre", "_h"]).groupBy("centre", "rep", "_least").agg(F.sort_array(F.collect_list(F.struct("_n", "_h"))).alias("_all"))
+        room = F.size("_all") - F.col("_least") + 1
+        return shared.filter(room > 0).select("centre", "rep", F.explode(F.slice("_all", F.lit(1), room)).alias("_t")).select(
+            F.xxhash64("centre", "_t._h").alias("token"), "rep")
+
+    return compared, posted
+
+
 def links(docs: DataFrame, key: str, text: str, width: int, threshold: int, reps: DataFrame, rounds: Rounds) -> DataFrame:
     """(a, b): each linked class with the smallest of its component."""
     spark = docs.sparkSession
@@ -214,19 +255,33 @@ def links(docs: DataFrame, key: str, text: str, width: int, threshold: int, reps
         state = rounds.keep("state", state.join(spread.filter("_low != _high"), "token").filter(near_some))
         if state.isEmpty():
             return stars
+        near, anew = spark.createDataFrame([], "a bigint, b bigint"), None
+        if hubs == 1:
+            # long lists meet their centre alone, and go on under what their members differ in from it
+            in_long = state.filter(F.col("_m") > LONG_LIST)
+            compared, posted_anew = centred_lists(facts, in_long.filter("rep != _first").select(F.col("_first").alias("centre"), "rep").distinct(), threshold)
+            compared = rounds.keep("compared", compared)
+            near = compared.filter("near").select(F.col("centre").alias("a"), F.col("rep").alias("b"))
+            anew = posted_anew(compared).join(in_long.select("rep", "n", "s", "comp").distinct(), "rep").select("token", "rep", "n", "s", "comp")
+            state = state.filter(F.col("_m") <= LONG_LIST)
         # the member with the fewest shingles of its own is always a hub: copies are nearest to their original
         chance = F.pmod(F.xxhash64("rep", F.lit(hubs)), F.col("_m")) < hubs - 1
         is_hub = (F.col("rep") == F.col("_first")) | chance
-        side = lambda df, name: df.select("token", F.col("rep").alias(name), *[F.col(c).alias(f"_{c}{name}") for c in ("comp", "n", "s")])
+        given = state.withColumn("hub", is_hub)
+        side = lambda df, name: df.select("token", F.col("rep").alias(name), *[F.col(c).alias(f"_{c}{name}") for c in ("comp", "n", "s", "hub")])
         possible = F.least("_sa", "_sb") * (100 + threshold) >= (F.col("_na") + F.col("_nb")) * threshold
-        pairs = side(state.filter(is_hub), "a").join(side(state, "b"), "token").filter((F.col("_compa") != F.col("_compb")) & possible)
-        pairs = pairs.select("a", "b").distinct()
-        near = confirmed(pairs)
+        pairs = side(given.filter("hub"), "a").join(side(given, "b"), "token").filter((F.col("_compa") != F.col("_compb")) & possible)
+        # two hubs meet once
+        pairs = pairs.filter("not _hubb or a < b").select("a", "b").distinct()
+        near = near.unionByName(confirmed(pairs))
         # a member goes to the smallest of its hubs, and so do its other hubs: as many edges as members, and few between hubs
         to_hubs = near.groupBy("b").agg(F.min("a").alias("_low"), F.collect_set("a").alias("_hubs"))
         between = to_hubs.select(F.explode("_hubs").alias("a"), F.col("_low").alias("b"))
         near = rounds.keep("near", to_hubs.select(F.col("b").alias("a"), F.col("_low").alias("b")).unionByName(between).filter("a != b").distinct())
         rest = state.filter(~is_hub).select("token", "rep", "n", "s", "comp")
+        if anew is not None:
+            rest = rounds.keep("rest", rest.unionByName(anew))
+            rounds.drop("compared")
         hubs *= 16
         if near.isEmpty():
             state = rest
@@ -251,7 +306,7 @@ def near_duplicates(docs: DataFrame, key: str, text: str, *, shingle: int = SHIN
     firsts = rounds.keep("firsts", real.groupBy("class").agg(F.min(F.struct("id", "sig")).alias("_f")).select("class", F.col("_f.id").alias("rep"), F.col("_f.sig").alias("sig")))
     reps = rounds.keep("reps", firsts.groupBy("rep").agg(F.min(F.struct("class", "sig")).alias("_r")).select("rep", "_r.class", "_r.sig"))
     stars = links(docs, key, text, shingle, threshold, reps, rounds).select(F.col("a").alias("rep"), F.col("b").alias("component"))
-    rounds.drop("reps", "posted", "lists", "facts", "longer", "state", "near", "links")
+    rounds.drop("reps", "posted", "lists", "facts", "longer", "state", "rest", "near", "links")
     named = firsts.join(stars, "rep", "left").select("class", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"))
     found = signed.join(named, "class", "left")
     own = F.col("id").isNull() | (F.col("n") == 0)
