@@ -120,7 +120,10 @@ def families(kept: Rounds, sketches: DataFrame, alike: float, size: int, posted:
     hubs = posts.join(lists, "_hash").select("_rep", F.explode(F.array("_low", "_high")).alias("_hub")).filter("_hub != _rep").distinct()
     theirs = classes.select(F.col("_rep").alias("_hub"), F.col("sketch").alias("_theirs"))
     low = F.slice(F.sort_array(F.array_union("sketch", "_theirs")), 1, size)
-    same = let(low, lambda all_: F.size(F.array_intersect(F.array_intersect(all_, "sketch"), "_theirs")) >= F.size(all_) * alike)
+    # most pairs have too little in common at all, which one pass over both tells
+    enough = lambda both: F.size(both) >= F.least(F.lit(size), F.size("sketch") + F.size("_theirs") - F.size(both)) * alike
+    same = let(F.array_intersect("sketch", "_theirs"), lambda both: F.when(
+        enough(both), let(low, lambda all_: F.size(F.array_intersect(all_, both)) >= F.size(all_) * alike)).otherwise(False))
     links = hubs.join(classes, "_rep").join(theirs, "_hub").filter(same).select(F.col("_rep").alias("a"), F.col("_hub").alias("b"))
     found = components(links, kept).select(F.col("node").alias("_rep"), F.col("component").alias("family"))
     families_of = classes.join(found, "_rep", "left").select("_class", F.coalesce("family", "_rep").alias("family"))
