@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from llm_inputs import CLASHING, LONG
 from weftline.llm import conversation_repair, language, line_templates, secret_scan, vector_codes
+from weftline.operators.components import components
 
 # 11 conversation repair
 
@@ -263,3 +264,29 @@ def test_language_sample_reaches_the_driver_as_arrays(spark, monkeypatch):
         model = language.train(docs, "doc_id", "text", "lang", F.lit(True))
     assert model.languages == ["de", "en"]
     assert list(model.probabilities(["the dog", "die katze"]).argmax(axis=1)) == [1, 0]
+
+
+def test_language_sample_stays_off_the_driver(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "the cat and the dog" if i % 2 else "der hund und die katze", "en" if i % 2 else "de") for i in range(40)], "doc_id long, text string, lang string")
+    fetch, seen = type(docs).toArrow, []
+
+    def counted(self):
+        seen.append(fetch(self))
+        return seen[-1]
+
+    with monkeypatch.context() as patched:
+        patched.setattr(type(docs), "toArrow", counted)
+        model = language.train(docs, "doc_id", "text", "lang", F.lit(True))
+    assert [t.num_rows for t in seen] == [1] and model.weights.shape == (1 << language.BITS, 2)
+
+
+def test_components_count_their_links_while_they_are_written(spark, monkeypatch):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(20)], "a bigint, b bigint")
+
+    def job(self):
+        raise AssertionError("a job of its own for what the writing job sees")
+
+    with monkeypatch.context() as patched:
+        patched.setattr(type(edges), "first", job)
+        found = components(edges)
+    assert {r.node: r.component for r in found.collect()} == dict.fromkeys(range(21), 0)

@@ -8,7 +8,7 @@ elastic-net penalty, which leaves most of them at zero. A temperature fitted
 on a part of the sample kept out of training calibrates the probabilities.
 
 The model is fitted on at most ``rows_per_language`` texts of each language,
-those with the smallest hash of their id.
+those with the smallest hash of their id, in one task.
 """
 
 from __future__ import annotations
@@ -109,17 +109,36 @@ def train(docs: DataFrame, key: str, text: str, lang: str, learnable: Column, *,
         .withColumn("_place", F.row_number().over(by_hash)).filter(F.col("_place") <= rows_per_language).select("_key").distinct()
     )
     counted = known.join(F.broadcast(picked), "_key").select("lang", "text")  # at most rows_per_language ids of each language
-    sample = counted.mapInArrow(_counts, "lang string, at array<int>, tf array<double>").toArrow()
-    if not sample.num_rows:
+    sample = counted.mapInArrow(_counts, "lang string, at array<int>, tf array<double>")
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given = list(batches)
+        if sum(b.num_rows for b in given):
+            model = _fitted(pa.Table.from_batches(given), epochs, alpha, beta, l1, l2, seed)
+            columns = [model.languages], [model.weights.tobytes()], [model.bias.tolist()], [model.temperature]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _MODEL.types, strict=True)], schema=_MODEL)
+
+    # in a task, and not on the driver, whose memory would keep the room that the sample took; the driver gets the weights alone
+    found = sample.repartition(1).mapInArrow(fit, "languages array<string>, weights binary, bias array<double>, temperature double").toArrow()
+    if not found.num_rows:
         return None
-    # arrays, not Python numbers: those take twenty times the memory on the driver
+    languages, weights, bias, heat = (found[c][0].as_py() for c in _MODEL.names)
+    return Model(languages, np.frombuffer(weights, np.float32).reshape(1 << BITS, len(languages)), np.array(bias), heat)
+
+
+_MODEL = pa.schema([("languages", pa.list_(pa.string())), ("weights", pa.binary()), ("bias", pa.list_(pa.float64())), ("temperature", pa.float64())])
+
+
+def _fitted(sample: pa.Table, epochs: int, alpha: float, beta: float, l1: float, l2: float, seed: int) -> Model:
+    """Model of a sample (lang, at, tf) that is not empty."""
+    # arrays, not Python numbers: those take twenty times the memory
     parts = zip(sample["lang"].to_pylist(), *([v.values.to_numpy() for v in sample[c]] for c in ("at", "tf")), strict=True)
     # the order in which rows arrive must not matter; big-endian bytes of numbers above zero sort as the numbers do
     ranked = sorted(parts, key=lambda r: (r[0], r[1].astype(">i4").tobytes(), r[2].astype(">f8").tobytes()))
     languages = sorted({r[0] for r in ranked})
     labels = np.array([languages.index(r[0]) for r in ranked])
     at, tf = [r[1].astype(np.int64) for r in ranked], [r[2] for r in ranked]
-    frequency = np.bincount(np.concatenate(at), minlength=1 << BITS) if at else np.zeros(1 << BITS)
+    frequency = np.bincount(np.concatenate(at), minlength=1 << BITS)
     idf = np.log((1 + len(ranked)) / (1 + frequency)) + 1
     rows = [(a, SCALE * t * idf[a]) for a, t in zip(at, tf, strict=True)]
     order = np.random.default_rng(seed).permutation(len(rows))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from weftline.session import Rounds
@@ -20,11 +20,13 @@ def components(edges: DataFrame, rounds: Rounds | None = None) -> DataFrame:
     """
     rounds = rounds or Rounds(edges.sparkSession)
 
-    def state(table: DataFrame) -> tuple:
-        return tuple(table.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
+    def kept(table: DataFrame) -> tuple[DataFrame, tuple]:
+        """The written links with their number and the sum of their hashes, both taken while they are written: one job a round."""
+        seen = Observation()
+        links = rounds.keep("links", table.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("sum")))
+        return links, (seen.get["n"], seen.get["sum"])
 
-    links = rounds.keep("links", edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct())
-    before = state(links)
+    links, before = kept(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct())
     while before[0]:
         # large star: every larger neighbour of a node goes to the smallest node around it
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -33,8 +35,7 @@ def components(edges: DataFrame, rounds: Rounds | None = None) -> DataFrame:
         # small star: smaller neighbours, and the node itself, go to the smallest of them
         low = large.groupBy("a").agg(F.min("b").alias("_low"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("b", "_low"), F.struct(F.col("a").alias("b"), "_low"))).alias("_e"))
-        links = rounds.keep("links", small.select(F.col("_e.b").alias("a"), F.col("_e._low").alias("b")).filter("a != b").distinct())
-        now = state(links)
+        links, now = kept(small.select(F.col("_e.b").alias("a"), F.col("_e._low").alias("b")).filter("a != b").distinct())
         if now == before:
             break
         before = now
