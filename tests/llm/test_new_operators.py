@@ -290,3 +290,10 @@ def test_components_count_their_links_while_they_are_written(spark, monkeypatch)
         patched.setattr(type(edges), "first", job)
         found = components(edges)
     assert {r.node: r.component for r in found.collect()} == dict.fromkeys(range(21), 0)
+
+
+def test_line_templates_parse_a_text_once(odd_documents):
+    parsed = line_templates.parsed_texts(odd_documents, F.xxhash64("doc_id", "text"), "text", line_templates.DEPTH, line_templates.LEAST_CONSTANT, line_templates.SKETCH)
+    assert parsed._jdf.queryExecution().optimizedPlan().toString().count(line_templates.UNITS) == 1
+    # texts without a token have no lines: null, empty, blank
+    assert parsed.select("_doc").distinct().count() == odd_documents.filter("trim(translate(text, '\t\n', '  ')) != ''").select("doc_id", "text").distinct().count()

@@ -99,6 +99,14 @@ def sketch_of(text: Column, size: int) -> Column:
     return F.slice(F.sort_array(F.array_distinct(let(hashes, small))), 1, size)
 
 
+def parsed_texts(docs: DataFrame, doc: Column, text: str, depth: int, least_constant: float, sketch: int) -> DataFrame:
+    """(_doc, sketch, lines) of the documents with a token."""
+    made = let(squeezed(F.col(text)), lambda t: F.struct(sketch_of(t, sketch).alias("sketch"), hashed_lines(t, depth, least_constant).alias("lines")))
+    # generated, not projected: the filter on lines would go below a projection and parse every text a second time
+    rows = docs.filter(F.col(text).isNotNull()).select(doc.alias("_doc"), F.explode(F.array(made)).alias("_l"))
+    return rows.select("_doc", "_l.*").filter(F.size("lines") > 0)
+
+
 def few(df: DataFrame) -> DataFrame:
     """``df``, broadcast if it is counted to be small."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
@@ -180,9 +188,7 @@ def drop_recurring_lines(
     rounds = Rounds(docs.sparkSession)
     columns = [c for c in docs.columns if c != "n_dropped"]
     doc = F.xxhash64(F.col(key), F.col(text))
-    made = let(squeezed(F.col(text)), lambda t: F.struct(sketch_of(t, sketch).alias("sketch"), hashed_lines(t, depth, least_constant).alias("lines")))
-    parsed = docs.filter(F.col(text).isNotNull()).select(doc.alias("_doc"), made.alias("_l")).select("_doc", "_l.*").filter(F.size("lines") > 0)
-    parsed = rounds.keep("parsed", parsed)
+    parsed = rounds.keep("parsed", parsed_texts(docs, doc, text, depth, least_constant, sketch))
     # rows that repeat a document count once: counts are of distinct documents wherever a document could repeat
     family_of = families(rounds, parsed.select("_doc", "sketch"), alike, sketch, posted)
     once = F.array_distinct(F.transform("lines", lambda x: F.struct(x["template"], x["leaf"], x["size"])))
