@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -112,9 +113,12 @@ def train(docs: DataFrame, key: str, text: str, lang: str, learnable: Column, *,
     sample = counted.mapInArrow(_counts, "lang string, at array<int>, tf array<double>")
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        given = list(batches)
-        if sum(b.num_rows for b in given):
-            model = _fitted(pa.Table.from_batches(given), epochs, alpha, beta, l1, l2, seed)
+        parts = [(b["lang"].to_pylist(), b["at"].value_lengths().to_numpy(), b["at"].flatten().to_numpy().copy(), b["tf"].flatten().to_numpy().copy()) for b in batches]
+        if any(p[0] for p in parts):
+            langs, *arrays = zip(*parts, strict=True)
+            parts.clear()
+            pa.default_memory_pool().release_unused()
+            model = _fitted(list(chain(*langs)), *map(np.concatenate, arrays), epochs, alpha, beta, l1, l2, seed)
             columns = [model.languages], [model.weights.tobytes()], [model.bias.tolist()], [model.temperature]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _MODEL.types, strict=True)], schema=_MODEL)
 
@@ -129,18 +133,25 @@ def train(docs: DataFrame, key: str, text: str, lang: str, learnable: Column, *,
 _MODEL = pa.schema([("languages", pa.list_(pa.string())), ("weights", pa.binary()), ("bias", pa.list_(pa.float64())), ("temperature", pa.float64())])
 
 
-def _fitted(sample: pa.Table, epochs: int, alpha: float, beta: float, l1: float, l2: float, seed: int) -> Model:
-    """Model of a sample (lang, at, tf) that is not empty."""
-    # arrays, not Python numbers: those take twenty times the memory
-    parts = zip(sample["lang"].to_pylist(), *([v.values.to_numpy() for v in sample[c]] for c in ("at", "tf")), strict=True)
+def _fitted(langs: list[str], sizes: np.ndarray, at: np.ndarray, tf: np.ndarray, epochs: int, alpha: float, beta: float, l1: float, l2: float,
+            seed: int) -> Model:
+    """Model of a sample that is not empty; ``at`` and ``tf`` hold all rows one after another, ``sizes`` entries each.
+
+    Large flat arrays, as the room of many small ones stays with the worker.
+    """
+    ends = np.cumsum(sizes)
+    part = [slice(e - n, e) for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
     # the order in which rows arrive must not matter; big-endian bytes of numbers above zero sort as the numbers do
-    ranked = sorted(parts, key=lambda r: (r[0], r[1].astype(">i4").tobytes(), r[2].astype(">f8").tobytes()))
-    languages = sorted({r[0] for r in ranked})
-    labels = np.array([languages.index(r[0]) for r in ranked])
-    at, tf = [r[1].astype(np.int64) for r in ranked], [r[2] for r in ranked]
-    frequency = np.bincount(np.concatenate(at), minlength=1 << BITS)
-    idf = np.log((1 + len(ranked)) / (1 + frequency)) + 1
-    rows = [(a, SCALE * t * idf[a]) for a, t in zip(at, tf, strict=True)]
+    ranked = []
+    begin = lambda i: (langs[i], at[part[i]][:16].astype(">i4").tobytes())
+    for _, same in groupby(sorted(range(len(langs)), key=begin), begin):
+        ranked += sorted(same, key=lambda i: (at[part[i]].astype(">i4").tobytes(), tf[part[i]].astype(">f8").tobytes()))
+    languages = sorted(set(langs))
+    labels = np.array([languages.index(langs[i]) for i in ranked])
+    idf = np.log((1 + len(ranked)) / (1 + np.bincount(at, minlength=1 << BITS))) + 1
+    value = SCALE * tf
+    value *= idf[at]
+    rows = [(at[part[i]], value[part[i]]) for i in ranked]
     order = np.random.default_rng(seed).permutation(len(rows))
     kept = order[: len(order) // 5]
     used = order[len(order) // 5 :]
