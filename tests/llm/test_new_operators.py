@@ -297,3 +297,22 @@ def test_line_templates_parse_a_text_once(odd_documents):
     assert parsed._jdf.queryExecution().optimizedPlan().toString().count(line_templates.UNITS) == 1
     # texts without a token have no lines: null, empty, blank
     assert parsed.select("_doc").distinct().count() == odd_documents.filter("trim(translate(text, '\t\n', '  ')) != ''").select("doc_id", "text").distinct().count()
+
+
+def test_general_templates_of_long_lines(spark):
+    """Lines of 1,500 tokens with some of their own: a row per token must not carry all the others."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(8))
+    fixed = [word() for _ in range(1500)]
+    rows = []
+    for i in range(48):
+        own = [" ".join(word() for _ in range(1500)) for _ in range(3)]
+        # every fourth line keeps more than the others, but not all of the same; the last one keeps too little
+        lost = lambda j: j % 20 == 10 or (j % 20 == 15 and (i % 4 < 3 or j == 20 * i + 15)) or (i == 47 and j % 2)  # noqa: E731, B023
+        line = " ".join(word() if lost(j) else w for j, w in enumerate(fixed))
+        rows.append((i, "\n".join([own[0], line, *own[1:]])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: (r.n_dropped, r.text) for r in line_templates.drop_recurring_lines(docs, "doc_id", "text").collect()}
+    for i, text in rows:
+        lines = text.split("\n")
+        assert found[i] == ((0, text) if i == 47 else (1, "\n".join(lines[:1] + lines[2:])))

@@ -155,17 +155,31 @@ def general_templates(kept: Rounds, rest: DataFrame, docs: DataFrame, depth: int
     lines = lines.join(few(shown), ["_doc", "leaf", "template"], "left_semi").groupBy("leaf", "template").agg(F.first("size").alias("size"), F.first("_words").alias("_words"))
     in_families = kinds.groupBy("leaf", "template").agg(F.count_distinct("family").alias("_in"))
     lines = kept.keep("lines", lines.join(in_families, ["leaf", "template"]))
-    tokens = lines.select("leaf", "template", "size", "_in", F.posexplode(F.split("_words", " ")).alias("_place", "_token")).filter(F.col("_token") != FIELD)
-    frequent = tokens.groupBy("leaf", "_place", "_token").agg(F.sum("_in").alias("_n")).filter(F.col("_n") >= least_families)
-    held = tokens.join(frequent, ["leaf", "_place", "_token"]).groupBy("leaf", "template", "size").agg(
-        F.sort_array(F.collect_list(F.struct("_n", "_place", "_token"))).alias("_held"))
-    behind = F.filter("_held", lambda x: x["_place"] >= depth)  # after the path, the rarest first
-    held = kept.keep("held", held.filter((F.size("_held") >= F.col("size") * constant) & (F.size(behind) >= (F.col("size") - depth) / 2)))
-    groups = kinds.join(held, ["leaf", "template"]).groupBy("leaf", "_held").agg(F.count_distinct("family").alias("_n")).filter(F.col("_n") >= least_families)
+    # a token at its place goes on as a hash, and a row per token holds no list: a line may have thousands of them. The joins below are merged,
+    # as the size of a written table says nothing of the rows made from its lists
+    placed = lines.select("leaf", "template", "size", "_in", F.posexplode(F.split("_words", " ")).alias("_place", "_token")).filter(F.col("_token") != FIELD)
+    tokens = placed.select("leaf", "template", "size", "_in", "_place", F.xxhash64("_place", "_token").alias("_token"))
+    frequent = tokens.groupBy("leaf", "_token").agg(F.sum("_in").alias("_n")).filter(F.col("_n") >= least_families)
+    ordered = tokens.join(frequent.hint("merge"), ["leaf", "_token"]).groupBy("leaf", "template", "size").agg(
+        F.sort_array(F.collect_list(F.struct("_n", "_place", "_token"))).alias("_ordered"))
+    behind = F.filter("_ordered", lambda x: x["_place"] >= depth)  # after the path, the rarest first
+    ordered = ordered.filter((F.size("_ordered") >= F.col("size") * constant) & (F.size(behind) >= (F.col("size") - depth) / 2))
+    named = lambda x: F.transform(x, lambda y: y["_token"])
+    held = kept.keep("held", ordered.select("leaf", "template", named("_ordered").alias("_held"), named(behind).alias("_behind")).withColumn("_set", F.xxhash64("_held")))
+    groups = kinds.join(held.select("leaf", "template", "_set").hint("merge"), ["leaf", "template"]).groupBy("leaf", "_set").agg(F.count_distinct("family").alias("_n"))
+    groups = kept.keep("groups", groups.filter(F.col("_n") >= least_families).select("leaf", "_set"))
+    # equal lists are compared once
+    sets = kept.keep("sets", held.groupBy("leaf", "_set").agg(F.first("_held").alias("_held"), F.first("_behind").alias("_behind")))
+    sought = sets.join(groups.hint("merge"), ["leaf", "_set"]).select(
+        "leaf", F.col("_set").alias("_group"), F.get("_behind", F.lit(0)).alias("_rarest"), F.col("_held").alias("_needed"))
     # a line that fits has the group's rarest token too, so only such lines are compared
-    groups = groups.select("leaf", F.get(behind, F.lit(0)).alias("_rarest"), F.col("_held").alias("_needed"))
-    asked = held.select("leaf", "template", "_held", F.explode(behind).alias("_rarest"))
-    return asked.join(groups, ["leaf", "_rarest"]).filter(F.size(F.array_except("_needed", "_held")) == 0).select("template").distinct()
+    asked = sets.select("leaf", "_set", F.size("_held").alias("_size"), F.explode("_behind").alias("_rarest"))
+    met = asked.join(sought.select("leaf", "_rarest", "_group", F.size("_needed").alias("_least")).hint("merge"), ["leaf", "_rarest"])
+    met = met.filter((F.col("_set") != F.col("_group")) & (F.col("_size") > F.col("_least"))).select("leaf", "_set", "_group")
+    compared = met.join(sought.select("leaf", "_group", "_needed").hint("merge"), ["leaf", "_group"]).join(sets.select("leaf", "_set", "_held").hint("merge"), ["leaf", "_set"])
+    more = compared.filter(F.size(F.array_except("_needed", "_held")) == 0).select("leaf", "_set")
+    fit = groups.unionByName(more).distinct()
+    return held.select("leaf", "template", "_set").join(fit.hint("merge"), ["leaf", "_set"]).select("template").distinct()
 
 
 def drop_recurring_lines(
@@ -207,7 +221,7 @@ def drop_recurring_lines(
     gone = rounds.keep("gone", direct.unionByName(general))
     places = parsed.select("_doc", F.explode("lines").alias("_x")).select("_doc", "_x.template", "_x.pos").join(few(gone), "template", "left_semi")
     lost = rounds.keep("lost", places.groupBy("_doc").agg(F.collect_set("pos").alias("_lost")))
-    rounds.drop("parsed", "classes", "links", "families", "often", "full", "direct", "leaves", "kinds", "shown", "lines", "held", "gone")
+    rounds.drop("parsed", "classes", "links", "families", "often", "full", "direct", "leaves", "kinds", "shown", "lines", "held", "groups", "sets", "gone")
     whole = docs.select(F.struct(*[docs[c] for c in columns]).alias("_row"), doc.alias("_doc"))
     # texts meet their positions by document at every size; a broadcast of the positions would be bounded by nothing
     found = whole.join(lost.hint("merge"), "_doc", "left")
