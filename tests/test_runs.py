@@ -258,3 +258,28 @@ def test_single_blanks_stay_and_runs_shrink(spark):
     texts = ["a b", "a  b", "a\tb", "a \t b", "\x0b", "a\f\fb", " x  ", "https://e.x/a  b\t\tc"]
     found = spark.createDataFrame([(t,) for t in texts], "t string").select(clean_text(F.col("t")).alias("c")).collect()
     assert [r.c for r in found] == ["a b", "a b", "a b", "a b", " ", "a b", " x ", "https://e.x/a b c"]
+
+
+def test_secrets_in_blocks_shuffle_no_text(spark):
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abc \n🦖") for _ in range(rng.randrange(2, 20))) for _ in range(300)]
+    texts = ["".join(rng.choice("abc \n🦖") for _ in range(rng.randrange(150))) for _ in range(30)] + ["", None, "c" * 40]
+    df = spark.createDataFrame([(k, k % 2, t) for k, t in enumerate(texts)], "k int, other int, body string").unionAll(spark.createDataFrame([(0, 0, texts[0])], "k int, other int, body string"))
+    secrets = spark.createDataFrame([(w,) for w in [*words, "", None, words[0]]], "s string")
+    expected = []
+    for k, other, text in map(tuple, df.collect()):
+        parts = None if text is None else [text]
+        for w in sorted(set(words), key=lambda w: (-len(w), w)) if text else ():
+            parts = [x for part in parts for x in part.split(w)]
+        expected.append((k, other, None if text is None else "[REDACTED]".join(parts)))
+    for chars in (200, 1500, 1_000_000):
+        done = matching.replace_terms(df, secrets, "body", "s", "[REDACTED]", chars)
+        assert sorted(map(tuple, done.collect()), key=str) == sorted(expected, key=str)
+        assert "Exchange" not in physical_plan(done) and "Join" not in physical_plan(done)
+
+
+def test_only_secrets_are_redacted(spark):
+    """What stands in for a mark meanwhile is in no text, whatever the text holds."""
+    df = spark.createDataFrame([(1, "a\0b secret\x01"), (2, "\0"), (3, "sec\0ret \0")], "k int, body string")
+    found = redact_table(df, "body", spark.createDataFrame([("secret",), ("\0r",)], "s string"), "s", ("k",))
+    assert {r.k: r.body for r in found.collect()} == {1: "a\0b [REDACTED]\x01", 2: "\0", 3: "sec[REDACTED]et \0"}

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.operators.matching import term_arrays
+from weftline.operators.matching import replace_terms
 
 # Secret shapes and what replaces them.
 SECRET_PATTERNS = (
@@ -42,14 +42,9 @@ def redact_table(df: DataFrame, text: str, secrets: DataFrame, secret: str, keys
     """``df`` with the literal secrets of a table replaced in ``text``, longest first; ``keys`` identify a row.
 
     The result is that of replacing one secret after another over the whole
-    table of them, but a text is given only the secrets it holds (see
-    :func:`weftline.operators.matching.term_arrays`), and marks already put in
-    are never searched. Equal lengths go in code point order. Null and empty
-    secrets replace nothing.
+    table of them (see :func:`weftline.operators.matching.replace_terms`), and
+    marks already put in are never searched. Equal lengths go in code point
+    order. Null and empty secrets replace nothing. Texts stay where they are,
+    so ``keys`` are not needed to find a row again.
     """
-    # a mark of one character that no text or secret holds stands in until all secrets are gone
-    stand_in = F.lit("\x00")
-    joined = term_arrays(df, secrets, text, secret, keys, "_found")
-    longest_first = F.array_sort(F.transform("_found", lambda s: F.struct((-F.length(s)).alias("n"), s.alias("s"))))
-    replaced = F.aggregate(longest_first, F.col(text), lambda body, x: F.replace(body, x["s"], stand_in), lambda body: F.replace(body, stand_in, F.lit(KNOWN_SECRET_MARK)))
-    return joined.withColumn(text, F.when(F.size("_found") == 0, F.col(text)).otherwise(replaced)).select(*df.columns)
+    return replace_terms(df, secrets, text, secret, KNOWN_SECRET_MARK).select(*df.columns)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import pyarrow as pa
@@ -10,11 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.operators.rows import unpack
+from weftline.session import Rounds
 
 GRAM = 4  # characters of a term that stand in for it
 BLOCK_CHARS = 4_000_000  # characters of terms that are with a task at a time
 CACHED_WORDS = 200_000  # words whose terms a task remembers
 FEW_PHRASES = 20  # so many terms with white space are looked for one by one
+STAND_IN = "\ud800"  # no text holds it: it has no UTF-8
 
 
 class TermIndex:
@@ -79,6 +82,56 @@ class TermIndex:
         return found
 
 
+class TermReplacer(dict):
+    """Texts with ``STAND_IN`` for each term, as if the terms were replaced one after another, longest first, equal lengths in code point order.
+
+    A term without white space lies within a word, so each word is replaced
+    once and remembered here. Most words hold no term, which is told by as many
+    characters as the shortest term has. A text that holds a term with white
+    space is taken as a whole.
+    """
+
+    def __init__(self, terms: list[str]) -> None:
+        super().__init__()
+        single = [t for t in terms if t.split() == [t]]
+        self._words, self._low = frozenset(single), min(map(len, single), default=0)
+        starts: dict[str, set[int]] = defaultdict(set)
+        for t in single:
+            starts[t[: self._low]].add(len(t))
+        self._starts = {start: tuple(lengths) for start, lengths in starts.items()}
+        self._phrases = TermIndex([t for t in terms if t.split() != [t]])
+
+    def _word_hits(self, value: str) -> list[str]:
+        """The terms without white space in a text, some more than once."""
+        low, starts = self._low, self._starts
+        at = [i for i in range(len(value) - low + 1) if value[i : i + low] in starts] if low else ()
+        if not at:
+            return []
+        pieces = [value[i : i + length] for i in at for length in starts[value[i : i + low]]]
+        return [piece for piece in pieces if piece in self._words]
+
+    @staticmethod
+    def _without(value: str, terms: Iterable[str]) -> str:
+        for t in sorted(set(terms), key=lambda t: (-len(t), t)):
+            value = value.replace(t, STAND_IN)
+        return value
+
+    def __missing__(self, word: str) -> str:
+        terms = self._word_hits(word)
+        found = self._without(word, terms) if terms else word
+        if len(word) <= 64:
+            if len(self) >= CACHED_WORDS:
+                self.clear()
+            self[word] = found
+        return found
+
+    def replaced(self, value: str) -> str:
+        phrases = self._phrases.hits(value)
+        if phrases:
+            return self._without(value, [*phrases, *self._word_hits(value)])
+        return " ".join(map(self.__getitem__, value.split(" ")))
+
+
 def term_blocks(terms: DataFrame, term: str, block_chars: int = BLOCK_CHARS) -> list[DataFrame]:
     """The distinct non-empty terms in as few blocks as keep each at about ``block_chars`` characters."""
     named = terms.select(F.col(term).alias("_term")).filter("_term <> ''").distinct()
@@ -129,3 +182,56 @@ def term_hits(texts: DataFrame, terms: DataFrame, text: str, term: str, keys: tu
     if not blocks:
         return texts.select(*keys, F.lit("").alias(term)).filter(F.lit(False))
     return reduce(DataFrame.unionByName, [unpack(texts, list(keys), terms_in(F.col(text), b), item=term) for b in blocks])
+
+
+def _in_blocks(terms: Iterable[str], block_chars: int) -> Iterator[list[str]]:
+    """The terms, in their order, in blocks of about ``block_chars`` characters."""
+    block, chars = [], 0
+    for t in terms:
+        block.append(t)
+        chars += len(t) + GRAM
+        if chars >= block_chars:
+            yield block
+            block, chars = [], 0
+    if block:
+        yield block
+
+
+def _replaced(value: Column, terms: list[str], mark: str | None) -> Column:
+    """A text, or the parts that earlier terms left of it, with ``mark`` for the terms of a block; without a mark the parts they leave."""
+    made: list[TermReplacer] = []
+
+    @F.arrow_udf("array<string>" if mark is None else "string")
+    def replaced(values: pa.Array) -> pa.Array:
+        if not made:
+            made.append(TermReplacer(terms))
+        whole = (STAND_IN.join(v) if isinstance(v, list) else v for v in values.to_pylist())
+        done = [None if v is None else made[0].replaced(v) for v in whole]
+        if mark is None:
+            return pa.array([None if v is None else v.split(STAND_IN) for v in done], pa.list_(pa.string()))
+        return pa.array([None if v is None else v.replace(STAND_IN, mark) for v in done], pa.string())
+
+    return replaced(value)
+
+
+def replace_terms(texts: DataFrame, terms: DataFrame, text: str, term: str, mark: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """``texts`` with ``mark`` for the terms that occur in ``text``, as if they were replaced one after another.
+
+    Longer terms come first, equal lengths in code point order; marks are never
+    searched. Null and empty terms replace nothing, a null text stays null. No
+    text is shuffled: the terms, read once, travel to the tasks in that order,
+    in blocks of about ``block_chars`` characters, and the parts that a block
+    leaves of the texts are written for the next one.
+    """
+    rounds = Rounds(texts.sparkSession)
+    named = rounds.keep("terms", terms.select(F.col(term).alias("_term")).filter("_term <> ''").distinct())
+    blocks = _in_blocks((r[0] for r in named.orderBy(F.length("_term").desc(), "_term").toLocalIterator()), block_chars)
+    block, found = next(blocks, None), texts
+    while block:
+        after = next(blocks, None)
+        found = found.withColumn(text, _replaced(F.col(text), block, None if after else mark))
+        if after:
+            found = rounds.keep("texts", found)
+        block = after
+    rounds.drop("terms")
+    return found

@@ -230,6 +230,6 @@ r(doc_id, k, text) as (select doc_id, 0::bigint, text from documents union all s
 select doc_id, replace(max_by(text, k), chr(1), '[REDACTED]') as text from r group by 1""")
 def known_secrets_table(spark, d):
     """The first words of all documents, if long enough, and the market segments, as secrets."""
-    word = F.get(F.split("text", " "), F.lit(0))
+    word = F.substring_index("text", " ", 1)
     secrets = inputs.documents(spark, d).select(word.alias("secret")).filter(F.length("secret") >= 6).unionByName(table(spark, d, "customer").select(F.col("c_mktsegment").alias("secret")))
     return redact_table(inputs.documents(spark, d), "text", secrets, "secret", ("doc_id",))
